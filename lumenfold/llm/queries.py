@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from lumenfold.llm.bpe import op4_bpe
 from lumenfold.llm.sharding import op1_hash_tree
 
 QUERIES = {
     "op1_hash_tree": op1_hash_tree,
+    "op4_bpe": op4_bpe,
 }
 ORACLES: dict[str, str] = {}
