@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from lumenfold.llm.bpe import op4_bpe
+from lumenfold.llm.chat import op9_chat
+from lumenfold.llm.gif import op7_gif
 from lumenfold.llm.language_id import op10_language
 from lumenfold.llm.sharding import op1_hash_tree
 from lumenfold.llm.token_counts import op8_token_counts
@@ -10,7 +12,9 @@ from lumenfold.llm.token_counts import op8_token_counts
 QUERIES = {
     "op1_hash_tree": op1_hash_tree,
     "op4_bpe": op4_bpe,
+    "op7_gif": op7_gif,
     "op8_token_counts": op8_token_counts,
+    "op9_chat": op9_chat,
     "op10_language": op10_language,
 }
 ORACLES: dict[str, str] = {}
