@@ -8,10 +8,12 @@ from lumenfold.llm.gif import op7_gif
 from lumenfold.llm.language_id import op10_language
 from lumenfold.llm.sharding import op1_hash_tree
 from lumenfold.llm.token_counts import op8_token_counts
+from lumenfold.llm.url_rules import op6_url_rules
 
 QUERIES = {
     "op1_hash_tree": op1_hash_tree,
     "op4_bpe": op4_bpe,
+    "op6_url_rules": op6_url_rules,
     "op7_gif": op7_gif,
     "op8_token_counts": op8_token_counts,
     "op9_chat": op9_chat,
