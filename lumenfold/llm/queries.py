@@ -6,12 +6,14 @@ from lumenfold.llm.bpe import op4_bpe
 from lumenfold.llm.chat import op9_chat
 from lumenfold.llm.gif import op7_gif
 from lumenfold.llm.language_id import op10_language
+from lumenfold.llm.near_dup import op2_near_dup
 from lumenfold.llm.sharding import op1_hash_tree
 from lumenfold.llm.token_counts import op8_token_counts
 from lumenfold.llm.url_rules import op6_url_rules
 
 QUERIES = {
     "op1_hash_tree": op1_hash_tree,
+    "op2_near_dup": op2_near_dup,
     "op4_bpe": op4_bpe,
     "op6_url_rules": op6_url_rules,
     "op7_gif": op7_gif,
