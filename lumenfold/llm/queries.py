@@ -8,6 +8,7 @@ from lumenfold.llm.gif import op7_gif
 from lumenfold.llm.language_id import op10_language
 from lumenfold.llm.near_dup import op2_near_dup
 from lumenfold.llm.sharding import op1_hash_tree
+from lumenfold.llm.substring_dedup import op5_substring_dedup
 from lumenfold.llm.token_counts import op8_token_counts
 from lumenfold.llm.url_rules import op6_url_rules
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_hash_tree": op1_hash_tree,
     "op2_near_dup": op2_near_dup,
     "op4_bpe": op4_bpe,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_url_rules": op6_url_rules,
     "op7_gif": op7_gif,
     "op8_token_counts": op8_token_counts,
