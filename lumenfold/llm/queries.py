@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lumenfold.llm.bpe import op4_bpe
 from lumenfold.llm.chat import op9_chat
+from lumenfold.llm.decontaminate import op3_decontaminate
 from lumenfold.llm.gif import op7_gif
 from lumenfold.llm.language_id import op10_language
 from lumenfold.llm.near_dup import op2_near_dup
@@ -15,6 +16,7 @@ from lumenfold.llm.url_rules import op6_url_rules
 QUERIES = {
     "op1_hash_tree": op1_hash_tree,
     "op2_near_dup": op2_near_dup,
+    "op3_decontaminate": op3_decontaminate,
     "op4_bpe": op4_bpe,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_url_rules": op6_url_rules,
