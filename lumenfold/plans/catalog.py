@@ -1,7 +1,9 @@
-"""The registered queries over the driver's tables."""
+"""All registered queries over the driver's tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-ENTRY = None
+from lumenfold.plans import job_queries, match_queries, report_queries, rule_queries, text_queries  # noqa: F401  they register themselves
+from lumenfold.plans.registry import ORACLES, QUERIES
+
+ENTRY = QUERIES["invoice_summary"]
+__all__ = ["ENTRY", "ORACLES", "QUERIES"]
