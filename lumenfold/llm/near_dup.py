@@ -193,7 +193,7 @@ def in_blocks(rows: DataFrame, keys: list[str], parts: str) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100,
-    coordinates: int = COORDINATES, loss: float = LOSS, list_rows: int = 20_000, family_hashes: int = 4_000_000,
+    coordinates: int = COORDINATES, loss: float = LOSS, list_rows: int = 1_000, family_hashes: int = 4_000_000,
 ) -> DataFrame:
     """A row for each document: id, n_shingles, component_id (the smallest id reachable over links, itself included) and kept.
 
