@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,13 +53,47 @@ class _Batch:
         self.anchor = least[self.starts]
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word number of each anchor, first and last start of the windows it stands for)."""
+        """(word number of each anchor, first and last start of the windows it stands for).
+
+        Anchors whose windows all repeat earlier ones of their own text are left out, see inner().
+        """
+        word, low, high = self._every()
+        again = np.append(0, np.cumsum(self._again()))
+        mine = np.searchsorted(self.starts, low)
+        fresh = again[mine + high - low + 1] - again[mine] < high - low + 1
+        return word[fresh], low[fresh], high[fresh]
+
+    def inner(self) -> np.ndarray:
+        """Starts of windows that repeat an earlier one of the same text."""
+        return self.starts[self._again()]
+
+    def _every(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not len(self.anchor):
             return (np.zeros(0, np.int64),) * 3
         new = np.append(True, (self.anchor[1:] != self.anchor[:-1]) | (self.starts[1:] != self.starts[:-1] + 1))
         first = np.flatnonzero(new)
         return self.anchor[first], self.starts[first], self.starts[np.append(first[1:], len(new)) - 1]
 
+    def _again(self) -> np.ndarray:
+        """Which windows repeat an earlier one of their text; only texts with a repeated prefix are looked at."""
+        out = np.zeros(len(self.starts), bool)
+        word, low, high = self._every()
+        if not len(word):
+            return out
+        text = np.searchsorted(self.words.at, word, side="right") - 1
+        order = np.lexsort((self.keys[word], text))
+        same = (text[order[1:]] == text[order[:-1]]) & (self.keys[word][order[1:]] == self.keys[word][order[:-1]])
+        some = np.zeros(len(word), bool)
+        some[order[1:][same]] = some[order[:-1][same]] = True
+        if not some.any():
+            return out
+        n = (high - low + 1)[some]
+        at = np.repeat(np.searchsorted(self.starts, low[some]) - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        hashes, owner = grams(self.hashes, self.window)[self.starts[at]], np.repeat(text[some], n)
+        order = np.lexsort((at, hashes, owner))
+        out[at[order[1:][(owner[order[1:]] == owner[order[:-1]]) & (hashes[order[1:]] == hashes[order[:-1]])]]] = True
+        return out
+
     def digests(self) -> tuple[np.ndarray, np.ndarray]:
         """128 bits of each text's word sequence."""
         at = self.words.at
@@ -221,22 +256,10 @@ def _cleaned(window: int, prefix: int, text: str, layout: bool):
                 b = _Batch(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], window, prefix)
                 at, n = b.words.at, len(b.words)
                 d1 = b.digests()[0]
-                cover = np.zeros(n + 1, np.int64)
-                for t, found in enumerate(part.column("found").to_pylist()):
-                    for f in found or ():
-                        if f["d1"] != d1[t]:
-                            continue
-                        if f["place"] < 0:  # a copy of an earlier text: all its windows
-                            cover[at[t]] += 1
-                            cover[at[t + 1]] -= 1
-                        elif f["bits"] == 0:  # one window, by its start
-                            cover[at[t] + f["place"]] += 1
-                            cover[at[t] + f["place"] + window] -= 1
-                        else:
-                            for o in range(window - prefix + 1):
-                                if f["bits"] >> o & 1:
-                                    cover[at[t] + f["place"] - o] += 1
-                                    cover[at[t] + f["place"] - o + window] -= 1
+                starts, alone = _marked(part.column("found"), at, d1, window - prefix)
+                starts = np.concatenate([starts, b.inner()])
+                cover = np.bincount(starts, minlength=n + 1) - np.bincount(starts + window, minlength=n + 1)
+                cover += np.bincount(at[alone], minlength=n + 1) - np.bincount(at[alone + 1], minlength=n + 1)
                 removed = np.cumsum(cover[:n]) > 0
                 made = (_without_layout if not layout else _with_layout)(b.words, offs[i : j + 1] - offs[i], removed)
                 gone = np.append(0, np.cumsum(removed))
@@ -247,6 +270,21 @@ def _cleaned(window: int, prefix: int, text: str, layout: bool):
     return run
 
 
+def _marked(found: pa.ListArray, at: np.ndarray, d1: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word numbers at which duplicate windows start, texts that are copies of an earlier one)."""
+    sizes = np.nan_to_num(pc.list_value_length(found).to_numpy(zero_copy_only=False)).astype(np.int64)
+    text = np.repeat(np.arange(len(found)), sizes)
+    values = found.flatten()
+    digest, place, bits = (values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+    ours = digest == d1[text]
+    text, place, bits = text[ours], place[ours].astype(np.int64), bits[ours]
+    starts = [at[text[one]] + place[one] for one in [(place >= 0) & (bits == 0)]]
+    for o in range(side + 1):
+        here = (bits >> o) & 1 == 1
+        starts.append(at[text[here]] + place[here] - o)
+    return np.concatenate(starts), np.unique(text[place < 0])
+
+
 def _filled(size: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Which of `size` bytes are in one of the ranges, which don't overlap."""
     edge = np.zeros(size + 1, np.int8)
@@ -283,7 +321,7 @@ def _with_layout(words: Words, offs: np.ndarray, removed: np.ndarray) -> pa.Arra
 
 def without_repeats(
     docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50, prefix: int = 6, layout: bool = True,
-    group_rows: int = 4096, at_once: int = 40_000,
+    group_rows: int = 65_536, at_once: int = 40_000,
 ) -> DataFrame:
     """docs with kept_text, n_words and n_removed: without the words of windows that also start earlier, by id, then by place.
 
