@@ -80,8 +80,11 @@ def stream_states(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").applyInPandasWithState(_advance, OUTPUT, STATE, "update", "ProcessingTimeTimeout")
 
 
-def fan_out(states: DataFrame, sinks: list, checkpoint: str):
-    """Starts a query that gives each micro-batch to all sinks, functions of (DataFrame, batch number)."""
+def fan_out(states: DataFrame, sinks: list, checkpoint: str, once: bool = True):
+    """Starts a query that gives each micro-batch to all sinks, functions of (DataFrame, batch number).
+
+    once: end after what is there now. Batches without data, in which alone idle jobs time out, run only without it.
+    """
 
     def each(df: DataFrame, epoch: int) -> None:
         held = df.persist()
@@ -89,4 +92,13 @@ def fan_out(states: DataFrame, sinks: list, checkpoint: str):
             sink(held, epoch)
         held.unpersist()
 
-    return states.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = states.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint)
+    if not once:
+        return writer.start()
+    conf, key = states.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")  # a query takes its settings as it starts
+    try:
+        return writer.trigger(availableNow=True).start()
+    finally:
+        conf.set(key, before)
