@@ -98,7 +98,7 @@ def kilobytes(size: Column) -> Column:
 
 def percent_position(c: Column) -> Column:
     """A 0-1 position as a percentage with one decimal."""
-    return F.format_string("%.1f", c * 100)
+    return F.format_string("%.1f", F.bround(c * 100, 1))
 
 
 def round_even(c: Column, decimals: int) -> Column:

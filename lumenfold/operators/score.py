@@ -26,7 +26,7 @@ def fidelity(mappings: DataFrame, by: list[str] | None = None) -> DataFrame:
 def suggestions(mappings: DataFrame) -> DataFrame:
     """A warning for each mapping of low confidence."""
     low = mappings.where("confidence = 'low'")
-    text = F.format_string("Campo '%s' com baixa confiança (%.2f)", F.col("jsonPath"), F.col("raw_confidence"))
+    text = F.format_string("Campo '%s' com baixa confiança (%.2f)", F.col("jsonPath"), F.bround("raw_confidence", 2))
     return low.select("doc_id", "id", F.lit("warning").alias("type"), text.alias("message"), F.lit("review").alias("action"))
 
 
