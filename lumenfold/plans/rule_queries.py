@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from lumenfold.functions import nested as N
 from lumenfold.functions import predicates as P
 from lumenfold.functions import text as T
+from lumenfold.operators import bindings as B
+from lumenfold.operators import certificates as C
 from lumenfold.operators import report as R
 from lumenfold.operators import score
 from lumenfold.plans.registry import query, table
@@ -131,3 +133,66 @@ def classifications(spark, sf_dir):
     kind = F.element_at(F.array(*[F.lit(x) for x in ("dateTime", "decimal", "list", "xs:date")]), (k % 4 + 1).cast("int"))
     colors = P.color_list(F.concat(F.lit("a, ,"), F.col("o_custkey").cast("string"), F.lit(" ,")))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.lit("ECONOMY").alias("t"), P.field_type(kind).alias("kind"), P.confidence_level(c).alias("level"), P.match_status(c, k % 5 == 0, k % 7 == 0).alias("status"), F.array_join(colors, "|").alias("colors"))
+
+
+_UNITS = "['months', 'instalments', 'days']"
+_NOUNS = "['meses', 'parcelas', 'dias']"
+
+
+def _details(spark, sf_dir):
+    """Orders with their lines as coverages: one defined period each, a cause for discounts of 10 %, and a progressive period."""
+    unit = F.element_at(F.array(*[F.lit(u) for u in C.UNITS]), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    size = F.col("l_quantity").cast("int")
+    detail = F.struct(
+        "l_linenumber", "l_partkey", "l_suppkey",
+        F.when(F.col("l_returnflag") == "R", "Plano SAF").otherwise(F.concat(F.lit("Plano "), "l_returnflag")).alias("name"),
+        F.array(F.struct(size.alias("amount"), unit.alias("unit"))).alias("defined"),
+        F.when(F.col("l_discount") == 0.1, F.array(F.struct(F.lit("acidente").alias("cause"), F.lit(1).alias("amount"), F.lit("days").alias("unit")))).alias("causes"),
+        F.array(F.struct(F.lit(1).alias("start"), F.when(size > 25, 9999).otherwise(size).alias("end"), unit.alias("unit"), F.lit(50).alias("percent"))).alias("progressive"),
+    )
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(detail)).alias("details"))
+
+
+_LINES = f"""l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS detail_idx, CASE WHEN l_returnflag = 'R' THEN 'Plano SAF' ELSE 'Plano ' || l_returnflag END AS name,
+  CAST(l_quantity AS INTEGER) AS size, l_discount, l_linenumber % 3 + 1 AS u FROM lineitem)"""
+
+
+@query(f"""
+WITH {_LINES} SELECT l_orderkey, detail_idx, CASE u WHEN 1 THEN CASE WHEN name = 'Plano SAF' THEN 0 ELSE 1 END ELSE u END AS branch, 'Para a cobertura ' || name || ', carência de ' || CAST(size AS VARCHAR) || ' ' || ({_NOUNS})[u] AS text FROM l
+UNION ALL SELECT l_orderkey, detail_idx, 4, 'Para a cobertura ' || name || ', carência de 1 dias para acidente' FROM l WHERE l_discount = 0.1
+""")
+def waiting_rules(spark, sf_dir):
+    """Waiting periods of all orders' coverages, by the five rules."""
+    return C.waiting_rules(_details(spark, sf_dir), ["l_orderkey"]).select("l_orderkey", F.col("detail_idx").cast("long").alias("detail_idx"), "branch", "text")
+
+
+@query(f"""
+WITH {_LINES} SELECT l_orderkey, detail_idx, 'Para a cobertura ' || name || ': ' || CASE WHEN size > 25 THEN 'A partir de 1' ELSE 'De 1 até ' || CAST(size AS VARCHAR) END || ' ' || ({_NOUNS})[u] || ', 50%' AS text FROM l
+""")
+def progressive_rules(spark, sf_dir):
+    """Progressive waiting periods of all orders' coverages."""
+    return C.progressive_rules(_details(spark, sf_dir), ["l_orderkey"]).select("l_orderkey", F.col("detail_idx").cast("long").alias("detail_idx"), "text")
+
+
+@query(f"""
+WITH {_LINES}, a AS (SELECT l_orderkey, string_agg(name || CASE WHEN l_discount = 0.1 THEN '!' ELSE '' END, '; ' ORDER BY detail_idx) || '; suicídio: 24 meses' AS texts, count(*) FILTER (WHERE l_discount = 0.1) > 0 AS any_cause FROM l GROUP BY l_orderkey)
+SELECT l_orderkey, texts, any_cause FROM a
+""")
+def waiting_texts(spark, sf_dir):
+    """Coverages of each order as texts, with a constant last one."""
+    marked = F.transform("details", lambda d: F.concat(d["name"], F.when(d["causes"].isNotNull(), F.lit("!")).otherwise(F.lit(""))))
+    out = C.waiting_texts([marked, F.lit(None).cast("array<string>")], F.lit("suicídio: 24 meses"))
+    return _details(spark, sf_dir).select("l_orderkey", F.array_join(out, "; ").alias("texts"), F.exists("details", lambda d: d["causes"].isNotNull()).alias("any_cause"))
+
+
+@query("""
+SELECT o_orderkey, 'row' || CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS VARCHAR) AS id, o_orderpriority || ': ' || CAST(l_partkey AS VARCHAR) AS label, l_linenumber > 3 AS late
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'F' QUALIFY true
+""")
+def template_bindings(spark, sf_dir):
+    """Lines of open orders as bound rows: repetition with its parent, a negated condition, ids and flags."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("lines"))
+    nested = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    rows = B.foreach(B.unless(nested, F.col("o_orderstatus") == "F"), "lines", keep=["o_orderkey", "o_orderpriority"])
+    shown = B.visible(rows, F.col("item.l_linenumber") > 3, "late")
+    return shown.select("o_orderkey", B.numbered_id("row", F.col("index")).alias("id"), B.text(F.col("o_orderpriority"), ": ", F.col("item.l_partkey")).alias("label"), "late")

@@ -193,3 +193,33 @@ def test_job_stream(spark, tmp_path):
     seen = {}
     X.fan_out(X.stream_states(stream), [lambda df, _: seen.update({r.job_id: (r.status, r.pct, r.message) for r in df.collect()}), lambda df, _: df.count()], str(tmp_path / "checkpoint")).awaitTermination(60)
     assert seen == {"a": ("done", 100, None), "b": ("running", 85, None), "c": ("error", 0, "m")}
+
+
+def test_settings_and_bindings(spark, tmp_path):
+    from lumenfold.operators import bindings as B
+    from lumenfold.sources import settings
+
+    change = lambda *kv: spark.createDataFrame(list(kv), "key string, value string")
+    s = settings.put(settings.put(settings.empty(spark), change(("layout", "A4"), ("current", "1"))), change(("layout", "A5")))
+    settings.save(s, str(tmp_path / "s"))
+    assert {r.key: r.value for r in settings.load(spark, str(tmp_path / "s")).collect()} == {"layout": "A5", "current": "1"}
+    assert [r.key for r in settings.remove(s, change(("layout", ""))).collect()] == ["current"]
+    settings.reset(spark, str(tmp_path / "s"))
+    assert settings.load(spark, str(tmp_path / "s")).count() == 0
+    df = spark.createDataFrame([(1, ["a", "b"], ("x",)), (2, None, None)], "i int, l array<string>, s struct<t string>")
+    assert [tuple(r) for r in B.foreach(df, "l", keep=["i"]).collect()] == [(1, 0, "a"), (1, 1, "b")]
+    assert [r.t for r in B.scope(df, "s", ["i"]).collect()] == ["x"] and B.when(df, F.col("l").isNull()).count() == 1
+    assert B.visible(df, F.col("s.t") == "x").where("visible").count() == 1
+
+
+def test_waiting_periods(spark):
+    from lumenfold.operators import certificates as C
+
+    rows = [(1, [("Plano SAF", [(3, "months")], None, [(1, 9999, "months", 50)]), ("Vida", [(2, "months"), (5, "days")], [("x", 1, "days")], [])]), (2, None)]
+    df = spark.createDataFrame(rows, f"doc_id int, details {C.DETAILS}")
+    got = sorted((r.branch, r.detail_idx, r.rule_idx) for r in C.waiting_rules(df, ["doc_id"]).collect())
+    assert got == [(0, 0, 0), (1, 1, 0), (3, 1, 1), (4, 1, 2)]
+    assert len([r for r in C.waiting_rules(df, ["doc_id"], exclude_saf=False).collect() if r.branch == 1]) == 2
+    assert C.progressive_rules(df, ["doc_id"]).first().text == "Para a cobertura Plano SAF: A partir de 1 meses, 50%"
+    assert spark.range(1).select(C.waiting_texts([F.array(F.lit("a")), F.lit(None).cast("array<string>")], F.lit(None).cast("string"))).first()[0] == ["a"]
+    assert spark.range(1).select(C.indexer_text(F.lit(" ")), C.account_label(F.lit(1), F.lit("2"))).first()[:] == ("", "1 / 2")
