@@ -155,6 +155,7 @@ class Vocabulary:
         for word, rank in self.ranks.items():
             words[rank] = word
         self.words = pa.array(words, pa.binary())
+        self.sizes = np.array([len(w) for w in words])
 
     def merged(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one piece; of equal ranks the leftmost pair merges first."""
@@ -217,7 +218,7 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _encoded(path: str, text: str, limit: int):
+def _encoded(path: str, text: str, limit: int, offsets: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
@@ -234,7 +235,13 @@ def _encoded(path: str, text: str, limit: int):
                     ids, at = vocab.encode(part, inner)
                 rows = batch.slice(i, j - i)
                 column = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*rows.columns, column], [*rows.schema.names, "ids"])
+                columns, names = [*rows.columns, column], [*rows.schema.names, "ids"]
+                if offsets:
+                    ends = np.append(0, np.cumsum(vocab.sizes[ids]))
+                    ends = ends[1:] - np.repeat(ends[at[:-1]], np.diff(at))
+                    columns.append(pa.ListArray.from_arrays(column.offsets, pa.array(ends.astype(np.int32))))
+                    names.append("ends")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -254,19 +261,21 @@ def _decoded(path: str):
     return run
 
 
-def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, decode: bool = False, limit: int = 1 << 20) -> DataFrame:
-    """The columns keep (by default all) and `ids`, the token ids of the text; with decode also `decoded`.
+def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, decode: bool = False, offsets: bool = False, limit: int = 1 << 20) -> DataFrame:
+    """The columns keep (by default all) and `ids`, the token ids of the text; with offsets also `ends`, the byte of the text at which each
+    token ends, so that any run of tokens can be decoded or found in the text on its own; with decode also `decoded`.
 
     A null text gives no ids, as an empty one does. Longer texts than limit bytes are encoded in parts. Existing columns
-    `ids` and `decoded` are replaced. path: a vocabulary file that each executor has.
+    `ids`, `ends` and `decoded` are replaced. path: a vocabulary file that each executor has.
     """
-    keep = [c for c in (df.columns if keep is None else keep) if c not in ("ids", "decoded")]
+    keep = [c for c in (df.columns if keep is None else keep) if c not in ("ids", "ends", "decoded")]
     rows = df.select(*dict.fromkeys([*keep, text]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", ids array<int>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", ids array<int>" + ", ends array<int>" * offsets
+    made = [*keep, "ids", *["ends"] * offsets]
+    work, back = _encoded(path, text, limit, offsets), _decoded(path)
     if not decode:
-        return rows.mapInArrow(_encoded(path, text, limit), schema).select(*keep, "ids")
-    work, back = _encoded(path, text, limit), _decoded(path)
-    return rows.mapInArrow(lambda batches: back(work(batches)), schema + ", decoded binary").select(*keep, "ids", "decoded")
+        return rows.mapInArrow(work, schema).select(*made)
+    return rows.mapInArrow(lambda batches: back(work(batches)), schema + ", decoded binary").select(*made, "decoded")
 
 
 def decode(df: DataFrame, path: str) -> DataFrame:

@@ -35,6 +35,10 @@ def test_operator_on_odd_rows(spark, library):
     for i, t in enumerate(texts):
         assert got[i].ids == library.encode_ordinary(t or "") and bytes(got[i].decoded) == (t or "").encode()
     assert encode(df.limit(0), PATH).collect() == []
+    words = {i: w for w, i in library._mergeable_ranks.items()}
+    for r in encode(df, PATH, offsets=True, limit=1000).collect():
+        b = (texts[r.k] or "").encode()
+        assert [b[a:e] for a, e in zip([0, *r.ends], r.ends, strict=False)] == [words[i] for i in r.ids]
     back = decode(encode(df, PATH), PATH).collect()
     assert {r.k: bytes(r.decoded).decode() for r in back} == {i: t or "" for i, t in enumerate(texts)}
 
