@@ -31,6 +31,7 @@ from lumenfold.llm._text import Words, grams, mix, pieces, splitmix, string_byte
 _LAST = (1 << 63) - 1  # rows without an id come after all others
 _ORDER = splitmix(21, 4) | np.uint64(1)
 _I64 = pa.int64()
+PART = 1 << 20  # bytes of text looked at together
 WORD = 5  # bytes of a word's hash in a tree; 0 is kept for "no word"
 
 
@@ -47,7 +48,9 @@ class _Batch:
         if n < window:
             self.starts = self.anchor = np.zeros(0, np.int64)
             return
-        least = np.lib.stride_tricks.sliding_window_view(self.keys, w).argmin(axis=1) + np.arange(n - window + 1)
+        views = np.lib.stride_tricks.sliding_window_view(self.keys, w)
+        # argmin copies what it looks at: some rows at a time.
+        least = np.concatenate([views[a : a + 8192].argmin(axis=1) for a in range(0, len(views), 8192)])[: n - window + 1] + np.arange(n - window + 1)
         inside = np.arange(n - window + 1) + window <= np.repeat(at[1:], np.diff(at))[: n - window + 1]
         self.starts = np.flatnonzero(inside)
         self.anchor = least[self.starts]
@@ -112,7 +115,7 @@ def _ragged(values: np.ndarray, at: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 def _batches(text: pa.Array, window: int, prefix: int) -> Iterator[tuple[int, int, _Batch]]:
     data, offs = string_bytes(text)
-    for i, j in pieces(offs):
+    for i, j in pieces(offs, PART):
         yield i, j, _Batch(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], window, prefix)
 
 
@@ -251,7 +254,7 @@ def _cleaned(window: int, prefix: int, text: str, layout: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             data, offs = string_bytes(rows.column(text))
-            for i, j in pieces(offs):
+            for i, j in pieces(offs, PART):
                 part = rows.slice(i, j - i)
                 b = _Batch(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], window, prefix)
                 at, n = b.words.at, len(b.words)
@@ -321,7 +324,7 @@ def _with_layout(words: Words, offs: np.ndarray, removed: np.ndarray) -> pa.Arra
 
 def without_repeats(
     docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50, prefix: int = 6, layout: bool = True,
-    group_rows: int = 65_536, at_once: int = 40_000,
+    group_rows: int = 65_536, at_once: int = 20_000,
 ) -> DataFrame:
     """docs with kept_text, n_words and n_removed: without the words of windows that also start earlier, by id, then by place.
 
