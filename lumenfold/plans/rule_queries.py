@@ -144,7 +144,7 @@ def _details(spark, sf_dir):
     unit = F.element_at(F.array(*[F.lit(u) for u in C.UNITS]), (F.col("l_linenumber") % 3 + 1).cast("int"))
     size = F.col("l_quantity").cast("int")
     detail = F.struct(
-        "l_linenumber", "l_partkey", "l_suppkey",
+        "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity", "l_discount",
         F.when(F.col("l_returnflag") == "R", "Plano SAF").otherwise(F.concat(F.lit("Plano "), "l_returnflag")).alias("name"),
         F.array(F.struct(size.alias("amount"), unit.alias("unit"))).alias("defined"),
         F.when(F.col("l_discount") == 0.1, F.array(F.struct(F.lit("acidente").alias("cause"), F.lit(1).alias("amount"), F.lit("days").alias("unit")))).alias("causes"),
@@ -153,7 +153,7 @@ def _details(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(detail)).alias("details"))
 
 
-_LINES = f"""l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS detail_idx, CASE WHEN l_returnflag = 'R' THEN 'Plano SAF' ELSE 'Plano ' || l_returnflag END AS name,
+_LINES = f"""l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_quantity, l_discount) - 1 AS detail_idx, CASE WHEN l_returnflag = 'R' THEN 'Plano SAF' ELSE 'Plano ' || l_returnflag END AS name,
   CAST(l_quantity AS INTEGER) AS size, l_discount, l_linenumber % 3 + 1 AS u FROM lineitem)"""
 
 
