@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -24,6 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def extended(schema: T.StructType, more: str, without: tuple[str, ...] = ()) -> T.StructType:
+    """The fields of a schema, but for some, and those of a DDL string."""
+    return T.StructType([f for f in schema if f.name not in without] + T.StructType.fromDDL(more).fields)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again; cuts the lineage.
 

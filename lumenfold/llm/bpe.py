@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.llm._shared import extended
 from lumenfold.llm._text import SPACE, pieces, string_bytes
 
 # Classes of codepoints, and the symbols made of them.
@@ -270,19 +271,18 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
     """
     keep = [c for c in (df.columns if keep is None else keep) if c not in ("ids", "ends", "decoded")]
     rows = df.select(*dict.fromkeys([*keep, text]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", ids array<int>" + ", ends array<int>" * offsets
+    schema = extended(rows.schema, "ids array<int>" + ", ends array<int>" * offsets)
     made = [*keep, "ids", *["ends"] * offsets]
     work, back = _encoded(path, text, limit, offsets), _decoded(path)
     if not decode:
         return rows.mapInArrow(work, schema).select(*made)
-    return rows.mapInArrow(lambda batches: back(work(batches)), schema + ", decoded binary").select(*made, "decoded")
+    return rows.mapInArrow(lambda batches: back(work(batches)), extended(schema, "decoded binary")).select(*made, "decoded")
 
 
 def decode(df: DataFrame, path: str) -> DataFrame:
     """df and `decoded`, the bytes of the column ids (null: none)."""
     rows = df.drop("decoded").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", decoded binary"
-    return rows.mapInArrow(_decoded(path), schema)
+    return rows.mapInArrow(_decoded(path), extended(rows.schema, "decoded binary"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

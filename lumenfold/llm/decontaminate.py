@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from lumenfold.llm._shared import extended
 from lumenfold.llm._text import Words, grams, mix, pieces, splitmix, string_bytes
 
 LITERAL, NUMBER, NAME, UNIT = range(4)
@@ -174,7 +175,7 @@ def with_leaks(
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     rows = docs.drop("leaks")
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema) + f"leaks array<struct<item_id:{kind},covered:int,words:int,consistency:double,at:int>>"
+    schema = extended(rows.schema, f"leaks array<struct<item_id:{kind},covered:int,words:int,consistency:double,at:int>>")
     out = rows
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b) if blocks > 1 else items

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenfold.llm._shared import extended
 from lumenfold.llm._text import mix, pieces, splitmix, string_bytes
 from lumenfold.llm.bpe import LETTER, classes
 
@@ -156,8 +157,7 @@ def predict(df: DataFrame, filters: Filters | None, text: str = "text") -> DataF
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, "lang_pred", "score"])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema) + "lang_pred string, score double"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, extended(rows.schema, "lang_pred string, score double"))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm._shared import drop, in_groups, saved
+from lumenfold.llm._shared import drop, extended, in_groups, saved
 from lumenfold.llm._text import Words, grams, mix, pieces, splitmix, string_bytes
 
 _LAST = (1 << 63) - 1  # rows without an id come after all others
@@ -259,15 +259,15 @@ def _cleaned(window: int, prefix: int, text: str, layout: bool):
                 b = _Batch(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], window, prefix)
                 at, n = b.words.at, len(b.words)
                 d1 = b.digests()[0]
-                starts, alone = _marked(part.column("found"), at, d1, window - prefix)
+                starts, alone = _marked(part.column("_lf_found"), at, d1, window - prefix)
                 starts = np.concatenate([starts, b.inner()])
                 cover = np.bincount(starts, minlength=n + 1) - np.bincount(starts + window, minlength=n + 1)
                 cover += np.bincount(at[alone], minlength=n + 1) - np.bincount(at[alone + 1], minlength=n + 1)
                 removed = np.cumsum(cover[:n]) > 0
                 made = (_without_layout if not layout else _with_layout)(b.words, offs[i : j + 1] - offs[i], removed)
                 gone = np.append(0, np.cumsum(removed))
-                columns = [part.column(k) for k in part.schema.names if k not in (text, "found")]
-                names = [k for k in part.schema.names if k not in (text, "found")]
+                columns = [part.column(k) for k in part.schema.names if k not in (text, "_lf_found")]
+                names = [k for k in part.schema.names if k not in (text, "_lf_found")]
                 yield pa.RecordBatch.from_arrays([*columns, made, pa.array(np.diff(at), _I64), pa.array(gone[at[1:]] - gone[at[:-1]], _I64)], [*names, "kept_text", "n_words", "n_removed"])
 
     return run
@@ -341,12 +341,11 @@ def without_repeats(
     found = _found(source, window, prefix, group_rows, at_once)
     _release(spark)
     rows = docs.drop("kept_text", "n_words", "n_removed")
-    listed = found.groupBy("id").agg(F.collect_list(F.struct("d1", "place", "bits")).alias("found")).withColumnRenamed("id", "_lf_id")
+    listed = found.groupBy("id").agg(F.collect_list(F.struct("d1", "place", "bits")).alias("_lf_found")).withColumnRenamed("id", "_lf_id")
     joined = rows.join(listed, F.coalesce(F.col(id).cast("long"), F.lit(_LAST)) == F.col("_lf_id"), "left").drop("_lf_id")
     kept = [f for f in rows.schema if f.name != text]
-    work = joined.select(*(f"`{f.name}`" for f in kept), F.col(text), "found")
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "kept_text string, n_words long, n_removed long"
-    return work.mapInArrow(_cleaned(window, prefix, text, layout), schema)
+    work = joined.select(*(f"`{f.name}`" for f in kept), F.col(text), "_lf_found")
+    return work.mapInArrow(_cleaned(window, prefix, text, layout), extended(rows.schema, "kept_text string, n_words long, n_removed long", (text,)))
 
 
 def _release(spark: SparkSession) -> None:
