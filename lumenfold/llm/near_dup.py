@@ -209,7 +209,7 @@ def near_duplicates(
     features = saved(source.mapInArrow(_features(k, coordinates), "id long, n long, d1 long, d2 long, keys array<long>"), "signatures")
 
     known = features.where("n > 0 and id is not null")
-    classes = saved(known.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "classes")
+    classes = saved(known.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.first("keys").alias("keys")), "classes")
 
     posted = classes.select("rep", F.explode("keys").alias("key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("count")).where("count > 1")
@@ -232,7 +232,8 @@ def near_duplicates(
 
     # Equal sets link too: a class's documents with its representative; those of one id alone don't matter.
     linked = components(links, "links").select(F.col("node").alias("rep"), "component")
-    same = known.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("d1", "d2", "n", "rep")
+    # Read from the written classes, so that the joins below can split a class that holds many rows.
+    same = classes.where("rep < last").select("d1", "d2", "n", "rep")
     # ids of several classes join these; only ids with several texts have that.
     several = known.groupBy("id").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x != y").select("id")
     bridges = known.join(several, "id", "left_semi").join(same, ["d1", "d2", "n"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
