@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.operators.written import saved
+
 
 def summarize(df: DataFrame, keys: list[str], sums: list[str], order: str, first: list[str] | None = None, money: str = "decimal(18,2)") -> DataFrame:
     """Sums of each group, the group's first attributes by order, and its first order as `first_seen`."""
@@ -28,20 +30,20 @@ def first_per_key(df: DataFrame, key: str, order: str, trim: bool = False) -> Da
 
 
 def numbered(df: DataFrame, order: list[Column | str], partition: list[str] | None = None, name: str = "rn") -> DataFrame:
-    """Rows numbered from 1 within each partition. Without a partition, by ranges that are counted first.
+    """Rows numbered from 1 within each partition. Without a partition, by ranges that are written and counted first.
 
-    The ranges make a global order without one task that holds all rows.
+    The ranges make a global order without one task that holds all rows; they are written as another run of the same plan may
+    draw other bounds. The counts that are broadcast are one row for each range.
     """
     if partition:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_lf_id", F.monotonically_increasing_id())
-    part = F.shiftright("_lf_id", 33)
-    counts = ranged.groupBy(part.alias("_lf_p")).agg(F.count("*").alias("_lf_n"))
-    before = counts.agg(F.array_sort(F.collect_list(F.struct("_lf_p", "_lf_n"))).alias("x")).select(  # one row a partition
-        F.inline(F.transform("x", lambda a, i: F.struct(a["_lf_p"].alias("_lf_p"), F.aggregate(F.slice(F.col("x"), 1, i), F.lit(0).cast("long"), lambda s, y: s + y["_lf_n"]).alias("_lf_before"))))
-    )
-    out = ranged.withColumn("_lf_p", part).join(F.broadcast(before), "_lf_p")
-    return out.withColumn(name, (F.col("_lf_before") + F.col("_lf_id").bitwiseAND((1 << 33) - 1) + 1).cast("long")).drop("_lf_p", "_lf_id", "_lf_before")
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    rows = saved(ranged.withColumn("_lf_p", F.spark_partition_id()).withColumn("_lf_i", place), "ranges")
+    counts = rows.groupBy("_lf_p").agg(F.count("*").alias("_lf_n")).agg(F.array_sort(F.collect_list(F.struct("_lf_p", "_lf_n"))).alias("x"))
+    before = counts.select(F.inline(F.transform("x", lambda a, i: F.struct(a["_lf_p"].alias("_lf_p"), F.aggregate(F.slice(F.col("x"), 1, i), F.lit(0).cast("long"), lambda s, y: s + y["_lf_n"]).alias("_lf_before")))))
+    out = rows.join(F.broadcast(before), "_lf_p")
+    return out.withColumn(name, (F.col("_lf_before") + F.col("_lf_i") + 1).cast("long")).drop("_lf_p", "_lf_i", "_lf_before")
 
 
 def page_of(rn: Column, size: int, first: int | None = None) -> Column:

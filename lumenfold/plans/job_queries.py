@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from lumenfold.operators.written import new_path
 from lumenfold.plans.registry import query, table
 from lumenfold.streaming import jobs as X
 
@@ -53,8 +51,7 @@ SELECT job_id, event, CASE WHEN event = 'done' THEN 100 ELSE pct END AS pct, CAS
 """)
 def job_state_stream(spark, sf_dir):
     """job_latest_state by a stream over the events' files; each micro-batch replaces the table of states."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenfold-")
-    out = f"{root.rstrip('/')}/lumenfold-{uuid.uuid4().hex}"
+    out = new_path(spark, "states")
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     states = X.latest_state(_events(stream), ["ts", "event_id"]).select("job_id", "event", "pct", "status")
