@@ -1,28 +1,18 @@
-"""Written intermediate tables, grouped Arrow streams and connected components."""
+"""Grouped Arrow streams and connected components over written tables."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_written: list[tuple[SparkSession, str]] = []
+from lumenfold.operators.written import drop, saved
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a fresh local one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.lumenfold.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="lumenfold-")
-        spark.conf.set("spark.lumenfold.dir", found)
-    return found.rstrip("/")
+__all__ = ["components", "drop", "extended", "grouped", "in_groups", "saved"]
 
 
 def extended(schema: T.StructType, more: str, without: tuple[str, ...] = ()) -> T.StructType:
@@ -30,44 +20,6 @@ def extended(schema: T.StructType, more: str, without: tuple[str, ...] = ()) ->
     return T.StructType([f for f in schema if f.name not in without] + T.StructType.fromDDL(more).fields)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again; cuts the lineage.
-
-    The file lasts as long as the session, as lazy results still read it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lumenfold-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._lf_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Deletes what saved() wrote for df."""
-    path = getattr(df, "_lf_path", None)
-    for item in [x for x in _written if x[1] == path]:
-        _written.remove(item)
-        _delete(*item)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended
-        pass
-
-
-@atexit.register
-def _clean() -> None:
-    for item in _written:
-        _delete(*item)
-    _written.clear()
-
-
 def grouped(keys: list[str], work: Callable[[pa.Table], pa.RecordBatch | None], at_once: int = 0) -> Callable:
     """A mapInArrow function over rows sorted by keys: work gets tables of whole groups.
 

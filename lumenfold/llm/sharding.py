@@ -10,11 +10,11 @@ would also send rows of a grown region into its old shards.)
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.llm._shared import saved
+
 Tree = list[list[list[tuple[int, float]]]]
 
 
@@ -55,10 +55,10 @@ def with_slots(df: DataFrame, shard: str, spread: list[Column], slot: str = "slo
 
     Rows are dealt into parts per shard by a hash of spread, counted, and numbered within their part,
     after the rows of the parts before; no task numbers a whole shard. The counts that are joined are
-    at most shards x parts rows. Repeated rows get any of the slots of their part; spread should
+    at most shards x parts rows. The rows are written first, so that both see the same parts. Repeated rows get any of the slots of their part; spread should
     hold what keeps equal keys apart.
     """
-    part = df.withColumn("_lf_part", F.pmod(F.xxhash64(*spread), F.lit(parts)).cast("int"))
+    part = saved(df.withColumn("_lf_part", F.pmod(F.xxhash64(*spread), F.lit(parts)).cast("int")), "parts")
     counts = part.groupBy(F.col(shard).alias("_lf_s"), F.col("_lf_part").alias("_lf_p")).agg(F.count("*").alias("_lf_n"))
     # One row per shard, of at most `parts` counts.
     lists = counts.groupBy("_lf_s").agg(F.map_from_entries(F.collect_list(F.struct("_lf_p", "_lf_n"))).alias("_lf_m"))
@@ -70,8 +70,6 @@ def with_slots(df: DataFrame, shard: str, spread: list[Column], slot: str = "slo
         lambda acc: acc["before"],
     )
     before = lists.select("_lf_s", F.posexplode(grow).alias("_lf_p", "_lf_before"))
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy(shard, "_lf_part").orderBy(*spread))
     ranked = part.withColumn("_lf_rank", rank)
     joined = ranked.join(before, (F.col(shard) == F.col("_lf_s")) & (F.col("_lf_part") == F.col("_lf_p")))
