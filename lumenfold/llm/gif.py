@@ -67,36 +67,52 @@ def lzw_encode(samples: bytes) -> bytes:
     return packed[:size].astype(np.uint8).tobytes()
 
 
+def _expanded(codes: np.ndarray, clear: int) -> np.ndarray:
+    """The samples that the codes between two clear codes stand for.
+
+    A code for the table's j-th entry repeats what the j-th code wrote and one sample more, so it copies earlier output.
+    Lengths, and then the samples' sources, are followed back to literals by pointer jumping.
+    """
+    n = len(codes)
+    at = np.arange(n)
+    literal = codes < clear
+    of = np.where(literal, at, codes - (clear + 2))
+    if (of[~literal] >= at[~literal]).any() or (of < 0).any():
+        raise ValueError("a code that the LZW table doesn't have yet")
+    more, jump = (~literal).astype(np.int64), of
+    while not literal[jump].all():
+        more, jump = more + more[jump], jump[jump]
+    length = more + 1
+    start = np.cumsum(length) - length
+    owner = np.repeat(at, length)
+    place = np.arange(len(owner))
+    source = np.where(literal[owner], place, place + (start[of] - start)[owner])
+    while True:
+        further = source[source]
+        if np.array_equal(further, source):
+            return codes[owner[source]].astype(np.uint8)
+        source = further
+
+
 def lzw_decode(stream: bytes, low: int, most: int) -> bytes:
     """Up to `most` samples of a stream with literals of low bits; fewer if it ends early."""
     data = np.frombuffer(stream + bytes(4), np.uint8).astype(np.int64)
     bits = 8 * len(stream)
     clear = 1 << low
-    singles = [bytes([i]) for i in range(clear)] + [b"", b""]
     widths = _WIDTHS if low == 8 else _widths(1 << 14, low)
+    sums = np.cumsum(widths)
     at, total, out = 0, 0, []
     while at < bits and total < most:
-        steps = widths[: int(np.searchsorted(np.cumsum(widths), bits - at, side="right"))]
-        where = at + np.cumsum(steps) - steps
+        n = int(np.searchsorted(sums, bits - at, side="right"))
+        steps = widths[:n]
+        where = at + sums[:n] - steps
         byte = where >> 3
         codes = ((data[byte] | data[byte + 1] << 8 | data[byte + 2] << 16) >> (where & 7)) & ((1 << steps) - 1)
         stops = np.flatnonzero((codes == clear) | (codes == clear + 1))
         n = int(stops[0]) if len(stops) else len(codes)
-        table, before = singles.copy(), None
-        known = len(table)
-        for c in codes[:n].tolist():
-            if c < known:
-                entry = table[c]
-            elif c == known and before is not None:
-                entry = before + before[:1]
-            else:
-                raise ValueError("a code that the LZW table doesn't have yet")
-            out.append(entry)
-            total += len(entry)
-            if before is not None and known < MOST:
-                table.append(before + entry[:1])
-                known += 1
-            before = entry
+        if n:
+            out.append(_expanded(codes[:n], clear))
+            total += len(out[-1])
         if not len(stops):
             if n < len(widths):
                 break
@@ -104,7 +120,7 @@ def lzw_decode(stream: bytes, low: int, most: int) -> bytes:
         if codes[n] == clear + 1:
             break
         at = int(where[n] + steps[n])
-    return b"".join(out)[:most]
+    return b"".join(x.tobytes() for x in out)[:most]
 
 
 @dataclass
@@ -121,13 +137,21 @@ class Frame:
     height: int
     samples: np.ndarray  # height x width palette indices
     canvas: np.ndarray  # canvas height x width x RGBA
+    palette: np.ndarray
 
     def rectangle(self) -> np.ndarray:
         return self.canvas[self.top : self.top + self.height, self.left : self.left + self.width]
 
+    def own_histogram(self) -> np.ndarray:
+        """histogram() of the rectangle; without transparency it follows from how often each palette index occurs."""
+        if self.transparent >= 0 or self.rectangle().shape[:2] != self.samples.shape:
+            return histogram(self.rectangle())
+        counts = np.bincount(np.minimum(self.samples.ravel(), len(self.palette) - 1), minlength=len(self.palette))
+        return np.concatenate([np.bincount(self.palette[:, c] >> 5, counts, BINS) for c in range(3)]).astype(np.int64)
+
 
-def frames(gif: bytes) -> Iterator[Frame]:
-    """The frames of a GIF 87a or 89a in order."""
+def frames(gif: bytes, keep: bool = True) -> Iterator[Frame]:
+    """The frames of a GIF 87a or 89a in order. Without keep, a frame's canvas is good until the next one is asked for."""
     if gif[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack_from("<HHB", gif, 6)
@@ -169,14 +193,18 @@ def frames(gif: bytes) -> Iterator[Frame]:
             straight[order] = samples
             samples = straight
         saved = canvas.copy() if disposal == 3 else None
-        shown = samples != transparent
-        rgba = np.full((h, w, 4), 255, np.uint8)
-        rgba[..., :3] = palette[np.minimum(samples, len(palette) - 1)]
         y, x = min(top + h, height), min(left + w, width)
-        part = (slice(0, y - top), slice(0, x - left))
+        part = samples[: y - top, : x - left]
+        colours = np.full((256, 4), 255, np.uint8)
+        colours[: len(palette), :3] = palette
+        colours[len(palette) :, :3] = palette[-1]
         target = canvas[top:y, left:x]
-        target[shown[part]] = rgba[part][shown[part]]
-        yield Frame(time, delay, disposal, transparent, left, top, w, h, samples, canvas.copy())
+        if transparent < 0:
+            target[:] = colours[part]
+        else:
+            shown = part != transparent
+            target[shown] = colours[part[shown]]
+        yield Frame(time, delay, disposal, transparent, left, top, w, h, samples, canvas.copy() if keep else canvas, palette)
         if disposal == 2:
             canvas[top:y, left:x] = 0
         elif saved is not None:
@@ -261,11 +289,11 @@ def with_gif_features(df: DataFrame, column: str = "gif") -> DataFrame:
 
     def read(gif: bytes) -> tuple:
         sha, size, tail, count, lasts, bins = hashlib.sha256(), 0, b"", 0, 0, np.zeros(3 * BINS, np.int64)
-        for f in frames(gif):
+        for f in frames(gif, keep=False):
             part = np.ascontiguousarray(f.rectangle()[..., 0]).tobytes()
             sha.update(part)
             size, tail, count, lasts = size + len(part), (tail + part)[-32:], count + 1, f.start_cs + f.delay_cs
-            bins += histogram(f.rectangle())
+            bins += f.own_histogram()
         return size, sha.hexdigest(), zlib.crc32(tail), count, lasts, bins.tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 
-from lumenfold.llm.gif import frames, gif_frames, lzw_decode, lzw_encode, op7_gif, padded, with_gif, with_gif_features, write_gif
+from lumenfold.llm.gif import frames, gif_frames, histogram, lzw_decode, lzw_encode, op7_gif, padded, with_gif, with_gif_features, write_gif
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,6 +29,7 @@ def test_disposal_transparency_and_time():
     assert [(f.start_cs, f.delay_cs, f.disposal) for f in got] == [(0, 5, 1), (5, 7, 2), (12, 1, 3), (13, 2, 0)]
     assert got[1].canvas[0, 1].tolist() == [0, 255, 0, 255] and got[1].canvas[0, 2].tolist() == [255, 0, 0, 255]
     assert got[2].canvas[0, 1].tolist() == [0, 0, 0, 0] and got[2].canvas[1, 0].tolist() == [0, 0, 255, 255]
+    assert all(f.own_histogram().tolist() == histogram(f.rectangle()).tolist() for f in got)
     assert got[3].canvas[1, 0].tolist() == [255, 0, 0, 255] and got[3].canvas[0, 3].tolist() == [9, 9, 9, 255]
 
 
