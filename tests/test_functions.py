@@ -119,3 +119,19 @@ def test_rules(spark):
     assert one.select(P.all_blank(lit("", " ")), P.all_filled(lit("a", "")), P.partner_theme(*lit("a", "b", "c"))).first()[:] == (True, False, True)
     assert one.select(T.period_text(*lit("1", "2")), T.period_text(*lit("1", "")), T.period_text(*lit("1", "2"), hours=False)).first()[:] == ("1 00h \naté 2 23h59", "1 00h", "1 até 2")
     assert one.select(M.exclusion_age(F.lit(0), F.lit(True), F.lit("10"), F.lit(30)), M.clamp_page(F.lit(9), F.lit(3)), M.kilobytes(F.lit(2048))).first()[:] == (40, 3, 2)
+
+
+def test_more_rules(spark):
+    df = spark.createDataFrame([(1, None, "x", True, "ok", 55.0), (2, "e", None, False, "not_found", 85.0)], "i int, extraction string, html string, yes boolean, status string, score double").orderBy("i")
+    gates = [tuple(r[0]) for r in df.select(P.route_gates(F.col("extraction"), F.col("yes"), F.col("yes"), F.col("html"))).collect()]
+    assert gates == [(False, True, True, True), (True, False, False, False)]
+    assert [tuple(r) for r in df.select(P.unresolved(F.col("status")), P.unresolved(F.col("status"), ~F.col("yes")), P.fidelity_low(F.col("score"))).collect()] == [(False, False, True), (True, False, False)]
+    rules = spark.createDataFrame([([(None, None, None, None)],), ([(None, "d", None, None)],), ([],)], "r array<struct<progressive string, defined string, causes string, suicide string>>")
+    assert [r[0] for r in rules.select(P.has_waiting_period(F.col("r"))).collect()] == [False, True, False]
+    one = spark.range(1)
+    assert one.select(N.first_or(F.array(F.lit("a"), F.lit("b"))), N.first_or(F.array().cast("array<string>"))).first()[:] == ("a", "—")
+    who = P.participant(F.struct(F.lit(" BENEFICIARIO indefinido").alias("name"), F.lit("1").alias("doc")), F.struct(F.lit("r").alias("name"), F.lit("2").alias("doc")))
+    assert tuple(one.select(who).first()[0]) == ("r", "2")
+    parts = T.address_parts(*[F.lit(x) for x in ("Rua A", "", "ap 1", "Centro", "", "RJ", "123")])
+    assert tuple(one.select(parts).first()[0]) == ("123", "Rua A", "", ", Bairro Centro", "", "RJ")
+    assert one.select(T.address(F.lit("Rua"), F.lit(""), F.lit("ap"))).first()[0] == "Rua, ap"
