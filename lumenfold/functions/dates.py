@@ -76,8 +76,8 @@ def request_date(c: Column) -> Column:
 def periodicity(c: Column) -> Column:
     """mensal to mês and so on; null for others."""
     # Periods and their nouns.
-    names = {"mensal": "mês", "bimestral": "bimestre", "trimestral": "trimestre", "semestral": "semestre", "anual": "ano"}
+    names = {"mensal": "mês", "trimestral": "trimestre", "semestral": "semestre", "anual": "ano", "unico": "único"}
     out = F.lit(None).cast("string")
     for k, v in names.items():
-        out = F.when(F.lower(c) == k, v).otherwise(out)
+        out = F.when(c == k, v).otherwise(out)
     return out

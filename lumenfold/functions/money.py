@@ -64,8 +64,10 @@ def format_percent_br(c: Column) -> Column:
 
 
 def loss_text(c: Column) -> Column:
-    x = c.cast("string").try_cast("double")
-    return F.when(x > 0, F.concat(F.lit("Redução de "), c.cast("string"), F.lit("%"))).when(x <= 0, "0%").otherwise("")
+    """A sentence for a number above 0, 0% for another, '' for no number."""
+    x = F.regexp_extract(F.replace(c.cast("string"), F.lit(","), F.lit(".")), r"^\s*[+-]?(\d+\.?\d*|\.\d+)", 0).try_cast("decimal(30,10)")
+    shown = F.regexp_replace(F.regexp_replace(x.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.when(x > 0, F.concat(F.lit("Identificado uma perda funcional de "), shown, F.lit("% da sequela"))).when(x <= 0, "0%").otherwise("")
 
 
 def months_text(months: Column, lifetime: bool = True) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.functions.nested import useful_value
+from lumenfold.functions.nested import string_to_bool, useful_value
 from lumenfold.functions.text import normalize_text
 
 UUID4 = r"^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
@@ -63,7 +63,7 @@ def route_gates(extraction: Column, mapping_confirmed: Column, layout_confirmed:
 
 def file_divergences(pdf_size: Column, xsd_name: Column, data_name: Column) -> Column:
     """What is wrong with a set of files, as a list of texts."""
-    return F.array_compact(F.array(F.when(pdf_size == 0, "PDF vazio"), F.when(~F.lower(xsd_name).endswith(".xsd"), "XSD inválido"), F.when(~F.lower(data_name).rlike(r"\.(json|xml)$"), "dados inválidos")))
+    return F.array_compact(F.array(F.when(pdf_size == 0, "PDF vazio."), F.when(~F.lower(xsd_name).endswith(".xsd"), "Arquivo XSD invalido."), F.when(~F.lower(data_name).rlike(r"\.(json|xml)$"), "Arquivo de dados deve ser JSON ou XML.")))
 
 
 def number_of(c: Column) -> Column:
@@ -81,9 +81,16 @@ def payment_table_visible(bank_fields: list[Column], basic_fields: list[Column])
     return ~full & some
 
 
-def assistance_card(flag: Column, provider: Column, codes: tuple[str, str]) -> Column:
-    """(shown, first provider, second provider)."""
-    return F.struct((flag & provider.isin(*codes)).alias("shown"), (flag & (provider == codes[0])).alias("first"), (flag & (provider == codes[1])).alias("second"))
+# The providers whose cards are shown.
+CARD_PROVIDERS = ("9999998", "75440039")
+
+
+def assistance_card(flag: Column, providers: Column, codes: tuple[str, str] = CARD_PROVIDERS) -> Column:
+    """(shown, first, second): a flag, and which of two codes is in the array of providers."""
+    known = F.transform(providers, lambda x: F.trim(x.cast("string")))
+    on = string_to_bool(flag)
+    hits = [F.coalesce(on & F.array_contains(known, c), F.lit(False)) for c in codes]
+    return F.struct((hits[0] | hits[1]).alias("shown"), hits[0].alias("first"), hits[1].alias("second"))
 
 
 def token_flags(kind: Column) -> Column:
@@ -100,17 +107,25 @@ def is_saf(name: Column, whole_word: bool = False) -> Column:
     return F.lower(name).rlike(r"\bsaf\b") if whole_word else F.contains(normalize_text(name), F.lit("SAF"))
 
 
-def event_rules(sigla: Column, coverages: Column, version: int = 2) -> Column:
-    """(default, i, ia) rules by sigla and the coverages' descriptions (an array of strings).
+# The siglas of the second event rule, the one that only the first version has, and the description that counts.
+SPECIAL = ["ITA", "ITD", "IH", "IHA"]
+SPECIAL_V1 = "ID"
+INCAPACITY = "INCAPACIDADE FÍSICA TOTAL E TEMPORÁRIA"
+
+
+def event_rules(sigla: Column, i_coverages: Column, ia_coverages: Column, version: int = 2) -> Column:
+    """(default, i, ia) by the sigla, the descriptions of the I coverages and the array of IA coverages.
 
-    Version 1 also blocks ID and has no rule by description.
+    Version 1 has one special sigla more and no rule by description.
     """
-    special = F.lit("INCAPACIDADE FÍSICA TOTAL E TEMPORÁRIA")
-    blocked = ["I", "IA", "ID"] if version == 1 else ["I", "IA"]
-    some = F.size(coverages) > 0
-    hit = F.exists(coverages, lambda d: d == special) if version == 2 else F.lit(True)
-    miss = F.exists(coverages, lambda d: d != special) if version == 2 else F.lit(True)
-    return F.struct((~sigla.isin(blocked) & some & miss).alias("default"), ((sigla == "I") & some & hit).alias("i"), ((sigla == "IA") & some).alias("ia"))
+    s = F.coalesce(sigla, F.lit(""))
+    special = s.isin(SPECIAL + [SPECIAL_V1] * (version == 1))
+    count = F.coalesce(F.size(ia_coverages), F.lit(0))
+    default, i = ~(special | (s == "IA")) | ((s == "IA") & (count <= 0)), special
+    if version == 2:
+        some = lambda test: F.coalesce(F.exists(i_coverages, test), F.lit(False))
+        default, i = default | some(lambda d: d == INCAPACITY), i & some(lambda d: d != INCAPACITY)
+    return F.struct(default.alias("default"), i.alias("i"), ((s == "IA") & (count > 0)).alias("ia"))
 
 
 def has_waiting_period(rules: Column) -> Column:

@@ -89,11 +89,11 @@ def cpf_mask(c: Column, variant: str = "strict") -> Column:
 
 
 def cnpj_mask(c: Column, clean: bool = False) -> Column:
-    """14 letters or digits as 99.999.999/9999-99, 13 digits with a 0 in front; else unchanged, or cleaned."""
-    a = F.upper(F.regexp_replace(c, "[^0-9A-Za-z]", ""))
-    a = F.when(a.rlike(r"^\d{13}$"), F.concat(F.lit("0"), a)).otherwise(a)
+    """14 letters or digits as 99.999.999/9999-99, 13 digits with a 0 in front; else unchanged, or without . - / and white space."""
+    a = F.regexp_replace(c, r"[.\-/\s]", "")
+    a = F.when(a.rlike(r"^[0-9]{13}$"), F.concat(F.lit("0"), a)).otherwise(a)
     masked = F.regexp_replace(a, r"^(.{2})(.{3})(.{3})(.{4})(.{2})$", r"$1.$2.$3/$4-$5")
-    return F.when(F.length(a) == 14, masked).otherwise(a if clean else c)
+    return F.when(a.rlike("^[0-9A-Za-z]{14}$"), masked).otherwise(a if clean else c)
 
 
 def document_type(c: Column) -> Column:
@@ -103,8 +103,9 @@ def document_type(c: Column) -> Column:
 
 
 def cpf_or_cnpj_mask(c: Column) -> Column:
-    kind = document_type(c)
-    return F.when(kind == "CNPJ", cnpj_mask(c)).when(kind == "CPF", cpf_mask(c, "left")).otherwise(c)
+    """10 or 11 digits as CPF, 13 or 14 digits or 14 letters and digits as CNPJ, else unchanged."""
+    plain = F.regexp_replace(c, r"[.\-/\s]", "")
+    return F.when(plain.rlike("^[0-9]{10,11}$"), cpf_mask(plain, "left")).otherwise(cnpj_mask(c))
 
 
 def cep_mask(c: Column) -> Column:
@@ -112,15 +113,25 @@ def cep_mask(c: Column) -> Column:
     return F.when(F.length(d) == 8, F.regexp_replace(d, r"^(\d{5})(\d{3})$", "$1-$2")).otherwise("")
 
 
-def address(street: Column, number: Column, extra: Column, district: Column, city: Column, state: Column | None = None, cep: Column | None = None) -> Column:
-    """street, number - extra, Bairro district, city/state - CEP cep, without what is blank."""
-    some = lambda c: F.trim(F.coalesce(c, F.lit("")))
-    part = lambda before, c: F.when(some(c) != "", F.concat(F.lit(before), some(c))).otherwise("")
-    named = F.when(F.contains(F.lower(some(district)), F.lit("bairro")), some(district)).when(some(district) != "", F.concat(F.lit("Bairro "), some(district))).otherwise("")
-    out = F.concat(some(street), part(", ", number), part(" - ", extra), F.when(named != "", F.concat(F.lit(", "), named)).otherwise(""), part(", ", city))
-    for before, c in (("/", state), (" - CEP ", cep)):
-        out = out if c is None else F.concat(out, part(before, c))
-    return F.regexp_replace(out, "^, ", "")
+def address(street: Column, number: Column, extra: Column) -> Column:
+    """street, number, extra, without what is blank."""
+    part = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(", "), c)).otherwise("")
+    return F.concat(F.coalesce(street, F.lit("")), part(number), part(extra))
+
+
+def address_parts(street: Column, number: Column, extra: Column, district: Column, city: Column, state: Column, cep: Column) -> Column:
+    """A struct of parts with the separators they need; the number and the extra depend on the street, the CEP's comma on the city."""
+    street, number, extra, district, city, state, cep = (F.trim(F.coalesce(c, F.lit(""))) for c in (street, number, extra, district, city, state, cep))
+    both = (street != "") & (number != "")
+    named = F.when(F.contains(F.lower(district), F.lit("bairro")), F.concat(F.lit(", "), district)).otherwise(F.concat(F.lit(", Bairro "), district))
+    return F.struct(
+        F.when((city != "") & (cep != ""), F.concat(F.lit(", "), cep)).otherwise(cep).alias("cep"),
+        F.when(both, F.concat(street, F.lit(", "))).otherwise(street).alias("street"),
+        F.when(both & (extra != ""), F.concat(number, F.lit(", "), extra)).when(both, number).otherwise("").alias("number"),
+        F.when(district == "", "").otherwise(named).alias("district"),
+        city.alias("city"),
+        state.alias("state"),
+    )
 
 
 def clean_quotes(c: Column) -> Column:
@@ -160,13 +171,14 @@ def guarantee_label(id: Column, name: Column) -> Column:
 
 def waiting_text(name: Column, amount: Column, unit: Column) -> Column:
     """Fixed waiting period of a coverage."""
-    return F.concat(F.lit("Para a cobertura "), name, F.lit(", carência de "), amount.cast("string"), F.lit(" "), unit)
+    return F.concat(F.lit("Para a cobertura "), name, F.lit(" haverá carência de "), amount.cast("string"), F.lit(" "), F.lower(unit), F.lit("."))
 
 
-def progressive_text(name: Column, start: Column, end: Column, unit: Column, percent: Column, open_end: int = 9999) -> Column:
-    """Progressive waiting period: 'De x até y', or 'A partir de x' if the end is open."""
-    span = F.when(end == open_end, F.concat(F.lit("A partir de "), start.cast("string"))).otherwise(F.concat(F.lit("De "), start.cast("string"), F.lit(" até "), end.cast("string")))
-    return F.concat(F.lit("Para a cobertura "), name, F.lit(": "), span, F.lit(" "), unit, F.lit(", "), percent.cast("string"), F.lit("%"))
+def progressive_period(start: Column, end: Column, unit: Column) -> Column:
+    """'De x até y meses', or 'A partir de x meses' if the end is 9999; instalments have no open end."""
+    start, end = start.cast("string"), end.cast("string")
+    months = F.when(end == "9999", F.concat(F.lit("A partir de "), start, F.lit(" meses"))).otherwise(F.concat(F.lit("De "), start, F.lit(" até "), end, F.lit(" meses")))
+    return F.when(normalize_text(unit) == "MESES", months).otherwise(F.concat(F.lit("De "), start, F.lit(" até "), end, F.lit(" parcela(s)")))
 
 
 def label_lines(c: Column) -> Column:

@@ -33,18 +33,26 @@ def html(blocks: DataFrame) -> DataFrame:
     return spans.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_idx", "s"))), lambda v: v["s"]), "\n").alias("html"))
 
 
-def scripts(mappings: DataFrame, valid: bool = True) -> DataFrame:
-    """(doc_id, js, example): a view model with an observable for each field, and the example's data.
+def scripts(mappings: DataFrame, valid: bool = False) -> DataFrame:
+    """(doc_id, js, example): a view model with an observable for each field, and an object of the fields' texts.
 
-    valid: write the members as statements; else as the name: value lines of an object, which do not run inside a function.
+    The members are lines of the form name: value inside a function, which don't run; valid writes them as statements.
     """
     name = sanitize_identifier(F.col("jsonPath"))
-    member = F.concat(F.lit("  self."), name, F.lit(" = ko.observable('"), escape_js(F.col("pdfText")), F.lit("');")) if valid else F.concat(F.lit("  "), name, F.lit(": ko.observable('"), escape_js(F.col("pdfText")), F.lit("'),"))
-    value = F.concat(F.lit("  "), name, F.lit(": '"), escape_js(F.coalesce(F.nullif("data_value", F.lit("")), "pdfText")), F.lit("',"))
-    rows = mappings.select("doc_id", F.struct("part", "ord", member.alias("m"), value.alias("v")).alias("r")).groupBy("doc_id").agg(F.array_sort(F.collect_list("r")).alias("r"))
-    lines = lambda k: F.array_join(F.transform("r", lambda x: x[k]), "\n")
-    head = "function ViewModel() {\n  var self = this;\n" if valid else "function ViewModel() {\n"
-    return rows.select("doc_id", F.concat(F.lit(head), lines("m"), F.lit("\n}\nko.applyBindings(new ViewModel());")).alias("js"), F.concat(F.lit("var data = {\n"), lines("v"), F.lit("\n};")).alias("example"))
+    shown = escape_js(F.col("pdfText"))
+    start, end = ("  self.", " = ko.observable('"), "');"
+    if not valid:
+        start, end = ("  ", ": ko.observable('"), "'),"
+    member = F.concat(F.lit(start[0]), name, F.lit(start[1]), shown, F.lit(end))
+    pair = F.concat(F.lit('"'), name, F.lit('": "'), shown, F.lit('"'))
+    rows = mappings.select("doc_id", F.struct("part", "ord", member.alias("m"), pair.alias("p")).alias("r")).groupBy("doc_id").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    joined = lambda k, by: F.array_join(F.transform("r", lambda x: x[k]), by)
+    head = "var ViewModel = function() {\n" + "  var self = this;\n" * valid
+    return rows.select(
+        "doc_id",
+        F.concat(F.lit(head), joined("m", "\n"), F.lit("\n};\nko.applyBindings(new ViewModel());")).alias("js"),
+        F.concat(F.lit("var exampleData = {"), joined("p", ", "), F.lit("};")).alias("example"),
+    )
 
 
 FALLBACK = "<!DOCTYPE html><html><head><style>{styles}</style></head><body>{content}<script>{js}</script></body></html>"

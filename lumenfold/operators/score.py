@@ -13,21 +13,18 @@ def fidelity(mappings: DataFrame, by: list[str] | None = None) -> DataFrame:
     """
     high, total = F.count_if(F.col("confidence") == "high"), F.count("*")
     out = mappings.groupBy(*(by or [])).agg(total.alias("fields"), high.alias("high"))
-    score = F.when(F.col("fields") == 0, 0.0).otherwise(F.bround(100.0 * F.col("high") / F.col("fields"), 1))
+    score = F.when(F.col("fields") == 0, 0.0).otherwise(F.bround(F.col("high") / F.col("fields") * 100, 1))
     review = F.col("fields") - F.col("high")
-    comment = (
-        F.when(F.col("fields") == 0, "Nenhum campo para avaliar.")
-        .when(review == 0, "Todos os campos com alta confiança.")
-        .otherwise(F.format_string("%d de %d campos precisam de revisão.", review, F.col("fields")))
-    )
+    said = F.concat(score.cast("string"), F.lit("% dos campos mapeados com alta confiança. "), review.cast("string"), F.lit(" campos requerem revisão."))
+    comment = F.when(F.col("fields") == 0, "Nenhum campo mapeado.").otherwise(said)
     return out.withColumns({"score": score, "review": review, "comment": comment})
 
 
 def suggestions(mappings: DataFrame) -> DataFrame:
     """A warning for each mapping of low confidence."""
     low = mappings.where("confidence = 'low'")
-    text = F.format_string("Campo '%s' com baixa confiança (%.2f)", F.col("jsonPath"), F.bround("raw_confidence", 2))
-    return low.select("doc_id", "id", F.lit("warning").alias("type"), text.alias("message"), F.lit("review").alias("action"))
+    text = F.format_string("Campo '%s' com baixa confiança de mapeamento (raw: %.2f). Verificar manualmente.", F.col("jsonPath"), F.bround("raw_confidence", 2))
+    return low.select("doc_id", "id", F.lit("warning").alias("type"), text.alias("message"), F.lit("Revisar mapeamento").alias("action"))
 
 
 CHECKS = ("html", "css", "js", "job", "libraries", "links")

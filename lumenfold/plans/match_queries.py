@@ -73,13 +73,13 @@ def cross_validate(spark, sf_dir):
     return J.cross_validate(schema, data)
 
 
-@query(f"WITH {_MAPPED} SELECT doc_id, count(*) AS fields, count(*) FILTER (WHERE confidence = 'high') AS high, round_even(100.0::DOUBLE * count(*) FILTER (WHERE confidence = 'high') / count(*), 1) AS score, count(*) - count(*) FILTER (WHERE confidence = 'high') AS review FROM a GROUP BY doc_id")
+@query(f"WITH {_MAPPED} SELECT doc_id, count(*) AS fields, count(*) FILTER (WHERE confidence = 'high') AS high, round_even(count(*) FILTER (WHERE confidence = 'high')::DOUBLE / count(*) * 100, 1) AS score, count(*) - count(*) FILTER (WHERE confidence = 'high') AS review FROM a GROUP BY doc_id")
 def fidelity_score(spark, sf_dir):
     """Share of high confidences of each document."""
     return score.fidelity(_mapped(spark, sf_dir), ["doc_id"]).select("doc_id", "fields", "high", "score", "review")
 
 
-@query(f"WITH {_MAPPED} SELECT doc_id, jsonPath, 'Campo ''' || jsonPath || ''' com baixa confiança (' || format('{{:.2f}}', CAST(raw_confidence AS DOUBLE)) || ')' AS message FROM a WHERE confidence = 'low'")
+@query(f"WITH {_MAPPED} SELECT doc_id, jsonPath, 'Campo ''' || jsonPath || ''' com baixa confiança de mapeamento (raw: ' || format('{{:.2f}}', CAST(raw_confidence AS DOUBLE)) || '). Verificar manualmente.' AS message FROM a WHERE confidence = 'low'")
 def low_confidence_suggestions(spark, sf_dir):
     """A warning for each mapping of low confidence."""
     mapped = _mapped(spark, sf_dir)
@@ -101,12 +101,13 @@ def html_spans(spark, sf_dir):
     return made.select("doc_id", F.size(F.split("html", "\n")).cast("long").alias("spans"), F.md5("html").alias("html_md5"))
 
 
-@query(f"WITH {_MAPPED} SELECT doc_id, md5(string_agg('  self.' || jsonPath || ' = ko.observable(''' || pdfText || ''');', chr(10) ORDER BY part, ord)) AS js_md5, md5(string_agg('  ' || jsonPath || ': ''' || CASE WHEN data_value <> '' THEN data_value ELSE pdfText END || ''',', chr(10) ORDER BY part, ord)) AS example_md5 FROM a GROUP BY doc_id")
+@query(f"""
+WITH {_MAPPED} SELECT doc_id, md5('var ViewModel = function() {{' || chr(10) || string_agg('  ' || jsonPath || ': ko.observable(''' || pdfText || '''),', chr(10) ORDER BY part, ord) || chr(10) || '}};' || chr(10) || 'ko.applyBindings(new ViewModel());') AS js_md5,
+  md5('var exampleData = {{' || string_agg('"' || jsonPath || '": "' || pdfText || '"', ', ' ORDER BY part, ord) || '}};') AS example_md5 FROM a GROUP BY doc_id
+""")
 def view_models(spark, sf_dir):
-    """The members of each document's view model and example."""
-    made = render.scripts(_mapped(spark, sf_dir))
-    body = lambda c, head, tail: F.md5(F.expr(f"substr({c}, {head + 1}, length({c}) - {head + tail})"))
-    return made.select("doc_id", body("js", len("function ViewModel() {\n  var self = this;\n"), len("\n}\nko.applyBindings(new ViewModel());")).alias("js_md5"), body("example", len("var data = {\n"), len("\n};")).alias("example_md5"))
+    """Each document's view model and example."""
+    return render.scripts(_mapped(spark, sf_dir)).select("doc_id", F.md5("js").alias("js_md5"), F.md5("example").alias("example_md5"))
 
 
 @query("""

@@ -51,24 +51,27 @@ def export_checklist(spark, sf_dir):
 
 
 @query("""
-SELECT page_id, array_to_string(list_filter([CASE WHEN length(html) % 2 = 0 THEN 'PDF vazio' END, CASE WHEN NOT lower(url) LIKE '%.html' THEN 'dados' END], lambda x: x IS NOT NULL), ',') AS problems FROM pages
+SELECT page_id, array_to_string(list_filter([CASE WHEN length(html) % 2 = 0 THEN 'PDF vazio.' END, CASE WHEN NOT lower(url) LIKE '%.html' THEN 'Arquivo de dados deve ser JSON ou XML.' END], lambda x: x IS NOT NULL), ',') AS problems FROM pages
 """)
 def file_checks(spark, sf_dir):
     """Divergences of whole pages taken as files."""
     found = P.file_divergences(F.length("html") % 2, F.lit("a.xsd"), F.when(F.lower("url").endswith(".html"), "x.json").otherwise(F.lit("x.txt")))
-    return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.transform(found, lambda x: F.when(x == "dados inválidos", "dados").otherwise(x)), ",").alias("problems"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(found, ",").alias("problems"))
 
 
 @query("""
 WITH o AS (SELECT l_orderkey AS k, list(l_returnflag ORDER BY l_linenumber, l_partkey) AS x FROM lineitem GROUP BY l_orderkey)
-SELECT k, CASE WHEN k % 4 NOT IN (0, 1) AND len(list_filter(x, lambda d: d <> 'R')) > 0 THEN true ELSE false END AS default_rule, k % 4 = 0 AND list_contains(x, 'R') AS rule_i, k % 4 = 1 AS rule_ia FROM o
+SELECT k, k % 4 > 1 OR (k % 4 = 1 AND len(x) < 4) OR list_contains(x, 'R') AS default_rule, k % 4 = 0 AND len(list_filter(x, lambda d: d <> 'R')) > 0 AS rule_i, k % 4 = 1 AND len(x) >= 4 AS rule_ia,
+  k % 4 NOT IN (0, 1, 2) OR (k % 4 = 1 AND len(x) < 4) AS default_v1, k % 4 IN (0, 2) AS rule_i_v1 FROM o
 """)
 def event_rules(spark, sf_dir):
     """The three event rules by a sigla and descriptions."""
     flags = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list("l_returnflag").alias("x"))
-    sigla = F.element_at(F.array(*[F.lit(s) for s in ("I", "IA", "X", "Y")]), (F.col("k") % 4 + 1).cast("int"))
+    sigla = F.element_at(F.array(*[F.lit(s) for s in ("ITA", "IA", "ID", "Y")]), (F.col("k") % 4 + 1).cast("int"))
     described = F.transform("x", lambda d: F.when(d == "R", "INCAPACIDADE FÍSICA TOTAL E TEMPORÁRIA").otherwise(d))
-    return flags.select("k", P.event_rules(sigla, described).alias("r")).select("k", F.col("r.default").alias("default_rule"), F.col("r.i").alias("rule_i"), F.col("r.ia").alias("rule_ia"))
+    ia = F.filter("x", lambda d, i: i >= 3)  # the IA coverages: from the fourth line on
+    both = flags.select("k", P.event_rules(sigla, described, ia).alias("r"), P.event_rules(sigla, described, ia, 1).alias("v"))
+    return both.select("k", F.col("r.default").alias("default_rule"), F.col("r.i").alias("rule_i"), F.col("r.ia").alias("rule_ia"), F.col("v.default").alias("default_v1"), F.col("v.i").alias("rule_i_v1"))
 
 
 @query("""
@@ -86,8 +89,8 @@ def customer_rules(spark, sf_dir):
 
 
 @query("""
-SELECT o_orderkey, 'Para a cobertura ' || o_orderpriority || ', carência de ' || CAST(o_custkey % 30 AS VARCHAR) || ' dias' AS fixed_text,
-  'Para a cobertura ' || o_orderpriority || ': ' || CASE WHEN o_orderkey % 2 = 0 THEN 'A partir de 3' ELSE 'De 3 até ' || CAST(o_custkey AS VARCHAR) END || ' meses, 50%' AS progressive,
+SELECT o_orderkey, 'Para a cobertura ' || o_orderpriority || ' haverá carência de ' || CAST(o_custkey % 30 AS VARCHAR) || ' dias.' AS fixed_text,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'A partir de 3 meses' ELSE 'De 3 até ' || CAST(o_custkey AS VARCHAR) || ' meses' END AS progressive,
   CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 3 = 1 THEN 'x 00h' ELSE 'x 00h ' || chr(10) || 'até y 23h59' END AS period, CASE WHEN o_orderkey % 3 = 2 THEN 'x até y' ELSE '' END AS plain, CAST(o_orderkey AS VARCHAR) || ' - ' || o_orderstatus AS label FROM orders
 """)
 def rule_texts(spark, sf_dir):
@@ -95,20 +98,23 @@ def rule_texts(spark, sf_dir):
     k = F.col("o_orderkey")
     start, end = F.when(k % 3 > 0, "x"), F.when(k % 3 == 2, "y")
     return table(spark, sf_dir, "orders").select(
-        "o_orderkey", T.waiting_text(F.col("o_orderpriority"), F.col("o_custkey") % 30, F.lit("dias")).alias("fixed_text"),
-        T.progressive_text(F.col("o_orderpriority"), F.lit(3), F.when(k % 2 == 0, 9999).otherwise(F.col("o_custkey")), F.lit("meses"), F.lit(50)).alias("progressive"),
+        "o_orderkey", T.waiting_text(F.col("o_orderpriority"), F.col("o_custkey") % 30, F.lit("Dias")).alias("fixed_text"),
+        T.progressive_period(F.lit(3), F.when(k % 2 == 0, 9999).otherwise(F.col("o_custkey")), F.lit("Meses")).alias("progressive"),
         T.period_text(start, end).alias("period"), T.period_text(start, end, hours=False).alias("plain"), T.guarantee_label(k, F.col("o_orderstatus")).alias("label"),
     )
 
 
 @query("""
-SELECT s_suppkey, s_name || CASE WHEN s_suppkey % 2 = 0 THEN ', ' || CAST(s_suppkey AS VARCHAR) ELSE '' END || ', ' || CASE WHEN s_suppkey % 3 = 0 THEN 'bairro X' ELSE 'Bairro ' || n_name END || ', ' || n_name AS address FROM supplier JOIN nation ON s_nationkey = n_nationkey
+SELECT s_suppkey, s_name || CASE WHEN s_suppkey % 2 = 0 THEN ', ' || CAST(s_suppkey AS VARCHAR) ELSE '' END || ', ' || n_name AS address,
+  s_name || CASE WHEN s_suppkey % 2 = 0 THEN ', ' || CAST(s_suppkey AS VARCHAR) || ', ' || n_name ELSE '' END || CASE WHEN s_suppkey % 3 = 0 THEN ', bairro X' ELSE ', Bairro ' || n_name END || '|' || n_name || ', 123' AS parts FROM supplier JOIN nation ON s_nationkey = n_nationkey
 """)
 def addresses(spark, sf_dir):
     """Addresses of the suppliers."""
     rows = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
     k = F.col("s_suppkey")
-    return rows.select("s_suppkey", T.address(F.col("s_name"), F.when(k % 2 == 0, k.cast("string")), F.lit(None).cast("string"), F.when(k % 3 == 0, "bairro X").otherwise(F.col("n_name")), F.col("n_name")).alias("address"))
+    number = F.when(k % 2 == 0, k.cast("string"))
+    a = T.address_parts(F.col("s_name"), number, F.col("n_name"), F.when(k % 3 == 0, "bairro X").otherwise(F.col("n_name")), F.col("n_name"), F.lit(None).cast("string"), F.lit(" 123 "))
+    return rows.select("s_suppkey", T.address(F.col("s_name"), number, F.col("n_name")).alias("address"), F.concat(a["street"], a["number"], a["district"], F.lit("|"), a["city"], a["cep"]).alias("parts"))
 
 
 @query("""
@@ -135,20 +141,19 @@ def classifications(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.lit("ECONOMY").alias("t"), P.field_type(kind).alias("kind"), P.confidence_level(c).alias("level"), P.match_status(c, k % 5 == 0, k % 7 == 0).alias("status"), F.array_join(colors, "|").alias("colors"))
 
 
-_UNITS = "['months', 'instalments', 'days']"
-_NOUNS = "['meses', 'parcelas', 'dias']"
+_UNITS = ["meses", "Parcelas", "dias"]
 
 
 def _details(spark, sf_dir):
     """Orders with their lines as coverages: one defined period each, a cause for discounts of 10 %, and a progressive period."""
-    unit = F.element_at(F.array(*[F.lit(u) for u in C.UNITS]), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    unit = F.element_at(F.array(*[F.lit(u) for u in _UNITS]), (F.col("l_linenumber") % 3 + 1).cast("int"))
     size = F.col("l_quantity").cast("int")
     detail = F.struct(
         "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity", "l_discount",
         F.when(F.col("l_returnflag") == "R", "Plano SAF").otherwise(F.concat(F.lit("Plano "), "l_returnflag")).alias("name"),
         F.array(F.struct(size.alias("amount"), unit.alias("unit"))).alias("defined"),
-        F.when(F.col("l_discount") == 0.1, F.array(F.struct(F.lit("acidente").alias("cause"), F.lit(1).alias("amount"), F.lit("days").alias("unit")))).alias("causes"),
-        F.array(F.struct(F.lit(1).alias("start"), F.when(size > 25, 9999).otherwise(size).alias("end"), unit.alias("unit"), F.lit(50).alias("percent"))).alias("progressive"),
+        F.when(F.col("l_discount") == 0.1, F.array(F.struct(F.lit("acidente").alias("cause"), F.lit(1).alias("amount"), F.lit("Dias").alias("unit")))).alias("causes"),
+        F.array(F.struct(F.lit(1).alias("start"), F.when(size > 25, 9999).otherwise(size).alias("end"), unit.alias("unit"), F.lit(12.5).alias("percent"))).alias("progressive"),
     )
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(detail)).alias("details"))
 
@@ -157,9 +162,21 @@ _LINES = f"""l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey
   CAST(l_quantity AS INTEGER) AS size, l_discount, l_linenumber % 3 + 1 AS u FROM lineitem)"""
 
 
+def _sql_text(branch: str, **values: str) -> str:
+    """A fixed text as SQL."""
+    out = "'" + C.TEXTS[branch] + "'"
+    for mark, sql in values.items():
+        out = f"replace({out}, '{{{mark}}}', {sql})"
+    return out
+
+
+_FIXED = {k: _sql_text(k, name="name", amount="CAST(size AS VARCHAR)") for k in C.BRANCHES[:4]}
+
+
 @query(f"""
-WITH {_LINES} SELECT l_orderkey, detail_idx, CASE u WHEN 1 THEN CASE WHEN name = 'Plano SAF' THEN 0 ELSE 1 END ELSE u END AS branch, 'Para a cobertura ' || name || ', carência de ' || CAST(size AS VARCHAR) || ' ' || ({_NOUNS})[u] AS text FROM l
-UNION ALL SELECT l_orderkey, detail_idx, 4, 'Para a cobertura ' || name || ', carência de 1 dias para acidente' FROM l WHERE l_discount = 0.1
+WITH {_LINES} SELECT l_orderkey, detail_idx, CASE u WHEN 1 THEN CASE WHEN name = 'Plano SAF' THEN 0 ELSE 1 END ELSE u END AS branch,
+  CASE u WHEN 1 THEN CASE WHEN name = 'Plano SAF' THEN {_FIXED['saf_months']} ELSE {_FIXED['months']} END WHEN 2 THEN {_FIXED['instalments']} ELSE {_FIXED['days']} END AS text FROM l
+UNION ALL SELECT l_orderkey, detail_idx, 4, {_sql_text('causes', name='name', amount="'1'", unit="'dias'", cause="'acidente'")} FROM l WHERE l_discount = 0.1
 """)
 def waiting_rules(spark, sf_dir):
     """Waiting periods of all orders' coverages, by the five rules."""
@@ -167,21 +184,22 @@ def waiting_rules(spark, sf_dir):
 
 
 @query(f"""
-WITH {_LINES} SELECT l_orderkey, detail_idx, 'Para a cobertura ' || name || ': ' || CASE WHEN size > 25 THEN 'A partir de 1' ELSE 'De 1 até ' || CAST(size AS VARCHAR) END || ' ' || ({_NOUNS})[u] || ', 50%' AS text FROM l
+WITH {_LINES} SELECT l_orderkey, detail_idx, CASE u WHEN 1 THEN {_sql_text('MESES', name='name')} ELSE {_sql_text('PARCELAS', name='name')} END AS text,
+  CASE WHEN u = 1 AND size > 25 THEN 'A partir de 1 meses' ELSE 'De 1 até ' || CASE WHEN size > 25 THEN '9999' ELSE CAST(size AS VARCHAR) END || CASE u WHEN 1 THEN ' meses' ELSE ' parcela(s)' END END AS period, '12,5%' AS percent FROM l WHERE u < 3
 """)
 def progressive_rules(spark, sf_dir):
     """Progressive waiting periods of all orders' coverages."""
-    return C.progressive_rules(_details(spark, sf_dir), ["l_orderkey"]).select("l_orderkey", F.col("detail_idx").cast("long").alias("detail_idx"), "text")
+    return C.progressive_rules(_details(spark, sf_dir), ["l_orderkey"]).select("l_orderkey", F.col("detail_idx").cast("long").alias("detail_idx"), "text", "period", "percent")
 
 
 @query(f"""
-WITH {_LINES}, a AS (SELECT l_orderkey, string_agg(name || CASE WHEN l_discount = 0.1 THEN '!' ELSE '' END, '; ' ORDER BY detail_idx) || '; suicídio: 24 meses' AS texts, count(*) FILTER (WHERE l_discount = 0.1) > 0 AS any_cause FROM l GROUP BY l_orderkey)
+WITH {_LINES}, a AS (SELECT l_orderkey, string_agg(name || CASE WHEN l_discount = 0.1 THEN '!' ELSE '' END, '; ' ORDER BY detail_idx) || '; {C.SUICIDE}' AS texts, count(*) FILTER (WHERE l_discount = 0.1) > 0 AS any_cause FROM l GROUP BY l_orderkey)
 SELECT l_orderkey, texts, any_cause FROM a
 """)
 def waiting_texts(spark, sf_dir):
     """Coverages of each order as texts, with a constant last one."""
     marked = F.transform("details", lambda d: F.concat(d["name"], F.when(d["causes"].isNotNull(), F.lit("!")).otherwise(F.lit(""))))
-    out = C.waiting_texts([marked, F.lit(None).cast("array<string>")], F.lit("suicídio: 24 meses"))
+    out = C.waiting_texts([marked, F.lit(None).cast("array<string>")])
     return _details(spark, sf_dir).select("l_orderkey", F.array_join(out, "; ").alias("texts"), F.exists("details", lambda d: d["causes"].isNotNull()).alias("any_cause"))
 
 

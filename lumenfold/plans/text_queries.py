@@ -115,7 +115,7 @@ def long_dates(spark, sf_dir):
 @query("""
 SELECT p_partkey, CASE WHEN p_size = 0 THEN '-' ELSE concat_ws(' e ', CASE WHEN p_size // 12 > 0 THEN CAST(p_size // 12 AS VARCHAR) || CASE WHEN p_size // 12 = 1 THEN ' ano' ELSE ' anos' END END,
   CASE WHEN p_size % 12 > 0 THEN CAST(p_size % 12 AS VARCHAR) || CASE WHEN p_size % 12 = 1 THEN ' mês' ELSE ' meses' END END) END AS months,
-  CASE WHEN p_size > 25 THEN 'Redução de ' || CAST(p_size - 25 AS VARCHAR) || '%' ELSE '0%' END AS loss, CAST(ceil(p_retailprice / p_size) AS BIGINT) AS equivalent,
+  CASE WHEN p_size > 25 THEN 'Identificado uma perda funcional de ' || CAST(p_size - 25 AS VARCHAR) || '% da sequela' ELSE '0%' END AS loss, CAST(ceil(p_retailprice / p_size) AS BIGINT) AS equivalent,
   CASE WHEN p_size % 10 = 0 THEN CASE WHEN p_size > 25 THEN 40 + p_size ELSE 100 END ELSE p_size % 10 END AS age, greatest(1, least(p_size, 30)) AS page FROM part
 """)
 def months_and_rules(spark, sf_dir):

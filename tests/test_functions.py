@@ -64,7 +64,7 @@ def test_similarity(spark):
     (T.or_default, "", ""), (M.format_currency_br, "1234.5", "R$ 1.234,50"), (M.format_currency_br, "abc", "abc"), (M.format_currency_br, "1.234,56", "R$ 1.234,56"), (M.parse_leading_number, "1.234,56", 1.234), (M.parse_leading_number, "x", 0.0),
     (M.format_percent_br, "12,5", "12,50%"), (M.loss_text, "-1", "0%"), (M.loss_text, "x", ""), (M.months_text, "25", "2 anos e 1 mês"), (M.months_text, "-1", "Vitalício"), (M.months_text, "0", "-"), (M.months_text, "5", "5 meses"),
     (D.iso_to_br, "2024-01-15T00:00", "15/01/2024"), (D.ymd_to_dmy, "x", "x"), (D.long_date, "05/03/2024", "05 de março de 2024"), (D.long_date, "5/3", ""), (D.long_date_capital, "", ""), (D.long_date_capital, "05/03/2024 10:00", "05 de Março de 2024"),
-    (D.long_date_checked, "05/13/2024", ""), (D.long_date_checked, "05/03/2024", "5 de março de 2024"), (D.birth_date, "1/2", ""), (D.any_date_br, "2024-01-15", "15/01/2024"), (D.any_date_br, "soon", "soon"), (D.request_date, None, None), (D.periodicity, "Anual", "ano"), (D.periodicity, "x", None),
+    (D.long_date_checked, "05/13/2024", ""), (D.long_date_checked, "05/03/2024", "5 de março de 2024"), (D.birth_date, "1/2", ""), (D.any_date_br, "2024-01-15", "15/01/2024"), (D.any_date_br, "soon", "soon"), (D.request_date, None, None), (D.periodicity, "anual", "ano"), (M.loss_text, "12,50", "Identificado uma perda funcional de 12.5% da sequela"), (T.cnpj_mask, "1*", "1*"), (T.cpf_or_cnpj_mask, "12.abc.345/01de-35", "12.abc.345/01de-35"), (D.periodicity, "x", None),
     (P.field_type, "xs:date", "text"), (P.field_type, "dateTime", "date"), (P.is_renewal, "0", False), (P.is_renewal, "x", True), (P.is_renewal, None, False), (P.is_saf, "Plano sáf", True), (lambda c: P.is_saf(c, True), "plansaf", False), (P.number_of, "", 0.0), (N.string_to_bool, "TRUE", True),
     (P.valid_job_id, "123e4567-e89b-42d3-a456-426614174000", True), (P.valid_job_id, "123e4567-e89b-12d3-a456-426614174000", False),
 ])
@@ -107,15 +107,16 @@ def test_default_fill(spark):
 
 
 def test_rules(spark):
-    df = spark.createDataFrame([("I", ["INCAPACIDADE FÍSICA TOTAL E TEMPORÁRIA"]), ("X", ["a"]), ("ID", ["a"]), ("IA", [])], "s string, c array<string>")
-    assert [tuple(r.r) for r in df.select(P.event_rules(F.col("s"), F.col("c")).alias("r")).collect()] == [(False, True, False), (True, False, False), (True, False, False), (False, False, False)]
-    assert [r.r.default for r in df.select(P.event_rules(F.col("s"), F.col("c"), 1).alias("r")).collect()] == [False, True, False, False]
+    df = spark.createDataFrame([("ITA", ["a"], []), ("ITA", [P.INCAPACITY], []), ("X", ["a"], ["b"]), ("ID", ["a"], []), ("IA", [], []), ("IA", None, ["b"])], "s string, c array<string>, ia array<string>")
+    rules = lambda v: [tuple(r.r) for r in df.select(P.event_rules(F.col("s"), F.col("c"), F.col("ia"), v).alias("r")).collect()]
+    assert rules(2) == [(False, True, False), (True, False, False), (True, False, False), (True, False, False), (True, False, False), (False, False, True)]
+    assert rules(1) == [(False, True, False), (False, True, False), (True, False, False), (False, True, False), (True, False, False), (False, False, True)]
     one = spark.range(1)
     lit = lambda *v: [F.lit(x) for x in v]
     assert one.select(P.payment_table_visible(lit("a", " "), lit("", "b"))).first()[0] is True
-    assert one.select(P.file_divergences(F.lit(0), F.lit("a.XSD"), F.lit("b.txt"))).first()[0] == ["PDF vazio", "dados inválidos"]
+    assert one.select(P.file_divergences(F.lit(0), F.lit("a.XSD"), F.lit("b.txt"))).first()[0] == ["PDF vazio.", "Arquivo de dados deve ser JSON ou XML."]
     assert one.select(P.library_versions(F.create_map(F.lit("a"), F.lit("2")), F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("1")))).first()[0] == {"a": "2", "b": "1"}
-    assert tuple(one.select(P.assistance_card(F.lit(True), F.lit("7"), ("7", "8"))).first()[0]) == (True, True, False)
+    assert tuple(one.select(P.assistance_card(F.lit("True"), F.array(F.lit(" 7 ")), ("7", "8"))).first()[0]) == (True, True, False)
     assert one.select(P.all_blank(lit("", " ")), P.all_filled(lit("a", "")), P.partner_theme(*lit("a", "b", "c"))).first()[:] == (True, False, True)
     assert one.select(T.period_text(*lit("1", "2")), T.period_text(*lit("1", "")), T.period_text(*lit("1", "2"), hours=False)).first()[:] == ("1 00h \naté 2 23h59", "1 00h", "1 até 2")
     assert one.select(M.exclusion_age(F.lit(0), F.lit(True), F.lit("10"), F.lit(30)), M.clamp_page(F.lit(9), F.lit(3)), M.kilobytes(F.lit(2048))).first()[:] == (40, 3, 2)

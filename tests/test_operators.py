@@ -121,7 +121,7 @@ def test_scores_and_checks(spark):
     m = spark.createDataFrame([("A", "1", "high", "p", 1.0), ("A", "2", "low", "q", 0.123), ("A", "3", "high", "r", 0.9)], "doc_id string, id string, confidence string, jsonPath string, raw_confidence double")
     r = score.fidelity(m).first()
     assert (r.score, r.review) == (66.7, 1) and score.fidelity(m.limit(0)).first().score == 0.0
-    assert score.suggestions(m).first().message.endswith("(0.12)")
+    assert score.suggestions(m).first().message.endswith("(raw: 0.12). Verificar manualmente.") and score.fidelity(m).first().comment == "66.7% dos campos mapeados com alta confiança. 1 campos requerem revisão."
     lit = F.lit
     c = score.checklist(lit("<a ./js/>"), lit("x"), lit("y"), lit("j"), F.array(lit("l")))
     assert spark.range(1).select(score.downloadable(c), score.downloadable(score.checklist(lit(""), lit("x"), lit("y"), lit("j"), F.array()))).first()[:] == (True, False)
@@ -139,7 +139,8 @@ def test_rendering(spark):
     assert one.select(render.bind_template(F.lit("var data = ##TEMPLATE_DATA##;"), F.lit("{}"))).first()[0] == "var data = {};"
     m = spark.createDataFrame([("A", 0, 1, "b'", "it's", ""), ("A", 0, 0, "a", "t", "v")], "doc_id string, part int, ord int, jsonPath string, pdfText string, data_value string")
     r = render.scripts(m).first()
-    assert r.js.index("self.a") < r.js.index("self.b_ = ko.observable('it\\'s')") and "a: 'v'" in r.example
+    assert r.js.index("  a: ko") < r.js.index("  b_: ko.observable('it\\'s'),") and r.example == r"""var exampleData = {"a": "t", "b_": "it\'s"};"""
+    assert "self.a = ko.observable('t');" in render.scripts(m, valid=True).first().js
 
 
 def test_sources(spark, tmp_path):
@@ -215,11 +216,12 @@ def test_settings_and_bindings(spark, tmp_path):
 def test_waiting_periods(spark):
     from lumenfold.operators import certificates as C
 
-    rows = [(1, [("Plano SAF", [(3, "months")], None, [(1, 9999, "months", 50)]), ("Vida", [(2, "months"), (5, "days")], [("x", 1, "days")], [])]), (2, None)]
+    rows = [(1, [("Plano SAF", [(3, "Meses")], None, [(1, 9999, "Meses", 50.0)]), ("Vida", [(2, "meses"), (5, "dias")], [("x", 1, "dias")], [])]), (2, None)]
     df = spark.createDataFrame(rows, f"doc_id int, details {C.DETAILS}")
     got = sorted((r.branch, r.detail_idx, r.rule_idx) for r in C.waiting_rules(df, ["doc_id"]).collect())
     assert got == [(0, 0, 0), (1, 1, 0), (3, 1, 1), (4, 1, 2)]
     assert len([r for r in C.waiting_rules(df, ["doc_id"], exclude_saf=False).collect() if r.branch == 1]) == 2
-    assert C.progressive_rules(df, ["doc_id"]).first().text == "Para a cobertura Plano SAF: A partir de 1 meses, 50%"
+    p = C.progressive_rules(df, ["doc_id"]).first()
+    assert (p.period, p.percent) == ("A partir de 1 meses", "50%") and p.text.startswith("Para o(s) plano(s) Plano SAF quando")
     assert spark.range(1).select(C.waiting_texts([F.array(F.lit("a")), F.lit(None).cast("array<string>")], F.lit(None).cast("string"))).first()[0] == ["a"]
-    assert spark.range(1).select(C.indexer_text(F.lit(" ")), C.account_label(F.lit(1), F.lit("2"))).first()[:] == ("", "1 / 2")
+    assert spark.range(1).select(C.indexer_text(F.lit(" ")), C.account_label(F.lit(1), F.lit("2"))).first()[:] == ("O seu seguro será atualizado pelo  . Para mais informações, consulte as condições gerais.", "1 - 2")
