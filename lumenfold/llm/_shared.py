@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenfold.llm._text import lean
 from lumenfold.operators.written import drop, saved
 
 __all__ = ["components", "drop", "extended", "grouped", "in_groups", "saved"]
@@ -72,7 +73,7 @@ def _breaks(table: pa.Table, keys: list[str]) -> np.ndarray:
 
 def in_groups(df: DataFrame, keys: list[str], work: Callable, schema: str, at_once: int = 0, order: list[str | Column] | None = None) -> DataFrame:
     """work on df's groups by keys, whose rows come in the given order."""
-    return df.repartition(*keys).sortWithinPartitions(*keys, *(order or [])).mapInArrow(grouped(keys, work, at_once), schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *(order or [])).mapInArrow(lean(grouped(keys, work, at_once)), schema)
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:

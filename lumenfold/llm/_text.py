@@ -6,13 +6,15 @@ never occur inside a longer UTF-8 character, so words can be cut on bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
+PART = 1 << 19  # bytes of text that are worked on together
 _M = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
@@ -69,7 +71,7 @@ def string_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def pieces(offs: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def pieces(offs: np.ndarray, limit: int = PART) -> Iterator[tuple[int, int]]:
     """Row ranges of at most limit bytes each, or of one longer row."""
     i, n = 0, len(offs) - 1
     while i < n:
@@ -78,6 +80,31 @@ def pieces(offs: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+def lean(run: Callable) -> Callable:
+    """A mapInArrow function that gives memory back after each batch, as Python workers live on for other stages."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+
+        def each() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                del batch
+                _trim()
+
+        yield from run(each())
+        _trim()
+
+    return wrapped
+
+
+def _trim() -> None:
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 class Words:
     """Words of several texts: byte ranges start/end, and at[d]:at[d + 1] for text d."""
 

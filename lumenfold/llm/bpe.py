@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm._shared import extended
-from lumenfold.llm._text import SPACE, pieces, string_bytes
+from lumenfold.llm._text import SPACE, lean, pieces, string_bytes
 
 # Classes of codepoints, and the symbols made of them.
 LETTER, NUMBER, OTHER, SHORT, LONG, SPACE_BEFORE, BLANK_BEFORE, BLANK = range(8)
@@ -275,14 +275,14 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
     made = [*keep, "ids", *["ends"] * offsets]
     work, back = _encoded(path, text, limit, offsets), _decoded(path)
     if not decode:
-        return rows.mapInArrow(work, schema).select(*made)
-    return rows.mapInArrow(lambda batches: back(work(batches)), extended(schema, "decoded binary")).select(*made, "decoded")
+        return rows.mapInArrow(lean(work), schema).select(*made)
+    return rows.mapInArrow(lean(lambda batches: back(work(batches))), extended(schema, "decoded binary")).select(*made, "decoded")
 
 
 def decode(df: DataFrame, path: str) -> DataFrame:
     """df and `decoded`, the bytes of the column ids (null: none)."""
     rows = df.drop("decoded").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
-    return rows.mapInArrow(_decoded(path), extended(rows.schema, "decoded binary"))
+    return rows.mapInArrow(lean(_decoded(path)), extended(rows.schema, "decoded binary"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

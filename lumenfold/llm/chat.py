@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm._text import string_bytes
+from lumenfold.llm._text import lean, string_bytes
 from lumenfold.llm.bpe import vocabulary
 
 _CONTROL = re.compile(r"([<\[])(\\*)(/?(?:s>|INST\]|SYS\]))")
@@ -133,7 +133,7 @@ def windows(df: DataFrame, path: str, budget: int = 1024, history: int = 256) ->
             yield made()
 
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInArrow(run, f"conv_id {kind}, window int, formatted string, loss array<struct<start:int,end:int>>, repeated int, turns int, n_tokens long")
+    return ordered.mapInArrow(lean(run), f"conv_id {kind}, window int, formatted string, loss array<struct<start:int,end:int>>, repeated int, turns int, n_tokens long")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if now is not None:
             yield made(arrow, [now])
 
-    return formatted.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(lean(run), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

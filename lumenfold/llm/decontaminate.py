@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lumenfold.llm._shared import extended
-from lumenfold.llm._text import Words, grams, mix, pieces, splitmix, string_bytes
+from lumenfold.llm._text import Words, grams, lean, mix, pieces, splitmix, string_bytes
 
 LITERAL, NUMBER, NAME, UNIT = range(4)
 # Words that count as units behind a number.
@@ -183,7 +183,7 @@ def with_leaks(
         if found:
             arrow = to_arrow_type(items.schema["item_id"].dataType)
             held = rows.sparkSession.sparkContext.broadcast(([r[0] for r in found], [r[1] for r in found]))
-            out = out.mapInArrow(_search(held, arrow, text, size, cover, consistency), schema)
+            out = out.mapInArrow(lean(_search(held, arrow, text, size, cover, consistency)), schema)
     if "leaks" not in out.columns:
         out = out.withColumn("leaks", F.array().cast(f"array<struct<item_id:{kind},covered:int,words:int,consistency:double,at:int>>"))
     return out

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm._shared import extended
-from lumenfold.llm._text import pieces, string_bytes
+from lumenfold.llm._text import lean, pieces, string_bytes
 
 CLEAR, END, MOST = 256, 257, 4096
 BINS = 8
@@ -256,7 +256,7 @@ def with_gif(df: DataFrame, text: str = "text", width: int = 24, block: int = 57
                 made = [write_gif(padded(data[offs[k] : offs[k + 1]].tobytes(), block), width) for k in range(i, j)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in names), pa.array(made, pa.binary())], [*names, column])
 
-    return rows.mapInArrow(run, extended(rows.schema, f"`{column}` binary", (text,)))
+    return rows.mapInArrow(lean(run), extended(rows.schema, f"`{column}` binary", (text,)))
 
 
 FRAME = "frame int, start_cs long, delay_cs int, disposal int, transparent int, `left` int, top int, width int, height int, rgba binary, histogram array<long>"
@@ -275,7 +275,7 @@ def gif_frames(df: DataFrame, key: str, column: str = "gif") -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], [batch.schema.names[0], "frame", "start_cs", "delay_cs", "disposal", "transparent", "left", "top", "width", "height", "rgba", "histogram"])
 
     rows = df.select(key, column)
-    return rows.mapInArrow(run, extended(rows.schema, FRAME, (column,)))
+    return rows.mapInArrow(lean(run), extended(rows.schema, FRAME, (column,)))
 
 
 def with_gif_features(df: DataFrame, column: str = "gif") -> DataFrame:
@@ -302,7 +302,7 @@ def with_gif_features(df: DataFrame, column: str = "gif") -> DataFrame:
             more = [pa.array([g[k] for g in got], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names])
 
-    return rows.mapInArrow(run, extended(rows.schema, "payload_bytes long, payload_sha256 string, tail_crc32 long, frames int, duration_cs long, histogram array<long>"))
+    return rows.mapInArrow(lean(run), extended(rows.schema, "payload_bytes long, payload_sha256 string, tail_crc32 long, frames int, duration_cs long, histogram array<long>"))
 
 
 def op7_gif(spark: SparkSession, sf_dir: str) -> DataFrame:

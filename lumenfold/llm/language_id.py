@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenfold.llm._shared import extended
-from lumenfold.llm._text import mix, pieces, splitmix, string_bytes
+from lumenfold.llm._text import PART, lean, mix, pieces, splitmix, string_bytes
 from lumenfold.llm.bpe import LETTER, classes
 
 SIZES = (3, 4)
@@ -100,7 +100,7 @@ def _probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return ((h >> np.uint64(4)) & keep).astype(np.int64), ((h >> np.uint64(34)) & keep).astype(np.int64)
 
 
-def _small(text: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, list[str]]]:
+def _small(text: pa.Array, limit: int = PART) -> Iterator[tuple[int, int, list[str]]]:
     """Rows of at most limit bytes of text, or one longer row."""
     _, offs = string_bytes(text)
     for i, j in pieces(offs, limit):
@@ -129,7 +129,7 @@ def learn(docs: DataFrame, per_language: int = 1000, grams: int = 20_000) -> Fil
                     h, n = np.unique(ngrams([t for t, x in zip(texts, langs[i:j], strict=True) if x == name])[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(h)), pa.array(h.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = counted.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("k") <= grams)
     members = best.select("lang", "gram").toPandas().groupby("lang")["gram"]
     members = {k: v.to_numpy().view(np.uint64) for k, v in members}
@@ -157,7 +157,7 @@ def predict(df: DataFrame, filters: Filters | None, text: str = "text") -> DataF
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, extended(rows.schema, "lang_pred string, score double"))
+    return rows.mapInArrow(lean(run), extended(rows.schema, "lang_pred string, score double"))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm._shared import components, in_groups, saved
-from lumenfold.llm._text import Words, grams, mix, pieces, splitmix, string_bytes, whole
+from lumenfold.llm._text import PART, Words, grams, lean, mix, pieces, splitmix, string_bytes, whole
 
 COORDINATES, LOSS = 64, 1e-9
 _XOR, _MUL = splitmix(11, 1024), splitmix(12, 1024) | np.uint64(1)
@@ -39,7 +39,7 @@ def threshold(num: int, den: int, coordinates: int = COORDINATES, loss: float =
     return coordinates
 
 
-def shingle_sets(text: pa.Array, k: int, limit: int = 2 << 20) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+def shingle_sets(text: pa.Array, k: int, limit: int = PART) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     """(first row, end row, sorted distinct shingle hashes of each row's text).
 
     Words of A-Z folded texts; a text with fewer than k words is one shingle of all its words, without words the set is empty.
@@ -206,7 +206,7 @@ def near_duplicates(
     least = threshold(num, den, coordinates, loss)
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     kind = docs.schema[id].dataType
-    features = saved(source.mapInArrow(_features(k, coordinates), "id long, n long, d1 long, d2 long, keys array<long>"), "signatures")
+    features = saved(source.mapInArrow(lean(_features(k, coordinates)), "id long, n long, d1 long, d2 long, keys array<long>"), "signatures")
 
     known = features.where("n > 0 and id is not null")
     classes = saved(known.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.first("keys").alias("keys")), "classes")
@@ -225,7 +225,7 @@ def near_duplicates(
 
     wanted = families.select(F.col("node").alias("id"), F.col("component").alias("family"))
     texts = wanted.hint("shuffle_hash").join(source, "id").groupBy("family", "id", "text").agg(F.lit(1)).select("family", "id", "text")
-    sets = saved(texts.mapInArrow(_sets(k), "family long, id long, hashes array<long>"), "sets")
+    sets = saved(texts.mapInArrow(lean(_sets(k)), "family long, id long, hashes array<long>"), "sets")
     weights = sets.groupBy("family").agg(F.sum(F.size("hashes")).alias("w")).select("family", F.ceil(F.col("w") / family_hashes).cast("long").alias("parts"))
     members = in_blocks(sets.join(weights, "family"), ["family"], "parts").select("family", "block", "id", "hashes")
     links = in_groups(members, ["family", "block"], _confirmed(num, den), "a long, b long")

@@ -26,12 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm._shared import drop, extended, in_groups, saved
-from lumenfold.llm._text import Words, grams, mix, pieces, splitmix, string_bytes
+from lumenfold.llm._text import Words, grams, lean, mix, pieces, splitmix, string_bytes
 
 _LAST = (1 << 63) - 1  # rows without an id come after all others
 _ORDER = splitmix(21, 4) | np.uint64(1)
 _I64 = pa.int64()
-PART = 1 << 20  # bytes of text looked at together
 WORD = 5  # bytes of a word's hash in a tree; 0 is kept for "no word"
 
 
@@ -115,7 +114,7 @@ def _ragged(values: np.ndarray, at: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 def _batches(text: pa.Array, window: int, prefix: int) -> Iterator[tuple[int, int, _Batch]]:
     data, offs = string_bytes(text)
-    for i, j in pieces(offs, PART):
+    for i, j in pieces(offs):
         yield i, j, _Batch(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], window, prefix)
 
 
@@ -254,7 +253,7 @@ def _cleaned(window: int, prefix: int, text: str, layout: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             data, offs = string_bytes(rows.column(text))
-            for i, j in pieces(offs, PART):
+            for i, j in pieces(offs):
                 part = rows.slice(i, j - i)
                 b = _Batch(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], window, prefix)
                 at, n = b.words.at, len(b.words)
@@ -345,7 +344,7 @@ def without_repeats(
     joined = rows.join(listed, F.coalesce(F.col(id).cast("long"), F.lit(_LAST)) == F.col("_lf_id"), "left").drop("_lf_id")
     kept = [f for f in rows.schema if f.name != text]
     work = joined.select(*(f"`{f.name}`" for f in kept), F.col(text), "_lf_found")
-    return work.mapInArrow(_cleaned(window, prefix, text, layout), extended(rows.schema, "kept_text string, n_words long, n_removed long", (text,)))
+    return work.mapInArrow(lean(_cleaned(window, prefix, text, layout)), extended(rows.schema, "kept_text string, n_words long, n_removed long", (text,)))
 
 
 def _release(spark: SparkSession) -> None:
@@ -356,16 +355,16 @@ def _release(spark: SparkSession) -> None:
 
 def _found(source: DataFrame, window: int, prefix: int, group_rows: int, at_once: int) -> DataFrame:
     """(id, d1, place, bits): duplicate windows by anchor and offsets, by start (bits 0), or all of a copy (place -1)."""
-    features = saved(source.mapInArrow(_features(window, prefix), "id long, d1 long, d2 long, n long, keys array<long>, places array<int>"), "anchors")
+    features = saved(source.mapInArrow(lean(_features(window, prefix)), "id long, d1 long, d2 long, n long, keys array<long>, places array<int>"), "anchors")
     places = _repeated(features, window, group_rows)
     _release(source.sparkSession)
     repeats = features.groupBy("id", "d1").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
     texts = source.dropDuplicates(["id", "text"]) if repeats else source
     asked = lambda hot: places.where(f"hot = {hot}").select("id", "d1", "places")
-    suffixes = texts.join(asked("false"), "id").mapInArrow(_suffixes(window, prefix), "key long, id long, d1 long, place int, least short, most short, words binary")
+    suffixes = texts.join(asked("false"), "id").mapInArrow(lean(_suffixes(window, prefix)), "key long, id long, d1 long, place int, least short, most short, words binary")
     found = in_groups(suffixes, ["key"], _repeats(window, prefix), "id long, d1 long, place int, bits long", at_once)
     if places.where("hot").limit(1).count():
-        each = texts.join(asked("true"), "id").mapInArrow(_windows(window, prefix), "x long, y long, id long, d1 long, start int")
+        each = texts.join(asked("true"), "id").mapInArrow(lean(_windows(window, prefix)), "x long, y long, id long, d1 long, start int")
         each = saved(each, "windows")
         first = each.groupBy("x", "y").agg(F.min(F.struct("id", "d1", "start")).alias("first"), F.count("*").alias("c")).where("c > 1")
         later = each.join(first, ["x", "y"]).where(F.struct("id", "d1", "start") > F.col("first"))

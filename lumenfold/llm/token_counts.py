@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm._shared import extended
+from lumenfold.llm._text import lean
 
 CHUNK, OVERLAP = 16_384, 256
 
@@ -109,7 +110,7 @@ def with_token_counts(df: DataFrame, path: str, text: str = "text", keep: list[s
     """
     keep = [c for c in (df.columns if keep is None else keep) if c not in (text, "n_tokens")]
     rows = df.select(*keep, text)
-    return rows.mapInArrow(_counted(path, text, chunk, overlap), extended(rows.schema, "n_tokens long", (text,)))
+    return rows.mapInArrow(lean(_counted(path, text, chunk, overlap)), extended(rows.schema, "n_tokens long", (text,)))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str, limit: int = 512) -> DataFrame:
