@@ -4,6 +4,8 @@ Numbers, names and units of a text become typed placeholders, so that a question
 Windows of template tokens are hash-joined with those of the benchmark; hits on one diagonal (the same item at the same shift) are an
 alignment. An alignment that covers enough words counts if its slots are consistent: each value of the item's
 placeholders stands for one value in the text throughout.
+
+Windows also match word by word, whatever they are made of.
 """
 
 from __future__ import annotations
@@ -73,14 +75,16 @@ class Templates:
         self.token = np.where(self.kind == LITERAL, self.value, _KIND[self.kind])
 
     def windows(self, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, hash) of the windows of size words inside one text with at least so many literals."""
+        """(first word, hash) of the windows of size words inside one text with at least so many literals, and of those that are not all literal by the words themselves."""
         n = len(self.token) - size + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         plain = np.append(0, np.cumsum(self.kind == LITERAL))
         until = np.repeat(self.at[1:], np.diff(self.at))[:n]
-        where = np.flatnonzero((np.arange(n) + size <= until) & (plain[size:] - plain[:n] >= literals))
-        return where, mix(grams(self.token, size)[where] + np.uint64(size))
+        inside, literal = np.arange(n) + size <= until, plain[size:] - plain[:n]
+        where, exact = np.flatnonzero(inside & (literal >= literals)), np.flatnonzero(inside & (literal < size))
+        sums = np.append(grams(self.token, size)[where], grams(self.value, size)[exact])
+        return np.append(where, exact), mix(sums + np.uint64(size))
 
 
 def _unit_hashes() -> np.ndarray:
@@ -165,7 +169,7 @@ def with_leaks(
 ) -> DataFrame:
     """docs with leaks, an array of (item_id, covered, words, consistency, at): the benchmark items that each text holds.
 
-    An item counts if windows of `size` template tokens, half of them literal, cover at least `cover` of its words, or all of a shorter one's, in one
+    An item counts if windows of `size` template tokens, half of them literal, or of equal words cover at least `cover` of its words, or all of a shorter one's, in one
     alignment, and the values of its slots are consistent to the asked share. Items under three words and null or empty ones match nothing, nor do null or
     empty texts. A column leaks is replaced. The benchmark is broadcast in blocks of about block_bytes of text, each in a pass of its own;
     an item is never cut.

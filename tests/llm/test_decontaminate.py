@@ -46,3 +46,15 @@ def test_query_finds_all_and_only_whole_items(spark):
     items = {r.item_id: brute.words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     want = {(d, i) for d, w in docs.items() for i, q in items.items() if any(w[k : k + len(q)] == q for k in range(len(w) - len(q) + 1))}
     assert {(r.doc_id, r.item_id) for r in op3_decontaminate(spark, SF).collect()} == want and want
+
+
+def test_exact_copies_of_few_literals(spark):
+    items = [
+        "HOW MANY STATES BORDER THE GULF OF MEXICO AND WHICH ONE HAS THE LONGEST COAST LINE",
+        "How Many States Border The Gulf Of Mexico And Which One Has The Longest Coast Line",
+        "Maria Lopez met Juan Perez in Buenos Aires 2019",
+        "1 2 3 4 5 6 7 8 9 10",
+    ]
+    other = "SOME TITLE OF QUITE ANOTHER THING THAT HAS NO WORD LIKE IT AND THEN GOES ON"
+    got = leaks(spark, [*(f"some text , {q} and behind" for q in items), other, items[0][:40] + " " + other], items)
+    assert [{x[0] for x in got[k]} for k in range(6)] == [{0, 1}, {0, 1}, {2}, {3}, set(), set()]
