@@ -5,7 +5,8 @@ Windows of template tokens are hash-joined with those of the benchmark; hits on
 alignment. An alignment that covers enough words counts if its slots are consistent: each value of the item's
 placeholders stands for one value in the text throughout.
 
-Windows also match word by word, whatever they are made of.
+Windows also match word by word, whatever they are made of. A capitalised word that opens a sentence is a name or a plain word, in
+all combinations.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lumenfold.llm._shared import extended
-from lumenfold.llm._text import Words, grams, lean, mix, pieces, splitmix, string_bytes
+from lumenfold.llm._text import _GRAM, Words, lean, mix, pieces, splitmix, string_bytes
 
 LITERAL, NUMBER, NAME, UNIT = range(4)
 # Words that count as units behind a number.
@@ -30,6 +31,8 @@ UNITS = (
     "usd eur gbp dollar dollars euro euros cent cents percent degree degrees mph kmh kph w kw mw v mb gb tb"
 ).split()
 
+AT_ONCE = 1 << 16  # windows whose readings are made together
+
 _KIND = splitmix(31, 4)
 _DIGIT, _NUMERIC, _MARK, _UPPER = (np.zeros(256, bool) for _ in range(4))
 _DIGIT[48:58] = _NUMERIC[48:58] = True
@@ -41,13 +44,17 @@ _STOP[[ord(c) for c in ".!?:"]] = True
 
 
 class Templates:
-    """The template tokens of several texts: for each word its kind, its value's hash and its token's hash."""
+    """The template tokens of several texts: for each word its kind, its value's hash and its token's hash.
+
+    either: a capitalised word that opens a sentence, which is literal here and may be a name.
+    """
 
     def __init__(self, data: np.ndarray, offs: np.ndarray) -> None:
         words = Words(data, offs)
         self.at, n = words.at, len(words)
         if not n:
             self.kind, self.value, self.token = np.zeros(0, np.int8), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            self.either = np.zeros(0, bool)
             return
         opens = np.zeros(n, bool)  # the first word of a sentence, line or text
         opens[1:] = _STOP[data[words.end[:-1] - 1]] | (data[words.start[1:] - 1] == 10)
@@ -73,18 +80,46 @@ class Templates:
         behind = np.append(False, self.kind[:-1] == NUMBER) & ~opens
         self.kind[behind & np.isin(self.value, _unit_hashes())] = UNIT
         self.token = np.where(self.kind == LITERAL, self.value, _KIND[self.kind])
+        self.either = upper & (self.kind == LITERAL)
 
-    def windows(self, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, hash) of the windows of size words inside one text with at least so many literals, and of those that are not all literal by the words themselves."""
+    def windows(self, size: int, literals: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(first word, hash) of windows of size words inside one text, in parts.
+
+        Those with at least so many literals, in each reading of their `either` words that leaves so many; and those
+        that are not all literal by the words themselves.
+        """
         n = len(self.token) - size + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        plain = np.append(0, np.cumsum(self.kind == LITERAL))
-        until = np.repeat(self.at[1:], np.diff(self.at))[:n]
-        inside, literal = np.arange(n) + size <= until, plain[size:] - plain[:n]
-        where, exact = np.flatnonzero(inside & (literal >= literals)), np.flatnonzero(inside & (literal < size))
-        sums = np.append(grams(self.token, size)[where], grams(self.value, size)[exact])
-        return np.append(where, exact), mix(sums + np.uint64(size))
+            return
+        count = lambda x: (c := np.append(0, np.cumsum(x)))[size:] - c[:n]
+        plain, open_ = count(self.kind == LITERAL), count(self.either)
+        inside = np.arange(n) + size <= np.repeat(self.at[1:], np.diff(self.at))[:n]
+        done = lambda x: mix(mix(x) + np.uint64(size))
+        sums = _sums(self.token, size)
+        fits = inside & (plain >= literals)
+        where = np.flatnonzero(fits & (open_ == 0))
+        yield where, done(sums[where])
+        some = np.flatnonzero(fits & (open_ > 0))
+        for a in range(0, len(some), AT_ONCE):
+            where = some[a : a + AT_ONCE]
+            value, left = sums[where], plain[where]
+            for i in range(size):
+                more = np.flatnonzero(self.either[where + i] & (left > literals))
+                with np.errstate(over="ignore"):
+                    other = value[more] + (_KIND[NAME] - self.value[where[more] + i]) * _GRAM[i]
+                where, value, left = np.append(where, where[more]), np.append(value, other), np.append(left, left[more] - 1)
+            yield where, done(value)
+        where = np.flatnonzero(inside & (plain < size))
+        yield where, done(_sums(self.value, size)[where])
+
+
+def _sums(h: np.ndarray, k: int) -> np.ndarray:
+    n = len(h) - k + 1
+    out = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(k):
+            out += h[i : i + n] * _GRAM[i]
+    return out
 
 
 def _unit_hashes() -> np.ndarray:
@@ -106,12 +141,14 @@ class Benchmark:
         self.sizes = sorted({size, *(int(n) for n in self.words if 3 <= n < size)})
         hashes, starts, sizes = [], [], []
         for n in self.sizes:
-            where, h = t.windows(n, (n + 1) // 2)
-            item = np.searchsorted(t.at, where, side="right") - 1
-            ours = self.words[item] == n if n < size else np.ones(len(where), bool)
-            hashes.append(h[ours])
-            starts.append(where[ours])
-            sizes.append(np.full(int(ours.sum()), n))
+            for where, h in t.windows(n, (n + 1) // 2):
+                item = np.searchsorted(t.at, where, side="right") - 1
+                ours = self.words[item] == n if n < size else np.ones(len(where), bool)
+                hashes.append(h[ours])
+                starts.append(where[ours])
+                sizes.append(np.full(int(ours.sum()), n))
+        if not hashes:
+            hashes, starts, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         order = np.argsort(np.concatenate(hashes), kind="stable")
         self.hash, self.start, self.length = (np.concatenate(x)[order] for x in (hashes, starts, sizes))
         self.item = np.searchsorted(t.at, self.start, side="right") - 1
@@ -120,15 +157,15 @@ class Benchmark:
 
     def hits(self, texts: Templates) -> tuple[np.ndarray, np.ndarray]:
         """(first word of a window of the texts, row of the benchmark's window) for all equal pairs."""
-        words, rows = [], []
+        words, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for n in self.sizes:
-            where, h = texts.windows(n, (n + 1) // 2)
-            some = self.mark[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]
-            where, h = where[some], h[some]
-            low, high = np.searchsorted(self.hash, h), np.searchsorted(self.hash, h, side="right")
-            count = high - low
-            words.append(np.repeat(where, count))
-            rows.append(np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum())))
+            for where, h in texts.windows(n, (n + 1) // 2):
+                some = self.mark[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]
+                where, h = where[some], h[some]
+                low, high = np.searchsorted(self.hash, h), np.searchsorted(self.hash, h, side="right")
+                count = high - low
+                words.append(np.repeat(where, count))
+                rows.append(np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum())))
         return np.concatenate(words), np.concatenate(rows)
 
     def leaks(self, texts: Templates, consistency: float) -> dict[int, list[tuple]]:
@@ -150,8 +187,11 @@ class Benchmark:
             a = first[k]
             b = first[k + 1] if k + 1 < len(first) else len(text)
             places = np.unique(np.concatenate([np.arange(s, s + n) for s, n in zip(start[a:b].tolist(), length[a:b].tolist(), strict=True)]))
-            slots = places[self.items.kind[places] != LITERAL]
-            pairs = set(zip(self.items.value[slots].tolist(), texts.value[slots + shift[a]].tolist(), strict=True))
+            # An opening word is a slot if it differs or has a slot's value.
+            ours, theirs = self.items.value[places], texts.value[places + shift[a]]
+            slot = (self.items.kind[places] != LITERAL) | (ours != theirs)
+            slot |= self.items.either[places] & np.isin(ours, ours[slot])
+            pairs = set(zip(ours[slot].tolist(), theirs[slot].tolist(), strict=True))
             sure = len({x for x, _ in pairs}) / len(pairs) if pairs else 1.0
             if sure >= consistency:
                 key = int(text[a]), int(item[a])

@@ -58,3 +58,12 @@ def test_exact_copies_of_few_literals(spark):
     other = "SOME TITLE OF QUITE ANOTHER THING THAT HAS NO WORD LIKE IT AND THEN GOES ON"
     got = leaks(spark, [*(f"some text , {q} and behind" for q in items), other, items[0][:40] + " " + other], items)
     assert [{x[0] for x in got[k]} for k in range(6)] == [{0, 1}, {0, 1}, {2}, {3}, set(), set()]
+
+
+def test_names_that_open_sentences(spark):
+    q = "Alice has 5 apples. Alice buys 3 more apples. Alice eats 2 apples. How many apples are left?"
+    other = q.replace("Alice", "Carla").replace("5", "9").replace("3", "6")
+    got = leaks(spark, [other, f"so {other}", other.replace("Carla eats", "Eve eats"), other.replace("apples", "boats in the yard")], [q])
+    assert [bool(got[k]) for k in range(4)] == [True, True, True, False]
+    assert got[0][0][1:] == (18, 1.0)
+    assert leaks(spark, [other.replace("Carla eats", "Eve eats")], [q], consistency=1.0)[0] == []
