@@ -6,7 +6,8 @@ alignment. An alignment that covers enough words counts if its slots are consist
 placeholders stands for one value in the text throughout.
 
 Windows also match word by word, whatever they are made of. A capitalised word that opens a sentence is a name or a plain word, in
-all combinations.
+all combinations. Windows are also made of runs: several names, or a number and its unit, are one placeholder. Where no diagonal
+covers enough, an alignment is carried on from its windows over gaps of a few words.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ UNITS = (
     "usd eur gbp dollar dollars euro euros cent cents percent degree degrees mph kmh kph w kw mw v mb gb tb"
 ).split()
 
+GAP, RESUME = 4, 3  # words that an alignment may skip on either side at once, and words that must fit behind them
 AT_ONCE = 1 << 16  # windows whose readings are made together
 
 _KIND = splitmix(31, 4)
@@ -46,15 +48,18 @@ _STOP[[ord(c) for c in ".!?:"]] = True
 class Templates:
     """The template tokens of several texts: for each word its kind, its value's hash and its token's hash.
 
-    either: a capitalised word that opens a sentence, which is literal here and may be a name.
+    either: a capitalised word that opens a sentence, which is literal here and may be a name. first and width: the words
+    that a token is made of, one but for collapsed() ones; words: the tokens before that.
     """
 
     def __init__(self, data: np.ndarray, offs: np.ndarray) -> None:
         words = Words(data, offs)
         self.at, n = words.at, len(words)
+        self.words = self
         if not n:
             self.kind, self.value, self.token = np.zeros(0, np.int8), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-            self.either = np.zeros(0, bool)
+            self.opens = self.either = np.zeros(0, bool)
+            self.first = self.width = np.zeros(0, np.int64)
             return
         opens = np.zeros(n, bool)  # the first word of a sentence, line or text
         opens[1:] = _STOP[data[words.end[:-1] - 1]] | (data[words.start[1:] - 1] == 10)
@@ -80,13 +85,34 @@ class Templates:
         behind = np.append(False, self.kind[:-1] == NUMBER) & ~opens
         self.kind[behind & np.isin(self.value, _unit_hashes())] = UNIT
         self.token = np.where(self.kind == LITERAL, self.value, _KIND[self.kind])
-        self.either = upper & (self.kind == LITERAL)
+        self.opens, self.either = opens, upper & (self.kind == LITERAL)
+        self.first, self.width = np.arange(n), np.ones(n, np.int64)
+
+    def collapsed(self, openers: bool) -> Templates:
+        """The same texts with each run of names, and each number with its unit, as one token. openers: a run may begin with a word that opens a sentence."""
+        out = Templates.__new__(Templates)
+        out.words = self
+        name = self.kind == NAME
+        before = np.append(False, (name | self.either if openers else name)[:-1])
+        out.first = np.flatnonzero(~((name & before & ~self.opens) | (self.kind == UNIT)))
+        out.at = np.searchsorted(out.first, self.at)
+        out.width = np.diff(np.append(out.first, len(self.kind)))
+        one = out.width == 1
+        out.kind, out.value, out.opens = self.kind[out.first], self.value[out.first], self.opens[out.first]
+        out.either = self.either[out.first] & one
+        out.kind[~one & (out.kind == LITERAL)] = NAME
+        if not one.all():
+            place = (np.arange(len(self.kind)) - np.repeat(out.first, out.width)) % len(_GRAM)
+            with np.errstate(over="ignore"):
+                out.value = np.where(one, out.value, mix(np.add.reduceat(self.value * _GRAM[place], out.first)))
+        out.token = np.where(out.kind == LITERAL, out.value, _KIND[out.kind])
+        return out
 
     def windows(self, size: int, literals: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(first word, hash) of windows of size words inside one text, in parts.
+        """(first token, hash) of windows of size tokens inside one text, in parts.
 
-        Those with at least so many literals, in each reading of their `either` words that leaves so many; and those
-        that are not all literal by the words themselves.
+        Those with at least so many literals, in each reading of their `either` words that leaves so many; and those of single words
+        that are not all literal by the words themselves. Of collapsed tokens only windows with a run, as the others are windows of words.
         """
         n = len(self.token) - size + 1
         if n <= 0:
@@ -94,6 +120,8 @@ class Templates:
         count = lambda x: (c := np.append(0, np.cumsum(x)))[size:] - c[:n]
         plain, open_ = count(self.kind == LITERAL), count(self.either)
         inside = np.arange(n) + size <= np.repeat(self.at[1:], np.diff(self.at))[:n]
+        if self.words is not self:
+            inside &= count(self.width > 1) > 0
         done = lambda x: mix(mix(x) + np.uint64(size))
         sums = _sums(self.token, size)
         fits = inside & (plain >= literals)
@@ -109,8 +137,9 @@ class Templates:
                     other = value[more] + (_KIND[NAME] - self.value[where[more] + i]) * _GRAM[i]
                 where, value, left = np.append(where, where[more]), np.append(value, other), np.append(left, left[more] - 1)
             yield where, done(value)
-        where = np.flatnonzero(inside & (plain < size))
-        yield where, done(_sums(self.value, size)[where])
+        if self.words is self:
+            where = np.flatnonzero(inside & (plain < size))
+            yield where, done(_sums(self.value, size)[where])
 
 
 def _sums(h: np.ndarray, k: int) -> np.ndarray:
@@ -135,44 +164,67 @@ class Benchmark:
         self.ids, self.size = ids, size
         data, offs = string_bytes(pa.array(texts, pa.string()))
         self.items = t = Templates(data, offs)
+        self.runs = [t.collapsed(False), t.collapsed(True)]
         self.words = np.diff(t.at)
         self.need = np.minimum(self.words, cover)
-        # Items shorter than a window are one window of their own length.
-        self.sizes = sorted({size, *(int(n) for n in self.words if 3 <= n < size)})
-        hashes, starts, sizes = [], [], []
-        for n in self.sizes:
-            for where, h in t.windows(n, (n + 1) // 2):
-                item = np.searchsorted(t.at, where, side="right") - 1
-                ours = self.words[item] == n if n < size else np.ones(len(where), bool)
-                hashes.append(h[ours])
-                starts.append(where[ours])
-                sizes.append(np.full(int(ours.sum()), n))
+        # Items shorter than a window are one window of their own length; of those shorter than two, one half is whole if a word is added.
+        hashes, starts, sizes, runs = [], [], [], []
+        every: set[int] = set()
+        for view in (t, *self.runs):
+            tokens = np.diff(view.at)
+            own = np.where(self.words < size, tokens, np.minimum(tokens, np.clip((self.words + 1) // 2, 3, size)))
+            own[(self.words < 3) | (tokens < 3)] = 0
+            for n in sorted({int(x) for x in own if x}):
+                every.add(n)
+                for where, h in view.windows(n, (n + 1) // 2):
+                    ours = own[np.searchsorted(view.at, where, side="right") - 1] == n
+                    hashes.append(h[ours])
+                    starts.append(view.first[where[ours]])
+                    sizes.append(np.full(int(ours.sum()), n))
+                    runs.append(np.full(int(ours.sum()), view is not t))
+        self.sizes = sorted(every)
         if not hashes:
-            hashes, starts, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            hashes, starts, sizes, runs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         order = np.argsort(np.concatenate(hashes), kind="stable")
-        self.hash, self.start, self.length = (np.concatenate(x)[order] for x in (hashes, starts, sizes))
+        self.hash, self.start, self.length, self.run = (np.concatenate(x)[order] for x in (hashes, starts, sizes, runs))
         self.item = np.searchsorted(t.at, self.start, side="right") - 1
         self.mark = np.zeros(1 << 20, bool)
         self.mark[(self.hash & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
-    def hits(self, texts: Templates) -> tuple[np.ndarray, np.ndarray]:
-        """(first word of a window of the texts, row of the benchmark's window) for all equal pairs."""
-        words, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for n in self.sizes:
-            for where, h in texts.windows(n, (n + 1) // 2):
-                some = self.mark[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]
-                where, h = where[some], h[some]
-                low, high = np.searchsorted(self.hash, h), np.searchsorted(self.hash, h, side="right")
-                count = high - low
-                words.append(np.repeat(where, count))
-                rows.append(np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum())))
-        return np.concatenate(words), np.concatenate(rows)
+    def hits(self, texts: Templates, views: list[Templates]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word of a window of the texts, row of the benchmark's window, whether either is made of runs) for all equal pairs."""
+        words, rows, runs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        for view in (texts, *views):
+            for n in self.sizes:
+                for where, h in view.windows(n, (n + 1) // 2):
+                    some = self.mark[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]
+                    where, h = view.first[where[some]], h[some]
+                    low, high = np.searchsorted(self.hash, h), np.searchsorted(self.hash, h, side="right")
+                    count = high - low
+                    row = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+                    words.append(np.repeat(where, count))
+                    rows.append(row)
+                    runs.append(self.run[row] | (view is not texts))
+        return np.concatenate(words), np.concatenate(rows), np.concatenate(runs)
 
     def leaks(self, texts: Templates, consistency: float) -> dict[int, list[tuple]]:
         """For each text with leaks: (item, its covered words, its words, consistency, first word in the text)."""
-        word, row = self.hits(texts)
+        views = [texts.collapsed(False), texts.collapsed(True)]
+        word, row, run = self.hits(texts, views)
         if not len(word):
             return {}
+        best: dict[tuple[int, int], tuple] = {}
+        unsure: dict[tuple[int, int], list[tuple]] = {}
+        if not run.all():
+            self._diagonals(texts, word[~run], row[~run], consistency, best, unsure)
+        self._gapped(texts, views, word, row, consistency, best, unsure)
+        out: dict[int, list[tuple]] = {}
+        for (t, i), (c, sure, at) in sorted(best.items()):
+            out.setdefault(t, []).append((self.ids[i], c, int(self.words[i]), sure, -at))
+        return out
+
+    def _diagonals(self, texts: Templates, word: np.ndarray, row: np.ndarray, consistency: float, best: dict, unsure: dict) -> None:
+        """Adds the best consistent alignment of each text and item on one diagonal to best, and all others that cover enough to unsure."""
         text = np.searchsorted(texts.at, word, side="right") - 1
         item, start = self.item[row], self.start[row]
         shift = word - start
@@ -182,25 +234,109 @@ class Benchmark:
         adds = np.where(np.append(new[1:], True), length, np.minimum(length, np.append(start[1:], 0) - start))
         first = np.flatnonzero(new)
         covered = np.add.reduceat(adds, first)
-        best: dict[tuple[int, int], tuple] = {}
         for k in np.flatnonzero(covered >= self.need[item[first]]).tolist():
             a = first[k]
             b = first[k + 1] if k + 1 < len(first) else len(text)
             places = np.unique(np.concatenate([np.arange(s, s + n) for s, n in zip(start[a:b].tolist(), length[a:b].tolist(), strict=True)]))
-            # An opening word is a slot if it differs or has a slot's value.
-            ours, theirs = self.items.value[places], texts.value[places + shift[a]]
-            slot = (self.items.kind[places] != LITERAL) | (ours != theirs)
-            slot |= self.items.either[places] & np.isin(ours, ours[slot])
-            pairs = set(zip(ours[slot].tolist(), theirs[slot].tolist(), strict=True))
-            sure = len({x for x, _ in pairs}) / len(pairs) if pairs else 1.0
-            if sure >= consistency:
-                key = int(text[a]), int(item[a])
+            sure = _consistent(self.items, places, texts, places + shift[a])
+            key = int(text[a]), int(item[a])
+            if sure < consistency:
+                unsure.setdefault(key, []).append((int(covered[k]), sure, int(places[0] + shift[a]), int(places[-1] + shift[a])))
+            else:
                 found = (int(covered[k]), sure, -int(start[a] + shift[a] - texts.at[key[0]]))
                 best[key] = max(best.get(key, found), found)
-        out: dict[int, list[tuple]] = {}
-        for (t, i), (c, sure, at) in sorted(best.items()):
-            out.setdefault(t, []).append((self.ids[i], c, int(self.words[i]), sure, -at))
-        return out
+
+    def _gapped(self, texts: Templates, views: list[Templates], word: np.ndarray, row: np.ndarray, consistency: float, best: dict, unsure: dict) -> None:
+        """Adds alignments of runs with gaps, where a text and item have no other. One that is not consistent rules out those over the same words that cover less."""
+        text = np.searchsorted(texts.at, word, side="right") - 1
+        item, start = self.item[row], self.start[row]
+        order = np.lexsort((start, word - start, item, text))
+        text, item, start, word = text[order], item[order], start[order], word[order]
+        shift = word - start
+        new = np.append(True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1]))
+        found: dict[tuple[int, int], list[tuple]] = {}
+        for t, i, s, w in zip(*(x[new].tolist() for x in (text, item, start, word)), strict=True):
+            if (t, i) in best:
+                continue
+            for ours, theirs in zip(self.runs, views, strict=True):
+                x, y = _aligned(ours, i, s, theirs, t, w)
+                covered = int(ours.width[x].sum())
+                if covered >= self.need[i]:
+                    last = int(theirs.first[y[-1]] + theirs.width[y[-1]] - 1)
+                    found.setdefault((t, i), []).append((covered, _consistent(ours, x, theirs, y), int(theirs.first[y[0]]), last))
+        for key, some in found.items():
+            held: list[tuple] = []
+            for this in sorted({*some, *unsure.get(key, ())}, key=lambda x: (-x[0], -x[1], x[2])):
+                if not any(this[2] <= o[3] and o[2] <= this[3] for o in held):
+                    held.append(this)
+                    if this[1] >= consistency:
+                        best[key] = *this[:2], -(this[2] - int(texts.at[key[0]]))
+                        break
+
+
+def _consistent(ours: Templates, x: np.ndarray, theirs: Templates, y: np.ndarray) -> float:
+    """The share of slots' values at x that stand for one value at y. An opening word is a slot if it differs or has a slot's value.
+
+    Runs of as many words are taken word by word, others whole, but for an opening word that both begin with.
+    """
+    pairs, openers = set(), set()
+    words, others = ours.words, theirs.words
+    for i, n, j, m in zip(ours.first[x].tolist(), ours.width[x].tolist(), theirs.first[y].tolist(), theirs.width[y].tolist(), strict=True):
+        if n != m and min(n, m) > 1 and words.either[i] and words.value[i] == others.value[j]:
+            openers.add(((int(words.value[i]),),) * 2)
+            i, n, j, m = i + 1, n - 1, j + 1, m - 1
+        a, b = words.value[i : i + n].tolist(), others.value[j : j + m].tolist()
+        if n != m:
+            pairs.add((tuple(a), tuple(b)))
+            continue
+        for k in range(n):
+            if words.kind[i + k] != LITERAL or a[k] != b[k]:
+                pairs.add(((a[k],), (b[k],)))
+            elif words.either[i + k]:
+                openers.add(((a[k],), (b[k],)))
+    values = {v for v, _ in pairs}
+    pairs |= {p for p in openers if p[0] in values}
+    return len(values) / len(pairs) if pairs else 1.0
+
+
+def _aligned(ours: Templates, item: int, start: int, theirs: Templates, text: int, word: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of an item and of a text that fit, on both sides of a word of each."""
+    i, j = (int(np.searchsorted(v.first, w, side="right")) - 1 for v, w in ((ours, start), (theirs, word)))
+    low, high = int(ours.at[item]), int(ours.at[item + 1])
+    reach = GAP * (high - low)
+    far = slice(max(int(theirs.at[text]), j - (i - low) - reach), min(int(theirs.at[text + 1]), j + high - i + reach))
+    a, b = ([*zip(v.value[k].tolist(), np.where(v.either[k], NAME, v.kind[k]).tolist(), strict=True)] for v, k in ((ours, slice(low, high)), (theirs, far)))
+    right = _walk(a[i - low :], b[j - far.start :])
+    left = _walk(a[: i - low][::-1], b[: j - far.start][::-1])
+    both = [(i - 1 - x, j - 1 - y) for x, y in reversed(left)] + [(i + x, j + y) for x, y in right]
+    return np.array([x for x, _ in both], np.int64), np.array([y for _, y in both], np.int64)
+
+
+def _walk(a: list[tuple], b: list[tuple]) -> list[tuple[int, int]]:
+    """Places that fit from the start on, over gaps; as far as half of them have equal values."""
+
+    def fits(x: tuple, y: tuple) -> bool:
+        return x[0] == y[0] or (x[1] == y[1] != LITERAL)
+
+    def resumes(i: int, j: int) -> bool:
+        n = min(RESUME, len(a) - i)
+        if n < 1 or j + n > len(b):
+            return False
+        return all(fits(a[i + k], b[j + k]) for k in range(n)) and 2 * sum(a[i + k][0] == b[j + k][0] for k in range(n)) >= n
+
+    gaps = sorted(((x, y) for x in range(GAP + 1) for y in range(GAP + 1) if x or y), key=sum)
+    out, equal, good, i, j = [], 0, 0, 0, 0
+    while i < len(a) and j < len(b):
+        if not fits(a[i], b[j]):
+            gap = next(((x, y) for x, y in gaps if resumes(i + x, j + y)), None)
+            if gap is None:
+                break
+            i, j = i + gap[0], j + gap[1]
+        out.append((i, j))
+        equal += a[i][0] == b[j][0]
+        good = len(out) if 2 * equal >= len(out) else good
+        i, j = i + 1, j + 1
+    return out[:good]
 
 
 def with_leaks(

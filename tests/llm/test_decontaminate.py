@@ -67,3 +67,17 @@ def test_names_that_open_sentences(spark):
     assert [bool(got[k]) for k in range(4)] == [True, True, True, False]
     assert got[0][0][1:] == (18, 1.0)
     assert leaks(spark, [other.replace("Carla eats", "Eve eats")], [q], consistency=1.0)[0] == []
+
+
+def test_parameters_of_another_length(spark):
+    q = "If every baker sells ten loaves before noon then Alice gets two more loaves from them for each child"
+    short = "the train from Boston to Chicago carries 5 kg of Alice 's mail"
+    texts = [q.replace("Alice", "Mary Ann"), short.replace("Boston", "New York"), short.replace("5 kg", "7kg"), short.replace("Alice", "Mary Ann Lee")]
+    got = leaks(spark, texts, [q, short])
+    assert [[x[0] for x in got[k]] for k in range(4)] == [[0], [1], [1], [1]]
+    words = q.split()
+    added = [" ".join([*words[:k], "really", *words[k:]]) for k in range(1, len(words))]
+    assert all(r for r in leaks(spark, added, [q]).values())
+    few = "one plain item of just twelve words that says nothing much here".split()
+    added = [" ".join([*few[:k], "really", *few[k:]]) for k in range(1, len(few))]
+    assert all(r for r in leaks(spark, added, [" ".join(few)]).values())
