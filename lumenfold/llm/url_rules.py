@@ -1,6 +1,6 @@
 """URL filtering by a list of host and path rules, and by association rules mined from labelled URLs.
 
-FP-growth mines which combinations of a URL's tokens imply a label. Rules below the confidence or support,
+Mining finds which combinations of a URL's tokens imply a label. Rules below the confidence or support,
 and rules that a shorter one covers at no less confidence, are pruned. Each rule is posted under its rarest token; a URL
 looks up its tokens there and keeps the postings whose whole rule it holds.
 """
@@ -10,11 +10,10 @@ from __future__ import annotations
 import math
 import string
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm._shared import saved
+from lumenfold.llm._shared import drop, saved
 
 Rule = tuple[str, str]  # verdict, host/path
 
@@ -55,28 +54,54 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     )
 
 
-def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.6, most_tokens: int = 14) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.6) -> DataFrame:
     """Pruned rules (tokens, verdict, confidence, support, token to post under) from rows (tokens, label).
 
-    Mining takes the most_tokens most frequent tokens of a URL, which bounds the itemsets that one URL can be in by
-    2^most_tokens; the rules are matched against all tokens. Equal rows are counted, not gathered.
+    Equal rows are counted, not gathered. Sets of tokens grow by a token a level, over all tokens of a URL. Only sets are grown whose
+    larger sets can be rules that stay: not those that all rows of a smaller set hold as well, and not those of one label, as a
+    smaller rule is as sure as each rule that they would give.
     """
     spark = labelled.sparkSession
     rows = labelled.where("label is not null and size(tokens) > 0")
-    total = rows.count()
+    same = saved(rows.groupBy("label", F.array_sort(F.array_distinct("tokens")).alias("t")).agg(F.count("*").alias("n")), "url-baskets")
+    total = same.agg(F.sum("n")).first()[0]
+    if not total:
+        return spark.createDataFrame([], "tokens array<string>, verdict string, confidence double, support double, token string")
     least = max(1, math.ceil(min_support * total))
     # Tokens below the support are in no rule. At most 1 / min_support * (tokens a URL) others: a small table.
-    often = rows.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= least)
+    often = same.select(F.explode("t").alias("token"), "n").groupBy("token").agg(F.sum("n").alias("count")).where(F.col("count") >= least)
     often = saved(often, "url-tokens")
-    each = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "label", F.explode("tokens").alias("token")).join(often, "token")
-    ranked = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("count", "token")))), 1, most_tokens)
-    baskets = each.groupBy("row", "label").agg(ranked.alias("t")).select(F.concat(F.col("t.token"), F.array(F.concat(F.lit("="), "label"))).alias("items"))
-    empty = spark.createDataFrame([], "tokens array<string>, verdict string, confidence double, support double, token string")
-    if not total:
-        return empty
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / total), minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.where("size(consequent) = 1 and startswith(consequent[0], '=')").where("not exists(antecedent, x -> startswith(x, '='))")
-    rules = found.select(F.array_sort("antecedent").alias("tokens"), F.substring(F.element_at("consequent", 1), 2, 1 << 20).alias("verdict"), "confidence", "support")
+    each = same.withColumn("row", F.monotonically_increasing_id()).select("row", "label", "n", F.explode("t").alias("token")).join(often, "token")
+    baskets = each.groupBy("row", "label", "n").agg(F.array_sort(F.collect_list("token")).alias("t")).groupBy("t", "label").agg(F.sum("n").alias("n"))
+    baskets = saved(baskets.withColumn("row", F.monotonically_increasing_id()), "url-baskets")
+    drop(same)
+    held = baskets.select("row", "label", "n", F.explode("t").alias("token")).select("row", "label", "n", F.array("token").alias("tokens"))
+    grown, levels, size = None, [], 1
+    while True:
+        by_label = held.groupBy("tokens", "label").agg(F.sum("n").alias("n"))
+        sets = by_label.groupBy("tokens").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.collect_list(F.struct("label", "n")).alias("labels")).where(F.col("most") >= least)
+        if grown is not None:
+            less = sets.select("tokens", F.explode(F.expr("transform(tokens, x -> filter(tokens, y -> y != x))")).alias("fewer")).join(grown.select(F.col("tokens").alias("fewer"), F.col("all").alias("before")), "fewer")
+            less = less.groupBy("tokens").agg(F.count("*").alias("k"), F.min("before").alias("before")).where(F.col("k") == size)
+            sets = sets.join(less, "tokens").where(F.col("all") < F.col("before")).drop("k", "before")
+        sets = saved(sets, "url-sets")
+        levels.append(sets)
+        grown = sets.where((F.col("most") < F.col("all")) & (F.col("all") < total)).select("tokens", "all")
+        if not grown.limit(1).count():
+            break
+        # Two sets of a row that differ in their last token alone make a set of the next size.
+        stay = held.join(grown.select("tokens"), "tokens").select("row", "label", "n", F.slice("tokens", 1, size - 1).alias("head"), F.element_at("tokens", -1).alias("last"))
+        tails = stay.groupBy("row", "label", "n", "head").agg(F.array_sort(F.collect_list("last")).alias("tails")).where("size(tails) > 1")
+        pairs = tails.select("row", "label", "n", "head", F.explode(F.expr("flatten(transform(tails, (x, i) -> transform(slice(tails, i + 2, size(tails)), y -> array(x, y))))")).alias("two"))
+        before, held = held, saved(pairs.select("row", "label", "n", F.concat("head", "two").alias("tokens")), "url-held")
+        if size > 1:
+            drop(before)
+        size += 1
+    counted = levels[0]
+    for more in levels[1:]:
+        counted = counted.unionByName(more)
+    found = counted.select("tokens", "all", F.inline("labels")).where((F.col("n") >= least) & (F.col("n") / F.col("all") >= min_confidence))
+    rules = found.select("tokens", F.col("label").alias("verdict"), (F.col("n") / F.col("all")).alias("confidence"), (F.col("n") / F.lit(total)).alias("support"))
     rules = saved(rules, "url-rules")
     # A rule goes if dropping one of its tokens leaves a rule of the same verdict that is as sure: chains of such steps cover all subsets.
     shorter = rules.select(F.col("tokens").alias("fewer"), F.col("verdict").alias("same"), F.col("confidence").alias("sure"))

@@ -1,3 +1,4 @@
+import random
 import re
 from itertools import combinations
 
@@ -57,3 +58,28 @@ def test_query(spark):
         host, path, rule, verdict = brute(pages[r.page_id])
         assert (r.host, r.path, r.rule) == (host, path, rule) and (verdict is None or r.verdict == verdict)
     assert {r.verdict for r in got} <= {"allow", "block"} and F
+
+
+def mined(spark, data, *how):
+    return {(tuple(r.tokens), r.verdict): (round(r.confidence, 6), round(r.support, 6)) for r in mine(spark.createDataFrame(data, "tokens array<string>, label string"), *how).collect()}
+
+
+def test_rare_tokens_of_long_urls_are_mined(spark):
+    common = [f"c{k}" for k in range(30)]
+    data = [([*common, "good"], "allow")] * 5 + [([*common, "bad"], "block")] * 5
+    assert mined(spark, data) == {(("good",), "allow"): (1.0, 0.5), (("bad",), "block"): (1.0, 0.5)}
+
+
+def test_mined_rules_are_those_of_all_subsets(spark):
+    r = random.Random(5)
+    data = [([t for t in "abcdef" if r.random() < 0.6], r.choice(["allow", "block", "block", "ask"])) for _ in range(60)]
+    rows = [(set(t), v) for t, v in data if t]
+    want = {}
+    for tokens in (c for n in range(1, 7) for c in combinations("abcdef", n)):
+        fit = [v for t, v in rows if set(tokens) <= t]
+        for v in set(fit):
+            if fit.count(v) >= 2 and fit.count(v) / len(fit) >= 0.6:
+                want[tokens, v] = fit.count(v) / len(fit), fit.count(v) / len(rows)
+    fewer = lambda k: [(tuple(x for x in k[0] if x != y), k[1]) for y in k[0]]
+    kept = {k: (round(c, 6), round(s, 6)) for k, (c, s) in want.items() if not any(o in want and want[o][0] >= c for o in fewer(k))}
+    assert mined(spark, data, 0.03, 0.6) == kept and max(len(k[0]) for k in kept) > 2
