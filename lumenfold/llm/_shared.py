@@ -6,11 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenfold.llm._text import lean
+from lumenfold.llm._text import lean, string_bytes
 from lumenfold.operators.written import drop, saved
 
 __all__ = ["components", "drop", "extended", "grouped", "in_groups", "saved"]
@@ -21,11 +21,11 @@ def extended(schema: T.StructType, more: str, without: tuple[str, ...] = ()) ->
     return T.StructType([f for f in schema if f.name not in without] + T.StructType.fromDDL(more).fields)
 
 
-def grouped(keys: list[str], work: Callable[[pa.Table], pa.RecordBatch | None], at_once: int = 0) -> Callable:
+def grouped(keys: list[str], work: Callable[[pa.Table], pa.RecordBatch | None], at_once: int = 0, weigh: str | None = None) -> Callable:
     """A mapInArrow function over rows sorted by keys: work gets tables of whole groups.
 
-    Each table holds one group, or, with at_once, as many whole groups as come to that many
-    rows. What is held is one batch and one group.
+    Each table holds one group, or, with at_once, as many whole groups as come to that many rows, or to that many bytes of the
+    column `weigh`. What is held is one batch and one group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,10 +35,12 @@ def grouped(keys: list[str], work: Callable[[pa.Table], pa.RecordBatch | None],
         def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
             if not table.num_rows:
                 return
+            ends = np.append(_breaks(table, keys) + 1, table.num_rows)
             if at_once:
-                yield from filter(None, [work(table)])
-                return
-            cuts = [0, *(_breaks(table, keys) + 1).tolist(), table.num_rows]
+                so_far = ends if weigh is None else string_bytes(table.column(weigh))[1][ends]
+                part = (so_far - 1) // at_once
+                ends = ends[np.append(part[1:] != part[:-1], True)]
+            cuts = [0, *ends.tolist()]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 yield from filter(None, [work(table.slice(a, b - a))])
 
@@ -47,7 +49,7 @@ def grouped(keys: list[str], work: Callable[[pa.Table], pa.RecordBatch | None],
                 continue
             held.append(pa.Table.from_batches([batch]))
             rows += batch.num_rows
-            if rows < at_once:
+            if weigh is None and rows < at_once:
                 continue
             table = pa.concat_tables(held).combine_chunks()
             at = _breaks(table, keys)
@@ -71,9 +73,9 @@ def _breaks(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(out)
 
 
-def in_groups(df: DataFrame, keys: list[str], work: Callable, schema: str, at_once: int = 0, order: list[str | Column] | None = None) -> DataFrame:
-    """work on df's groups by keys, whose rows come in the given order."""
-    return df.repartition(*keys).sortWithinPartitions(*keys, *(order or [])).mapInArrow(lean(grouped(keys, work, at_once)), schema)
+def in_groups(df: DataFrame, keys: list[str], work: Callable, schema: str, at_once: int = 0, weigh: str | None = None) -> DataFrame:
+    """work on df's groups by keys."""
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(grouped(keys, work, at_once, weigh)), schema)
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -89,14 +91,15 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         if not state.n or state == seen:
             break
         seen = state
-        both = now.union(now.select("lo", "hi")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = now.join(least, now.lo == least.u).select("hi", F.col("m").alias("lo")).distinct()
-        lowest = large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
+        # The least nodes are written too: a join of two plain tables can split a node of many edges over tasks.
+        least = saved(now.union(now.select("lo", "hi")).toDF("u", "v").groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-least")
+        large = saved(now.join(least, now.lo == least.u).select("hi", F.col("m").alias("lo")).distinct(), f"{name}-large")
+        lowest = saved(large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m")), f"{name}-lowest")
         pairs = large.join(lowest, large.hi == lowest.u)
         small = pairs.select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.*").where("hi > lo").distinct()
         after = saved(small, f"{name}-edges")
-        drop(now)
+        for old in (now, least, large, lowest):
+            drop(old)
         now = after
     stars = now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     return stars.union(now.select("lo", "lo").distinct())

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,6 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 PART = 1 << 19  # bytes of text that are worked on together
-_M = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
 
 
 def splitmix(seed: int, n: int) -> np.ndarray:
@@ -37,23 +35,9 @@ def mix(z: np.ndarray) -> np.ndarray:
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTES = splitmix(1, 256) | U64(1)
-_LOWER = _BYTES.copy()
-_LOWER[ord("A") : ord("Z") + 1] = _BYTES[ord("a") : ord("z") + 1]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 _GRAM = splitmix(2, 4096) | U64(1)
-_powers: list[np.ndarray] = [np.ones(1, dtype=U64), np.ones(1, dtype=U64)]
-
-
-def powers(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        n = max(n, 1 << 20)
-        for k, base in enumerate((_BASE, _INV)):
-            x = np.full(n, base, dtype=U64)
-            x[0] = 1
-            with np.errstate(over="ignore"):
-                np.multiply.accumulate(x, out=x)
-            _powers[k] = x
-    return _powers
 
 
 def string_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,13 +111,32 @@ class Words:
         """The text number of each word."""
         return np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        """64-bit hashes of the words' bytes; lower folds A-Z."""
-        up, down = powers(len(self.data) + 1)
-        with np.errstate(over="ignore"):
-            total = np.zeros(len(self.data) + 1, dtype=U64)
-            np.cumsum((_LOWER if lower else _BYTES)[self.data] * up[: len(self.data)], out=total[1:])
-            return mix((total[self.end] - total[self.start]) * down[self.start])
+    def codes(self, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
+        """(the number of each word, the distinct words by number): equal numbers are equal bytes; lower folds A-Z."""
+        keep = filled(len(self.data), self.start, self.end)
+        packed = self.data[keep]
+        if lower:
+            packed = _LOWER[packed]
+        at = np.append(0, np.cumsum(self.end - self.start))
+        words = pa.Array.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(at), pa.py_buffer(packed)]).dictionary_encode()
+        return words.indices.to_numpy(), words.dictionary
+
+    def hashes(self, lower: bool = False, lanes: int = 1) -> np.ndarray:
+        """64 bits of each word's BLAKE2b digest; with two lanes, two rows of 64 other bits each."""
+        number, words = self.codes(lower)
+        data, offs = string_bytes(words)
+        raw, at = data.tobytes(), offs.tolist()
+        digests = b"".join([blake2b(raw[a:b], digest_size=8 * lanes).digest() for a, b in zip(at, at[1:], strict=False)])
+        each = np.frombuffer(digests, U64).reshape(-1, lanes)
+        return each[number, 0] if lanes == 1 else each[number].T
+
+
+def filled(size: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of `size` bytes are in one of the ranges, which don't overlap."""
+    edge = np.zeros(size + 1, np.int8)
+    edge[start] += 1
+    edge[end] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:

@@ -1,14 +1,19 @@
 """Near-duplicate documents by a signature-coordinate inverted join.
 
-1. Each text becomes a set of word-shingle hashes and a MinHash signature of `coordinates` values. Texts with equal sets are one
-   class; one document stands for it from here on.
+1. Each text becomes a set of word-shingle hashes and a MinHash signature of `coordinates` values. Texts with equal sets (128 bits from
+   two BLAKE2b hashes of each word) are one class; one document stands for it from here on.
 2. Documents are posted under coordinate-value pairs. Two sets of the asked similarity agree in at least `threshold` coordinates,
    but for a chance of `loss`. A value that one document alone has can't agree; a document with fewer than threshold shared
    values drops out. The others are posted under a prefix only: their size - threshold + 1 rarest shared values, as two
    documents that agree in threshold values meet under one of these.
-3. In each posting list, signatures are compared and agreements counted; what passes the threshold joins a family. A list yields
-   a forest, at most one row less than it has members, not its pairs. Long lists are cut into blocks that meet pairwise.
-4. In each family, links are confirmed on the full sets, again as a forest. Large families are cut into blocks too.
+3. In each posting list, collisions are counted: the shortest of a document's own lists are merged, and the others are only looked
+   at for those that can still reach the threshold. What does so, and whose sizes allow the similarity, joins a family. A list yields
+   a forest, at most one row less than it has members, not its pairs.
+4. In each family, links are confirmed on the texts' real words, again as a forest: members meet under the rarest shingles of their sets,
+   and what meets is compared in full.
+
+Lists and families that are too long for one task are first compared with one of their members. What is near it needs
+no comparison among itself: those rows are dealt out, and only the rest meets all others.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm._shared import components, in_groups, saved
+from lumenfold.llm._shared import components, drop, extended, in_groups, saved
 from lumenfold.llm._text import PART, Words, grams, lean, mix, pieces, splitmix, string_bytes, whole
 
 COORDINATES, LOSS = 64, 1e-9
@@ -39,26 +44,27 @@ def threshold(num: int, den: int, coordinates: int = COORDINATES, loss: float =
     return coordinates
 
 
-def shingle_sets(text: pa.Array, k: int, limit: int = PART) -> Iterator[tuple[int, int, list[np.ndarray]]]:
-    """(first row, end row, sorted distinct shingle hashes of each row's text).
+def shingle_sets(text: pa.Array, k: int, limit: int = PART) -> Iterator[tuple[int, int, list[np.ndarray], list[np.ndarray], np.ndarray]]:
+    """(first row, end row, two arrays of sorted distinct shingle hashes for each text, words of each text).
 
     Words of A-Z folded texts; a text with fewer than k words is one shingle of all its words, without words the set is empty.
     """
     data, offs = string_bytes(text)
     for i, j in pieces(offs, limit):
         words = Words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-        h = words.hashes(lower=True)
-        g = grams(h, k)
-        sets = []
-        for a, b in zip(words.at[:-1].tolist(), words.at[1:].tolist(), strict=True):
-            if b - a >= k:
-                s = np.sort(g[a : b - k + 1])
-                keep = np.ones(len(s), bool)
-                np.not_equal(s[1:], s[:-1], out=keep[1:])
-                sets.append(s[keep])
-            else:
-                sets.append(whole(h[a:b]) if b > a else h[:0])
-        yield i, j, sets
+        lanes = []
+        for h in words.hashes(lower=True, lanes=2):
+            g = grams(h, k)
+            ends = zip(words.at[:-1].tolist(), words.at[1:].tolist(), strict=True)
+            lanes.append([_distinct(np.sort(g[a : b - k + 1])) if b - a >= k else whole(h[a:b]) if b > a else h[:0] for a, b in ends])
+        yield i, j, *lanes, np.diff(words.at)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted values without repeats."""
+    keep = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=keep[1:])
+    return x[keep]
 
 
 def signature(s: np.ndarray, coordinates: int) -> np.ndarray:
@@ -72,128 +78,283 @@ def signature(s: np.ndarray, coordinates: int) -> np.ndarray:
         return mix(out + _XOR[:coordinates])
 
 
-def _digest(s: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set."""
+def _sum(s: np.ndarray) -> int:
+    """64 bits of a set of hashes."""
     with np.errstate(over="ignore"):
-        return int(mix(s).sum(dtype=np.uint64).view(np.int64)), int((mix(s ^ _XOR[0]) * _MUL[1]).sum(dtype=np.uint64).view(np.int64))
+        return int(mix(s).sum(dtype=np.uint64).view(np.int64))
 
 
 def _features(k: int, coordinates: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, sets in shingle_sets(batch.column(1), k):
-                digests = [_digest(s) if len(s) else (0, 0) for s in sets]
-                keys = [signature(s, coordinates).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
+            for i, j, sets, others, words in shingle_sets(batch.column(1), k):
+                # A text with fewer than k words is like none but those with equal words, so it needs no signature.
+                keys = [signature(s, coordinates).view(np.int64) if n >= k else np.zeros(0, np.int64) for s, n in zip(sets, words.tolist(), strict=True)]
                 at = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(list(map(len, sets)), _I64), *(pa.array([d[x] for d in digests], _I64) for x in (0, 1)), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys), _I64))],
+                    [batch.column(0).slice(i, j - i), pa.array(list(map(len, sets)), _I64), *(pa.array(list(map(_sum, x)), _I64) for x in (sets, others)), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys), _I64))],
                     ["id", "n", "d1", "d2", "keys"],
                 )
 
     return run
 
 
-def _sets(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, sets in shingle_sets(batch.column("text"), k):
-                at = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                hashes = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64), _I64))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("family", "id")), hashes], ["family", "id", "hashes"])
+def _forest(n: int, joined, settled: np.ndarray | None = None) -> tuple[list[int], list[int]]:
+    """Edges that connect what joined(i, left) -> the members, of those still left, that i joins, connects; each of n is asked once.
 
-    return run
-
-
-def _forest(n: int, joined) -> tuple[list[int], list[int]]:
-    """Edges that connect what joined(i, others) -> the others that i joins connects; each of n is asked once."""
-    left, a, b = np.arange(1, n), [], []
-    queue = [0]
+    settled: members that are connected already, which are asked but need no edges. joined sees a mask of those left.
+    """
+    left, a, b = np.ones(n, bool), [], []
+    queue = np.flatnonzero(settled).tolist() if settled is not None else []
+    left[queue] = False
+    first = 0
     while True:
-        while queue and len(left):
+        while queue:
             i = queue.pop()
-            got = joined(i, left)
-            if got.any():
-                new = left[got]
+            new = joined(i, left)
+            if len(new):
                 a += [i] * len(new)
                 b += new.tolist()
                 queue += new.tolist()
-                left = left[~got]
-        if not len(left):
+                left[new] = False
+        while first < n and not left[first]:
+            first += 1
+        if first == n:
             return a, b
-        queue, left = [int(left[0])], left[1:]
+        queue, left[first] = [first], False
+
 
+def _edges(ids: np.ndarray, a: np.ndarray | list[int], b: np.ndarray | list[int]) -> pa.RecordBatch | None:
+    return pa.RecordBatch.from_arrays([pa.array(ids[a], _I64), pa.array(ids[b], _I64)], ["a", "b"]) if len(a) else None
 
-def _edges(ids: np.ndarray, a: list[int], b: list[int]) -> pa.RecordBatch | None:
-    return pa.RecordBatch.from_arrays([pa.array(ids[a], _I64), pa.array(ids[b], _I64)], ["a", "b"]) if a else None
 
+class _Postings:
+    """Which members hold a token, of those that are left; made anew whenever half of them are gone."""
 
-def _agreeing(least: int, coordinates: int):
-    """Edges between the members of a posting list whose signatures agree in at least `least` coordinates.
+    def __init__(self, tokens: np.ndarray, owners: np.ndarray, members: int) -> None:
+        self.tokens, self.owners, self.size = tokens, owners, members
+        self.top = int(tokens.max()) + 1 if len(tokens) else 0
+        self._index()
 
-    sig holds the low byte of each value, of which equal ones are counted: never fewer than agree.
+    def _index(self) -> None:
+        order = np.argsort(self.tokens, kind="stable")
+        self.tokens, self.owners = self.tokens[order], self.owners[order]
+        self.starts = np.searchsorted(self.tokens, np.arange(self.top + 1))
+
+    def shrink(self, left: np.ndarray) -> None:
+        n = int(left.sum())
+        if 2 * n < self.size:
+            keep = left[self.owners]
+            self.tokens, self.owners, self.size = self.tokens[keep], self.owners[keep], n
+            self._index()
+
+    def lengths(self, tokens: np.ndarray) -> np.ndarray:
+        return self.starts[tokens + 1] - self.starts[tokens]
+
+    def owners_of(self, tokens: np.ndarray) -> np.ndarray:
+        """The owners of all tokens, one list behind the other."""
+        return self.owners[_ranges(self.starts[tokens], self.lengths(tokens))]
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def _agreeing(least: int, coordinates: int, num: int, den: int, direct: int = 256):
+    """Edges between members of posting lists whose signatures agree in at least `least` coordinates and whose sizes allow the similarity.
+
+    sig holds the low byte of each value, of which equal ones are counted: never fewer than agree. Lists of up to `direct` members
+    are counted whole; in longer ones short lists are merged and long ones skipped.
     """
 
-    def work(group: pa.Table) -> pa.RecordBatch | None:
-        if group.num_rows < 2:
-            return None
-        ids = group.column("id").to_numpy()
-        _, one = np.unique(ids, return_index=True)
-        if len(one) < 2:
+    def fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return den * np.minimum(x, y) >= num * np.maximum(x, y)
+
+    def work(table: pa.Table) -> pa.RecordBatch | None:
+        if table.num_rows < 2:
             return None
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(-1, coordinates)[one]
-        return _edges(ids[one], *_forest(len(one), lambda i, others: (sig[others] == sig[i]).sum(axis=1) >= least))
+        key, block, ids, n = (table.column(c).to_numpy() for c in ("key", "block", "id", "n"))
+        near = table.column("near").to_numpy()
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, coordinates)
+        starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])))
+        sizes = np.diff(np.append(starts, len(key)))
+        two = starts[sizes == 2]
+        two = two[(ids[two] != ids[two + 1]) & fits(n[two], n[two + 1])]
+        two = two[(sig[two] == sig[two + 1]).sum(axis=1) >= least]
+        a, b = [two], [two + 1]
+        for at, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            here, sizes_of, settled = sig[at : at + size], n[at : at + size], near[at : at + size]
+            joined = _whole(here, sizes_of, least, fits) if size <= direct else _skipping(here, sizes_of, least, fits)
+            x, y = _forest(size, joined, settled)
+            a.append(np.array(x, np.int64) + at)
+            b.append(np.array(y, np.int64) + at)
+        return _edges(ids, np.concatenate(a), np.concatenate(b))
 
     return work
 
 
-def _confirmed(num: int, den: int):
-    """Edges between the members of a family whose full sets have the asked similarity."""
-
-    def work(group: pa.Table) -> pa.RecordBatch | None:
-        if group.num_rows < 2:
+def _whole(sig: np.ndarray, n: np.ndarray, least: int, fits):
+    def joined(i: int, left: np.ndarray) -> np.ndarray:
+        others = np.flatnonzero(left)
+        others = others[fits(n[others], n[i])]
+        return others[(sig[others] == sig[i]).sum(axis=1) >= least]
+
+    return joined
+
+
+def _skipping(sig: np.ndarray, n: np.ndarray, least: int, fits):
+    """The members that agree with i: what is in none of i's shortest lists can't reach the threshold in the others."""
+    members, width = sig.shape
+    tokens = sig.astype(np.int64) + 256 * np.arange(width)
+    posted = _Postings(tokens.reshape(-1), np.repeat(np.arange(members), width), members)
+
+    def joined(i: int, left: np.ndarray) -> np.ndarray:
+        posted.shrink(left)
+        order = np.argsort(posted.lengths(tokens[i]), kind="stable")
+        short, long = order[: width - least + 1], order[width - least + 1 :]
+        some, count = np.unique(posted.owners_of(tokens[i][short]), return_counts=True)
+        keep = left[some] & fits(n[some], n[i])
+        some, count = some[keep], count[keep]
+        for a in range(0, len(long), 8):
+            keep = count + len(long) - a >= least
+            some, count = some[keep], count[keep]
+            if not len(some):
+                break
+            part = long[a : a + 8]
+            count = count + (sig[np.ix_(some, part)] == sig[i, part]).sum(axis=1)
+        return some[count >= least]
+
+    return joined
+
+
+def _shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(number of each text's distinct shingles, in parts; where each text's begin; how many numbers): equal numbers are equal words, without hashes."""
+    data, offs = string_bytes(texts)
+    words = Words(data, offs)
+    code = words.codes(lower=True)[0].astype(np.int64)
+    at = words.at
+    n = np.maximum(np.diff(at) - k + 1, 0)
+    start = _ranges(at[:-1], n)
+    hashed = grams(mix(code.astype(np.uint64)), k)[start] if len(start) else np.zeros(0, np.uint64)
+    _, first, number = np.unique(hashed, return_index=True, return_inverse=True)
+    if any((code[start + d] != code[start[first[number]] + d]).any() for d in range(k)):  # two shingles with one hash
+        _, number = np.unique(np.stack([code[start + d] for d in range(k)], axis=1), axis=0, return_inverse=True)
+    top = int(number.max()) + 1 if len(number) else 1
+    each = _distinct(np.sort(np.repeat(np.arange(len(n)), n) * top + number.reshape(-1)))
+    owner, number = each // top, each % top
+    return number, np.searchsorted(owner, np.arange(len(n) + 1)), top
+
+
+def _confirmed(k: int, num: int, den: int):
+    """Edges between the members of families whose full sets have the asked similarity."""
+
+    def work(table: pa.Table) -> pa.RecordBatch | None:
+        m = table.num_rows
+        if m < 2:
             return None
-        ids, lists = group.column("id").to_numpy(), group.column("hashes").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        at = lists.offsets.to_numpy().astype(np.int64)
-        values = lists.values.to_numpy()
-        size, at = np.diff(at), at - at[0]
-        values = values[lists.offsets[0].as_py() :][: at[-1]]
-        if len(ids) == 2:
-            both = len(np.intersect1d(values[: at[1]], values[at[1] :], assume_unique=True))
-            return _edges(ids, [0], [1]) if den * both >= num * (int(size.sum()) - both) else None
-        # An inverted index of the family: for each shingle the members that have it.
-        _, number = np.unique(values, return_inverse=True)
-        order = np.argsort(number, kind="stable")
-        owner = np.repeat(np.arange(len(ids)), size)[order]
-        starts = np.append(0, np.cumsum(np.bincount(number)))
-
-        def joined(i: int, others: np.ndarray) -> np.ndarray:
-            mine = number[at[i] : at[i + 1]]
-            lows, n = starts[mine], starts[mine + 1] - starts[mine]
-            where = np.repeat(lows - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            both = np.bincount(owner[where], minlength=len(ids))[others]
-            return den * both >= num * (size[i] + size[others] - both)
-
-        return _edges(ids, *_forest(len(ids), joined))
+        ids = table.column("id").to_numpy()
+        family, block, near = (table.column(c).to_numpy() for c in ("family", "block", "near"))
+        number, at, top = _shingles(table.column("text"), k)
+        size = np.diff(at)
+        group = np.append(0, np.cumsum((family[1:] != family[:-1]) | (block[1:] != block[:-1])))
+        owner = np.repeat(np.arange(m), size)
+        # A token is a shingle of a family; numbered from the rarest on.
+        _, token, often = np.unique(group[owner] * top + number, return_inverse=True, return_counts=True)
+        rank = np.empty(len(often), np.int64)
+        rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+        token = rank[token]
+        token = token[np.lexsort((token, owner))]
+        # A member shares num / den of its own set at least with all it links to, so some of its rarest others.
+        rarest = size - (num * size + den - 1) // den + 1
+        ours = _ranges(at[:-1], np.minimum(rarest, size))
+        posted = _Postings(token[ours], owner[ours], m)
+        mark = np.zeros(len(often), bool)
+
+        def joined(i: int, left: np.ndarray) -> np.ndarray:
+            posted.shrink(left)
+            some = np.unique(posted.owners_of(token[at[i] : at[i] + min(rarest[i], size[i])]))
+            some = some[left[some]]
+            some = some[den * np.minimum(size[some], size[i]) >= num * np.maximum(size[some], size[i])]
+            if not len(some):
+                return some
+            mine = token[at[i] : at[i + 1]]
+            mark[mine] = True
+            both = np.add.reduceat(mark[token[_ranges(at[some], size[some])]], np.append(0, np.cumsum(size[some])[:-1]), dtype=np.int64)
+            mark[mine] = False
+            return some[den * both >= num * (size[some] + size[i] - both)]
+
+        return _edges(ids, *_forest(m, joined, near))
 
     return work
 
 
-def in_blocks(rows: DataFrame, keys: list[str], parts: str) -> DataFrame:
-    """rows with a column block: groups of `parts` > 1 parts are cut, and each two parts meet in one block.
+def _near_agreeing(least: int, coordinates: int):
+    """Whether a member's signature agrees with the hub's."""
+
+    def near(hub: pa.Array, own: pa.Array) -> np.ndarray:
+        a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, coordinates) for x in (hub, own))
+        return (a == b).sum(axis=1) >= least
+
+    return near
+
+
+def _near_confirmed(k: int, num: int, den: int):
+    """Whether a member's set has the asked similarity with the hub's."""
+
+    def near(hub: pa.Array, own: pa.Array) -> np.ndarray:
+        out = []
+        for a in range(len(own)):
+            number, at, _ = _shingles(pa.array([hub[a].as_py(), own[a].as_py()], pa.string()), k)
+            both = len(np.intersect1d(number[: at[1]], number[at[1] :], assume_unique=True))
+            out.append(both > 0 and den * both >= num * (len(number) - both))
+        return np.array(out, bool)
+
+    return near
+
+
+def _with_near(test, payload: str, columns: list[str]):
+    """Rows with a flag: whether they are near the hub of their group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = test(batch.column("hub_payload"), batch.column(payload))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(near, pa.bool_())], [*columns, "near"])
+
+    return run
+
+
+def in_blocks(rows: DataFrame, keys: list[str], payload: str, weight: str, limit: int, test) -> tuple[DataFrame, DataFrame | None]:
+    """(rows with columns block and near, edges): groups of more than `limit` of weight are cut into blocks.
 
-    A row of such a group is in as many blocks as there are parts; every two rows meet in at least one.
+    A long group's members are compared with its hub, the one with the least id: that takes one pass. Those near it are connected by the edges
+    that are returned and needn't meet each other. They are dealt into parts, and the others meet all parts and each other, two parts in a block.
     """
-    part = F.pmod(F.xxhash64("id", F.lit(17)), F.col(parts)).cast("int")
-    cut = rows.withColumn("_p", part).withColumn("_q", F.explode(F.sequence(F.lit(0), (F.col(parts) - 1).cast("int"))))
-    block = F.least("_p", "_q") * F.col(parts) + F.greatest("_p", "_q")
-    # Of more than two parts, a part meets itself within its blocks with others.
-    return cut.where((F.col(parts) == 1) | (F.col("_p") != F.col("_q"))).withColumn("block", block.cast("long")).drop("_p", "_q")
+    sizes = saved(rows.groupBy(*keys).agg(F.sum(F.expr(weight)).alias("w"), F.count("*").alias("m"), F.min("id").alias("hub")).where("m > 1"), "sizes")
+    plain = [*keys, "block", *[c for c in rows.columns if c not in keys], "near"]
+    short = rows.join(sizes.where(F.col("w") <= limit).select(*keys), keys).withColumn("block", F.lit(0).cast("long")).withColumn("near", F.lit(False)).select(*plain)
+    long = sizes.where(F.col("w") > limit)
+    if not long.limit(1).count():
+        return short, None
+    members = saved(rows.join(long.select(*keys, "hub"), keys), "long-groups")
+    hubs = saved(members.where("id = hub").groupBy(*keys).agg(F.first(payload).alias("hub_payload")), "hubs")
+    schema = extended(members.schema, "near boolean")
+    told = saved(members.join(hubs, keys).mapInArrow(lean(_with_near(test, payload, members.columns)), schema), "near-hub")
+    parts = lambda near: F.ceil(F.sum(F.when(F.col("near") == near, F.expr(weight)).otherwise(0)) / limit).cast("long")
+    counts = saved(told.groupBy(*keys).agg(parts(True).alias("_s"), parts(False).alias("_r")).where("_r > 0"), "parts")
+    dealt = told.join(counts, keys).withColumn("_p", F.pmod(F.xxhash64("id", F.lit(17)), F.when(F.col("near"), F.col("_s")).otherwise(F.col("_r"))))
+    # Blocks p * _r + q of the others' parts p <= q, then one for each of their parts with each of the near ones'.
+    mine = F.when(F.col("near"), F.expr("transform(sequence(0L, _r - 1), q -> _r * _r + q * _s + _p)")).otherwise(
+        F.expr("concat(transform(sequence(0L, _r - 1), q -> least(_p, q) * _r + greatest(_p, q)), if(_s > 0, transform(sequence(0L, _s - 1), q -> _r * _r + _p * _s + q), array()))")
+    )
+    # A part meets itself in its blocks with others, if it has any.
+    alone = (F.col("_r") > 1) | (F.col("_s") > 0)
+    cut = dealt.withColumn("block", F.explode(mine)).where(F.col("near") | ~alone | (F.col("block") != F.col("_p") * F.col("_r") + F.col("_p")))
+    return short.union(cut.select(*plain)), told.where("near and id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
 
 
 def near_duplicates(
     docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100,
-    coordinates: int = COORDINATES, loss: float = LOSS, list_rows: int = 1_000, family_hashes: int = 4_000_000,
+    coordinates: int = COORDINATES, loss: float = LOSS, list_rows: int = 4_000, family_bytes: int = 8 << 20,
 ) -> DataFrame:
     """A row for each document: id, n_shingles, component_id (the smallest id reachable over links, itself included) and kept.
 
@@ -201,7 +362,7 @@ def near_duplicates(
     without words, null ones too, are linked with nothing. Rows that repeat an id are one node of the links. Rows without an id are
     linked with nothing and kept, with a null component_id.
 
-    list_rows, family_hashes: what one block of a posting list or of a family holds at most, on average.
+    list_rows, family_bytes: what a part of a long posting list or of a large family holds on average.
     """
     least = threshold(num, den, coordinates, loss)
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -217,18 +378,19 @@ def near_duplicates(
     rarest = F.slice(F.array_sort(F.collect_list(F.struct("count", "key"))), 1, F.greatest(F.count("*") - least + 1, F.lit(0)).cast("int"))
     prefixes = classes.select("rep", "d1", F.explode("keys").alias("key")).join(shared, "key").groupBy("rep", "d1").agg(rarest.alias("prefix")).where("size(prefix) > 0")
     low = F.expr("unhex(array_join(transform(keys, x -> lpad(hex(x & 255), 2, '0')), ''))")
-    signed = prefixes.join(classes.select("rep", "d1", low.alias("sig")), ["rep", "d1"])
-    lists = saved(signed.select(F.col("rep").alias("id"), "sig", F.explode("prefix").alias("p")).select("id", "sig", "p.key"), "postings")
-    sizes = lists.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / list_rows).cast("long").alias("parts"))
-    candidates = in_groups(in_blocks(lists.join(sizes, "key"), ["key"], "parts").select("key", "block", "id", "sig"), ["key", "block"], _agreeing(least, coordinates), "a long, b long")
-    families = saved(components(candidates, "families"), "families")
+    signed = prefixes.join(classes.select("rep", "d1", "n", low.alias("sig")), ["rep", "d1"])
+    lists = saved(signed.select(F.col("rep").alias("id"), "n", "sig", F.explode("prefix").alias("p")).select("p.key", "id", "n", "sig"), "postings")
+    blocks, edges = in_blocks(lists, ["key"], "sig", "1", list_rows, _near_agreeing(least, coordinates))
+    candidates = in_groups(blocks, ["key", "block"], _agreeing(least, coordinates, num, den), "a long, b long", 5_000)
+    families = saved(components(candidates if edges is None else candidates.union(edges), "families"), "families")
+    drop(lists)
 
     wanted = families.select(F.col("node").alias("id"), F.col("component").alias("family"))
-    texts = wanted.hint("shuffle_hash").join(source, "id").groupBy("family", "id", "text").agg(F.lit(1)).select("family", "id", "text")
-    sets = saved(texts.mapInArrow(lean(_sets(k)), "family long, id long, hashes array<long>"), "sets")
-    weights = sets.groupBy("family").agg(F.sum(F.size("hashes")).alias("w")).select("family", F.ceil(F.col("w") / family_hashes).cast("long").alias("parts"))
-    members = in_blocks(sets.join(weights, "family"), ["family"], "parts").select("family", "block", "id", "hashes")
-    links = in_groups(members, ["family", "block"], _confirmed(num, den), "a long, b long")
+    texts = wanted.join(source, "id").groupBy("family", "id", "text").agg(F.lit(1)).select("family", "id", "text")
+    members = saved(texts, "members")
+    blocks, edges = in_blocks(members, ["family"], "text", "octet_length(text)", family_bytes, _near_confirmed(k, num, den))
+    links = in_groups(blocks, ["family", "block"], _confirmed(k, num, den), "a long, b long", 1 << 19, "text")
+    links = links if edges is None else links.union(edges)
 
     # Equal sets link too: a class's documents with its representative; those of one id alone don't matter.
     linked = components(links, "links").select(F.col("node").alias("rep"), "component")
