@@ -6,13 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenfold.llm._text import lean, string_bytes
 from lumenfold.operators.written import drop, saved
 
+SALTS = 8
 __all__ = ["components", "drop", "extended", "grouped", "in_groups", "saved"]
 
 
@@ -84,22 +85,25 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     Alternating large-star and small-star rounds; each is an aggregation and a join over the
     edges, so neither the driver nor one task holds a component. Nodes without edges are absent.
     """
-    now = saved(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi > lo").distinct(), f"{name}-edges")
+
+    def measured(df: DataFrame, name: str) -> tuple[DataFrame, dict]:
+        said = Observation()
+        out = saved(df.observe(said, F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")), f"{name}-edges")
+        return out, said.get
+
+    now, state = measured(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi > lo").distinct(), name)
     seen = None
-    while True:
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")).first()
-        if not state.n or state == seen:
-            break
-        seen = state
-        # The least nodes are written too: a join of two plain tables can split a node of many edges over tasks.
-        least = saved(now.union(now.select("lo", "hi")).toDF("u", "v").groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-least")
-        large = saved(now.join(least, now.lo == least.u).select("hi", F.col("m").alias("lo")).distinct(), f"{name}-large")
-        lowest = saved(large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m")), f"{name}-lowest")
+    while state["n"] and state != seen:
+        least = now.union(now.select("lo", "hi")).toDF("u", "v").groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Dealt out by a salt, so that the edges of one node meet in several tasks.
+        least = least.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        salted = now.withColumn("at", F.pmod(F.xxhash64("hi"), F.lit(SALTS)).cast("int"))
+        large = salted.join(least, (salted.lo == least.u) & (salted["at"] == least.salt)).select("hi", F.col("m").alias("lo")).distinct()
+        lowest = large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
         pairs = large.join(lowest, large.hi == lowest.u)
         small = pairs.select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.*").where("hi > lo").distinct()
-        after = saved(small, f"{name}-edges")
-        for old in (now, least, large, lowest):
-            drop(old)
-        now = after
+        seen, before = state, now
+        now, state = measured(small, name)
+        drop(before)
     stars = now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     return stars.union(now.select("lo", "lo").distinct())

@@ -125,7 +125,20 @@ def _forest(n: int, joined, settled: np.ndarray | None = None) -> tuple[list[int
 
 
 def _edges(ids: np.ndarray, a: np.ndarray | list[int], b: np.ndarray | list[int]) -> pa.RecordBatch | None:
-    return pa.RecordBatch.from_arrays([pa.array(ids[a], _I64), pa.array(ids[b], _I64)], ["a", "b"]) if len(a) else None
+    """Each tree of a forest as a star around its least id. Edges come after those that lead to them."""
+    if not len(a):
+        return None
+    a, b = (x if isinstance(x, list) else x.tolist() for x in (a, b))
+    root: dict[int, int] = {}
+    for x, y in zip(a, b, strict=True):
+        root[y] = root.setdefault(x, x)
+    member, tree = np.array(list(root.keys())), np.array(list(root.values()))
+    order = np.argsort(tree, kind="stable")
+    member, tree = ids[member[order]], tree[order]
+    first = np.flatnonzero(np.append(True, tree[1:] != tree[:-1]))
+    least = np.repeat(np.minimum.reduceat(member, first), np.diff(np.append(first, len(tree))))
+    keep = member != least
+    return pa.RecordBatch.from_arrays([pa.array(least[keep], _I64), pa.array(member[keep], _I64)], ["a", "b"])
 
 
 class _Postings:
@@ -386,7 +399,8 @@ def near_duplicates(
     drop(lists)
 
     wanted = families.select(F.col("node").alias("id"), F.col("component").alias("family"))
-    texts = wanted.join(source, "id").groupBy("family", "id", "text").agg(F.lit(1)).select("family", "id", "text")
+    # Families grow with the input, so they are never broadcast.
+    texts = wanted.hint("merge").join(source, "id").groupBy("family", "id", "text").agg(F.lit(1)).select("family", "id", "text")
     members = saved(texts, "members")
     blocks, edges = in_blocks(members, ["family"], "text", "octet_length(text)", family_bytes, _near_confirmed(k, num, den))
     links = in_groups(blocks, ["family", "block"], _confirmed(k, num, den), "a long, b long", 1 << 19, "text")

@@ -83,8 +83,7 @@ def test_lists_are_merged_as_counted_whole():
     n = r.integers(90, 110, 400)
     table = pa.table({"key": np.zeros(400, np.int64), "block": np.zeros(400, np.int64), "id": np.arange(400), "n": n, "sig": [x.tobytes() for x in sig], "near": np.arange(400) < 3})
 
-    def groups(direct):
-        out = _agreeing(36, 64, 85, 100, direct)(table)
+    def components(edges):
         parent = list(range(400))
 
         def find(x):
@@ -92,14 +91,17 @@ def test_lists_are_merged_as_counted_whole():
                 x = parent[x]
             return x
 
-        for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True):
-            assert (sig[a] == sig[b]).sum() >= 36 and 100 * min(n[a], n[b]) >= 85 * max(n[a], n[b])
-            parent[find(a)] = find(b)
-        return [find(x) for x in range(400)], len(out)
+        for a, b in [(0, 1), (0, 2), *edges]:  # the first three are known to be near each other
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+        return [find(x) for x in range(400)]
+
+    def edges(direct):
+        out = _agreeing(36, 64, 85, 100, direct)(table)
+        return zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)
 
-    (x, _), (y, _) = groups(1000), groups(2)
-    same = lambda c: {(i, j) for i in range(400) for j in range(i) if c[i] == c[j]}
-    assert same(x) == same(y)
+    want = [(i, j) for i in range(400) for j in range(i) if (sig[i] == sig[j]).sum() >= 36 and 100 * min(n[i], n[j]) >= 85 * max(n[i], n[j])]
+    assert components(edges(1000)) == components(edges(2)) == components(want)
 
 
 def test_shingles_are_words_not_hashes():
