@@ -124,13 +124,18 @@ class Words:
     def hashes(self, lower: bool = False, lanes: int = 1) -> np.ndarray:
         """64 bits of each word's BLAKE2b digest; with two lanes, two rows of 64 other bits each."""
         number, words = self.codes(lower)
-        data, offs = string_bytes(words)
-        raw, at = data.tobytes(), offs.tolist()
-        digests = b"".join([blake2b(raw[a:b], digest_size=8 * lanes).digest() for a, b in zip(at, at[1:], strict=False)])
-        each = np.frombuffer(digests, U64).reshape(-1, lanes)
+        each = word_hashes(words, lanes)
         return each[number, 0] if lanes == 1 else each[number].T
 
 
+def word_hashes(words: pa.Array, lanes: int = 1) -> np.ndarray:
+    """64 bits of each word's BLAKE2b digest in each lane."""
+    data, offs = string_bytes(words)
+    raw, at = data.tobytes(), offs.tolist()
+    digests = b"".join([blake2b(raw[a:b], digest_size=8 * lanes).digest() for a, b in zip(at, at[1:], strict=False)])
+    return np.frombuffer(digests, U64).reshape(-1, lanes)
+
+
 def filled(size: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Which of `size` bytes are in one of the ranges, which don't overlap."""
     edge = np.zeros(size + 1, np.int8)
@@ -154,3 +159,18 @@ def whole(h: np.ndarray) -> int:
     with np.errstate(over="ignore"):
         x = np.array([(h * _GRAM[: len(h)]).sum(dtype=U64) + U64(len(h) * 0x51ED270B)], dtype=U64)
     return mix(x)
+
+
+def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for n values each, one range behind the other."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def sequences(code: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
+    """A number from 0 for each of the k codes behind each start: equal numbers are equal codes, not equal hashes."""
+    if not len(start):
+        return np.zeros(0, np.int64)
+    _, first, number = np.unique(grams(mix(code.astype(U64)), k)[start], return_index=True, return_inverse=True)
+    if any((code[start + d] != code[start[first[number]] + d]).any() for d in range(k)):  # two sequences with one hash
+        _, number = np.unique(np.stack([code[start + d] for d in range(k)], axis=1), axis=0, return_inverse=True)
+    return number.reshape(-1)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm._shared import components, drop, extended, in_groups, saved
-from lumenfold.llm._text import PART, Words, grams, lean, mix, pieces, splitmix, string_bytes, whole
+from lumenfold.llm._text import PART, Words, grams, lean, mix, pieces, ranges, sequences, splitmix, string_bytes, whole
 
 COORDINATES, LOSS = 64, 1e-9
 _XOR, _MUL = splitmix(11, 1024), splitmix(12, 1024) | np.uint64(1)
@@ -166,11 +166,7 @@ class _Postings:
 
     def owners_of(self, tokens: np.ndarray) -> np.ndarray:
         """The owners of all tokens, one list behind the other."""
-        return self.owners[_ranges(self.starts[tokens], self.lengths(tokens))]
-
-
-def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return self.owners[ranges(self.starts[tokens], self.lengths(tokens))]
 
 
 def _agreeing(least: int, coordinates: int, num: int, den: int, direct: int = 256):
@@ -247,13 +243,10 @@ def _shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, int]:
     code = words.codes(lower=True)[0].astype(np.int64)
     at = words.at
     n = np.maximum(np.diff(at) - k + 1, 0)
-    start = _ranges(at[:-1], n)
-    hashed = grams(mix(code.astype(np.uint64)), k)[start] if len(start) else np.zeros(0, np.uint64)
-    _, first, number = np.unique(hashed, return_index=True, return_inverse=True)
-    if any((code[start + d] != code[start[first[number]] + d]).any() for d in range(k)):  # two shingles with one hash
-        _, number = np.unique(np.stack([code[start + d] for d in range(k)], axis=1), axis=0, return_inverse=True)
+    start = ranges(at[:-1], n)
+    number = sequences(code, start, k)
     top = int(number.max()) + 1 if len(number) else 1
-    each = _distinct(np.sort(np.repeat(np.arange(len(n)), n) * top + number.reshape(-1)))
+    each = _distinct(np.sort(np.repeat(np.arange(len(n)), n) * top + number))
     owner, number = each // top, each % top
     return number, np.searchsorted(owner, np.arange(len(n) + 1)), top
 
@@ -279,7 +272,7 @@ def _confirmed(k: int, num: int, den: int):
         token = token[np.lexsort((token, owner))]
         # A member shares num / den of its own set at least with all it links to, so some of its rarest others.
         rarest = size - (num * size + den - 1) // den + 1
-        ours = _ranges(at[:-1], np.minimum(rarest, size))
+        ours = ranges(at[:-1], np.minimum(rarest, size))
         posted = _Postings(token[ours], owner[ours], m)
         mark = np.zeros(len(often), bool)
 
@@ -292,7 +285,7 @@ def _confirmed(k: int, num: int, den: int):
                 return some
             mine = token[at[i] : at[i + 1]]
             mark[mine] = True
-            both = np.add.reduceat(mark[token[_ranges(at[some], size[some])]], np.append(0, np.cumsum(size[some])[:-1]), dtype=np.int64)
+            both = np.add.reduceat(mark[token[ranges(at[some], size[some])]], np.append(0, np.cumsum(size[some])[:-1]), dtype=np.int64)
             mark[mine] = False
             return some[den * both >= num * (size[some] + size[i] - both)]
 

@@ -4,34 +4,36 @@ Suffixes are indexed at anchors: in each window of `window` words, the first lea
 have equal anchors, so each window is judged at one suffix, and most suffixes need no place in a tree.
 
 1. The words at an anchor are the suffix's prefix, and suffixes are dealt out by it. A prefix that occurs once has no repeats.
-2. Groups of at most group_rows suffixes become subtrees: sorting the words behind the prefix gives a suffix array, whose common
+2. A prefix of more than group_rows suffixes is made longer: its windows become suffixes of their own, dealt out by their first
+   words, half of the way to the window more each time, until a group fits.
+3. Each group becomes a subtree: sorting the words from the prefix on gives a suffix array, whose common
    prefixes with the neighbours are the tree's internal nodes; the words before the prefix, backwards, give a second tree. A window whose
-   anchor is its word o + 1 is a node at depth window - prefix - o of one and a node at depth o of the other. Where several suffixes share both
-   nodes the window repeats, and all but the first are duplicates.
-3. Larger groups are split by the longest prefix that matters, the whole window. Such a group is one node; only its first
+   anchor is its word o + 1 is a node at depth window - o of one and a node at depth o of the other. Where several suffixes share both
+   nodes the window repeats, and all but the first are duplicates. Duplicate windows that overlap make up a maximal repeat.
+4. Where even the whole window has more occurrences, the group is one node and only its first
    occurrence is needed, so it is an aggregation, of any size.
 
-Texts that are equal as word sequences are one class with one place in the trees.
+Suffixes carry their words, and trees compare these; hashes only choose anchors and deal out. A word of more than LONG bytes stands as 256 bits of its BLAKE2b
+digest. Texts that are equal as word sequences (128 bits) are one class with one place in the trees.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm._shared import drop, extended, in_groups, saved
-from lumenfold.llm._text import Words, grams, lean, mix, pieces, splitmix, string_bytes
+from lumenfold.llm._text import Words, filled, grams, lean, pieces, ranges, sequences, string_bytes, word_hashes
 
 _LAST = (1 << 63) - 1  # rows without an id come after all others
-_ORDER = splitmix(21, 4) | np.uint64(1)
 _I64 = pa.int64()
-WORD = 5  # bytes of a word's hash in a tree; 0 is kept for "no word"
+LONG = 80  # bytes of a word that a tree holds as it is
 
 
 class _Batch:
@@ -39,7 +41,8 @@ class _Batch:
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, window: int, prefix: int) -> None:
         self.words, self.window, self.prefix = Words(data, offs), window, prefix
-        self.hashes = self.words.hashes()
+        self.code, distinct = self.words.codes()
+        self.hashes = word_hashes(distinct)[self.code, 0]
         at = self.words.at
         n = len(self.hashes)
         self.keys = grams(self.hashes, prefix)
@@ -91,21 +94,43 @@ class _Batch:
             return out
         n = (high - low + 1)[some]
         at = np.repeat(np.searchsorted(self.starts, low[some]) - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        hashes, owner = grams(self.hashes, self.window)[self.starts[at]], np.repeat(text[some], n)
-        order = np.lexsort((at, hashes, owner))
-        out[at[order[1:][(owner[order[1:]] == owner[order[:-1]]) & (hashes[order[1:]] == hashes[order[:-1]])]]] = True
+        number, owner = sequences(self.code, self.starts[at], self.window), np.repeat(text[some], n)
+        order = np.lexsort((at, number, owner))
+        out[at[order[1:][(owner[order[1:]] == owner[order[:-1]]) & (number[order[1:]] == number[order[:-1]])]]] = True
         return out
 
+    def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(all words with a space behind each, where each begins, where it ends); long words as their digests."""
+        w = self.words
+        size = w.end - w.start
+        packed = w.data[filled(len(w.data), w.start, w.end)]
+        if len(size) and size.max() > LONG:
+            at, chunks, done = np.append(0, np.cumsum(size)), [], 0
+            for k in np.flatnonzero(size > LONG).tolist():
+                short = b"\xff" + blake2b(packed[at[k] : at[k + 1]].tobytes(), digest_size=32).hexdigest().encode()
+                chunks += [packed[done : at[k]], np.frombuffer(short, np.uint8)]
+                done = at[k + 1]
+            packed = np.concatenate([*chunks, packed[done:]])
+            size = np.where(size > LONG, 65, size)
+        end = np.cumsum(size + 1) - 1
+        out = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
+        out[filled(len(out), end - size, end)] = packed
+        return out, end - size, end
+
     def digests(self) -> tuple[np.ndarray, np.ndarray]:
         """128 bits of each text's word sequence."""
-        at = self.words.at
-        place = (np.arange(len(self.hashes)) - np.repeat(at[:-1], np.diff(at))).astype(np.uint64)
-        out = []
-        with np.errstate(over="ignore"):
-            for a, b in ((0, 1), (2, 3)):
-                total = np.append(np.uint64(0), np.cumsum(mix(self.hashes * _ORDER[a] + mix(place * _ORDER[b]))))
-                out.append((total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64))
-        return out[0], out[1]
+        data, start, _ = self.joined()
+        at = np.append(start, len(data))[self.words.at].tolist()
+        raw = memoryview(data)
+        out = np.frombuffer(b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(at, at[1:], strict=False)]), np.int64).reshape(-1, 2)
+        return out[:, 0], out[:, 1]
+
+    def slices(self, first: np.ndarray, last: np.ndarray) -> pa.Array:
+        """The words first to last of each pair, each with a space behind it."""
+        data, start, end = self.joined()
+        n = end[last] + 1 - start[first]
+        at = np.append(0, np.cumsum(n)).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data[ranges(start[first], n)]))])
 
 
 def _ragged(values: np.ndarray, at: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -127,8 +152,8 @@ def _features(window: int, prefix: int):
                 d1, d2 = b.digests()
                 inner = where - np.repeat(b.words.at[:-1], np.diff(at))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("id").slice(i, j - i), pa.array(d1), pa.array(d2), pa.array(np.diff(b.words.at), _I64), _ragged(b.keys[where].view(np.int64), at, _I64), _ragged(inner, at, pa.int32())],
-                    ["id", "d1", "d2", "n", "keys", "places"],
+                    [rows.column("id").slice(i, j - i), rows.column("t").slice(i, j - i), pa.array(d1), pa.array(d2), pa.array(np.diff(b.words.at), _I64), _ragged(b.keys[where].view(np.int64), at, _I64), _ragged(inner, at, pa.int32())],
+                    ["id", "t", "d1", "d2", "n", "keys", "places"],
                 )
 
     return run
@@ -147,9 +172,11 @@ def _chosen(batch: _Batch, digests: np.ndarray, wanted: np.ndarray, places: pa.L
     return np.searchsorted(at, word, side="right") - 1, word, low[found], high[found]
 
 
+SUFFIX = "key long, id long, t long, d1 long, place int, least short, most short, words binary"
+
+
 def _suffixes(window: int, prefix: int):
-    """Each asked anchor: its prefix's key, its place, the offsets of its windows, and the words on both sides that these need."""
-    side = window - prefix
+    """Each asked anchor: its prefix's key, its place, the offsets of its windows, and the words of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -159,27 +186,25 @@ def _suffixes(window: int, prefix: int):
                 text, word, low, high = _chosen(b, d1, part.column("d1").to_numpy(), part.column("places"))
                 if not len(word):
                     continue
-                most, least = word - low, word - high  # words before the prefix in the first and in the last window
-                k = np.arange(side)
-                before, after = word[:, None] - 1 - k, word[:, None] + prefix + k
-                h = np.maximum(b.hashes & np.uint64((1 << 8 * WORD) - 1), np.uint64(1))
-                n = len(h)
-                left = np.where(k < most[:, None], h[np.maximum(before, 0)], 0).astype(np.uint64)
-                right = np.where(k < side - least[:, None], h[np.minimum(after, n - 1)], 0).astype(np.uint64)
-                both = np.concatenate([left, right], axis=1).view(np.uint8).reshape(len(word), 2 * side, 8)[:, :, :WORD]
-                both = np.ascontiguousarray(both).reshape(-1)
-                at = np.arange(len(word) + 1, dtype=np.int32) * (2 * side * WORD)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(b.keys[word].view(np.int64)), part.column("id").take(pa.array(text)), pa.array(d1[text]), pa.array((word - b.words.at[text]).astype(np.int32)), pa.array(least.astype(np.int16)), pa.array(most.astype(np.int16)),
-                     pa.Array.from_buffers(pa.binary(), len(word), [None, pa.py_buffer(at), pa.py_buffer(both)])],
-                    ["key", "id", "d1", "place", "least", "most", "words"],
-                )
+                at = pa.array(text)
+                columns = [pa.array(b.keys[word].view(np.int64)), part.column("id").take(at), part.column("t").take(at), pa.array(d1[text]), pa.array((word - b.words.at[text]).astype(np.int32)),
+                           pa.array((word - high).astype(np.int16)), pa.array((word - low).astype(np.int16)), b.slices(low, high + window - 1)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "id", "t", "d1", "place", "least", "most", "words"])
 
     return run
 
 
+def lengths(prefix: int, window: int) -> list[int]:
+    """The longer prefixes: half of the way to the window more each time, then the window."""
+    out = []
+    while window - prefix > 4:
+        prefix = (prefix + window) // 2
+        out.append(prefix)
+    return [*out, window]
+
+
 def _windows(window: int, prefix: int):
-    """Each window of the asked anchors: 128 bits of its words, and its place."""
+    """Each window of the asked anchors: the keys of its longer prefixes, its place, and its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -188,30 +213,27 @@ def _windows(window: int, prefix: int):
                 d1 = b.digests()[0]
                 text, _, low, high = _chosen(b, d1, part.column("d1").to_numpy(), part.column("places"))
                 n = high - low + 1
-                start = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                text = np.repeat(text, n)
-                x, y = grams(b.hashes, window)[start], grams(mix(b.hashes ^ _ORDER[3]), window)[start]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), part.column("id").take(pa.array(text)), pa.array(d1[text]), pa.array((start - b.words.at[text]).astype(np.int32))],
-                    ["x", "y", "id", "d1", "start"],
-                )
+                start, text = ranges(low, n), np.repeat(text, n)
+                at = pa.array(text)
+                keys = [pa.array(grams(b.hashes, k)[start].view(np.int64)) for k in lengths(prefix, window)]
+                columns = [part.column("id").take(at), part.column("t").take(at), pa.array(d1[text]), pa.array((start - b.words.at[text]).astype(np.int32)), b.slices(start, start + window - 1), *keys]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "t", "d1", "place", "words", *(f"k{k}" for k in range(len(keys)))])
 
     return run
 
 
-def _nodes(keys: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
-    """For each depth from 0, the tree node of each suffix: equal for suffixes with the same key and that many first words."""
-    n, depth, _ = words.shape
-    group = np.append(0, np.cumsum(keys[1:] != keys[:-1])).astype(">u4")
-    rows = np.concatenate([group.view(np.uint8).reshape(n, 4), words.reshape(n, -1)], axis=1)
-    order = np.argsort(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel(), kind="stable")
-    same = (words[order[1:]] == words[order[:-1]]).all(axis=2)
+def _nodes(keys: np.ndarray, words: np.ndarray, depths: range) -> dict[int, np.ndarray]:
+    """For each depth, the tree node of each suffix: equal for suffixes with the same key and that many first words."""
+    n = len(words)
+    group = np.append(0, np.cumsum(keys[1:] != keys[:-1]))
+    order = np.lexsort((*words.T[::-1], group))
+    same = words[order[1:]] == words[order[:-1]]
     common = np.where(group[order[1:]] == group[order[:-1]], np.logical_and.accumulate(same, axis=1).sum(axis=1), -1)
-    out = []
-    for d in range(depth + 1):
+    out = {}
+    for d in depths:
         node = np.empty(n, np.int64)
         node[order] = np.append(0, np.cumsum(common < d))
-        out.append(node)
+        out[d] = node
     return out
 
 
@@ -222,27 +244,31 @@ def _repeats(window: int, prefix: int):
     def work(table: pa.Table) -> pa.RecordBatch | None:
         if table.num_rows < 2:
             return None
-        key, id, d1, place, least, most = (table.column(c).to_numpy() for c in ("key", "id", "d1", "place", "least", "most"))
-        words = np.frombuffer(b"".join(table.column("words").to_pylist()), np.uint8).reshape(-1, 2 * side, WORD)
-        order = np.lexsort((place, d1, id, key))
-        new = np.append(True, np.diff(np.stack([key[order], id[order], d1[order], place[order]]), axis=1).any(axis=0))
+        key, id, t, d1, place, least, most = (table.column(c).to_numpy() for c in ("key", "id", "t", "d1", "place", "least", "most"))
+        words = Words(*string_bytes(table.column("words")))
+        code, at = words.codes()[0] + 1, words.at
+        order = np.lexsort((place, d1, t, id, key))
+        new = np.append(True, np.diff(np.stack([key[order], id[order], t[order], d1[order], place[order]]), axis=1).any(axis=0))
         order = order[new]  # a row that repeats an id and its text is the same document
-        key, id, d1, place, least, most, words = (x[order] for x in (key, id, d1, place, least, most, words))
-        back, ahead = _nodes(key, words[:, :side]), _nodes(key, words[:, side:])
-        rank = np.argsort(np.lexsort((place, d1, id)))
+        key, id, t, d1, place, least, most = (x[order] for x in (key, id, t, d1, place, least, most))
+        anchor, k = (at[:-1][order] + most)[:, None], np.arange(window)
+        left = np.where(k[:side] < most[:, None], code[np.maximum(anchor - 1 - k[:side], 0)], 0)
+        right = np.where(k < window - least[:, None], code[np.minimum(anchor + k, len(code) - 1)], 0)
+        back, ahead = _nodes(key, left, range(side + 1)), _nodes(key, right, range(prefix, window + 1))
+        rank = np.argsort(np.lexsort((place, d1, t, id)))
         bits = np.zeros(len(key), np.int64)
         for o in range(side + 1):
             here = np.flatnonzero((least <= o) & (o <= most))
             if len(here) < 2:
                 continue
-            node = ahead[side - o][here] * len(key) + back[o][here]
+            node = ahead[window - o][here] * len(key) + back[o][here]
             by = np.lexsort((rank[here], node))
             again = node[by[1:]] == node[by[:-1]]
             bits[here[by[1:][again]]] |= np.int64(1) << np.int64(o)
         hit = bits != 0
         if not hit.any():
             return None
-        return pa.RecordBatch.from_arrays([pa.array(id[hit]), pa.array(d1[hit]), pa.array(place[hit]), pa.array(bits[hit])], ["id", "d1", "place", "bits"])
+        return pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (id, t, d1, place, bits)], ["id", "t", "d1", "place", "bits"])
 
     return work
 
@@ -287,14 +313,6 @@ def _marked(found: pa.ListArray, at: np.ndarray, d1: np.ndarray, side: int) -> t
     return np.concatenate(starts), np.unique(text[place < 0])
 
 
-def _filled(size: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Which of `size` bytes are in one of the ranges, which don't overlap."""
-    edge = np.zeros(size + 1, np.int8)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, end, -1)
-    return np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
-
-
 def _strings(data: np.ndarray, keep: np.ndarray, offs: np.ndarray) -> pa.Array:
     sums = np.append(0, np.cumsum(keep))
     at = sums[offs].astype(np.int32)
@@ -305,7 +323,7 @@ def _without_layout(words: Words, offs: np.ndarray, removed: np.ndarray) -> pa.A
     """The kept words, joined by one space."""
     data = words.data.copy()
     start, end = words.start[~removed], words.end[~removed]
-    keep = _filled(len(data), start, end)
+    keep = filled(len(data), start, end)
     text = np.searchsorted(offs, start, side="right")
     inner = end[:-1][text[1:] == text[:-1]]  # a kept word follows in the same text, so this byte is white space
     keep[inner] = True
@@ -318,73 +336,81 @@ def _with_layout(words: Words, offs: np.ndarray, removed: np.ndarray) -> pa.Arra
     text = np.searchsorted(offs, words.start, side="right")
     until = np.append(words.start[1:], len(words.data))
     until = np.minimum(until, offs[np.minimum(text, len(offs) - 1)])
-    return _strings(words.data, ~_filled(len(words.data), words.start[removed], until[removed]), offs)
+    return _strings(words.data, ~filled(len(words.data), words.start[removed], until[removed]), offs)
 
 
 def without_repeats(
     docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50, prefix: int = 6, layout: bool = True,
-    group_rows: int = 65_536, at_once: int = 20_000,
+    group_rows: int = 4_096, at_once: int = 8_192,
 ) -> DataFrame:
     """docs with kept_text, n_words and n_removed: without the words of windows that also start earlier, by id, then by place.
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D, compared as they are. Windows are judged on the input. A text shorter than the window
     and an empty or null one lose nothing; kept_text of null is empty. Rows without an id come last. Rows that repeat an id and a text are
     the same document; rows that repeat an id with other texts are in order of their texts' hashes. layout: keep the white space
-    between kept words, else join them by one space. Existing columns of the new names are replaced.
+    between kept words, else join them by one space. Existing columns of the new names are replaced. group_rows: the most suffixes of a subtree; it
+    changes no result.
     """
     prefix = max(prefix, window - 60)  # offsets fit 63 bits
     if window <= prefix:
         raise ValueError("the window must be longer than the prefix")
-    spark = docs.sparkSession
-    source = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(_LAST)).alias("id"), F.col(text).alias("text"))
+    key = [F.coalesce(F.col(id).cast("long"), F.lit(_LAST)).alias("id"), _hash(F.col(text)).alias("t")]
+    source = docs.select(*key, F.col(text).alias("text"))
     found = _found(source, window, prefix, group_rows, at_once)
-    _release(spark)
     rows = docs.drop("kept_text", "n_words", "n_removed")
-    listed = found.groupBy("id").agg(F.collect_list(F.struct("d1", "place", "bits")).alias("_lf_found")).withColumnRenamed("id", "_lf_id")
-    joined = rows.join(listed, F.coalesce(F.col(id).cast("long"), F.lit(_LAST)) == F.col("_lf_id"), "left").drop("_lf_id")
+    listed = found.groupBy("id", "t").agg(F.collect_list(F.struct("d1", "place", "bits")).alias("_lf_found")).toDF("_lf_id", "_lf_t", "_lf_found")
+    joined = rows.join(listed, (key[0] == F.col("_lf_id")) & (key[1] == F.col("_lf_t")), "left").drop("_lf_id", "_lf_t")
     kept = [f for f in rows.schema if f.name != text]
     work = joined.select(*(f"`{f.name}`" for f in kept), F.col(text), "_lf_found")
     return work.mapInArrow(lean(_cleaned(window, prefix, text, layout)), extended(rows.schema, "kept_text string, n_words long, n_removed long", (text,)))
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of what was written and is no longer referred to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _hash(text: Column) -> Column:
+    """64 bits that keep apart the texts of an id, or of the rows without one."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _found(source: DataFrame, window: int, prefix: int, group_rows: int, at_once: int) -> DataFrame:
-    """(id, d1, place, bits): duplicate windows by anchor and offsets, by start (bits 0), or all of a copy (place -1)."""
-    features = saved(source.mapInArrow(lean(_features(window, prefix)), "id long, d1 long, d2 long, n long, keys array<long>, places array<int>"), "anchors")
+    """(id, t, d1, place, bits): duplicate windows by anchor and offsets, by start (bits 0), or all of a copy (place -1)."""
+    features = saved(source.mapInArrow(lean(_features(window, prefix)), "id long, t long, d1 long, d2 long, n long, keys array<long>, places array<int>"), "anchors")
     places = _repeated(features, window, group_rows)
-    _release(source.sparkSession)
-    repeats = features.groupBy("id", "d1").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
-    texts = source.dropDuplicates(["id", "text"]) if repeats else source
-    asked = lambda hot: places.where(f"hot = {hot}").select("id", "d1", "places")
-    suffixes = texts.join(asked("false"), "id").mapInArrow(lean(_suffixes(window, prefix)), "key long, id long, d1 long, place int, least short, most short, words binary")
-    found = in_groups(suffixes, ["key"], _repeats(window, prefix), "id long, d1 long, place int, bits long", at_once)
+    repeats = features.groupBy("id", "t").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
+    texts = source.dropDuplicates(["id", "t", "text"]) if repeats else source
+    asked = lambda hot: texts.join(places.where(f"hot = {hot}").select("id", "t", "d1", "places").hint("merge"), ["id", "t"])
+    suffixes = asked("false").mapInArrow(lean(_suffixes(window, prefix)), SUFFIX)
+    more = None
     if places.where("hot").limit(1).count():
-        each = texts.join(asked("true"), "id").mapInArrow(lean(_windows(window, prefix)), "x long, y long, id long, d1 long, start int")
-        each = saved(each, "windows")
-        first = each.groupBy("x", "y").agg(F.min(F.struct("id", "d1", "start")).alias("first"), F.count("*").alias("c")).where("c > 1")
-        later = each.join(first, ["x", "y"]).where(F.struct("id", "d1", "start") > F.col("first"))
-        found = found.union(later.select("id", "d1", F.col("start").alias("place"), F.lit(0).cast("long").alias("bits")))
-    copies = features.where(F.col("n") >= window)
-    first = copies.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last")
-    copies = copies.join(first, ["d1", "d2"]).where("id > rep").select("id", "d1").distinct()
-    return saved(found.union(copies.select("id", "d1", F.lit(-1).alias("place"), F.lit(0).cast("long").alias("bits"))), "found")
+        keys = [f"k{k}" for k in range(len(lengths(prefix, window)))]
+        rest = saved(asked("true").mapInArrow(lean(_windows(window, prefix)), f"id long, t long, d1 long, place int, words binary, {', '.join(f'{k} long' for k in keys)}"), "windows")
+        for k in keys:
+            hot = saved(rest.groupBy(k).agg(F.count("*").alias("c")).where(F.col("c") > group_rows).select(k), "hot-prefixes")
+            zero = F.lit(0).cast("short")
+            fits = rest.join(hot, k, "left_anti").select(F.col(k).alias("key"), "id", "t", "d1", "place", zero.alias("least"), zero.alias("most"), "words")
+            suffixes, rest = suffixes.union(fits), rest.join(hot, k, "left_semi")
+        # The whole window is the prefix: one node, and its first occurrence.
+        k = keys[-1]
+        rest = saved(rest, "hot-windows")
+        this = F.struct("id", "t", "d1", "place")
+        first = saved(rest.groupBy(k, "words").agg(F.min(this).alias("first")), "first-windows")
+        more = rest.join(first, [k, "words"]).where(this > F.col("first")).select("id", "t", "d1", "place", F.lit(0).cast("long").alias("bits"))
+    found = in_groups(suffixes, ["key"], _repeats(window, prefix), "id long, t long, d1 long, place int, bits long", at_once)
+    copies = features.where(F.col("n") >= window).select("id", "t", "d1", "d2")
+    first = copies.groupBy("d1", "d2").agg(F.min(F.struct("id", "t")).alias("rep"), F.max(F.struct("id", "t")).alias("last")).where("rep < last")
+    copies = copies.join(first, ["d1", "d2"]).where(F.struct("id", "t") > F.col("rep")).select("id", "t", "d1").distinct()
+    found = found.union(copies.select("id", "t", "d1", F.lit(-1).alias("place"), F.lit(0).cast("long").alias("bits")))
+    return saved(found if more is None else found.union(more), "found")
 
 
 def _repeated(features: DataFrame, window: int, group_rows: int) -> DataFrame:
-    """(id, d1, hot, places): anchors of one text of each class whose prefix occurs again; hot: more than group_rows times."""
+    """(id, t, d1, hot, places): anchors of one text of each class whose prefix occurs again; hot: more than group_rows times."""
     long = features.where(F.col("n") >= window)
     # Texts that occur once need no join: only classes of several rows lose some.
-    several = long.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("d1", "d2", "rep")
-    ours = long.join(several, ["d1", "d2"], "left").where("rep is null or rep = id").select("id", "d1", "keys", "places").dropDuplicates(["id", "d1"])
-    ours = saved(ours, "classes")
-    each = ours.select("id", "d1", F.inline(F.arrays_zip("keys", "places"))).withColumnRenamed("keys", "key").withColumnRenamed("places", "place")
+    several = long.groupBy("d1", "d2").agg(F.min(F.struct("id", "t")).alias("rep"), F.count("*").alias("c")).where("c > 1").select("d1", "d2", "rep")
+    ours = long.join(several, ["d1", "d2"], "left").where(F.col("rep").isNull() | (F.col("rep") == F.struct("id", "t")))
+    ours = saved(ours.select("id", "t", "d1", "keys", "places").dropDuplicates(["id", "t", "d1"]), "classes")
+    each = ours.select("id", "t", "d1", F.inline(F.arrays_zip("keys", "places"))).withColumnRenamed("keys", "key").withColumnRenamed("places", "place")
     counts = ours.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    again = each.join(counts, "key").groupBy("id", "d1", (F.col("c") > group_rows).alias("hot")).agg(F.collect_list("place").alias("places"))
+    again = each.join(counts, "key").groupBy("id", "t", "d1", (F.col("c") > group_rows).alias("hot")).agg(F.collect_list("place").alias("places"))
     out = saved(again, "places")
     drop(ours)
     return out

@@ -1,10 +1,12 @@
 import hashlib
 import random
+import time
 
 import pytest
 
 from lumenfold.llm.substring_dedup import op5_substring_dedup, without_repeats
 from tests.llm import brute
+from tests.llm.test_near_dup import thue_morse
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,3 +54,30 @@ def test_query_as_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in op5_substring_dedup(spark, SF).collect()}
     assert got == brute.without_repeats(docs, 20)
+
+
+def test_words_are_compared_not_their_hashes(spark):
+    a, b = thue_morse(1024)
+    head = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{head} {a}", ""), (2, f"{head} {b}", ""), (3, f"{head} {a}", "")]
+    assert {r.doc_id: r.n_removed for r in result(spark, rows, window=20)} == {1: 0, 2: 0, 3: 20}
+    rows = [(1, f"{head} {a} tail", ""), (2, f"x {head} {b}", ""), (3, f"x {head} {a}", "")]
+    assert {r.doc_id: r.n_removed for r in result(spark, rows, window=20)} == {1: 0, 2: 0, 3: 21}
+
+
+@pytest.mark.parametrize("group_rows", [2, 5, 40])
+def test_longer_prefixes_change_no_result(spark, group_rows):
+    r = random.Random(group_rows)
+    common = " ".join(f"c{i}" for i in range(40))
+    rows = [(i, " ".join([*(f"r{r.random()}" for _ in range(r.randint(0, 6))), *common.split()[r.randint(0, 20) : r.randint(21, 40)], *(r.choice("xyz") for _ in range(30))]), "") for i in range(60)]
+    got = result(spark, rows, window=20, layout=False, group_rows=group_rows)
+    assert {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got} == brute.without_repeats([x[:2] for x in rows], 20)
+
+
+def test_many_rows_without_an_id(spark):
+    passage = " ".join(f"p{i}" for i in range(25))
+    rows = [(None, f"{passage} {' '.join(f'n{i}-{k}' for k in range(10))}", "") for i in range(10_000)]
+    began = time.time()
+    got = result(spark, rows, window=20)
+    assert sorted(r.n_removed for r in got) == [0] + [25] * 9_999
+    assert time.time() - began < 120
