@@ -136,6 +136,16 @@ def word_hashes(words: pa.Array, lanes: int = 1) -> np.ndarray:
     return np.frombuffer(digests, U64).reshape(-1, lanes)
 
 
+def light_hashes(words: pa.Array) -> np.ndarray:
+    """64 bits of each of some words that aren't empty, without a loop; to deal out and to choose, not to tell words apart."""
+    data, offs = string_bytes(words)
+    if not len(offs) - 1:
+        return np.zeros(0, U64)
+    place = (np.arange(len(data)) - np.repeat(offs[:-1], np.diff(offs))) % len(_GRAM)
+    with np.errstate(over="ignore"):
+        return mix(np.add.reduceat((data.astype(U64) + U64(1)) * _GRAM[place], offs[:-1]))
+
+
 def filled(size: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Which of `size` bytes are in one of the ranges, which don't overlap."""
     edge = np.zeros(size + 1, np.int8)

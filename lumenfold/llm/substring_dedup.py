@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm._shared import drop, extended, in_groups, saved
-from lumenfold.llm._text import Words, filled, grams, lean, pieces, ranges, sequences, string_bytes, word_hashes
+from lumenfold.llm._text import Words, filled, grams, lean, light_hashes, pieces, ranges, sequences, string_bytes
 
 _LAST = (1 << 63) - 1  # rows without an id come after all others
 _I64 = pa.int64()
@@ -42,7 +42,7 @@ class _Batch:
     def __init__(self, data: np.ndarray, offs: np.ndarray, window: int, prefix: int) -> None:
         self.words, self.window, self.prefix = Words(data, offs), window, prefix
         self.code, distinct = self.words.codes()
-        self.hashes = word_hashes(distinct)[self.code, 0]
+        self.hashes = light_hashes(distinct)[self.code]
         at = self.words.at
         n = len(self.hashes)
         self.keys = grams(self.hashes, prefix)
