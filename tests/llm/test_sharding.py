@@ -9,14 +9,22 @@ SF = "/root/testdata/sf0.001"
 
 
 def brute_shard(key: int, tree) -> int:
-    """Spark's xxhash64 chains: the hash of the key is the seed for the shard's number."""
+    """The live shard of the least loss. Spark's xxhash64 chains: the hash of the key is the seed for the first number of the path."""
 
-    def draw(s, w):
+    def draw(path, w):
         seed = xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), seed=42)
-        bits = xxhash.xxh64_intdigest(s.to_bytes(4, "little", signed=True), seed=seed) >> 12
-        return -math.log((bits + 0.5) / 2**52) / w
+        for i in path:
+            seed = xxhash.xxh64_intdigest(i.to_bytes(4, "little", signed=True), seed=seed)
+        return -math.log(((seed >> 12) + 0.5) / 2**52) / w if w > 0 else math.inf
 
-    return min((draw(s, w), s) for region in tree for rack in region for s, w in rack if w > 0)[1]
+    least = []
+    for r, region in enumerate(tree):
+        weights = [sum(w for _, w in rack) for rack in region]
+        racks = [draw((r, k), w) for k, w in enumerate(weights)]
+        for k, rack in enumerate(region):
+            places = [draw((r, k, i), w) for i, (_, w) in enumerate(rack)]
+            least += [(draw((r,), sum(weights)) + (racks[k] - min(racks)) + (places[i] - min(places)), s) for i, (s, w) in enumerate(rack) if w > 0 and s is not None]
+    return min(least)[1]
 
 
 def test_shards_as_brute_force_and_in_proportion(spark):
@@ -32,10 +40,35 @@ def test_a_new_or_heavier_shard_only_takes(spark):
     for n in (1, 7, 8, 40):
         moved = spark.range(3000).where(shard_of(key, even_tree(n)) != shard_of(key, even_tree(n + 1))).select(shard_of(key, even_tree(n + 1)).alias("to")).distinct().collect()
         assert {r.to for r in moved} <= {n}
-    light, heavy = [[[(0, 1.0), (1, 1.0)], [(2, 1.0)]]], [[[(0, 1.0), (1, 2.0)], [(2, 1.0)]]]
+    light, heavy = ([[[(0, 1.0), (1, 1.0), (x, 1.0)], [(2, 1.0)]]] for x in (None, 1))  # in a place that was planned
     assert {r.to for r in spark.range(2000).where(shard_of(key, light) != shard_of(key, heavy)).select(shard_of(key, heavy).alias("to")).distinct().collect()} == {1}
 
 
+def test_a_changed_weight_moves_rows_of_its_subtrees_alone(spark):
+    key = F.col("id")
+    trees = [[[[(0, 1.0), (1, w)], [(2, 1.0)]], [[(3, 2.0)], [(4, 1.0)]]] for w in (1.0, 2.0)]
+    moved = {(r.a, r.b) for r in spark.range(4000).select(*(shard_of(key, t).alias(c) for t, c in zip(trees, "ab", strict=True))).where("a != b").collect()}
+    # Into the first region, and there into the first rack; never from one place outside to another.
+    assert moved and all(b <= 2 for a, b in moved) and all(a > 2 or b < 2 for a, b in moved) and (1, 0) not in moved
+
+
+def test_the_shape_of_the_tree_matters(spark):
+    key, flat = F.col("id"), [[[(s, 1.0) for s in range(40)]]]
+    assert spark.range(2000).where(shard_of(key, flat) != shard_of(key, even_tree(40))).count() > 1500
+
+
+def test_ten_thousand_shards(spark):
+    tree = even_tree(10_000, 20, 20)
+    out = spark.range(50_000).select("id", shard_of(F.col("id"), tree).alias("shard")).collect()
+    assert len({r.shard for r in out}) > 9_800 and all(r.shard == brute_shard(r.id, tree) for r in out[:5])
+
+
+def test_existing_columns_are_replaced(spark):
+    df = spark.createDataFrame([(i, "x", "y") for i in range(50)], "doc_id long, shard string, slot string")
+    out = with_slots(with_shards(df, "doc_id", even_tree(2)), "shard", [F.col("doc_id")], parts=4)
+    assert sorted(out.columns) == ["doc_id", "shard", "slot"] and sorted(r.slot for r in out.where("shard = 0").collect()) == list(range(out.where("shard = 0").count()))
+
+
 def test_slots_are_gapless_with_repeats_and_nulls(spark):
     rows = [(None, "a")] * 40 + [(5, "b")] * 300 + [(i, "c") for i in range(100)]
     df = with_shards(spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.monotonically_increasing_id()), "doc_id", even_tree(3))
