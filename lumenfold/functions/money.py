@@ -16,11 +16,14 @@ def normalize_br(c: Column) -> Column:
     s = F.regexp_replace(c, r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
     money = r"R?\$?\s*([0-9.]+),([0-9]{2})"
     whole = F.replace(F.regexp_extract(s, money, 1), F.lit("."), F.lit(""))
-    # As a float prints: two decimals, of which a last 0 goes.
-    text = F.concat(F.lit("0"), whole, F.lit("."), F.regexp_extract(s, money, 2)).cast("decimal(38,2)").cast("string")
+    # As a float prints: two decimals, of which a last 0 goes; from 1e16 on with an exponent.
+    number = F.concat(F.lit("0"), whole, F.lit("."), F.regexp_extract(s, money, 2)).try_cast("double")
+    short = F.regexp_replace(number.try_cast("decimal(38,2)").cast("string"), "0$", "")
+    large = F.replace(F.regexp_replace(number.cast("string"), r"\.0E", "E"), F.lit("E"), F.lit("e+"))
+    text = F.when(number == float("inf"), "inf").when(number >= 1e16, large).otherwise(short)
     date = r"^([0-9]{2})/([0-9]{2})/([0-9]{4})$"
     return (
-        F.when(s.rlike(money), F.regexp_replace(text, "0$", ""))
+        F.when(s.rlike(money), text)
         .when(s.rlike(date), F.regexp_replace(s, date, "$3-$2-$1"))
         .when(s.rlike(r"^[0-9]{5}-[0-9]{3}$"), s)
         .when(s.rlike(r"^[0-9\s()\-+]+$") & (F.length(digits(s)) >= 8), digits(s))
@@ -28,6 +31,12 @@ def normalize_br(c: Column) -> Column:
     )
 
 
+def _formatted(x: Column, decimals: int) -> Column:
+    """1,234.56 of a finite double; halves of the printed value go up. Beyond 27 digits there are no decimals to round."""
+    exact = F.format_number(F.round(x.try_cast("decimal(38,10)"), decimals), decimals)
+    return F.when(F.abs(x) < 1e27, exact).otherwise(F.format_number(x, decimals))
+
+
 def _swapped(text: Column) -> Column:
     return F.translate(text, ",.", ".,")
 
@@ -36,8 +45,7 @@ def format_number_br(c: Column, decimals: int = 2, zero_means_two: bool = False)
     """1.234,56; halves go up; a dash for null and what is no finite number."""
     d = 2 if zero_means_two and not decimals else decimals
     x = c.cast("double")
-    exact = F.round(x.cast("decimal(38,10)"), d)
-    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), "—").otherwise(_swapped(F.format_number(exact, d)))
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), "—").otherwise(_swapped(_formatted(x, d)))
 
 
 def parse_money(c: Column) -> Column:
@@ -48,7 +56,7 @@ def parse_money(c: Column) -> Column:
 def format_currency_br(c: Column) -> Column:
     """R$ 1.234,56 of a number or of money text; other text stays as it is."""
     x = F.coalesce(c.cast("string").try_cast("double"), parse_money(c.cast("string")))
-    return F.when(x.isNull(), c.cast("string")).otherwise(F.concat(F.lit("R$ "), _swapped(F.format_number(F.round(x.cast("decimal(38,10)"), 2), 2))))
+    return F.when(x.isNull(), c.cast("string")).otherwise(F.concat(F.lit("R$ "), _swapped(_formatted(x, 2))))
 
 
 def parse_leading_number(c: Column) -> Column:
@@ -100,9 +108,21 @@ def kilobytes(size: Column) -> Column:
 
 def percent_position(c: Column) -> Column:
     """A 0-1 position as a percentage with one decimal."""
-    return F.format_string("%.1f", F.bround(c * 100, 1))
+    return F.format_string("%.1f", round_even(c * 100, 1))
 
 
 def round_even(c: Column, decimals: int) -> Column:
-    """Halves to even, as the matcher's confidences are rounded."""
-    return F.bround(c, decimals)
+    """A double rounded by its exact binary value, and halves to even if it is exactly one.
+
+    q is the nearest whole number to c in units of half a last place. Only if q is odd can c be near a half, and then the sign of
+    c * k - q decides; both products with the parts of c are exact.
+    """
+    x, k = c.cast("double"), 2.0 * 10**decimals
+    big = x * 134217729.0
+    high = big - (big - x)
+    q = F.rint(x * k)
+    over = (high * k - q) + (x - high) * k
+    odd = F.abs(q) % 2 == 1
+    lower = (q - 1) / 2
+    half = F.when(over > 0, lower + 1).when(over < 0, lower).otherwise(F.when(F.abs(lower) % 2 == 0, lower).otherwise(lower + 1))
+    return F.when(F.abs(x) < 1e11, F.when(odd, half).otherwise(q / 2) / 10.0**decimals).otherwise(x)

@@ -19,13 +19,27 @@ def strip_accents(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, _MARKED, _PLAIN), "[̀-ͯ]", "")
 
 
-def normalize_name(c: Column) -> Column:
-    """Without accents and other non-ASCII, runs of - _ and white space as one space, trimmed, lower case.
+def _ascii(c: str) -> str:
+    return unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+
+
+# What is left of each character behind ASCII, where that is one character, or several.
+_FOLDED = {c: f for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x30000)]) if (f := _ascii(c))}
+_ONE = {c: f for c, f in _FOLDED.items() if len(f) == 1}
+_MORE = {c: f for c, f in _FOLDED.items() if len(f) > 1}
+
 
-    Exact for Latin text; normalize_name_exact also takes ligatures, full-width forms and the like apart.
-    """
-    ascii_only = F.regexp_replace(strip_accents(c), r"[^\x00-\x7F]", "")
-    return F.lower(F.trim(F.regexp_replace(ascii_only, r"[-_\s\x1c-\x1f]+", " ")))
+def _unfolded(c: Column) -> Column:
+    """ASCII of the compatibility decomposition; only texts with characters that become several are taken apart."""
+    pairs = F.expr("map(" + ", ".join(f"'{k}', '" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for k, v in _MORE.items()) + ")")
+    taken = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(pairs, x), x)), "")
+    some = F.when(c.rlike("[" + "".join(_MORE) + "]"), taken).otherwise(c)
+    return F.regexp_replace(F.translate(some, "".join(_ONE), "".join(_ONE.values())), r"[^\x00-\x7F]", "")
+
+
+def normalize_name(c: Column) -> Column:
+    """ASCII of the compatibility decomposition, runs of - _ and white space as one space, trimmed, lower case."""
+    return F.lower(F.trim(F.regexp_replace(_unfolded(c), r"[-_\s\x1c-\x1f]+", " ")))
 
 
 @F.pandas_udf(T.StringType())

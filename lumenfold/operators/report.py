@@ -40,8 +40,9 @@ def numbered(df: DataFrame, order: list[Column | str], partition: list[str] | No
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     rows = saved(ranged.withColumn("_lf_p", F.spark_partition_id()).withColumn("_lf_i", place), "ranges")
-    counts = rows.groupBy("_lf_p").agg(F.count("*").alias("_lf_n")).agg(F.array_sort(F.collect_list(F.struct("_lf_p", "_lf_n"))).alias("x"))
-    before = counts.select(F.inline(F.transform("x", lambda a, i: F.struct(a["_lf_p"].alias("_lf_p"), F.aggregate(F.slice(F.col("x"), 1, i), F.lit(0).cast("long"), lambda s, y: s + y["_lf_n"]).alias("_lf_before")))))
+    counts = rows.groupBy("_lf_p").agg(F.count("*").alias("_lf_n"))
+    # One row for each range: few enough for one task, which sums them up as it goes.
+    before = counts.select("_lf_p", (F.sum("_lf_n").over(Window.orderBy("_lf_p")) - F.col("_lf_n")).alias("_lf_before"))
     out = rows.join(F.broadcast(before), "_lf_p")
     return out.withColumn(name, (F.col("_lf_before") + F.col("_lf_i") + 1).cast("long")).drop("_lf_p", "_lf_i", "_lf_before")
 
@@ -53,14 +54,26 @@ def page_of(rn: Column, size: int, first: int | None = None) -> Column:
     return F.when(rn <= first, 0).otherwise(1 + F.floor((rn - 1 - first) / size))
 
 
-def pages(df: DataFrame, order: str, items: list[str], size: int = 16, first: int | None = None, partition: list[str] | None = None, extra_pages: int = 0) -> DataFrame:
-    """A row for each page: its ordered items, whether it is the first, and the number of pages (plus extra_pages)."""
+def pages(
+    df: DataFrame, order: str, items: list[str], size: int = 16, first: int | None = None, partition: list[str] | None = None, extra_pages: int = 0, parents: DataFrame | None = None,
+) -> DataFrame:
+    """A row for each page: its ordered items, whether it is the first, and the number of pages (plus extra_pages).
+
+    Nothing to show gives one empty page: without a partition for an empty df, with one for each row of parents (the partition's columns, and any others,
+    which are copied to the pages) that df has no rows of.
+    """
     keys = partition or []
     rows = numbered(df, [order], partition).withColumn("page", page_of(F.col("rn"), size, first).cast("int"))
     made = rows.groupBy(*keys, "page").agg(F.array_sort(F.collect_list(F.struct("rn", *items))).alias("items"))
-    count = rows.groupBy(*keys).agg((F.max("page") + 1 + extra_pages).alias("pages"))
-    out = made.join(count, keys) if keys else made.crossJoin(F.broadcast(count))
-    return out.withColumn("first", F.col("page") == 0)
+    if parents is None and not keys:
+        parents = df.sparkSession.range(1).select()
+    if parents is not None:
+        made = parents.join(made, keys, "left") if keys else parents.join(made, F.lit(True), "left")
+    count = rows.groupBy(*keys).agg((F.max("page") + 1).alias("pages"))
+    out = made.join(count, keys, "left") if keys else made.crossJoin(F.broadcast(count))
+    kind = made.schema["items"].dataType
+    filled = {"page": F.coalesce("page", F.lit(0)), "items": F.coalesce("items", F.array().cast(kind)), "pages": F.coalesce("pages", F.lit(1)) + extra_pages}
+    return out.withColumns(filled).withColumn("first", F.col("page") == 0)
 
 
 def full_chunks(df: DataFrame, order: str, size: int, partition: list[str], first: int | None = None, full_only: bool = True) -> DataFrame:
@@ -73,31 +86,52 @@ def full_chunks(df: DataFrame, order: str, size: int, partition: list[str], firs
     return rows.withColumn("_lf_n", have).where(F.col("_lf_n") == need).drop("_lf_n")
 
 
+def _paged(items: Column, start: Column, step) -> Column:
+    """The page of each item: step(state, item) gives the state behind the item, with `page` and whether the item is `new` on it.
+
+    Only the places where pages begin are gathered, so a text of many lines isn't copied for each line.
+    """
+    made = F.aggregate(F.transform(items, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), start, step, lambda s: F.concat(s["begins"], F.array(F.size(items))))
+    # The pages' lengths by their neighbours, of a value that is computed once.
+    sizes = lambda b: F.zip_with(F.slice(b, 2, F.size(b)), F.slice(b, 1, F.size(b) - 1), lambda end, begin: end - begin)
+    pages = F.transform(F.array(made), lambda b: F.flatten(F.transform(sizes(b), lambda n, k: F.array_repeat(k, n))))
+    return F.element_at(pages, 1)
+
+
 def packed_pages(sizes: Column, capacity: int = 14, per_line: int = 90, most: int = 10) -> Column:
     """The page of each item of an ordered array of text lengths: a page ends before its characters fill capacity lines, or at most items.
 
     An item that fits no page gets one of its own.
     """
-    start = F.struct(F.lit(-1).alias("page"), F.lit(0).cast("long").alias("chars"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("chars"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("begins"))
 
-    def step(x: Column, size: Column) -> Column:
-        new = (x["page"] < 0) | ((x["chars"] + size) / per_line >= capacity) | (x["n"] >= most)
-        page = F.when(new, x["page"] + 1).otherwise(x["page"])
-        return F.struct(page.alias("page"), F.when(new, size).otherwise(x["chars"] + size).cast("long").alias("chars"), F.when(new, 1).otherwise(x["n"] + 1).alias("n"), F.concat(x["out"], F.array(page)).alias("out"))
+    def step(s: Column, item: Column) -> Column:
+        size = item["x"]
+        new = (item["i"] == 0) | ((s["chars"] + size) / per_line >= capacity) | (s["n"] >= most)
+        begins = F.when(new, F.concat(s["begins"], F.array(item["i"]))).otherwise(s["begins"])
+        return F.struct(F.when(new, size).otherwise(s["chars"] + size).cast("long").alias("chars"), F.when(new, 1).otherwise(s["n"] + 1).alias("n"), begins.alias("begins"))
 
-    return F.aggregate(sizes, start, step, lambda x: x["out"])
+    return _paged(sizes, start, step)
 
 
 def height_pages(heights: Column, capacity: float, header: float = 0.0) -> Column:
-    """packed_pages by heights: each page repeats a header of the given height."""
-    start = F.struct(F.lit(-1).alias("page"), F.lit(0.0).alias("used"), F.array().cast("array<int>").alias("out"))
+    """packed_pages by heights: each page has a header of the given height."""
+    start = F.struct(F.lit(0.0).alias("used"), F.array().cast("array<int>").alias("begins"))
+
+    def step(s: Column, item: Column) -> Column:
+        h = item["x"]
+        new = (item["i"] == 0) | (s["used"] + h > capacity)
+        begins = F.when(new, F.concat(s["begins"], F.array(item["i"]))).otherwise(s["begins"])
+        return F.struct(F.when(new, header + h).otherwise(s["used"] + h).alias("used"), begins.alias("begins"))
+
+    return _paged(F.transform(heights, lambda h: h.cast("double")), start, step)
 
-    def step(x: Column, h: Column) -> Column:
-        new = (x["page"] < 0) | (x["used"] + h > capacity)
-        page = F.when(new, x["page"] + 1).otherwise(x["page"])
-        return F.struct(page.alias("page"), F.when(new, header + h).otherwise(x["used"] + h).alias("used"), F.concat(x["out"], F.array(page)).alias("out"))
 
-    return F.aggregate(F.transform(heights, lambda h: h.cast("double")), start, step, lambda x: x["out"])
+def footer_page(heights: Column, pages: Column, capacity: float, header: float, footer: float) -> Column:
+    """The page of a footer behind the items on these pages: the last one if it has room, else one more; 0 without items."""
+    last = F.array_max(pages)
+    used = F.aggregate(F.zip_with(heights, pages, lambda h, p: F.when(p == last, h.cast("double")).otherwise(0.0)), F.lit(header), lambda a, h: a + h)
+    return F.when(F.size(pages) == 0, 0).when(used + footer > capacity, last + 1).otherwise(last)
 
 
 def sum_br(c: Column) -> Column:

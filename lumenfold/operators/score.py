@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.functions.money import round_even
+
 
 def fidelity(mappings: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Per group: score (share of high confidences in %, halves to even), fields, high, review, comment.
@@ -13,7 +15,7 @@ def fidelity(mappings: DataFrame, by: list[str] | None = None) -> DataFrame:
     """
     high, total = F.count_if(F.col("confidence") == "high"), F.count("*")
     out = mappings.groupBy(*(by or [])).agg(total.alias("fields"), high.alias("high"))
-    score = F.when(F.col("fields") == 0, 0.0).otherwise(F.bround(F.col("high") / F.col("fields") * 100, 1))
+    score = F.when(F.col("fields") == 0, 0.0).otherwise(round_even(F.col("high") / F.col("fields") * 100, 1))
     review = F.col("fields") - F.col("high")
     said = F.concat(score.cast("string"), F.lit("% dos campos mapeados com alta confiança. "), review.cast("string"), F.lit(" campos requerem revisão."))
     comment = F.when(F.col("fields") == 0, "Nenhum campo mapeado.").otherwise(said)
@@ -23,8 +25,8 @@ def fidelity(mappings: DataFrame, by: list[str] | None = None) -> DataFrame:
 def suggestions(mappings: DataFrame) -> DataFrame:
     """A warning for each mapping of low confidence."""
     low = mappings.where("confidence = 'low'")
-    text = F.format_string("Campo '%s' com baixa confiança de mapeamento (raw: %.2f). Verificar manualmente.", F.col("jsonPath"), F.bround("raw_confidence", 2))
-    return low.select("doc_id", "id", F.lit("warning").alias("type"), text.alias("message"), F.lit("Revisar mapeamento").alias("action"))
+    text = F.format_string("Campo '%s' com baixa confiança de mapeamento (raw: %.2f). Verificar manualmente.", F.col("jsonPath"), round_even(F.col("raw_confidence"), 2))
+    return low.select("doc_id", "id", "jsonPath", F.lit("warning").alias("type"), text.alias("message"), F.lit("Revisar mapeamento").alias("action"))
 
 
 CHECKS = ("html", "css", "js", "job", "libraries", "links")

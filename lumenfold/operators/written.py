@@ -12,9 +12,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a fresh local one only where it is unset."""
+    """The folder in spark.checkpoint.dir; where it is unset, a fresh one of this machine, but only if all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.lumenfold.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all machines share")
         found = tempfile.mkdtemp(prefix="lumenfold-")
         spark.conf.set("spark.lumenfold.dir", found)
     return found.rstrip("/")

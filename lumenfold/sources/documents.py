@@ -45,10 +45,10 @@ def _local(tag: str) -> str:
 
 
 def schema_rows(doc: str, text: str | None) -> Iterator[tuple]:
-    """Named elements of a schema in document order, with defaults for type and occurrences."""
-    k = 0
-    for e in _secure(text).iter() if text and text.strip() else ():
-        if not isinstance(e.tag, str) or _local(e.tag) != "element" or not e.get("name"):
+    """Named elements of a schema in document order, with defaults for type and occurrences; not those of another namespace than the schema's own."""
+    k, root = 0, _secure(text) if text and text.strip() else None
+    for e in root.iter() if root is not None else ():
+        if e.tag != root.tag.removesuffix(_local(root.tag)) + "element" or not e.get("name"):
             continue
         said = next((d.text or "" for a in e if _local(a.tag) == "annotation" for d in a if _local(d.tag) == "documentation"), "")
         yield doc, k, e.get("name"), _local(e.get("type") or "xs:string"), e.get("minOccurs") or "1", e.get("maxOccurs") or "1", said.strip()
@@ -111,14 +111,15 @@ def blocks_from_pdf(files: DataFrame) -> DataFrame:
 
 
 def table_text(table: list[list[str | None]]) -> str:
-    return "\n".join(" | ".join(cell or "" for cell in row) for row in table)
+    """Cells joined by ' | ', rows by line feeds; rows that are null or empty are left out."""
+    return "\n".join(" | ".join(cell or "" for cell in row) for row in table if row)
 
 
 def tables_to_blocks(cells: DataFrame) -> DataFrame:
-    """(doc_id, page, table, text) of (doc_id, page, table, row, cells: array of strings) rows; a null cell is empty."""
-    rows = cells.select("doc_id", "page", "table", "row", F.array_join(F.col("cells"), " | ", "").alias("line"))
+    """(doc_id, page, table, text) of (doc_id, page, table, row, cells: array of strings) rows; a null cell is empty, null and empty rows and blank tables are left out."""
+    rows = cells.where(F.size("cells") > 0).select("doc_id", "page", "table", "row", F.array_join(F.col("cells"), " | ", "").alias("line"))
     made = rows.groupBy("doc_id", "page", "table").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    return made.where(F.trim(F.regexp_replace("text", r"[|\s]", "")) != "")
+    return made.where(F.regexp_replace("text", r"\s", "") != "")
 
 
 def template_data(files: DataFrame) -> DataFrame:
@@ -151,13 +152,28 @@ def load_jobs(spark: SparkSession, root: str) -> DataFrame:
     return parts.withColumn("kind", kind).where("kind is not null").groupBy("job_id", "kind").agg(F.min_by(F.struct("path", "content"), "name").alias("f")).select("job_id", "kind", "f.*")
 
 
+VERSION = "1.0"
+
+
 def open_project(text: str) -> dict:
-    """A saved project; only version 1.0."""
+    """A saved project; only of this version."""
     project = json.loads(text)
-    if project.get("version") != "1.0":
+    if project.get("version") != VERSION:
         raise ValueError("unknown project version")
     return project
 
 
 def save_project(project: dict) -> str:
-    return json.dumps({"version": "1.0", **project}, ensure_ascii=False, indent=2)
+    return json.dumps({"version": VERSION, **project}, ensure_ascii=False, indent=2)
+
+
+def open_projects(files: DataFrame) -> DataFrame:
+    """(doc_id, project, opened) of (doc_id, content) rows: the JSON of projects of this version, null for others."""
+    opened = F.coalesce(F.get_json_object("content", "$.version") == VERSION, F.lit(False))
+    return files.select("doc_id", F.when(opened, F.col("content")).alias("project"), opened.alias("opened"))
+
+
+def save_projects(df: DataFrame, key: str) -> DataFrame:
+    """(doc_id, content): each row's other columns as a project of this version."""
+    rest = [F.col(c) for c in df.columns if c != key]
+    return df.select(F.col(key).alias("doc_id"), F.to_json(F.struct(F.lit(VERSION).alias("version"), *rest)).alias("content"))

@@ -5,11 +5,21 @@ Events: job_id, ts, event (step, done, error), step, pct, message.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TIMEOUT_S = 300
 EXPIRY_S = 600
+# The phases that emit a step, each with its progress when it is done.
+PHASES = {"Extraindo PDF": 20, "Matching de campos": 60, "Gerando template": 85, "Gerando HTML": 30, "Calculando fidelidade": 70}
+
+
+def progress(step: Column) -> Column:
+    """The share that is done after a phase; null for others."""
+    out = F.lit(None).cast("int")
+    for name, share in PHASES.items():
+        out = F.when(step == name, share).otherwise(out)
+    return out
 
 
 def latest_state(events: DataFrame, order: list[str] | None = None) -> DataFrame:
@@ -19,9 +29,9 @@ def latest_state(events: DataFrame, order: list[str] | None = None) -> DataFrame
     return last.withColumns({"pct": F.when(F.col("event") == "done", 100).otherwise(F.col("pct")), "status": status})
 
 
-def with_timeouts(events: DataFrame, seconds: int = TIMEOUT_S) -> DataFrame:
-    """events with the gap to the job's event before, and whether it is over the idle time."""
-    before = F.lag("ts").over(Window.partitionBy("job_id").orderBy("ts"))
+def with_timeouts(events: DataFrame, seconds: int = TIMEOUT_S, order: list[str] | None = None) -> DataFrame:
+    """events with the gap to the job's event before, and whether it is over the idle time. order: what else sets apart events of one time."""
+    before = F.lag("ts").over(Window.partitionBy("job_id").orderBy(*(order or ["ts"])))
     gap = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(before.cast("timestamp"))) / 1e6
     return events.withColumn("gap_s", gap).withColumn("timed_out", F.coalesce(F.col("gap_s") > seconds, F.lit(False)))
 
@@ -32,9 +42,9 @@ def durations(events: DataFrame, seconds: int = TIMEOUT_S) -> DataFrame:
     return events.groupBy("job_id").agg(took.alias("seconds")).withColumn("over", F.col("seconds") > seconds)
 
 
-def debounced(events: DataFrame, millis: int = 300) -> DataFrame:
-    """The last event of each run of a job's events with gaps of less than millis."""
-    after = F.lead("ts").over(Window.partitionBy("job_id").orderBy("ts"))
+def debounced(events: DataFrame, millis: int = 300, order: list[str] | None = None) -> DataFrame:
+    """The last event of each run of a job's events with gaps of less than millis. order: as in with_timeouts."""
+    after = F.lead("ts").over(Window.partitionBy("job_id").orderBy(*(order or ["ts"])))
     gap = (F.unix_micros(after.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e3
     return events.withColumn("_lf_gap", gap).where(F.col("_lf_gap").isNull() | (F.col("_lf_gap") >= millis)).drop("_lf_gap")
 
@@ -48,36 +58,49 @@ STATE = "status string, pct int, last_ts long"
 OUTPUT = "job_id string, status string, pct int, message string"
 
 
-def _advance(key, batches, state):
-    """A job's state after its new events; a terminal state stays; idle too long is an error."""
-    import pandas as pd
-
-    status, pct, last = state.get if state.exists else ("pending", 0, 0)
-    if state.hasTimedOut:
-        state.remove()
-        if status not in ("done", "error"):
-            yield pd.DataFrame({"job_id": [key[0]], "status": ["error"], "pct": [pct], "message": ["timeout"]})
-        return
-    message = None
-    for batch in batches:
-        for row in batch.sort_values(["ts"]).itertuples():
-            if status in ("done", "error"):
-                break
-            last = max(last, int(row.ts.value // 1_000_000))
-            if row.event == "done":
-                status, pct = "done", 100
-            elif row.event == "error":
-                status, message = "error", row.message
-            else:
-                status, pct = "running", int(row.pct) if row.pct == row.pct and row.pct is not None else pct
-    state.update((status, pct, last))
-    state.setTimeoutDuration(TIMEOUT_S * 1000)
-    yield pd.DataFrame({"job_id": [key[0]], "status": [status], "pct": [pct], "message": [message]})
-
-
-def stream_states(events: DataFrame) -> DataFrame:
-    """A streaming DataFrame of state changes, with state per job and a processing-time timeout."""
-    return events.groupBy("job_id").applyInPandasWithState(_advance, OUTPUT, STATE, "update", "ProcessingTimeTimeout")
+def _advance(event_time: bool):
+    def advance(key, batches, state):
+        """A job's state after its new events; a terminal state stays; idle too long is an error."""
+        import pandas as pd
+
+        status, pct, last = state.get if state.exists else ("pending", 0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            if status not in ("done", "error"):
+                yield pd.DataFrame({"job_id": [key[0]], "status": ["error"], "pct": [pct], "message": ["timeout"]})
+            return
+        message = None
+        for batch in batches:
+            for row in batch.sort_values([c for c in ("ts", "event_id") if c in batch]).itertuples():
+                if status in ("done", "error"):
+                    break
+                now = int(row.ts.value // 1000)
+                if event_time and last and now - last > TIMEOUT_S * 1_000_000:
+                    status, message = "error", "timeout"
+                    break
+                last = max(last, now)
+                if row.event == "done":
+                    status, pct = "done", 100
+                elif row.event == "error":
+                    status, message = "error", row.message
+                else:
+                    status, pct = "running", int(row.pct) if row.pct == row.pct and row.pct is not None else pct
+        state.update((status, pct, last))
+        if not event_time:
+            state.setTimeoutDuration(TIMEOUT_S * 1000)
+        yield pd.DataFrame({"job_id": [key[0]], "status": [status], "pct": [pct], "message": [message]})
+
+    return advance
+
+
+def stream_states(events: DataFrame, event_time: bool = False) -> DataFrame:
+    """A streaming DataFrame of state changes, with state per job.
+
+    A job without events for the idle time ends in error: by the clock, or with event_time where the event that comes next is later than that, which a
+    replay decides as the live stream did. A batch's events go by ts, then event_id if there is one.
+    """
+    wait = "NoTimeout" if event_time else "ProcessingTimeTimeout"
+    return events.groupBy("job_id").applyInPandasWithState(_advance(event_time), OUTPUT, STATE, "update", wait)
 
 
 def fan_out(states: DataFrame, sinks: list, checkpoint: str, once: bool = True):

@@ -136,3 +136,31 @@ def test_more_rules(spark):
     parts = T.address_parts(*[F.lit(x) for x in ("Rua A", "", "ap 1", "Centro", "", "RJ", "123")])
     assert tuple(one.select(parts).first()[0]) == ("123", "Rua A", "", ", Bairro Centro", "", "RJ")
     assert one.select(T.address(F.lit("Rua"), F.lit(""), F.lit("ap"))).first()[0] == "Rua, ap"
+
+
+def test_names_by_full_decomposition(spark):
+    import re
+    import unicodedata
+
+    texts = ["Nº da Apólice", "nome\u00a0segurado", "1ª via", "m² ½ … ™ ﬁm", "ＡＢ－c", "𝐀x", "ß Æ", *("a" + "".join(map(chr, range(a, a + 64))) + "z" for a in range(0x80, 0xD800, 64))]
+    want = [re.sub(r"[-_\s]+", " ", unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode()).strip().lower() for t in texts]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r[0] for r in rows.orderBy("i").select(T.normalize_name(F.col("t"))).collect()] == want
+
+
+def test_rounding_as_python(spark):
+    import random
+
+    r = random.Random(1)
+    values = [0.12345, 0.05, 0.5, 2.5, 0.125, 0.90625, -0.12345, 1.00005, 0.0, 1e12 + 0.5, *(r.random() for _ in range(3000)), *(r.randrange(20000) / 20000 for _ in range(3000)), *(a / b for a in range(1, 40) for b in range(a, 40))]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", M.round_even(F.col("v"), 4).alias("a"), M.round_even(F.col("v"), 1).alias("b"), M.percent_position(F.col("v")).alias("p"))
+    for x in rows.collect():
+        assert (x.a, x.b, x.p) == (round(x.v, 4), round(x.v, 1), f"{x.v * 100:.1f}"), x
+
+
+def test_very_large_money(spark):
+    many = "1" * 40
+    one = spark.createDataFrame([(f"{many},00", 1e30, "12345678901234567,89", "123456789012345,60")], "a string, b double, c string, d string")
+    got = one.select(M.normalize_br(F.col("a")), M.format_number_br(F.col("b")), M.format_currency_br(F.col("b")), M.normalize_br(F.col("c")), M.normalize_br(F.col("d"))).first()
+    dots = ".".join(["1", *["000"] * 10])
+    assert got[:] == (str(float(many)), f"{dots},00", f"R$ {dots},00", str(float("12345678901234567.89")), "123456789012345.6")
