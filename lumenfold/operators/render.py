@@ -19,6 +19,7 @@ CSS = "\n".join([
 ])
 
 
+# The skeletons of spans and scripts below.
 def span(field: Column, text: Column, x: Column, y: Column) -> Column:
     """A positioned span: bound to its field, or with the escaped text if the field is null."""
     place = F.concat(F.lit("left:"), percent_position(x), F.lit("%;top:"), percent_position(y), F.lit("%;"))
@@ -55,6 +56,7 @@ def scripts(mappings: DataFrame, valid: bool = False) -> DataFrame:
     )
 
 
+# Fixed value: the base document.
 FALLBACK = "<!DOCTYPE html><html><head><style>{styles}</style></head><body>{content}<script>{js}</script></body></html>"
 
 
@@ -88,5 +90,19 @@ def bundles(results: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, bundle binary")
 
 
+def unbundled(bundles: DataFrame) -> DataFrame:
+    """(doc_id, name, body) of each file in (doc_id, bundle) rows."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            for key, data in zip(b.column("doc_id").to_pylist(), b.column("bundle").to_pylist(), strict=True):
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    names = z.namelist()
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(names), b.schema.field("doc_id").type), pa.array(names), pa.array([z.read(n) for n in names], pa.binary())], ["doc_id", "name", "body"])
+
+    return bundles.select("doc_id", "bundle").mapInArrow(run, f"doc_id {bundles.schema['doc_id'].dataType.simpleString()}, name string, body binary")
+
+
 def bind_template(template: Column, data: Column, mark: str = "##TEMPLATE_DATA##") -> Column:
     return F.replace(template, F.lit(mark), data)

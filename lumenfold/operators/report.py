@@ -21,6 +21,12 @@ def totals(df: DataFrame, sums: list[str], money: str = "decimal(18,2)") -> Data
     return df.agg(*[F.sum(F.col(c).cast(money)).alias(c) for c in sums])
 
 
+def running_total(df: DataFrame, by: list[str], order: list[str], value: str, name: str = "running", money: str = "decimal(18,2)") -> DataFrame:
+    """df with the sum of value up to each row of its group."""
+    rows = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn(name, F.sum(F.col(value).cast(money)).over(rows))
+
+
 def first_per_key(df: DataFrame, key: str, order: str, trim: bool = False) -> DataFrame:
     """The first row of each key by order; blank keys drop out. trim: keep the trimmed key."""
     clean = F.trim(F.col(key).cast("string"))

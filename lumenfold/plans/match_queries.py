@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lumenfold.functions.money import round_even
 from lumenfold.operators import match as J
 from lumenfold.operators import render, score
+from lumenfold.operators.written import saved
 from lumenfold.plans.registry import query, table
 
 _BLOCKS = "SELECT p_brand AS doc_id, p_partkey * 10 + k AS block_idx, string_split(p_name, ' ')[k + 1] AS text, p_size / 50.0 AS x, (p_partkey % 100) / 100.0 AS y FROM part, LATERAL (SELECT unnest(range(0, len(string_split(p_name, ' ')))) AS k)"
-_FIELDS = "SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY name) - 1 AS field_idx FROM (SELECT DISTINCT p_brand AS doc_id, lower(p_type) AS name FROM part UNION SELECT p_brand, lower(string_split(p_name, ' ')[1]) FROM part WHERE p_partkey % 7 = 0)"
+_FIELDS = "SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY name) - 1 AS field_idx FROM (SELECT DISTINCT p_brand AS doc_id, lower(p_type) AS name FROM part UNION SELECT p_brand, lower(string_split(p_name, ' ')[1]) FROM part)"
 _KEYS = "SELECT doc_id, key, row_number() OVER (PARTITION BY doc_id ORDER BY key) - 1 AS key_idx FROM (SELECT DISTINCT p_brand AS doc_id, string_split(p_name, ' ')[1] AS key FROM part WHERE p_size > 25 UNION SELECT p_brand, lower(p_type) FROM part WHERE p_size > 40)"
 _BEST = f"""b AS ({_BLOCKS}), f AS ({_FIELDS}), k AS ({_KEYS}),
 c AS (SELECT f.doc_id, f.field_idx, f.name, b.block_idx, b.text, CASE WHEN b.text = f.name THEN 1.0::DOUBLE WHEN (contains(b.text, f.name) OR contains(f.name, b.text)) AND 1 - levenshtein(b.text, f.name) / greatest(length(b.text), length(f.name)) < 0.75 THEN 0.75
@@ -31,7 +33,7 @@ def _inputs(spark, sf_dir):
     words = part.select(F.col("p_brand").alias("doc_id"), "p_partkey", "p_size", F.posexplode(F.split("p_name", " ")).alias("k", "text"))
     blocks = words.select("doc_id", (F.col("p_partkey") * 10 + F.col("k")).alias("block_idx"), "text", (F.col("p_size") / 50.0).alias("x"), (F.col("p_partkey") % 100 / 100.0).alias("y"), F.lit(0.1).alias("width"), F.lit(0.1).alias("height"), F.lit(1).alias("page"))
     first = F.split_part("p_name", F.lit(" "), F.lit(1))
-    names = part.select(F.col("p_brand").alias("doc_id"), F.lower("p_type").alias("name")).union(part.where("p_partkey % 7 = 0").select("p_brand", F.lower(first))).distinct()
+    names = part.select(F.col("p_brand").alias("doc_id"), F.lower("p_type").alias("name")).union(part.select("p_brand", F.lower(first))).distinct()
     rank = lambda c: (F.row_number().over(Window.partitionBy("doc_id").orderBy(c)) - 1).cast("long")
     schema = names.withColumn("field_idx", rank("name")).withColumn("type", F.lit("string"))
     keys = part.where("p_size > 25").select(F.col("p_brand").alias("doc_id"), first.alias("key")).union(part.where("p_size > 40").select("p_brand", F.lower("p_type"))).distinct()
@@ -49,7 +51,7 @@ def best_match(spark, sf_dir):
     blocks, schema, _ = _inputs(spark, sf_dir)
     norm = J.normalize_name
     best = J.best_blocks(schema.select("doc_id", "field_idx", norm(F.col("name")).alias("norm")), blocks.select("doc_id", "block_idx", norm(F.col("text")).alias("norm")))
-    return best.select("doc_id", "field_idx", F.bround("confidence", 4).alias("confidence"), "block_idx")
+    return best.select("doc_id", "field_idx", round_even(F.col("confidence"), 4).alias("confidence"), "block_idx")
 
 
 @query(f"WITH {_MAPPED} SELECT doc_id, part, ord, pdfText, jsonPath, confidence, status, raw_confidence, data_value, normalized_value FROM a")
@@ -61,7 +63,7 @@ def field_match(spark, sf_dir):
 @query(f"WITH {_MAPPED} SELECT doc_id, part, ord, CASE WHEN part = 0 AND ord = 0 THEN 'edited' ELSE jsonPath END AS jsonPath, part = 0 AND ord = 0 AS isManual, CASE WHEN part = 0 AND ord = 0 THEN 'ok' ELSE status END AS status FROM a")
 def manual_edits(spark, sf_dir):
     """Mappings after each document's first field was edited."""
-    mapped = _mapped(spark, sf_dir)
+    mapped = saved(_mapped(spark, sf_dir), "mappings")
     edits = mapped.where("part = 0 and ord = 0").select("id", F.lit("edited").alias("path"))
     return J.edit_mappings(mapped, edits).select("doc_id", "part", "ord", "jsonPath", "isManual", "status")
 
@@ -82,8 +84,7 @@ def fidelity_score(spark, sf_dir):
 @query(f"WITH {_MAPPED} SELECT doc_id, jsonPath, 'Campo ''' || jsonPath || ''' com baixa confiança de mapeamento (raw: ' || format('{{:.2f}}', CAST(raw_confidence AS DOUBLE)) || '). Verificar manualmente.' AS message FROM a WHERE confidence = 'low'")
 def low_confidence_suggestions(spark, sf_dir):
     """A warning for each mapping of low confidence."""
-    mapped = _mapped(spark, sf_dir)
-    return score.suggestions(mapped).join(mapped.select("id", "jsonPath"), "id").select("doc_id", "jsonPath", "message")
+    return score.suggestions(_mapped(spark, sf_dir)).select("doc_id", "jsonPath", "message")
 
 
 @query(f"""

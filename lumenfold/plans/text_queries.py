@@ -154,11 +154,11 @@ def split_questions(spark, sf_dir):
 
 
 @query("""
-WITH w AS (SELECT o_orderkey, [o_orderpriority, CAST(o_custkey AS VARCHAR), 'x', o_orderstatus, 'y'][1:1 + o_orderkey % 5] AS w FROM orders)
-SELECT o_orderkey, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[1:2], ' ') || '|' || array_to_string(w[len(w) - 1:len(w)], ' ') END AS lines FROM w WHERE NOT contains(w[1], ' ')
+WITH w AS (SELECT o_orderkey, string_split(array_to_string([o_orderpriority, CAST(o_custkey AS VARCHAR), 'x', o_orderstatus, 'y'][1:1 + o_orderkey % 5], ' '), ' ') AS w FROM orders)
+SELECT o_orderkey, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[1:len(w) // 2], ' ') || '|' || array_to_string(w[len(w) - len(w) // 2 + 1:], ' ') END AS lines FROM w
 """)
 def label_lines(spark, sf_dir):
-    """Labels of one to five words in lines."""
+    """Labels of all orders, of one to six words, in lines."""
     words = F.array("o_orderpriority", F.col("o_custkey").cast("string"), F.lit("x"), "o_orderstatus", F.lit("y"))
-    rows = table(spark, sf_dir, "orders").where(~F.contains("o_orderpriority", F.lit(" ")))
-    return rows.select("o_orderkey", F.array_join(T.label_lines(F.array_join(F.slice(words, F.lit(1), (1 + F.col("o_orderkey") % 5).cast("int")), " ")), "|").alias("lines"))
+    label = F.array_join(F.slice(words, F.lit(1), (1 + F.col("o_orderkey") % 5).cast("int")), " ")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(T.label_lines(label), "|").alias("lines"))
