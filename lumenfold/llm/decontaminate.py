@@ -29,7 +29,10 @@ LITERAL, NUMBER, NAME, UNIT = range(4)
 UNITS = (
     "kg g mg lb lbs oz km m cm mm mi ft inch inches mile miles meter meters metre metres l ml litre litres liter liters "
     "s sec second seconds min minute minutes h hour hours day days week weeks month months year years "
-    "usd eur gbp dollar dollars euro euros cent cents percent degree degrees mph kmh kph w kw mw v mb gb tb"
+    "usd eur gbp dollar dollars euro euros cent cents percent degree degrees mph kmh kph w kw mw v mb gb tb "
+    "kilo kilos kilogramo kilogramos gramo gramos metro metros litro litros segundo segundos minuto minutos hora horas día días semana semanas mes meses año años dólar dólares grado grados "
+    "kilogramme kilogrammes gramme grammes mètre mètres seconde secondes heure heures jour jours semaine semaines mois ans année années degré degrés "
+    "kilogramm gramm meter liter sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate jahr jahre jahren grad prozent"
 ).split()
 
 GAP, RESUME = 4, 3  # words that an alignment may skip on either side at once, and words that must fit behind them
@@ -275,11 +278,11 @@ class Benchmark:
 
 
 def _consistent(ours: Templates, x: np.ndarray, theirs: Templates, y: np.ndarray) -> float:
-    """The share of slots' values at x that stand for one value at y. An opening word is a slot if it differs or has a slot's value.
+    """The share of slots' values at x that stand for one value at y, and of names and units at y for one at x, whichever is less.
 
-    Runs of as many words are taken word by word, others whole, but for an opening word that both begin with.
+    Two numbers of an item may become equal, two names may not. An opening word is a slot if it differs or has a slot's value. Runs of as many words are taken word by word, others whole, but for an opening word that both begin with.
     """
-    pairs, openers = set(), set()
+    pairs, openers, numbers = set(), set(), set()
     words, others = ours.words, theirs.words
     for i, n, j, m in zip(ours.first[x].tolist(), ours.width[x].tolist(), theirs.first[y].tolist(), theirs.width[y].tolist(), strict=True):
         if n != m and min(n, m) > 1 and words.either[i] and words.value[i] == others.value[j]:
@@ -292,11 +295,15 @@ def _consistent(ours: Templates, x: np.ndarray, theirs: Templates, y: np.ndarray
         for k in range(n):
             if words.kind[i + k] != LITERAL or a[k] != b[k]:
                 pairs.add(((a[k],), (b[k],)))
+                if words.kind[i + k] == NUMBER:
+                    numbers.add(((a[k],), (b[k],)))
             elif words.either[i + k]:
                 openers.add(((a[k],), (b[k],)))
     values = {v for v, _ in pairs}
     pairs |= {p for p in openers if p[0] in values}
-    return len(values) / len(pairs) if pairs else 1.0
+    named = pairs - numbers
+    back = len({v for _, v in named}) / len(named) if named else 1.0
+    return min(len(values) / len(pairs), back) if pairs else 1.0
 
 
 def _aligned(ours: Templates, item: int, start: int, theirs: Templates, text: int, word: int) -> tuple[np.ndarray, np.ndarray]:

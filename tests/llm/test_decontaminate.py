@@ -81,3 +81,11 @@ def test_parameters_of_another_length(spark):
     few = "one plain item of just twelve words that says nothing much here".split()
     added = [" ".join([*few[:k], "really", *few[k:]]) for k in range(1, len(few))]
     assert all(r for r in leaks(spark, added, [" ".join(few)]).values())
+
+
+def test_names_in_both_directions_and_units_of_other_languages(spark):
+    one = "If Carla buys 12 apples and then Carla gives Carla 5 kg of them , how many apples does she keep for the whole week"
+    q = "Un panadero vende 5 kilos de pan cada mañana y guarda 3 kilos para los niños del barrio pobre"
+    got = leaks(spark, [one, q.replace("kilos", "gramos").replace("5", "8")], [Q, q], consistency=1.0)
+    assert got[0] == [] and [x[0] for x in got[1]] == [1]
+    assert [x[0] for x in leaks(spark, ["Ann has 4 apples and buys 7 more today"], ["Tom has 3 apples and buys 5 more today"])[0]] == [0]
