@@ -141,9 +141,11 @@ def light_hashes(words: pa.Array) -> np.ndarray:
     data, offs = string_bytes(words)
     if not len(offs) - 1:
         return np.zeros(0, U64)
-    place = (np.arange(len(data)) - np.repeat(offs[:-1], np.diff(offs))) % len(_GRAM)
+    size = np.diff(offs)
+    place = np.arange(len(data)) - np.repeat(offs[:-1], size)
+    factor = _GRAM if size.max() <= len(_GRAM) else splitmix(2, int(size.max())) | U64(1)
     with np.errstate(over="ignore"):
-        return mix(np.add.reduceat((data.astype(U64) + U64(1)) * _GRAM[place], offs[:-1]))
+        return mix(np.add.reduceat((data.astype(U64) + U64(1)) * factor[place], offs[:-1]))
 
 
 def filled(size: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:

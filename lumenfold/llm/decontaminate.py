@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lumenfold.llm._shared import extended
-from lumenfold.llm._text import _GRAM, Words, lean, mix, pieces, splitmix, string_bytes
+from lumenfold.llm._text import _GRAM, Words, lean, light_hashes, mix, pieces, splitmix, string_bytes
 
 LITERAL, NUMBER, NAME, UNIT = range(4)
 # Words that count as units behind a number.
@@ -73,7 +73,8 @@ class Templates:
         some = low < high
         words.start[some] = solid[low[some]]
         words.end[some] = solid[high[some] - 1] + 1
-        self.value = words.hashes(lower=True)
+        number, distinct = words.codes(lower=True)
+        self.value = light_hashes(distinct)[number]
         count = lambda table: np.append(0, np.cumsum(table[data], dtype=np.int64))
         digits, numeric = count(_DIGIT), count(_NUMERIC)
         size = words.end - words.start
@@ -155,9 +156,7 @@ def _sums(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def _unit_hashes() -> np.ndarray:
-    data, offs = string_bytes(pa.array(UNITS))
-    out = Words(data, offs)
-    return out.hashes(lower=True)
+    return light_hashes(pa.array([w.encode() for w in UNITS], pa.large_binary()))
 
 
 class Benchmark:

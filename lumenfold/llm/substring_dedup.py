@@ -172,24 +172,36 @@ def _chosen(batch: _Batch, digests: np.ndarray, wanted: np.ndarray, places: pa.L
     return np.searchsorted(at, word, side="right") - 1, word, low[found], high[found]
 
 
-SUFFIX = "key long, id long, t long, d1 long, place int, least short, most short, words binary"
+SUFFIX = "key long, id long, t long, d1 long, place int, least short, most short, words binary, longer array<long>"
 
 
 def _suffixes(window: int, prefix: int):
-    """Each asked anchor: its prefix's key, its place, the offsets of its windows, and the words of these."""
+    """Each asked anchor: its prefix's key, its place, the offsets of its windows, and the words of these.
+
+    Of anchors with a common prefix, each window: the keys of its longer prefixes, its place, and its words.
+    """
+
+    def made(part: pa.RecordBatch, d1: np.ndarray, text: np.ndarray, key: np.ndarray, place: np.ndarray, least: np.ndarray, most: np.ndarray, words: pa.Array, longer: pa.Array) -> pa.RecordBatch:
+        at = pa.array(text)
+        columns = [pa.array(key.view(np.int64)), part.column("id").take(at), part.column("t").take(at), pa.array(d1[text]), pa.array(place.astype(np.int32)), pa.array(least.astype(np.int16)), pa.array(most.astype(np.int16)), words, longer]
+        return pa.RecordBatch.from_arrays(columns, ["key", "id", "t", "d1", "place", "least", "most", "words", "longer"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for i, j, b in _batches(rows.column("text"), window, prefix):
                 part = rows.slice(i, j - i)
-                d1 = b.digests()[0]
-                text, word, low, high = _chosen(b, d1, part.column("d1").to_numpy(), part.column("places"))
-                if not len(word):
-                    continue
-                at = pa.array(text)
-                columns = [pa.array(b.keys[word].view(np.int64)), part.column("id").take(at), part.column("t").take(at), pa.array(d1[text]), pa.array((word - b.words.at[text]).astype(np.int32)),
-                           pa.array((word - high).astype(np.int16)), pa.array((word - low).astype(np.int16)), b.slices(low, high + window - 1)]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "id", "t", "d1", "place", "least", "most", "words"])
+                d1, asked, at = b.digests()[0], part.column("d1").to_numpy(), b.words.at
+                text, word, low, high = _chosen(b, d1, asked, part.column("places"))
+                if len(word):
+                    yield made(part, d1, text, b.keys[word], word - at[text], word - high, word - low, b.slices(low, high + window - 1), pa.nulls(len(word), pa.list_(_I64)))
+                text, word, low, high = _chosen(b, d1, asked, part.column("common"))
+                if len(word):
+                    n = high - low + 1
+                    start, text = ranges(low, n), np.repeat(text, n)
+                    keys = np.stack([grams(b.hashes, k)[start] for k in lengths(prefix, window)], axis=1)
+                    longer = _ragged(keys.reshape(-1).view(np.int64), np.arange(len(start) + 1) * keys.shape[1], _I64)
+                    none = np.zeros(len(start), np.int64)
+                    yield made(part, d1, text, none, start - at[text], none, none, b.slices(start, start + window - 1), longer)
 
     return run
 
@@ -203,25 +215,6 @@ def lengths(prefix: int, window: int) -> list[int]:
     return [*out, window]
 
 
-def _windows(window: int, prefix: int):
-    """Each window of the asked anchors: the keys of its longer prefixes, its place, and its words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for i, j, b in _batches(rows.column("text"), window, prefix):
-                part = rows.slice(i, j - i)
-                d1 = b.digests()[0]
-                text, _, low, high = _chosen(b, d1, part.column("d1").to_numpy(), part.column("places"))
-                n = high - low + 1
-                start, text = ranges(low, n), np.repeat(text, n)
-                at = pa.array(text)
-                keys = [pa.array(grams(b.hashes, k)[start].view(np.int64)) for k in lengths(prefix, window)]
-                columns = [part.column("id").take(at), part.column("t").take(at), pa.array(d1[text]), pa.array((start - b.words.at[text]).astype(np.int32)), b.slices(start, start + window - 1), *keys]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "t", "d1", "place", "words", *(f"k{k}" for k in range(len(keys)))])
-
-    return run
-
-
 def _nodes(keys: np.ndarray, words: np.ndarray, depths: range) -> dict[int, np.ndarray]:
     """For each depth, the tree node of each suffix: equal for suffixes with the same key and that many first words."""
     n = len(words)
@@ -376,24 +369,22 @@ def _found(source: DataFrame, window: int, prefix: int, group_rows: int, at_once
     places = _repeated(features, window, group_rows)
     repeats = features.groupBy("id", "t").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
     texts = source.dropDuplicates(["id", "t", "text"]) if repeats else source
-    asked = lambda hot: texts.join(places.where(f"hot = {hot}").select("id", "t", "d1", "places").hint("merge"), ["id", "t"])
-    suffixes = asked("false").mapInArrow(lean(_suffixes(window, prefix)), SUFFIX)
+    # Both grow with the input, so neither side is broadcast.
+    suffixes = texts.join(places.hint("merge"), ["id", "t"]).mapInArrow(lean(_suffixes(window, prefix)), SUFFIX)
     more = None
-    if places.where("hot").limit(1).count():
-        keys = [f"k{k}" for k in range(len(lengths(prefix, window)))]
-        rest = saved(asked("true").mapInArrow(lean(_windows(window, prefix)), f"id long, t long, d1 long, place int, words binary, {', '.join(f'{k} long' for k in keys)}"), "windows")
-        for k in keys:
-            hot = saved(rest.groupBy(k).agg(F.count("*").alias("c")).where(F.col("c") > group_rows).select(k), "hot-prefixes")
-            zero = F.lit(0).cast("short")
-            fits = rest.join(hot, k, "left_anti").select(F.col(k).alias("key"), "id", "t", "d1", "place", zero.alias("least"), zero.alias("most"), "words")
-            suffixes, rest = suffixes.union(fits), rest.join(hot, k, "left_semi")
+    if places.where("size(common) > 0").limit(1).count():
+        every = saved(suffixes, "suffixes")
+        suffixes, rest = every.where("longer is null"), every.where("longer is not null")
+        for k in range(len(lengths(prefix, window))):
+            rest = rest.withColumn("key", F.col("longer")[k])
+            hot = saved(rest.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > group_rows).select("key"), "common-prefixes")
+            suffixes, rest = suffixes.union(rest.join(hot, "key", "left_anti").select(suffixes.columns)), rest.join(hot, "key", "left_semi").select(suffixes.columns)
         # The whole window is the prefix: one node, and its first occurrence.
-        k = keys[-1]
-        rest = saved(rest, "hot-windows")
         this = F.struct("id", "t", "d1", "place")
-        first = saved(rest.groupBy(k, "words").agg(F.min(this).alias("first")), "first-windows")
-        more = rest.join(first, [k, "words"]).where(this > F.col("first")).select("id", "t", "d1", "place", F.lit(0).cast("long").alias("bits"))
-    found = in_groups(suffixes, ["key"], _repeats(window, prefix), "id long, t long, d1 long, place int, bits long", at_once)
+        rest = saved(rest, "common-windows")
+        first = saved(rest.groupBy("key", "words").agg(F.min(this).alias("first")), "first-windows")
+        more = rest.join(first, ["key", "words"]).where(this > F.col("first")).select("id", "t", "d1", "place", F.lit(0).cast("long").alias("bits"))
+    found = in_groups(suffixes.drop("longer"), ["key"], _repeats(window, prefix), "id long, t long, d1 long, place int, bits long", at_once)
     copies = features.where(F.col("n") >= window).select("id", "t", "d1", "d2")
     first = copies.groupBy("d1", "d2").agg(F.min(F.struct("id", "t")).alias("rep"), F.max(F.struct("id", "t")).alias("last")).where("rep < last")
     copies = copies.join(first, ["d1", "d2"]).where(F.struct("id", "t") > F.col("rep")).select("id", "t", "d1").distinct()
@@ -402,7 +393,7 @@ def _found(source: DataFrame, window: int, prefix: int, group_rows: int, at_once
 
 
 def _repeated(features: DataFrame, window: int, group_rows: int) -> DataFrame:
-    """(id, t, d1, hot, places): anchors of one text of each class whose prefix occurs again; hot: more than group_rows times."""
+    """(id, t, d1, places, common): anchors of one text of each class whose prefix occurs again, and those whose prefix does so more than group_rows times."""
     long = features.where(F.col("n") >= window)
     # Texts that occur once need no join: only classes of several rows lose some.
     several = long.groupBy("d1", "d2").agg(F.min(F.struct("id", "t")).alias("rep"), F.count("*").alias("c")).where("c > 1").select("d1", "d2", "rep")
@@ -410,7 +401,8 @@ def _repeated(features: DataFrame, window: int, group_rows: int) -> DataFrame:
     ours = saved(ours.select("id", "t", "d1", "keys", "places").dropDuplicates(["id", "t", "d1"]), "classes")
     each = ours.select("id", "t", "d1", F.inline(F.arrays_zip("keys", "places"))).withColumnRenamed("keys", "key").withColumnRenamed("places", "place")
     counts = ours.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    again = each.join(counts, "key").groupBy("id", "t", "d1", (F.col("c") > group_rows).alias("hot")).agg(F.collect_list("place").alias("places"))
+    listed = lambda test: F.collect_list(F.when(test, F.col("place")))
+    again = each.join(counts, "key").groupBy("id", "t", "d1").agg(listed(F.col("c") <= group_rows).alias("places"), listed(F.col("c") > group_rows).alias("common"))
     out = saved(again, "places")
     drop(ours)
     return out
