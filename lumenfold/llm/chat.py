@@ -88,19 +88,20 @@ class _Conversation:
                 spans.append({"start": at + a, "end": at + b})
             at += len(turn)
         self.windows += 1
-        return self.key, self.windows - 1, "".join(text), spans, self.repeated, len(self.turns), self.sums[-1]
+        return self.key, self.windows - 1, "".join(text), spans, self.repeated, len(self.turns), self.sums[-1], self.sums[-1] > self.budget
 
 
-_TYPES = [pa.int32(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.int32(), pa.int32(), pa.int64()]
-_NAMES = ["window", "formatted", "loss", "repeated", "turns", "n_tokens"]
+_TYPES = [pa.int32(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
+_NAMES = ["window", "formatted", "loss", "repeated", "turns", "n_tokens", "over"]
 
 
 def windows(df: DataFrame, path: str, budget: int = 1024, history: int = 256) -> DataFrame:
-    """Windows of conversations (conv_id, turn, role, text): formatted, loss (spans in code points), repeated, turns, n_tokens.
+    """Windows of conversations (conv_id, turn, role, text): formatted, loss (spans in code points), repeated, turns, n_tokens, over.
 
     Rows go by turn, then role and text; null roles and texts are empty, a null conv_id is one conversation. The
     rows of a conversation meet in one task but stream through it, with one window held. A turn longer than the budget is a window of its own with what is
-    repeated; no turn is cut or dropped. Windows of a conversation stay together and in order.
+    repeated; no turn is cut or dropped. The system turn is repeated whatever its length. over: a window is beyond the budget, as its one new turn, or that and the system turn,
+    are longer. Only such windows are. Other columns are left out. Windows of a conversation stay together and in order.
     """
     rows = df.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     kind = rows.schema["conv_id"].dataType.simpleString()
@@ -133,7 +134,7 @@ def windows(df: DataFrame, path: str, budget: int = 1024, history: int = 256) ->
             yield made()
 
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInArrow(lean(run), f"conv_id {kind}, window int, formatted string, loss array<struct<start:int,end:int>>, repeated int, turns int, n_tokens long")
+    return ordered.mapInArrow(lean(run), f"conv_id {kind}, window int, formatted string, loss array<struct<start:int,end:int>>, repeated int, turns int, n_tokens long, over boolean")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenfold.llm._shared import extended
 from lumenfold.llm._text import lean, pieces, string_bytes
@@ -116,7 +117,11 @@ def lzw_decode(stream: bytes, low: int, most: int) -> bytes:
         if not len(stops):
             if n < len(widths):
                 break
-            raise ValueError("no clear code for too long")
+            # No clear code yet: the table is full and its codes go on.
+            total -= len(out.pop())
+            widths = _widths(2 * len(widths), low)
+            sums = np.cumsum(widths)
+            continue
         if codes[n] == clear + 1:
             break
         at = int(where[n] + steps[n])
@@ -150,6 +155,11 @@ class Frame:
         return np.concatenate([np.bincount(self.palette[:, c] >> 5, counts, BINS) for c in range(3)]).astype(np.int64)
 
 
+#: What is raised for a GIF that is cut off or not made as the format says.
+MALFORMED = (ValueError, IndexError, struct.error)
+PIXELS = 1 << 26  # of a canvas; a header that asks for more is taken as malformed
+
+
 def frames(gif: bytes, keep: bool = True) -> Iterator[Frame]:
     """The frames of a GIF 87a or 89a in order. Without keep, a frame's canvas is good until the next one is asked for."""
     if gif[:6] not in (b"GIF87a", b"GIF89a"):
@@ -160,6 +170,8 @@ def frames(gif: bytes, keep: bool = True) -> Iterator[Frame]:
         size = 3 * (2 << (flags & 7))
         common = np.frombuffer(gif[at : at + size], np.uint8).reshape(-1, 3)
         at += size
+    if width * height > PIXELS:
+        raise ValueError("canvas too large")
     canvas = np.zeros((height, width, 4), np.uint8)
     time = delay = disposal = 0
     transparent = -1
@@ -181,6 +193,8 @@ def frames(gif: bytes, keep: bool = True) -> Iterator[Frame]:
             at += size
         if palette is None:
             raise ValueError("no palette")
+        if not 2 <= gif[at] <= 8 or w * h > PIXELS:
+            raise ValueError("no such picture")
         stream, at_next = _blocks(gif, at + 1)
         raw = lzw_decode(stream, gif[at], w * h)
         at = at_next
@@ -259,32 +273,42 @@ def with_gif(df: DataFrame, text: str = "text", width: int = 24, block: int = 57
     return rows.mapInArrow(lean(run), extended(rows.schema, f"`{column}` binary", (text,)))
 
 
-FRAME = "frame int, start_cs long, delay_cs int, disposal int, transparent int, `left` int, top int, width int, height int, rgba binary, histogram array<long>"
+FRAME = "frame int, start_cs long, delay_cs int, disposal int, transparent int, `left` int, top int, width int, height int, rgba binary, histogram array<long>, error string"
 
 
 def gif_frames(df: DataFrame, key: str, column: str = "gif") -> DataFrame:
-    """A row for each frame of each GIF: key and FRAME's columns; rgba is the whole canvas. Null and empty values have no frames."""
+    """A row for each frame of each GIF: key and FRAME's columns; rgba is the whole canvas. Null and empty values have no frames.
+
+    A malformed GIF has the frames before its fault, and a last row with nothing but key and error. A key named as one of FRAME's columns comes back as `key`.
+    """
+    names = [f.name for f in T.StructType.fromDDL(FRAME)]
+    rows = df.select(F.col(key).alias("key" if key in names else key), column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int32(), pa.int64(), *[pa.int32()] * 7, pa.binary(), pa.list_(pa.int64()), pa.string()]
+
+        def made(batch: pa.RecordBatch, who: object, values: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([who, *values], [batch.schema.field(0).type, *types], strict=True)], [batch.schema.names[0], *names])
+
         for batch in batches:
-            kind = batch.schema.field(0).type
             for who, gif in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, f in enumerate(frames(gif) if gif else ()):
-                    values = [who, k, f.start_cs, f.delay_cs, f.disposal, f.transparent, f.left, f.top, f.width, f.height, f.canvas.tobytes(), histogram(f.canvas).tolist()]
-                    types = [kind, pa.int32(), pa.int64(), *[pa.int32()] * 7, pa.binary(), pa.list_(pa.int64())]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], [batch.schema.names[0], "frame", "start_cs", "delay_cs", "disposal", "transparent", "left", "top", "width", "height", "rgba", "histogram"])
+                try:
+                    for k, f in enumerate(frames(gif) if gif else ()):
+                        yield made(batch, who, [k, f.start_cs, f.delay_cs, f.disposal, f.transparent, f.left, f.top, f.width, f.height, f.canvas.tobytes(), histogram(f.canvas).tolist(), None])
+                except MALFORMED as e:
+                    yield made(batch, who, [None] * (len(names) - 1) + [str(e) or type(e).__name__])
 
-    rows = df.select(key, column)
     return rows.mapInArrow(lean(run), extended(rows.schema, FRAME, (column,)))
 
 
 def with_gif_features(df: DataFrame, column: str = "gif") -> DataFrame:
     """df and what is read back from its GIFs: payload_bytes, payload_sha256, tail_crc32 (of the last 32 samples), frames, duration_cs, histogram.
 
-    The payload is the red of each frame's rectangle, in order.
+    The payload is the red of each frame's rectangle, in order. Of a malformed GIF all are null but gif_error; of null and empty values that is null too.
+    Existing columns of these names are replaced.
     """
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "frames", "duration_cs", "histogram"]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "frames", "duration_cs", "histogram", "gif_error"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.string()]
     rows = df.drop(*names)
 
     def read(gif: bytes) -> tuple:
@@ -294,15 +318,21 @@ def with_gif_features(df: DataFrame, column: str = "gif") -> DataFrame:
             sha.update(part)
             size, tail, count, lasts = size + len(part), (tail + part)[-32:], count + 1, f.start_cs + f.delay_cs
             bins += f.own_histogram()
-        return size, sha.hexdigest(), zlib.crc32(tail), count, lasts, bins.tolist()
+        return size, sha.hexdigest(), zlib.crc32(tail), count, lasts, bins.tolist(), None
+
+    def tried(gif: bytes | None) -> tuple:
+        try:
+            return read(gif) if gif else (None,) * 7
+        except MALFORMED as e:
+            return *(None,) * 6, str(e) or type(e).__name__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [read(g) if g else (None,) * 6 for g in batch.column(column).to_pylist()]
+            got = [tried(g) for g in batch.column(column).to_pylist()]
             more = [pa.array([g[k] for g in got], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names])
 
-    return rows.mapInArrow(lean(run), extended(rows.schema, "payload_bytes long, payload_sha256 string, tail_crc32 long, frames int, duration_cs long, histogram array<long>"))
+    return rows.mapInArrow(lean(run), extended(rows.schema, "payload_bytes long, payload_sha256 string, tail_crc32 long, frames int, duration_cs long, histogram array<long>, gif_error string"))
 
 
 def op7_gif(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,3 +43,16 @@ def test_query(spark):
     talks[-7] = [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]
     got = {r.conv_id: (r.turns_sha256, r.loss_chars, r.loss_sha256) for r in op9_chat(spark, SF).collect()}
     assert got == {k: digests(v) for k, v in talks.items()}
+
+
+def test_windows_beyond_the_budget_say_so(spark):
+    import public_tokenizers
+
+    from lumenfold.llm.chat import windows
+
+    rows = [(1, 0, "system", "rule " * 40), *((1, k, "user" if k % 2 else "assistant", f"turn {k}") for k in range(1, 9)), (2, 0, "user", "word " * 200), (2, 1, "assistant", "ok"), (3, 0, "user", "hi")]
+    got = windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), public_tokenizers.path("byte_bpe_50k.tiktoken"), budget=50, history=20).collect()
+    assert all(r.over == (r.n_tokens > 50) for r in got)
+    by = {k: [r for r in got if r.conv_id == k] for k in (1, 2, 3)}
+    assert [r.over for r in by[2]] == [True, False] and [r.over for r in by[3]] == [False]
+    assert sum(r.turns - r.repeated for r in by[1]) == 9

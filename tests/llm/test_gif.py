@@ -4,6 +4,7 @@ import struct
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lumenfold.llm.gif import frames, gif_frames, histogram, lzw_decode, lzw_encode, op7_gif, padded, with_gif, with_gif_features, write_gif
 
@@ -60,3 +61,35 @@ def test_query(spark):
         p = padded(docs[r.doc_id], 576)
         media = write_gif(p)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.media_bytes, r.media_sha256) == (len(docs[r.doc_id]), len(p), hashlib.sha256(p).hexdigest(), len(media), hashlib.sha256(media).hexdigest())
+
+
+#: A picture that is often used to explain the format: 10 x 10, four colours, written by hand.
+SAMPLE = bytes.fromhex("47494638396 10a000a00910000ffffffff00000000ff00000021f90400000000002c000000000a000a000002168c2d99872a1cdc33a00275ec95faa8de608c04914c01003b".replace(" ", ""))
+
+
+def test_a_stream_written_by_hand():
+    rows = [[1] * 5 + [2] * 5] * 3 + [[1] * 3 + [0] * 4 + [2] * 3] * 2
+    f = next(frames(SAMPLE))
+    assert f.samples.tolist() == rows + [[3 - v if v else 0 for v in r] for r in rows[::-1]]
+    assert f.canvas[0, 0].tolist() == [255, 0, 0, 255] and f.canvas[0, 9].tolist() == [0, 0, 255, 255] and f.canvas[4, 4].tolist() == [255, 255, 255, 255]
+
+
+def test_late_clear_codes():
+    data = os.urandom(40_000)
+    # Literals alone, without a clear code after the first: the table fills up and stays.
+    codes, bits, value = [256, *data, 257], 0, 0
+    for k, c in enumerate(codes):
+        value |= c << bits
+        bits += min(12, (258 + max(0, k - 2)).bit_length()) if k else 9
+    stream = value.to_bytes((bits + 7) // 8, "little")
+    assert lzw_decode(stream, 8, len(data)) == data
+
+
+def test_malformed_gifs(spark):
+    good = write_gif(padded(b"some text", 576))
+    bad = [b"PNG", good[:9], good[:-40], good[:13 + 768] + b"\x99", good[:6] + b"\xff" * 4 + good[10:], SAMPLE[:60]]
+    df = spark.createDataFrame([(i, g) for i, g in enumerate([good, None, b"", *bad])], "frame int, gif binary")
+    got = {r.frame: r for r in gif_frames(df.where("frame > 2"), "frame").where("error is not null").select(F.col("key").alias("frame"), "error").collect()}
+    assert set(got) == set(range(3, 9))
+    read = with_gif_features(df.withColumnRenamed("frame", "k")).collect()
+    assert [(r.payload_bytes, bool(r.gif_error)) for r in sorted(read, key=lambda r: r.k)] == [(576, False), (None, False), (None, False), *[(None, True)] * 6]
