@@ -29,11 +29,15 @@ _ONE = {c: f for c, f in _FOLDED.items() if len(f) == 1}
 _MORE = {c: f for c, f in _FOLDED.items() if len(f) > 1}
 
 
+_BEYOND = "[\u00bc-\u00be" + min(c for c in _MORE if c > "\u00be") + "-" + max(_MORE) + "]"
+
+
 def _unfolded(c: Column) -> Column:
     """ASCII of the compatibility decomposition; only texts with characters that become several are taken apart."""
     pairs = F.expr("map(" + ", ".join(f"'{k}', '" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for k, v in _MORE.items()) + ")")
     taken = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(pairs, x), x)), "")
-    some = F.when(c.rlike("[" + "".join(_MORE) + "]"), taken).otherwise(c)
+    # Everyday texts hold none of these: a range tells so at once, where the list of them is long.
+    some = F.when(c.rlike(_BEYOND) & c.rlike("[" + "".join(_MORE) + "]"), taken).otherwise(c)
     return F.regexp_replace(F.translate(some, "".join(_ONE), "".join(_ONE.values())), r"[^\x00-\x7F]", "")
 
 
