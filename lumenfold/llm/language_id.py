@@ -14,13 +14,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lumenfold.llm._shared import extended
+from lumenfold.llm._shared import drop, extended, saved
 from lumenfold.llm._text import PART, lean, mix, pieces, splitmix, string_bytes
 from lumenfold.llm.bpe import LETTER, classes
 
 SIZES = (3, 4)
+SHIFTS, SLOTS = (4, 34), 22  # bits of a hash that the probes leave out; a filter has at most 2^SLOTS slots, and its chance is corrected however full it is
 _MUL = splitmix(7, 16) | np.uint64(1)
 UNKNOWN = "und"
 
@@ -67,16 +67,22 @@ class Filters:
 
     @staticmethod
     def build(languages: list[str], members: dict[str, np.ndarray], bits: int = 20) -> Filters:
+        """From each language's n-grams."""
+        found = [(np.full(len(g), k), p) for k, name in enumerate(languages) for g in [members[name].astype(np.uint64)] for p in _probes(g, bits)]
+        code = np.concatenate([k for k, _ in found]) if found else np.zeros(0, np.int64)
+        return Filters.of_slots(languages, bits, code // 64, np.concatenate([p for _, p in found]) if found else code, np.uint64(1) << (code % 64).astype(np.uint64))
+
+    @staticmethod
+    def of_slots(languages: list[str], bits: int, part: np.ndarray, slot: np.ndarray, mask: np.ndarray) -> Filters:
+        """From the masks of some slots, each of which is one of 64 languages; masks of one slot are joined."""
         masks, chance = [], []
         for a in range(0, len(languages), 64):
-            some = languages[a : a + 64]
-            kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(t).bits >= len(some))
-            slots = np.zeros(1 << bits, kind)
-            for k, name in enumerate(some):
-                for probe in _probes(members[name].astype(np.uint64), bits):
-                    slots[probe] |= kind(1 << k)
+            n = min(64, len(languages) - a)
+            kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(t).bits >= n)
+            slots, own = np.zeros(1 << bits, kind), part == a // 64
+            np.bitwise_or.at(slots, slot[own], mask[own].astype(kind))
             masks.append(slots)
-            chance += [float(((slots >> kind(k)) & kind(1)).mean()) ** 2 for k in range(len(some))]
+            chance += [float(((slots >> kind(k)) & kind(1)).mean()) ** 2 for k in range(n)]
         return Filters(languages, masks, np.array(chance))
 
     def shares(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +103,8 @@ class Filters:
 
 def _probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     keep = np.uint64((1 << bits) - 1)
-    return ((h >> np.uint64(4)) & keep).astype(np.int64), ((h >> np.uint64(34)) & keep).astype(np.int64)
+    one, two = (((h >> np.uint64(by)) & keep).astype(np.int64) for by in SHIFTS)
+    return one, two
 
 
 def _small(text: pa.Array, limit: int = PART) -> Iterator[tuple[int, int, list[str]]]:
@@ -107,34 +114,46 @@ def _small(text: pa.Array, limit: int = PART) -> Iterator[tuple[int, int, list[s
         yield i, j, [t or "" for t in text.slice(i, j - i).to_pylist()]
 
 
-def learn(docs: DataFrame, per_language: int = 1000, grams: int = 20_000) -> Filters | None:
+def learn(docs: DataFrame, per_language: int = 1000, contrast: float = 0.1) -> Filters | None:
     """Filters from the columns lang and text of labelled rows; None if there are none.
 
     A bounded sample: of each language about per_language rows, those with the smallest hashes of their
-    doc_id, and its `grams` most frequent n-grams. The n-grams are counted on the executors; the driver gets at most grams rows
-    a language. Languages are in order of their rows, so that nothing known falls to the most frequent one.
+    doc_id. All n-grams of the sample count. A language holds an n-gram whose rate in its texts is at least `contrast` times the rate in any
+    other's, so that a few rows with a wrong label don't put the other language's common n-grams there. The slots are made on the
+    executors; the driver gets a mask for each slot in use, of at most 2^SLOTS for 64 languages, and a few rows a language.
+    Languages are in order of their rows, so that nothing known falls to the most frequent one. A label `und` is a language like others.
     """
     rows = docs.where("lang is not null and text is not null")
     found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not found:
         return None
+    names = [r["lang"] for r in found]
     share = F.create_map(*[x for r in found for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("lang", "text")
+    code = F.create_map(*[x for k, name in enumerate(names) for x in (F.lit(name), F.lit(k))])
+    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select(code[F.col("lang")].alias("k"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = batch.column("lang").to_pylist()
+            langs = batch.column("k").to_pylist()
             for i, j, texts in _small(batch.column("text")):
-                for name in sorted(set(langs[i:j])):
-                    h, n = np.unique(ngrams([t for t, x in zip(texts, langs[i:j], strict=True) if x == name])[0], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(h)), pa.array(h.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
-
-    counted = sample.mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    best = counted.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("k") <= grams)
-    members = best.select("lang", "gram").toPandas().groupby("lang")["gram"]
-    members = {k: v.to_numpy().view(np.uint64) for k, v in members}
-    names = [r["lang"] for r in found]
-    return Filters.build(names, {k: members.get(k, np.zeros(0, np.uint64)) for k in names})
+                for k in sorted(set(langs[i:j])):
+                    h, n = np.unique(ngrams([t for t, x in zip(texts, langs[i:j], strict=True) if x == k])[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k, np.int32)), pa.array(h.view(np.int64)), pa.array(n)], ["k", "gram", "n"])
+
+    counted = saved(sample.mapInArrow(lean(count), "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n")), "ngrams")
+    sums = {r["k"]: r for r in counted.groupBy("k").agg(F.sum("n").alias("all"), F.count("*").alias("grams")).collect()}
+    most = max((r["grams"] for r in sums.values()), default=0)
+    bits = min(SLOTS, max(20, (32 * most).bit_length()))
+    total = F.create_map(*[x for k in range(len(names)) for x in (F.lit(k), F.lit(float(sums[k]["all"]) if k in sums else 1.0))])
+    rate = F.col("n") / total[F.col("k")]
+    held = counted.groupBy("gram").agg(F.max(rate).alias("top"), F.collect_list(F.struct("k", rate.alias("rate"))).alias("in"))
+    held = held.select("gram", "top", F.inline("in")).where(F.col("rate") >= contrast * F.col("top"))
+    keep = F.lit((1 << bits) - 1)
+    probes = F.array(*(F.shiftrightunsigned("gram", by).bitwiseAND(keep) for by in SHIFTS))
+    slots = held.select(F.explode(probes).alias("slot"), F.floor(F.col("k") / 64).cast("int").alias("part"), F.expr("shiftleft(1L, k % 64)").alias("mask"))
+    got = slots.groupBy("part", "slot").agg(F.bit_or("mask").alias("mask")).toPandas()
+    drop(counted)
+    return Filters.of_slots(names, bits, got["part"].to_numpy(), got["slot"].to_numpy().astype(np.int64), got["mask"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 def predict(df: DataFrame, filters: Filters | None, text: str = "text") -> DataFrame:

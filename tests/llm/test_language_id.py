@@ -1,8 +1,10 @@
+import collections
+import unicodedata
 import zlib
 
 import numpy as np
 
-from lumenfold.llm.language_id import Filters, held_out, learn, ngrams, op10_language, predict
+from lumenfold.llm.language_id import Filters, learn, ngrams, op10_language, predict
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
@@ -37,4 +39,39 @@ def test_query_on_held_out(spark):
     assert len(out) == len(docs) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in out)
     held = [r for r in out if r.held_out]
     assert sum(r.lang_pred == docs[r.doc_id] for r in held) >= 0.98 * len(held)
-    assert held_out is not None
+
+
+def own_ngrams(text):
+    marks = "".join(c if unicodedata.category(c).startswith("L") else " " for c in text.lower())
+    spaced = f" {marks} "
+    return [(n, spaced[i : i + n]) for n in (3, 4) for i in range(len(spaced) - n + 1) if " " not in spaced[i + 1 : i + n - 1]]
+
+
+def test_query_as_sets_say(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    counts, rows = collections.defaultdict(collections.Counter), collections.Counter()
+    for r in docs:
+        if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            counts[r.lang].update(own_ngrams(r.text))
+            rows[r.lang] += 1
+    rate = {k: {g: n / sum(c.values()) for g, n in c.items()} for k, c in counts.items()}
+    holds = {k: {g for g, x in c.items() if all(x >= 0.1 * o.get(g, 0) for o in rate.values())} for k, c in rate.items()}
+    got = {r.doc_id: r for r in op10_language(spark, "/root/testdata/sf0.001").collect()}
+    for r in docs:
+        grams = own_ngrams(r.text or "")
+        share = {k: sum(g in s for g in grams) / max(1, len(grams)) for k, s in holds.items()}
+        best = max(share.values())
+        assert abs(got[r.doc_id].score - best) < 0.02
+        if sum(x > best - 0.02 for x in share.values()) == 1:
+            assert got[r.doc_id].lang_pred == max(share, key=share.get)
+    assert len(got) == len(docs)
+
+
+def test_wrong_labels_and_many_languages(spark):
+    words = {f"l{k:02}": [chr(0x4E00 + 40 * k + j) * 3 for j in range(20)] for k in range(70)}
+    rows = [(100 * k + n, " ".join(w[n:] + w[:n]), name) for k, (name, w) in enumerate(words.items()) for n in range(20 if k < 2 else 1)]
+    rows.append((9999, " ".join(words["l00"]), "l01"))  # one of 21 rows has a wrong label
+    filters = learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    share, _ = filters.shares([" ".join(w) for w in words.values()])
+    assert len(filters.masks) == 2 and [filters.languages[b] for b in share.argmax(axis=1)] == list(words)
+    assert share[0][filters.languages.index("l01")] < 0.1
