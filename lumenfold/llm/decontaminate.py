@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lumenfold.llm._shared import extended
+from lumenfold.llm._shared import SALTS, extended, in_groups, saved
 from lumenfold.llm._text import _GRAM, Words, lean, light_hashes, mix, pieces, splitmix, string_bytes
 
 LITERAL, NUMBER, NAME, UNIT = range(4)
@@ -37,6 +38,7 @@ UNITS = (
 
 GAP, RESUME = 4, 3  # words that an alignment may skip on either side at once, and words that must fit behind them
 AT_ONCE = 1 << 16  # windows whose readings are made together
+FILTER, PROBES = 28, (0, 31)  # the most bits of a filter, as a power of two, and the bits of a hash that its probes leave out
 
 _KIND = splitmix(31, 4)
 _DIGIT, _NUMERIC, _MARK, _UPPER = (np.zeros(256, bool) for _ in range(4))
@@ -345,49 +347,151 @@ def _walk(a: list[tuple], b: list[tuple]) -> list[tuple[int, int]]:
     return out[:good]
 
 
+_LEAK = "struct<item_id:{kind},covered:int,words:int,consistency:double,at:int>"
+
+
 def with_leaks(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
     size: int = 8, cover: int = 13, consistency: float = 0.8, block_bytes: int = 8 << 20,
 ) -> DataFrame:
-    """docs with leaks, an array of (item_id, covered, words, consistency, at): the benchmark items that each text holds.
+    """docs with leaks, an array of (item_id, covered, words, consistency, at) by item_id: the benchmark items that each text holds.
 
     An item counts if windows of `size` template tokens, half of them literal, or of equal words cover at least `cover` of its words, or all of a shorter one's, in one
     alignment, and the values of its slots are consistent to the asked share. Items under three words and null or empty ones match nothing, nor do null or
-    empty texts. A column leaks is replaced. The benchmark is broadcast in blocks of about block_bytes of text, each in a pass of its own;
-    an item is never cut.
+    empty texts. A column leaks is replaced; names that begin with _lf_ are taken.
+
+    A benchmark of at most block_bytes of text is broadcast, and windows are looked up there by hash. The windows of a larger one are a table that the
+    documents' windows are joined with by hash; both give the same rows.
     """
     items = benchmark.select(F.col(item).alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
-    kind = items.schema["item_id"].dataType.simpleString()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
+    how = (text, size, cover, consistency)
+    if total > block_bytes:
+        return _joined(docs.drop("leaks"), items, math.ceil(total / block_bytes), *how)
     rows = docs.drop("leaks")
-    schema = extended(rows.schema, f"leaks array<struct<item_id:{kind},covered:int,words:int,consistency:double,at:int>>")
-    out = rows
-    for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b) if blocks > 1 else items
-        found = own.orderBy("item_id", "text").collect()
-        if found:
-            arrow = to_arrow_type(items.schema["item_id"].dataType)
-            held = rows.sparkSession.sparkContext.broadcast(([r[0] for r in found], [r[1] for r in found]))
-            out = out.mapInArrow(lean(_search(held, arrow, text, size, cover, consistency)), schema)
-    if "leaks" not in out.columns:
-        out = out.withColumn("leaks", F.array().cast(f"array<struct<item_id:{kind},covered:int,words:int,consistency:double,at:int>>"))
-    return out
+    leak = f"array<{_LEAK.format(kind=items.schema['item_id'].dataType.simpleString())}>"
+    found = items.collect()
+    if not found:
+        return rows.withColumn("leaks", F.array().cast(leak))
+    held = rows.sparkSession.sparkContext.broadcast(([r[0] for r in found], [r[1] for r in found]))
+    out = rows.mapInArrow(lean(_search(held, to_arrow_type(items.schema["item_id"].dataType), *how)), extended(rows.schema, f"leaks {leak}"))
+    return out.withColumn("leaks", F.sort_array("leaks"))
+
 
+def _leak_arrays(rows: list[list[tuple]], item_id: pa.DataType) -> pa.Array:
+    fields = [("item_id", item_id), ("covered", pa.int32()), ("words", pa.int32()), ("consistency", pa.float64()), ("at", pa.int32())]
+    return pa.array([[dict(zip((k for k, _ in fields), x, strict=True)) for x in row] for row in rows], pa.list_(pa.struct(fields)))
 
-def _search(held, arrow: pa.DataType, text: str, size: int, cover: int, consistency: float):
+
+def _search(held, item_id: pa.DataType, text: str, size: int, cover: int, consistency: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Benchmark(*held.value, size, cover)
         for batch in batches:
             data, offs = string_bytes(batch.column(text))
-            names = [k for k in batch.schema.names if k != "leaks"]
             for i, j in pieces(offs):
-                part = batch.slice(i, j - i)
                 got = block.leaks(Templates(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]), consistency)
-                before = part.column("leaks").to_pylist() if "leaks" in batch.schema.names else [[]] * (j - i)
-                leaks = [[*x, *(dict(zip(("item_id", "covered", "words", "consistency", "at"), g, strict=True)) for g in got.get(k, ()))] for k, x in enumerate(before)]
-                column = pa.array(leaks, pa.list_(pa.struct([("item_id", arrow), ("covered", pa.int32()), ("words", pa.int32()), ("consistency", pa.float64()), ("at", pa.int32())])))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in names), column], [*names, "leaks"])
+                leaks = _leak_arrays([got.get(k, []) for k in range(j - i)], item_id)
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, leaks], [*batch.schema.names, "leaks"])
+
+    return run
+
+
+def _joined(rows: DataFrame, items: DataFrame, blocks: int, text: str, size: int, cover: int, consistency: float) -> DataFrame:
+    """with_leaks by a join of windows.
+
+    Documents' windows pass a Bloom filter of the items' windows, of at most 2^FILTER bits, and meet them in a join salted on both
+    sides, which tells the pairs of a document and an item that share a window. Pairs meet with both texts in groups of a document
+    and a block of items, so that a task holds one text and one block.
+    """
+    kind = items.schema["item_id"].dataType.simpleString()
+    items = items.withColumn("item", F.monotonically_increasing_id())
+    items = saved(items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks))), "items")
+    windows = saved(items.select("item", "text").mapInArrow(lean(_item_windows(size, cover)), "hash long, item long, size int"), "item-windows")
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())
+    bits = min(FILTER, max(20, (16 * windows.count()).bit_length()))
+    spots = [F.shiftrightunsigned("hash", by).bitwiseAND(F.lit((1 << bits) - 1)) for by in PROBES]
+    word = windows.select(F.explode(F.array(*spots)).alias("spot")).select(F.shiftright("spot", 6).alias("at"), F.expr("shiftleft(1L, cast(spot & 63 as int))").alias("bit"))
+    got = word.groupBy("at").agg(F.bit_or("bit").alias("word")).toPandas()
+    held = np.zeros(1 << (bits - 6), np.uint64)
+    held[got["at"].to_numpy().astype(np.int64)] = got["word"].to_numpy().astype(np.int64).view(np.uint64)
+    held = rows.sparkSession.sparkContext.broadcast(held)
+
+    rows = rows.withColumn("_lf_row", F.monotonically_increasing_id())
+    marked = saved(rows.mapInArrow(lean(_text_windows(held, text, sizes)), extended(rows.schema, "_lf_hits array<bigint>")), "window-hits")
+    some = marked.where(F.size("_lf_hits") > 0)
+    salt, salts = F.pmod(F.xxhash64("_lf_row"), F.lit(SALTS)).alias("salt"), F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt")
+    ours = some.select("_lf_row", salt, F.explode("_lf_hits").alias("hash"))
+    pairs = ours.join(windows.select("hash", "item", salts), ["hash", "salt"]).select("_lf_row", "item").distinct()
+    sided = pairs.select("_lf_row", "item", salt).join(items.select("*", salts), ["item", "salt"])
+    sided = saved(sided.select("_lf_row", "block", "item_id", "text", F.lit(False).alias("doc")), "pairs")
+    texts = some.select("_lf_row", F.col(text).alias("text")).join(sided.select("_lf_row", "block").distinct(), "_lf_row")
+    both = sided.union(texts.select("_lf_row", "block", F.lit(None).cast(kind), "text", F.lit(True)))
+    leak = f"array<{_LEAK.format(kind=kind)}>"
+    item_id = to_arrow_type(items.schema["item_id"].dataType)
+
+    def settle(table: pa.Table) -> pa.RecordBatch | None:
+        doc = table.column("doc")
+        data, offs = string_bytes(table.column("text").filter(doc))
+        own = table.filter(pc.invert(doc))
+        block = Benchmark(own.column("item_id").to_pylist(), own.column("text").to_pylist(), size, cover)
+        got = block.leaks(Templates(data, offs), consistency).get(0)
+        return got and pa.RecordBatch.from_arrays([table.column("_lf_row").combine_chunks()[:1], _leak_arrays([got], item_id)], ["_lf_row", "leaks"])
+
+    found = in_groups(both, ["_lf_row", "block"], settle, f"_lf_row long, leaks {leak}")
+    found = found.groupBy("_lf_row").agg(F.sort_array(F.flatten(F.collect_list("leaks"))).alias("leaks"))
+    none = F.array().cast(leak)
+    names = [c for c in marked.columns if c not in ("_lf_row", "_lf_hits")]
+    with_some = some.join(found, "_lf_row", "left").select(*names, F.coalesce("leaks", none).alias("leaks"))
+    return marked.where(F.size("_lf_hits") == 0).select(*names, none.alias("leaks")).union(with_some)
+
+
+def _item_windows(size: int, cover: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, offs = string_bytes(batch.column("text"))
+            for i, j in pieces(offs):
+                part = batch.slice(i, j - i)
+                block = Benchmark([], part.column("text").to_pylist(), size, cover)
+                key = np.unique(np.stack([block.hash, block.item.astype(np.uint64), block.length.astype(np.uint64)], axis=1), axis=0)
+                item = part.column("item").to_numpy()[key[:, 1].astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(key[:, 0]).view(np.int64)), pa.array(item), pa.array(key[:, 2].astype(np.int32))], ["hash", "item", "size"])
+
+    return run
+
+
+def _text_windows(held, text: str, sizes: list[int]):
+    """Rows with _lf_hits: the distinct hashes of the text's windows that pass the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = held.value
+        keep = np.uint64(64 * len(words) - 1)
+
+        def passes(h: np.ndarray) -> np.ndarray:
+            out = np.ones(len(h), bool)
+            for by in PROBES:
+                spot = (h >> np.uint64(by)) & keep
+                out &= (words[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) > 0
+            return out
+
+        for batch in batches:
+            data, offs = string_bytes(batch.column(text))
+            for i, j in pieces(offs):
+                texts = Templates(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                at, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+                for view in (texts, texts.collapsed(False), texts.collapsed(True)):
+                    for n in sizes:
+                        for where, h in view.windows(n, (n + 1) // 2):
+                            some = passes(h)
+                            at.append(np.searchsorted(view.at, where[some], side="right") - 1)
+                            hashes.append(h[some])
+                at, h = np.concatenate(at), np.concatenate(hashes)
+                order = np.lexsort((h, at))
+                at, h = at[order], h[order]
+                new = np.append(True, (at[1:] != at[:-1]) | (h[1:] != h[:-1]))[: len(at)]
+                at, h = at[new], h[new]
+                cuts = np.searchsorted(at, np.arange(j - i + 1)).astype(np.int32)
+                hits = pa.ListArray.from_arrays(pa.array(cuts), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, hits], [*batch.schema.names, "_lf_hits"])
 
     return run
 

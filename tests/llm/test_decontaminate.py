@@ -33,12 +33,32 @@ def test_odd_rows(spark):
     assert with_leaks(empty, spark.createDataFrame([(1, Q)], "item_id int, text string")).collect() == []
 
 
-def test_blocks_change_nothing(spark):
+def test_a_join_of_windows_gives_the_same(spark):
     r = random.Random(2)
-    items = [" ".join(f"w{r.randrange(300)}" for _ in range(r.randint(9, 30))) for _ in range(40)]
-    texts = [" ".join([r.choice(items), "and so on", r.choice(items)]) for _ in range(30)]
-    a, b = leaks(spark, texts, items), leaks(spark, texts, items, block_bytes=300)
-    assert {k: sorted(v) for k, v in a.items()} == {k: sorted(v) for k, v in b.items()} and all(a.values())
+    items = [" ".join(f"w{r.randrange(300)}" for _ in range(r.randint(2, 30))) for _ in range(40)] + [Q, None, "", Q, "a b", "short item here", f"{Q} and more"]
+    texts = [" ".join([r.choice(items[:40]), "and so on", r.choice(items[:40])]) for _ in range(30)]
+    texts += [None, "", " ", "a b", Q, Q, "word " * 20_000 + Q, "so a short item here is", Q.replace("Alice", "Mary Ann").replace("12", "40").replace("5 kg", "7lb"), " ".join(filter(None, items))]
+    a = leaks(spark, texts, items)
+    assert sum(map(bool, a.values())) > 30 and len(a[len(texts) - 1]) > 35
+    for block in (300, 4000):
+        assert leaks(spark, texts, items, block_bytes=block) == a
+
+
+def test_a_join_keeps_rows_and_columns(spark):
+    docs = spark.createDataFrame([(None, Q, "x", 1), (1, Q, "y", 2), (1, Q, "y", 2), (2, None, None, 3)], "doc_id int, body string, leaks string, item int")
+    bench = spark.createDataFrame([(None, Q, 5), (7, Q, 6)], "doc_id int, text string, block int")
+    for block in (1, 1 << 20):
+        got = with_leaks(docs, bench, text="body", item="doc_id", block_bytes=block)
+        assert got.columns == ["doc_id", "body", "item", "leaks"]
+        assert sorted((r.item, [x.item_id for x in r.leaks]) for r in got.collect()) == [(1, [None, 7]), (2, [None, 7]), (2, [None, 7]), (3, [])]
+        assert with_leaks(docs.limit(0), bench, text="body", item="doc_id", block_bytes=block).collect() == []
+
+
+def test_a_join_keeps_common_templates_apart(spark):
+    items = [f"What is the sum of {k} and {k + 1} if one more is taken away from {k} again" for k in range(300)]
+    texts = [f"so : {x}" for x in items[:40]] + ["What is the sum of 1 and 2 if one more is taken away from 9 again"]
+    a, b = leaks(spark, texts, items), leaks(spark, texts, items, block_bytes=2000)
+    assert a == b and all(k in [x[0] for x in a[k]] for k in range(40))
 
 
 def test_query_finds_all_and_only_whole_items(spark):
