@@ -13,7 +13,8 @@
    and what meets is compared in full.
 
 Lists and families that are too long for one task are first compared with one of their members. What is near it needs
-no comparison among itself: those rows are dealt out, and only the rest meets all others.
+no comparison among itself: those rows are dealt out, and only the rest meets all others. Where that would take many parts, the
+rest meets others only under the rarest values (lists) or shingles (families) that it shares with some of them, by the same rule of prefixes.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm._shared import components, drop, extended, in_groups, saved
+from lumenfold.llm._shared import SALTS, components, drop, extended, in_groups, saved
 from lumenfold.llm._text import PART, Words, grams, lean, mix, pieces, ranges, sequences, splitmix, string_bytes, whole
 
 COORDINATES, LOSS = 64, 1e-9
@@ -329,11 +330,13 @@ def _with_near(test, payload: str, columns: list[str]):
     return run
 
 
-def in_blocks(rows: DataFrame, keys: list[str], payload: str, weight: str, limit: int, test) -> tuple[DataFrame, DataFrame | None]:
+def in_blocks(rows: DataFrame, keys: list[str], payload: str, weight: str, limit: int, test, tokens, most_parts: int = 32) -> tuple[DataFrame, DataFrame | None]:
     """(rows with columns block and near, edges): groups of more than `limit` of weight are cut into blocks.
 
     A long group's members are compared with its hub, the one with the least id: that takes one pass. Those near it are connected by the edges
-    that are returned and needn't meet each other. They are dealt into parts, and the others meet all parts and each other, two parts in a block.
+    that are returned and needn't meet each other. The others have to meet all. Up to most_parts parts of a group meet in blocks of two parts; the
+    members of a larger group meet only under the rarest of the tokens that they share in it, of which tokens(members) tells
+    (keys, id, _d, need, token): members that belong together share at least `need` tokens of either.
     """
     sizes = saved(rows.groupBy(*keys).agg(F.sum(F.expr(weight)).alias("w"), F.count("*").alias("m"), F.min("id").alias("hub")).where("m > 1"), "sizes")
     plain = [*keys, "block", *[c for c in rows.columns if c not in keys], "near"]
@@ -345,8 +348,44 @@ def in_blocks(rows: DataFrame, keys: list[str], payload: str, weight: str, limit
     hubs = saved(members.where("id = hub").groupBy(*keys).agg(F.first(payload).alias("hub_payload")), "hubs")
     schema = extended(members.schema, "near boolean")
     told = saved(members.join(hubs, keys).mapInArrow(lean(_with_near(test, payload, members.columns)), schema), "near-hub")
+    counts = _parts(told, keys, weight, limit)
+    out = short.union(_dealt(told, counts.where(F.col("_s") + F.col("_r") <= most_parts), keys).select(*plain))
+    many = counts.where(F.col("_s") + F.col("_r") > most_parts).select(*keys)
+    if many.limit(1).count():
+        parted = saved(_under_tokens(told.join(many, keys).withColumn("_d", F.xxhash64(payload)), keys, tokens), "rarest")
+        inner = [*keys, "_token"]
+        cut = _dealt(parted, _parts(parted, inner, weight, limit), inner)
+        out = out.union(cut.withColumn("block", F.xxhash64("_token", "block")).select(*plain))
+    return out, told.where("near and id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+
+
+def _under_tokens(told: DataFrame, keys: list[str], tokens) -> DataFrame:
+    """Members of groups with _token, once for each of the rarest tokens under which they meet others that aren't all near the hub.
+
+    Of m tokens that a member shares with some other, its m - need + 1 rarest are enough: what shares `need` tokens with it holds one of these among its own.
+    """
+    row = [*keys, "id", "_d"]
+    posted = saved(tokens(told).select(*row, "need", "token").distinct(), "tokens")
+    # Dealt out by a salt, as a token may be in all members of a group.
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
+    often = posted.groupBy(*keys, "token").agg(F.count("*").alias("count")).where("count > 1").withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+    sorted_ = F.array_sort(F.collect_list(F.struct("count", "token")))
+    shared = posted.withColumn("salt", salt).join(often, [*keys, "token", "salt"]).groupBy(*row)
+    rarest = shared.agg(F.slice(sorted_, 1, F.greatest(F.count("*") - F.max("need") + 1, F.lit(0)).cast("int")).alias("t"))
+    under = rarest.select(*row, F.explode("t.token").alias("_token")).join(told.select(*row, "near").distinct(), row)
+    meets = under.groupBy(*keys, "_token").agg(F.count("*").alias("c"), F.bool_and("near").alias("all")).where("c > 1 and not all").select(*keys, "_token")
+    meets = meets.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+    return under.drop("near").withColumn("salt", salt).join(meets, [*keys, "_token", "salt"]).drop("salt").join(told, row)
+
+
+def _parts(told: DataFrame, keys: list[str], weight: str, limit: int) -> DataFrame:
+    """How many parts of `limit` the near members (_s) and the others (_r) of each group make, where there are others."""
     parts = lambda near: F.ceil(F.sum(F.when(F.col("near") == near, F.expr(weight)).otherwise(0)) / limit).cast("long")
-    counts = saved(told.groupBy(*keys).agg(parts(True).alias("_s"), parts(False).alias("_r")).where("_r > 0"), "parts")
+    return saved(told.groupBy(*keys).agg(parts(True).alias("_s"), parts(False).alias("_r")).where("_r > 0"), "parts")
+
+
+def _dealt(told: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Members with block: those that aren't near meet all parts and each other, two parts in a block."""
     dealt = told.join(counts, keys).withColumn("_p", F.pmod(F.xxhash64("id", F.lit(17)), F.when(F.col("near"), F.col("_s")).otherwise(F.col("_r"))))
     # Blocks p * _r + q of the others' parts p <= q, then one for each of their parts with each of the near ones'.
     mine = F.when(F.col("near"), F.expr("transform(sequence(0L, _r - 1), q -> _r * _r + q * _s + _p)")).otherwise(
@@ -354,13 +393,42 @@ def in_blocks(rows: DataFrame, keys: list[str], payload: str, weight: str, limit
     )
     # A part meets itself in its blocks with others, if it has any.
     alone = (F.col("_r") > 1) | (F.col("_s") > 0)
-    cut = dealt.withColumn("block", F.explode(mine)).where(F.col("near") | ~alone | (F.col("block") != F.col("_p") * F.col("_r") + F.col("_p")))
-    return short.union(cut.select(*plain)), told.where("near and id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    cut = dealt.withColumn("block", F.explode(mine))
+    return cut.where(F.col("near") | ~alone | (F.col("block") != F.col("_p") * F.col("_r") + F.col("_p")))
+
+
+def _shingle_tokens(k: int, num: int, den: int):
+    """Each member's shingles by their hashes, as equal shingles have equal ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, sets, _, _ in shingle_sets(batch.column("text"), k):
+                size = np.array(list(map(len, sets)), np.int64)
+                at = np.append(0, np.cumsum(size)).astype(np.int32)
+                own = batch.slice(i, j - i)
+                found = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("family", "id", "_d")), pa.array((num * size + den - 1) // den), found], ["family", "id", "_d", "need", "tokens"])
+
+    def tokens(told: DataFrame) -> DataFrame:
+        each = told.select("family", "id", "_d", "text").mapInArrow(lean(run), "family long, id long, _d long, need long, tokens array<long>")
+        return each.select("family", "id", "_d", "need", F.explode("tokens").alias("token"))
+
+    return tokens
+
+
+def _signature_tokens(classes: DataFrame, least: int):
+    """Each member's other signature values."""
+
+    def tokens(told: DataFrame) -> DataFrame:
+        own = told.select("key", "id", "_d").distinct().join(classes.select(F.col("rep").alias("id"), "keys"), "id")
+        return own.select("key", "id", "_d", F.lit(least - 1).alias("need"), F.explode("keys").alias("token")).where("token != key")
+
+    return tokens
 
 
 def near_duplicates(
     docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100,
-    coordinates: int = COORDINATES, loss: float = LOSS, list_rows: int = 4_000, family_bytes: int = 8 << 20,
+    coordinates: int = COORDINATES, loss: float = LOSS, list_rows: int = 4_000, family_bytes: int = 8 << 20, most_parts: int = 32,
 ) -> DataFrame:
     """A row for each document: id, n_shingles, component_id (the smallest id reachable over links, itself included) and kept.
 
@@ -368,7 +436,8 @@ def near_duplicates(
     without words, null ones too, are linked with nothing. Rows that repeat an id are one node of the links. Rows without an id are
     linked with nothing and kept, with a null component_id.
 
-    list_rows, family_bytes: what a part of a long posting list or of a large family holds on average.
+    list_rows, family_bytes: what a part of a long posting list or of a large family holds on average. most_parts: so many parts may meet two by two;
+    members of larger lists and families meet under the rarest values or shingles that they share in it. None of these changes the result.
     """
     least = threshold(num, den, coordinates, loss)
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -386,7 +455,7 @@ def near_duplicates(
     low = F.expr("unhex(array_join(transform(keys, x -> lpad(hex(x & 255), 2, '0')), ''))")
     signed = prefixes.join(classes.select("rep", "d1", "n", low.alias("sig")), ["rep", "d1"])
     lists = saved(signed.select(F.col("rep").alias("id"), "n", "sig", F.explode("prefix").alias("p")).select("p.key", "id", "n", "sig"), "postings")
-    blocks, edges = in_blocks(lists, ["key"], "sig", "1", list_rows, _near_agreeing(least, coordinates))
+    blocks, edges = in_blocks(lists, ["key"], "sig", "1", list_rows, _near_agreeing(least, coordinates), _signature_tokens(classes, least), most_parts)
     candidates = in_groups(blocks, ["key", "block"], _agreeing(least, coordinates, num, den), "a long, b long", 5_000)
     families = saved(components(candidates if edges is None else candidates.union(edges), "families"), "families")
     drop(lists)
@@ -395,7 +464,7 @@ def near_duplicates(
     # Families grow with the input, so they are never broadcast.
     texts = wanted.hint("merge").join(source, "id").groupBy("family", "id", "text").agg(F.lit(1)).select("family", "id", "text")
     members = saved(texts, "members")
-    blocks, edges = in_blocks(members, ["family"], "text", "octet_length(text)", family_bytes, _near_confirmed(k, num, den))
+    blocks, edges = in_blocks(members, ["family"], "text", "octet_length(text)", family_bytes, _near_confirmed(k, num, den), _shingle_tokens(k, num, den), most_parts)
     links = in_groups(blocks, ["family", "block"], _confirmed(k, num, den), "a long, b long", 1 << 19, "text")
     links = links if edges is None else links.union(edges)
 

@@ -5,7 +5,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lumenfold.llm.near_dup import _agreeing, _confirmed, _shingles, near_duplicates, op2_near_dup, threshold
+from lumenfold.llm import near_dup
+from lumenfold.llm.near_dup import _agreeing, _confirmed, _near_confirmed, _shingle_tokens, _shingles, in_blocks, near_duplicates, op2_near_dup, threshold
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -15,7 +16,7 @@ def result(spark, rows, **how):
     return near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, n_shingles string"), **how).collect()
 
 
-@pytest.mark.parametrize("how", [{"k": 3, "num": 85}, {"k": 5, "num": 80}, {"k": 3, "num": 85, "list_rows": 4, "family_bytes": 300}])
+@pytest.mark.parametrize("how", [{"k": 3, "num": 85}, {"k": 5, "num": 80}, {"k": 3, "num": 85, "list_rows": 4, "family_bytes": 300}, {"k": 3, "num": 85, "list_rows": 4, "family_bytes": 300, "most_parts": 1}])
 def test_as_brute_force(spark, how):
     rows = [(i, t, "x") for i, t in enumerate(brute.copies(3, 120, 60, 3))] + [(900 + i, t, None) for i, t in enumerate(["", "  ", "a", "A", "a b", None, "a  B\n"])]
     want = brute.components([r[:2] for r in rows], how["k"], how["num"], 100)
@@ -74,6 +75,34 @@ def test_families_without_links_take_about_linear_time(members):
     assert time.process_time() - began < members * 6e-4
 
 
+def test_members_of_large_groups_meet_under_rare_tokens(spark, monkeypatch):
+    r = random.Random(8)
+    rows, words = [], [f"w{i}" for i in range(60)]
+    for i in range(150):  # each like the one before, but soon unlike the first
+        words[r.randrange(60)] = f"n{i}"
+        rows.append((i, " ".join(words), "") if i % 25 else (i, " ".join(words[:30] + [f"v{i}-{j}" for j in range(30)]), ""))
+    rows += [(200 + i, rows[i][1] + " and more", "") for i in range(0, 150, 7)] + [(1, rows[90][1], ""), (1, rows[91][1] + " x", "")]
+    calls, under = [], near_dup._under_tokens
+    monkeypatch.setattr(near_dup, "_under_tokens", lambda told, keys, tokens: calls.append(keys) or under(told, keys, tokens))
+    want = brute.components([x[:2] for x in rows], 3, 85, 100)
+    got = result(spark, rows, k=3, num=85, list_rows=6, family_bytes=2000, most_parts=1)
+    assert {x.doc_id: x.component_id for x in got} == want and 10 < len(set(want.values())) < 150
+    assert sorted(calls) == [["family"], ["key"]]
+
+
+def test_large_groups_without_links_grow_linearly(spark):
+    shared = [f"s{i}" for i in range(9)]  # 7 of 10 shingles are the same in all
+    counts = []
+    for members in (100, 400):
+        rows = [(0, i, " ".join([*shared, *(f"u{i}-{j}" for j in range(3))])) for i in range(members)]
+        rows += [(0, members + i, " ".join([*shared, f"p{i // 2}", f"q{i // 2}", f"r{i}"])) for i in range(members // 10)]  # pairs that meet
+        df = spark.createDataFrame(rows, "family long, id long, text string")
+        blocks, edges = in_blocks(df, ["family"], "text", "octet_length(text)", 400, _near_confirmed(3, 85, 100), _shingle_tokens(3, 85, 100), 1)
+        assert edges.count() == 0
+        counts.append(blocks.count())
+    assert 0 < counts[0] and counts[1] <= 4 * counts[0]
+
+
 def test_lists_are_merged_as_counted_whole():
     r = np.random.default_rng(3)
     base = r.integers(0, 256, (6, 64), dtype=np.uint8)
