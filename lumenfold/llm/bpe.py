@@ -124,17 +124,22 @@ def scan_starts(symbol: np.ndarray, block: int = 256) -> np.ndarray:
 def safe_cuts(row: np.ndarray, limit: int) -> list[int]:
     """Byte offsets that cut a text into parts of about limit bytes where a piece starts in any case.
 
-    No piece holds white space after a non-blank, and what comes later depends on later text alone; so
-    each U+0020 behind an ASCII non-blank will do. Without one, the part grows.
+    No piece holds anything but letters behind a letter, nor white space after a non-blank, and what comes later depends on later text
+    alone; so the end of each run of letters, in any script, will do, and each U+0020 behind an ASCII non-blank. Without one, the part grows.
     """
     cuts, at = [], 0
     while len(row) - at > limit:
         found = -1
         for a in range(at + limit, len(row), 1 << 16):
-            part = row[a - 1 : a + (1 << 16)]
-            ok = np.flatnonzero((part[1:] == 0x20) & (part[:-1] < 0x80) & ~SPACE[part[:-1]])
+            first, end = _char_start(row, a - 1), _char_start(row, a + (1 << 16))
+            part = row[first:end]
+            points = np.frombuffer(part.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+            letter = classes()[points] == LETTER
+            before = points[:-1]
+            blank = (points[1:] == 0x20) & (before < 0x80) & ~SPACE[np.minimum(before, 0x7F)]
+            ok = np.flatnonzero((letter[:-1] & ~letter[1:]) | blank)
             if len(ok):
-                found = a + int(ok[0])
+                found = first + int(np.flatnonzero((part & 0xC0) != 0x80)[ok[0] + 1])
                 break
         if found < 0:
             break
@@ -143,6 +148,15 @@ def safe_cuts(row: np.ndarray, limit: int) -> list[int]:
     return cuts
 
 
+def _char_start(row: np.ndarray, at: int) -> int:
+    """Where the character of a byte begins."""
+    if at >= len(row):
+        return len(row)
+    while row[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
+
+
 class Vocabulary:
     """Ranks of byte strings, read from a file of base64 and number pairs."""
 

@@ -43,11 +43,19 @@ def test_operator_on_odd_rows(spark, library):
     assert {r.k: bytes(r.decoded).decode() for r in back} == {i: t or "" for i, t in enumerate(texts)}
 
 
-def test_cuts_change_nothing(library):
-    t = ("word  two\n three's " * 300).encode()
+@pytest.mark.parametrize("words", ["word  two\n three's ", "слово\u00a0два\u2003 три. ", "你好，世界。再见", "एक दो\u0301 ", "12 34! ", "".join(BITS)])
+def test_cuts_change_nothing(library, words):
+    r = random.Random(4)
+    t = "".join(words[r.randrange(len(words)) :] for _ in range(600)).encode()
     cuts = [0, *safe_cuts(np.frombuffer(t, np.uint8), 100), len(t)]
     parts = [library.encode_ordinary(t[a:b].decode()) for a, b in zip(cuts, cuts[1:], strict=False)]
-    assert len(parts) > 10 and sum(parts, []) == library.encode_ordinary(t.decode())
+    assert len(parts) > 10 and max(np.diff(cuts)) < 300 and sum(parts, []) == library.encode_ordinary(t.decode())
+
+
+def test_cuts_beyond_a_window(library):
+    t = ("я" * 70_000 + " " + "語" * 50_000 + "。a").encode()
+    cuts = safe_cuts(np.frombuffer(t, np.uint8), 1000)
+    assert cuts == [140_000, 290_001] and safe_cuts(np.frombuffer(("é" * 90_000).encode(), np.uint8), 1000) == []
 
 
 def test_query(spark, library):
