@@ -5,6 +5,7 @@ from __future__ import annotations
 from lumenfold.llm.bpe import op4_bpe
 from lumenfold.llm.chat import op9_chat
 from lumenfold.llm.decontaminate import op3_decontaminate
+from lumenfold.llm.filter_audit import op13_filter_audit
 from lumenfold.llm.gif import op7_gif
 from lumenfold.llm.language_id import op10_language
 from lumenfold.llm.near_dup import op2_near_dup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_chat": op9_chat,
     "op10_language": op10_language,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -48,5 +50,27 @@ c AS (SELECT DISTINCT doc_id, s + o AS i FROM d, (SELECT unnest(range(20)) AS o)
 t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
 g AS (SELECT t.doc_id, count(c.i) AS n_removed, string_agg(word, ' ' ORDER BY t.i) FILTER (WHERE c.i IS NULL) AS kept FROM t LEFT JOIN c ON c.doc_id = t.doc_id AND c.i = t.i GROUP BY t.doc_id)
 SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN g ON g.doc_id = w.doc_id
+""",
+    "op13_filter_audit": rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+v AS (SELECT doc_id, part, t, regexp_extract_all(t, {_WORDS}) AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, {{'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
+  'C': 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(t), 'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(v.doc_id > first, false)}} AS x FROM v LEFT JOIN l ON l.doc_id = v.doc_id),
+b AS (SELECT part, good, toxic, x.A AS a, x.B AS b, x.C AS c, x.D AS d, x.E AS e, count(*) AS n FROM f GROUP BY ALL),
+g AS (SELECT part, good, toxic, n, [z FOR z IN ['A', 'B', 'C', 'D', 'E'] IF CASE z WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END] AS failed FROM b),
+i AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS z),
+o AS (SELECT p.z || q.z || r.z || s.z || u.z AS filter_order FROM i p, i q, i r, i s, i u WHERE len(list_distinct([p.z, q.z, r.z, s.z, u.z])) = 5),
+k AS (SELECT filter_order, step, filter_order[step] AS z, string_split(filter_order[1:step - 1], '') AS earlier FROM o, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)),
+r AS (SELECT part, filter_order, step, z,
+  sum(CASE WHEN list_has_any(failed, list_append(earlier, z)) THEN 0 ELSE n END) AS kept,
+  sum(CASE WHEN list_contains(failed, z) AND NOT list_has_any(failed, earlier) THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN list_contains(failed, z) AND list_has_any(failed, earlier) THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN failed = [z] THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN list_contains(failed, z) AND NOT list_has_any(failed, earlier) THEN n * good ELSE 0 END) AS good_lost,
+  sum(CASE WHEN list_contains(failed, z) AND NOT list_has_any(failed, earlier) THEN n * toxic ELSE 0 END) AS toxic_lost
+  FROM g, k GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, z) AS BIGINT) AS shapley FROM r
 """,
 }
