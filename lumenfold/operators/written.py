@@ -29,14 +29,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again; cuts the lineage.
+def saved(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df written as Parquet in the shared folder and read again; cuts the lineage. by: a column that its folders are named after.
 
     What is random or depends on the partitioning is then the same for all that read it. The file lasts as
     long as the session, as lazy results still read it.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lf_path = path
     return out
