@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lumenfold.llm.bpe import op4_bpe
 from lumenfold.llm.chat import op9_chat
+from lumenfold.llm.click_windows import op12_click_windows
 from lumenfold.llm.decontaminate import op3_decontaminate
 from lumenfold.llm.filter_audit import op13_filter_audit
 from lumenfold.llm.gif import op7_gif
@@ -25,11 +26,19 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_chat": op9_chat,
     "op10_language": op10_language,
+    "op12_click_windows": op12_click_windows,
     "op13_filter_audit": op13_filter_audit,
 }
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
+
+
+def _crc(text: str) -> str:
+    """The CRC-32 of a text of ASCII, by the table t of a row."""
+    return f"xor(list_reduce([4294967295::BIGINT] || [ord(x)::BIGINT FOR x IN string_split({text}, '')], lambda z, y: xor(t[(xor(z, y) & 255) + 1], z >> 8)), 4294967295)"
+
+
 #: The others have hashes, vocabularies, streams or mined rules that SQL lacks; they are tested against plain Python.
 ORACLES = {
     "op2_near_dup": rf"""
@@ -72,5 +81,24 @@ r AS (SELECT part, filter_order, step, z,
   FROM g, k GROUP BY ALL)
 SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
   CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, z) AS BIGINT) AS shapley FROM r
+""",
+    "op12_click_windows": f"""
+WITH RECURSIVE tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+k AS (SELECT *, unnest(range(click_id % 3 + 1)) AS j FROM clicks),
+c AS (SELECT k.*, {_crc("click_id || ':' || j")} AS c FROM k, tab),
+h AS (SELECT click_id, c, epoch_us(arrived_at) // 3600000000 + 6 * j * (c % 10) AS hour, sha256(concat_ws('|', coalesce(client_id::VARCHAR, ''), coalesce(kind, ''),
+  coalesce(CAST(floor(100 * value + 0.5) AS BIGINT)::VARCHAR, ''), coalesce(epoch_us(ts)::VARCHAR, ''), coalesce(props, ''), (c % 3)::VARCHAR)) AS hash FROM c),
+l AS (SELECT *, hour + c // 10 % 200 AS due FROM h),
+b AS (SELECT *, (due - min(due) OVER ()) * 10 // (max(due) OVER () - min(due) OVER () + 1) AS batch FROM l),
+m AS (SELECT x AS batch, max(hour) AS most FROM range(11) AS r(x) JOIN b ON b.batch < x GROUP BY x),
+g AS (SELECT b.batch, click_id, hour, hash, count(*) AS n FROM b LEFT JOIN m ON m.batch = b.batch WHERE b.batch = 0 OR hour >= most - 24 GROUP BY ALL),
+o AS (SELECT g.*, most, CASE WHEN n > 1 OR count(*) OVER (PARTITION BY click_id) > 1 THEN {_crc("hash")} END AS crc, row_number() OVER (PARTITION BY click_id ORDER BY g.batch, hour, hash) AS rn FROM g LEFT JOIN m ON m.batch = g.batch, tab),
+r AS (SELECT click_id, rn, batch, rn AS opener, hour AS start_hour, hash, CAST(n - 1 AS HUGEINT) AS n_repeats, 0::HUGEINT AS n_conflicts, 0::HUGEINT AS conflict_crc FROM o WHERE rn = 1
+  UNION ALL SELECT click_id, rn, batch, CASE WHEN fresh THEN rn ELSE opener END, CASE WHEN fresh THEN hour ELSE start_hour END, CASE WHEN fresh THEN hash ELSE first END,
+    CASE WHEN fresh THEN n - 1 ELSE n_repeats + n END, CASE WHEN fresh THEN 0 WHEN hash = first THEN n_conflicts ELSE n_conflicts + n END, CASE WHEN fresh THEN 0 WHEN hash = first THEN conflict_crc ELSE conflict_crc + n * crc END
+  FROM (SELECT o.*, r.opener, r.start_hour, r.hash AS first, r.n_repeats, r.n_conflicts, r.conflict_crc, o.hour > r.start_hour + 48 OR coalesce(r.start_hour + 48 < o.most - 24, false) AS fresh FROM r JOIN o ON o.click_id = r.click_id AND o.rn = r.rn + 1)),
+w AS (SELECT *, lead(batch) OVER (PARTITION BY click_id ORDER BY rn) AS next_batch FROM r QUALIFY coalesce(lead(opener) OVER (PARTITION BY click_id ORDER BY rn) <> opener, true))
+SELECT click_id, start_hour, CAST(least(coalesce(next_batch, 9), (SELECT min(m.batch - 1) FROM m WHERE m.batch > w.batch AND (m.batch = 10 OR w.start_hour + 48 < m.most - 24))) AS BIGINT) AS closed_batch,
+  CAST(n_repeats AS BIGINT) AS n_repeats, CAST(n_conflicts AS BIGINT) AS n_conflicts, CAST(conflict_crc AS BIGINT) AS conflict_crc, hash FROM w
 """,
 }
