@@ -132,7 +132,11 @@ def expiring_windows(copies: DataFrame, batches: int = BATCHES, window: int = WI
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-max(r.rows for r in facts.values()) // bucket_rows))
     source, out, checkpoint = (new_path(spark, f"windows-{x}") for x in ("source", "closed", "checkpoint"))
     most = None
-    conf = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    conf = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else every store takes megabytes of disk ahead
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    }
     with settings(spark, **conf):
         for b in range(batches):
             dropped = None if most is None else most - late

@@ -6,6 +6,7 @@ from lumenfold.llm.bpe import op4_bpe
 from lumenfold.llm.chat import op9_chat
 from lumenfold.llm.click_windows import op12_click_windows
 from lumenfold.llm.decontaminate import op3_decontaminate
+from lumenfold.llm.embedding_dedup import op11_near_vectors
 from lumenfold.llm.filter_audit import op13_filter_audit
 from lumenfold.llm.gif import op7_gif
 from lumenfold.llm.language_id import op10_language
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_chat": op9_chat,
     "op10_language": op10_language,
+    "op11_near_vectors": op11_near_vectors,
     "op12_click_windows": op12_click_windows,
     "op13_filter_audit": op13_filter_audit,
 }
@@ -81,6 +83,15 @@ r AS (SELECT part, filter_order, step, z,
   FROM g, k GROUP BY ALL)
 SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
   CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, z) AS BIGINT) AS shapley FROM r
+""",
+    "op11_near_vectors": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, coalesce(embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NOT NULL AND isfinite(y))) = len(embedding) AND len(list_filter(embedding, lambda y: y <> 0)) > 0, false) AS fine FROM embeddings),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.fine AND b.fine AND a.vec_id < b.vec_id WHERE list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.9),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT vec_id AS node, vec_id AS reach FROM v UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reach),
+c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON node = vec_id LEFT JOIN n ON n.a = vec_id
 """,
     "op12_click_windows": f"""
 WITH RECURSIVE tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
