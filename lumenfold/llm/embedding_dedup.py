@@ -271,7 +271,9 @@ def near_vectors(df: DataFrame, vector: str, key: str, cosine: float = COSINE, t
     classes = rows.where("embedding IS NOT NULL").groupBy("embedding").agg(F.count("*").alias("size"), F.min("id").alias("least"))
     classes = saved(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     n, dims = classes.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    joined = _salted(rows.where("embedding IS NOT NULL"), classes.select("cid", "embedding", "size"), ["embedding"], ["id"]).select("id", "cid", "size")
+    # A class of one row is known by its id; the rows of the others find theirs by the vector.
+    several = _salted(rows.where("embedding IS NOT NULL"), classes.where("size > 1").select("cid", "embedding", "size"), ["embedding"], ["id"])
+    joined = several.select("id", "cid", "size").unionByName(classes.where("size = 1").select(F.col("least").alias("id"), "cid", "size"))
 
     def result(found: DataFrame, least: DataFrame) -> DataFrame:
         known = joined.join(found.hint("merge"), "cid", "left").join(least.hint("merge"), "cid", "left")
