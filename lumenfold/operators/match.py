@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from lumenfold.functions.money import normalize_br, round_even
 from lumenfold.functions.predicates import confidence_level, field_type, match_status
 from lumenfold.functions.text import levenshtein_similarity, normalize_name
+from lumenfold.operators.similar import alike
+from lumenfold.operators.substrings import first_inside
+from lumenfold.operators.written import saved
 
 
 def name_confidence(text: Column, name: Column) -> Column:
@@ -16,21 +19,30 @@ def name_confidence(text: Column, name: Column) -> Column:
     return F.when(text == name, 1.0).when((F.contains(text, name) | F.contains(name, text)) & (similar < 0.75), 0.75).otherwise(similar)
 
 
-def best_blocks(fields: DataFrame, blocks: DataFrame) -> DataFrame:
+def best_blocks(fields: DataFrame, blocks: DataFrame, least: float = 0.75) -> DataFrame:
     """(doc_id, field_idx, confidence, block_idx) of each field's best block; fields without one have no row.
 
     fields: doc_id, field_idx, norm. blocks: doc_id, block_idx, norm. The first of equally good blocks wins; only confidences above 0
-    count. Equal texts of a document are compared once, as their first block. What has an equal block is settled by a hash join; the others
-    meet their document's texts in a join on doc_id, so work is shared out by document and AQE splits large ones.
+    count. Equal texts of a document are compared once, as their first block, and equal names once. What has an equal block is settled by a hash join. Of the
+    other names, those with a text of a similarity of at least `least` (0.75 at most, so that what holds another is among these) are settled by the texts that indexes
+    find (operators.similar). Only what is left meets the document's other texts, as far as the lengths allow more than its best so far.
     """
     texts = blocks.groupBy("doc_id", "norm").agg(F.min("block_idx").alias("block_idx"))
     exact = fields.join(texts, ["doc_id", "norm"]).select("doc_id", "field_idx", F.lit(1.0).alias("confidence"), "block_idx")
     rest = fields.join(texts.select("doc_id", "norm"), ["doc_id", "norm"], "left_anti")
     # A name that several fields share is compared once.
-    names = rest.select("doc_id", "norm").distinct()
-    pairs = names.alias("f").join(texts.alias("b"), "doc_id").select("doc_id", F.col("f.norm").alias("norm"), "b.block_idx", name_confidence(F.col("b.norm"), F.col("f.norm")).alias("confidence")).where("confidence > 0")
-    best = pairs.groupBy("doc_id", "norm").agg(F.max(F.struct("confidence", (-F.col("block_idx")).alias("first"))).alias("best"))
-    near = rest.join(best, ["doc_id", "norm"]).select("doc_id", "field_idx", "best.confidence", (-F.col("best.first")).alias("block_idx"))
+    names = saved(rest.select("doc_id", "norm").distinct(), "names")
+    texts = saved(texts, "texts")
+    told = texts.withColumnRenamed("norm", "text")
+    best = lambda pairs: pairs.where("confidence > 0").groupBy("doc_id", "norm").agg(F.max(F.struct("confidence", (-F.col("block_idx")).alias("first"))).alias("best"))
+    scored = lambda pairs: pairs.select("doc_id", "norm", "block_idx", name_confidence(F.col("text"), F.col("norm")).alias("confidence"))
+    found = saved(best(scored(alike(names, texts.select("doc_id", "norm"), least).join(told, ["doc_id", "text"]))), "found")
+    settled = found.where(F.col("best.confidence") >= least)
+    open_ = names.join(settled.select("doc_id", "norm"), ["doc_id", "norm"], "left_anti").join(found.select("doc_id", "norm", F.col("best.confidence").alias("so_far")), ["doc_id", "norm"], "left")
+    a, b = F.length("norm"), F.length("text")
+    others = open_.join(told, "doc_id").where(F.least(a, b) / F.greatest(a, b) >= F.coalesce("so_far", F.lit(0.0)))
+    every = settled.unionByName(best(scored(others)))
+    near = rest.join(every, ["doc_id", "norm"]).select("doc_id", "field_idx", "best.confidence", (-F.col("best.first")).alias("block_idx"))
     return exact.unionByName(near)
 
 
@@ -99,11 +111,11 @@ def edit_mappings(mappings: DataFrame, edits: DataFrame) -> DataFrame:
 def fields_of_blocks(blocks: DataFrame, fields: DataFrame) -> DataFrame:
     """blocks with the field each stands for: the last of equal path, else the first whose path is part of the text, else null.
 
-    fields: doc_id, ord, path. An empty path is part of every text.
+    fields: doc_id, ord, path. An empty path is part of every text. A document's paths are one automaton, which scans each text once.
     """
     text = F.trim("text")
     equal = fields.groupBy("doc_id", F.col("path").alias("_lf_text")).agg(F.lit(True).alias("_lf_equal"))
-    b = blocks.withColumn("_lf_text", text).join(equal, ["doc_id", "_lf_text"], "left")
-    inside = b.where("_lf_equal is null").alias("b").join(fields.alias("f"), (F.col("b.doc_id") == F.col("f.doc_id")) & F.contains(F.col("b._lf_text"), F.col("f.path")))
-    first = inside.groupBy(F.col("b.doc_id").alias("doc_id"), F.col("b.block_idx").alias("block_idx")).agg(F.min_by("f.path", "f.ord").alias("_lf_inside"))
-    return b.join(first, ["doc_id", "block_idx"], "left").withColumn("field", F.when(F.col("_lf_equal"), F.col("_lf_text")).otherwise(F.col("_lf_inside"))).drop("_lf_text", "_lf_equal", "_lf_inside")
+    b = saved(blocks.withColumn("_lf_text", text).join(equal, ["doc_id", "_lf_text"], "left").withColumn("_lf_row", F.monotonically_increasing_id()), "blocks")
+    inside = first_inside(b.where("_lf_equal is null").select("doc_id", F.col("_lf_row").alias("row"), F.col("_lf_text").alias("text")), fields)
+    found = b.join(inside.withColumnsRenamed({"row": "_lf_row", "pattern": "_lf_inside"}), "_lf_row", "left")
+    return found.withColumn("field", F.when(F.col("_lf_equal"), F.col("_lf_text")).otherwise(F.col("_lf_inside"))).drop("_lf_text", "_lf_equal", "_lf_inside", "_lf_row")
