@@ -10,10 +10,11 @@ from __future__ import annotations
 import math
 import string
 
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm._shared import drop, saved
+from lumenfold.llm._shared import SALTS, saved
 
 Rule = tuple[str, str]  # verdict, host/path
 
@@ -55,74 +56,66 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
 
 
 def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.6) -> DataFrame:
-    """Pruned rules (tokens, verdict, confidence, support, token to post under) from rows (tokens, label).
+    """Pruned rules (tokens, verdict, confidence, support, token to post under) from rows (tokens, label), by FP-growth over whole baskets.
 
-    Equal rows are counted, not gathered. Sets of tokens grow by a token a level, over all tokens of a URL. Only sets are grown whose
-    larger sets can be rules that stay: not those that all rows of a smaller set hold as well, and not those of one label, as a
-    smaller rule is as sure as each rule that they would give.
+    Tokens below the support are in no rule and are left out. Tokens that always occur together stand for each other in any rule, so they are one
+    item; those of all baskets add nothing to other rules and are only rules of their own. So a URL's length alone does no harm. The number of
+    itemsets is exponential in the frequent tokens that are independent of each other, as for any complete miner; the support bounds it. A rule that a smaller one covers at
+    no less confidence is pruned.
     """
     spark = labelled.sparkSession
-    rows = labelled.where("label is not null and size(tokens) > 0")
-    same = saved(rows.groupBy("label", F.array_sort(F.array_distinct("tokens")).alias("t")).agg(F.count("*").alias("n")), "url-baskets")
-    total = same.agg(F.sum("n")).first()[0]
+    rows = labelled.where("label is not null and size(tokens) > 0").select("label", F.array_distinct("tokens").alias("tokens"))
+    rows = saved(rows.withColumn("row", F.monotonically_increasing_id()), "url-baskets")
+    total = rows.count()
     if not total:
         return spark.createDataFrame([], "tokens array<string>, verdict string, confidence double, support double, token string")
     least = max(1, math.ceil(min_support * total))
-    # Tokens below the support are in no rule. At most 1 / min_support * (tokens a URL) others: a small table.
-    often = same.select(F.explode("t").alias("token"), "n").groupBy("token").agg(F.sum("n").alias("count")).where(F.col("count") >= least)
-    often = saved(often, "url-tokens")
-    each = same.withColumn("row", F.monotonically_increasing_id()).select("row", "label", "n", F.explode("t").alias("token")).join(often, "token")
-    baskets = each.groupBy("row", "label", "n").agg(F.array_sort(F.collect_list("token")).alias("t")).groupBy("t", "label").agg(F.sum("n").alias("n"))
-    baskets = saved(baskets.withColumn("row", F.monotonically_increasing_id()), "url-baskets")
-    drop(same)
-    held = baskets.select("row", "label", "n", F.explode("t").alias("token")).select("row", "label", "n", F.array("token").alias("tokens"))
-    grown, levels, size = None, [], 1
-    while True:
-        by_label = held.groupBy("tokens", "label").agg(F.sum("n").alias("n"))
-        sets = by_label.groupBy("tokens").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.collect_list(F.struct("label", "n")).alias("labels")).where(F.col("most") >= least)
-        if grown is not None:
-            less = sets.select("tokens", F.explode(F.expr("transform(tokens, x -> filter(tokens, y -> y != x))")).alias("fewer")).join(grown.select(F.col("tokens").alias("fewer"), F.col("all").alias("before")), "fewer")
-            less = less.groupBy("tokens").agg(F.count("*").alias("k"), F.min("before").alias("before")).where(F.col("k") == size)
-            sets = sets.join(less, "tokens").where(F.col("all") < F.col("before")).drop("k", "before")
-        sets = saved(sets, "url-sets")
-        levels.append(sets)
-        grown = sets.where((F.col("most") < F.col("all")) & (F.col("all") < total)).select("tokens", "all")
-        if not grown.limit(1).count():
-            break
-        # Two sets of a row that differ in their last token alone make a set of the next size.
-        stay = held.join(grown.select("tokens"), "tokens").select("row", "label", "n", F.slice("tokens", 1, size - 1).alias("head"), F.element_at("tokens", -1).alias("last"))
-        tails = stay.groupBy("row", "label", "n", "head").agg(F.array_sort(F.collect_list("last")).alias("tails")).where("size(tails) > 1")
-        pairs = tails.select("row", "label", "n", "head", F.explode(F.expr("flatten(transform(tails, (x, i) -> transform(slice(tails, i + 2, size(tails)), y -> array(x, y))))")).alias("two"))
-        before, held = held, saved(pairs.select("row", "label", "n", F.concat("head", "two").alias("tokens")), "url-held")
-        if size > 1:
-            drop(before)
-        size += 1
-    counted = levels[0]
-    for more in levels[1:]:
-        counted = counted.unionByName(more)
-    found = counted.select("tokens", "all", F.inline("labels")).where((F.col("n") >= least) & (F.col("n") / F.col("all") >= min_confidence))
-    rules = found.select("tokens", F.col("label").alias("verdict"), (F.col("n") / F.col("all")).alias("confidence"), (F.col("n") / F.lit(total)).alias("support"))
-    rules = saved(rules, "url-rules")
-    # A rule goes if dropping one of its tokens leaves a rule of the same verdict that is as sure: chains of such steps cover all subsets.
-    shorter = rules.select(F.col("tokens").alias("fewer"), F.col("verdict").alias("same"), F.col("confidence").alias("sure"))
-    steps = rules.where("size(tokens) > 1").select("*", F.explode(F.expr("transform(tokens, x -> filter(tokens, y -> y != x))")).alias("fewer"))
-    covered = steps.join(shorter, (steps.fewer == shorter.fewer) & (F.col("verdict") == F.col("same")) & (F.col("sure") >= F.col("confidence"))).select("tokens", "verdict").distinct()
-    kept = rules.join(covered, ["tokens", "verdict"], "left_anti")
-    posted = kept.withColumn("token", F.explode("tokens")).join(often, "token")
+    each = rows.select("row", F.explode("tokens").alias("token"))
+    # The sums of two hashes of its rows tell which tokens are in the same ones. At most (tokens a URL) / min_support tokens are left.
+    sums = [F.sum(F.xxhash64("row", F.lit(k)).cast("decimal(38,0)")).alias(f"same{k}") for k in (0, 1)]
+    often = saved(each.groupBy("token").agg(F.count("*").alias("count"), *sums).where(F.col("count") >= least), "url-tokens")
+    items = saved(often.groupBy("count", "same0", "same1").agg(F.min("token").alias("item"), F.sort_array(F.collect_list("token")).alias("members")).select("item", "members", "count"), "url-items")
+    parts = items.where(F.col("count") < total).select(F.col("item").alias("token"))
+    held = each.join(parts, "token").groupBy("row").agg(F.collect_list("token").alias("t"))
+    verdict = F.array(F.concat(F.lit("="), "label"))
+    baskets = rows.select("row", "label").join(held, "row", "left").select(F.coalesce(F.concat("t", verdict), verdict).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total, minConfidence=min_confidence).fit(baskets)
+    found = model.associationRules.where("startswith(consequent[0], '=') AND NOT exists(antecedent, x -> startswith(x, '='))")
+    rules = found.select(F.array_sort("antecedent").alias("of"), F.substring(F.element_at("consequent", 1), 2, 1 << 20).alias("verdict"), "confidence", "support")
+    shares = rows.groupBy(F.col("label").alias("verdict")).agg((F.count("*") / total).alias("confidence")).where((F.col("confidence") >= min_confidence) & (F.col("confidence") * total >= least - 0.5))
+    everywhere = items.where(F.col("count") == total).withColumn("all", F.lit(total)).join(shares.withColumn("all", F.lit(total)), "all")
+    rules = saved(rules.unionByName(everywhere.select(F.array("item").alias("of"), "verdict", "confidence", F.col("confidence").alias("support"))), "url-rules")
+    # A rule goes if dropping one of its items leaves a rule of the same verdict that is as sure: chains of such steps cover all subsets.
+    shorter = rules.select(F.col("of").alias("fewer"), F.col("verdict").alias("same"), F.col("confidence").alias("sure"))
+    steps = rules.where("size(of) > 1").select("*", F.explode(F.expr("transform(of, x -> filter(of, y -> y != x))")).alias("fewer"))
+    covered = steps.join(shorter, (steps.fewer == shorter.fewer) & (F.col("verdict") == F.col("same")) & (F.col("sure") >= F.col("confidence"))).select("of", "verdict").distinct()
+    kept = rules.join(covered, ["of", "verdict"], "left_anti")
+    members = kept.select("*", F.explode("of").alias("item")).join(items, "item").groupBy("of", "verdict", "confidence", "support").agg(F.collect_list("members").alias("members"))
+    every = F.expr("aggregate(members, array(cast(array() as array<string>)), (so_far, m) -> flatten(transform(so_far, a -> transform(m, x -> concat(a, array(x))))))")
+    told = members.select(F.explode(every).alias("tokens"), "verdict", "confidence", "support").withColumn("tokens", F.array_sort("tokens"))
+    posted = told.withColumn("token", F.explode("tokens")).join(often.select("token", "count"), "token")
     return saved(posted.groupBy("tokens", "verdict", "confidence", "support").agg(F.min_by("token", F.struct("count", "token")).alias("token")), "url-index")
 
 
-def match(urls: DataFrame, index: DataFrame, broadcast_rows: int = 20_000) -> DataFrame:
+def match(urls: DataFrame, index: DataFrame, broadcast_rows: int = 20_000, common: int = 1000) -> DataFrame:
     """(url, verdict, confidence) for each distinct url of rows (url, tokens) that a rule fits.
 
-    The surest rule decides; equal ones by support, then more tokens, then the larger verdict. The index is broadcast
-    only if it has at most broadcast_rows rows, else both sides are shuffled by token.
+    The surest rule decides; equal ones by support, then more tokens, then the larger verdict. The index is broadcast only if it has at most
+    broadcast_rows rows. Else both sides are shuffled by token and salt, and tokens of over 1 / common of the URLs that no rule is posted under (a list of
+    at most `common` tokens for each of a URL's tokens) stay out of the shuffle.
     """
     small = index.limit(broadcast_rows + 1).count() <= broadcast_rows
     rules = index.select("token", F.col("tokens").alias("needs"), "verdict", "confidence", "support")
     held = urls.select("url", "tokens").dropDuplicates(["url"]).withColumn("token", F.explode("tokens"))
-    hits = held.join(F.broadcast(rules) if small else rules, "token").where(F.size(F.array_except("needs", "tokens")) == 0)
-    best = hits.groupBy("url").agg(F.max(F.struct("confidence", "support", F.size("needs").alias("n"), "verdict")).alias("best"))
+    if small:
+        hits = held.join(F.broadcast(rules), "token")
+    else:
+        held = saved(held, "url-held")
+        often = held.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") * common > held.select("url").distinct().count())
+        idle = often.join(rules.select("token").distinct(), "token", "left_anti").select("token")
+        held = held.join(F.broadcast(idle), "token", "left_anti").withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int"))
+        hits = held.join(rules.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))).hint("merge"), ["token", "salt"])
+    best = hits.where(F.size(F.array_except("needs", "tokens")) == 0).groupBy("url").agg(F.max(F.struct("confidence", "support", F.size("needs").alias("n"), "verdict")).alias("best"))
     return best.select("url", F.col("best.verdict").alias("mined"), F.col("best.confidence").alias("confidence"))
 
 
@@ -134,7 +127,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", **m
 
     The rule list decides first, and the URLs it decides are the labels that association rules are mined from. They decide
     the rest; a URL that no rule of either kind fits gets the default. A null url and one without :// have an empty host and path, no
-    tokens and the default. confidence: of the mined rule that decided, else null.
+    tokens and the default. confidence: of the mined rule that decided, else null. Other columns of pages are left out, whatever their names.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
