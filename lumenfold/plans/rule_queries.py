@@ -11,6 +11,8 @@ from lumenfold.operators import bindings as B
 from lumenfold.operators import certificates as C
 from lumenfold.operators import report as R
 from lumenfold.operators import score
+from lumenfold.operators import template as TP
+from lumenfold.operators.computed import with_computed
 from lumenfold.plans.registry import query, table
 
 
@@ -214,3 +216,46 @@ def template_bindings(spark, sf_dir):
     rows = B.foreach(B.unless(nested, F.col("o_orderstatus") == "F"), "lines", keep=["o_orderkey", "o_orderpriority"])
     shown = B.visible(rows, F.col("item.l_linenumber") > 3, "late")
     return shown.select("o_orderkey", B.numbered_id("row", F.col("index")).alias("id"), B.text(F.col("o_orderpriority"), ": ", F.col("item.l_partkey")).alias("label"), "late")
+
+
+_PAGE = """<!DOCTYPE html>
+<div class="head" data-bind="with: head, css: { urgent: urgent }"><h1 data-bind="text: 'Order ' + key"></h1><i style="top:1px" data-bind="visible: $parent.lines.length > 3">!</i></div>
+<!-- ko if: lines && lines.length > 1 --><table><tbody data-bind="foreach: lines"><tr data-bind="attr: { id: 'row-' + $index(), title: $parent.head.priority }"><td data-bind="text: number"></td><td data-bind="whole: price"></td>
+<!-- ko ifnot: late --><td>of <b data-bind="text: $root.head.key"></b>&nbsp;<input type="checkbox" data-bind="checked: quantity > 25"></td><!-- /ko --></tr></tbody></table><!-- /ko -->
+<p data-bind="html: head.urgent ? '<b>now</b>' : 'later'"></p>"""
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, count(*) AS n, string_agg('<tr id="row-' || i || '" title="' || o_orderpriority || '"><td>' || l_linenumber || '</td><td>' || CAST(floor(l_extendedprice) AS BIGINT) || '</td>' || chr(10)
+    || CASE WHEN l_linenumber > 2 THEN '' ELSE '<td>of <b>' || l_orderkey || '</b>&nbsp;<input type="checkbox"' || CASE WHEN l_quantity > 25 THEN ' checked' ELSE '' END || '></td>' END || '</tr>', '' ORDER BY i) AS rows
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS i FROM lineitem) JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey)
+SELECT o_orderkey, md5('<!DOCTYPE html>' || chr(10) || '<div class="' || CASE WHEN o_orderpriority = '1-URGENT' THEN 'urgent ' ELSE '' END || 'head"><h1>Order ' || o_orderkey || '</h1><i style="' || CASE WHEN coalesce(n, 0) > 3 THEN '' ELSE 'display: none; ' END || 'top:1px">!</i></div>' || chr(10)
+  || CASE WHEN coalesce(n, 0) > 1 THEN '<table><tbody>' || rows || '</tbody></table>' ELSE '' END || chr(10) || '<p>' || CASE WHEN o_orderpriority = '1-URGENT' THEN '<b>now</b>' ELSE 'later' END || '</p>') AS page_md5
+FROM orders LEFT JOIN l ON o_orderkey = l_orderkey
+""")
+def rendered_pages(spark, sf_dir):
+    """A page of each order from one template text: scopes, repeated lines with their parents, conditions, attributes and handlers."""
+    line = F.struct(F.col("l_linenumber").alias("number"), "l_partkey", "l_suppkey", F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), (F.col("l_linenumber") > 2).alias("late"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    head = F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("priority"), urgent.alias("urgent"))
+    nested = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", head.alias("head"), urgent.alias("urgent"), "lines")
+    pages = TP.rendered(nested, _PAGE, handlers={"whole": lambda c: F.floor(c).cast("string")})
+    return pages.select("o_orderkey", F.md5("page").alias("page_md5"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(l_extendedprice * (1 - l_discount) * 100) AS BIGINT) AS net, CAST(floor(floor(l_extendedprice * (1 - l_discount) * 100) * (1 + l_tax)) AS BIGINT) AS gross,
+  CASE WHEN floor(floor(l_extendedprice * (1 - l_discount) * 100) * (1 + l_tax)) > 4000000 THEN 'large' WHEN l_discount > 0.05 THEN 'reduced' ELSE 'plain' END AS label FROM lineitem
+""")
+def computed_fields(spark, sf_dir):
+    """Lines with fields that are computed from each other, given in any order."""
+    fields = {
+        "label": "CASE WHEN big THEN 'large' WHEN reduced THEN 'reduced' ELSE 'plain' END",
+        "big": "gross > 4000000",
+        "gross": "floor(net * (1 + l_tax))",
+        "reduced": "l_discount > 0.05D",
+        "net": "floor(l_extendedprice * (1 - l_discount) * 100)",
+        "unused": "upper(label)",
+    }
+    return with_computed(table(spark, sf_dir, "lineitem"), fields, ["label"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "net", "gross", "label")
