@@ -65,6 +65,36 @@ def has_useful_value(values: Column) -> Column:
     return F.exists(values, lambda v: F.trim(F.coalesce(v, F.lit("null"))) != "")
 
 
+def useful_within(c: Column, kind: T.DataType, null_is_useful: bool = True) -> Column:
+    """Whether a nested value holds anything useful, by an expression that follows its type: null and empty ones at the top hold nothing.
+
+    Within it, an array is useful if it has items, an object if any of its values is, and another value if its text isn't blank. A null value there has the
+    text null, and so counts, unless null_is_useful is off, for rows in which null stands for what is absent.
+    """
+
+    def useful(c: Column, kind: T.DataType) -> Column:
+        null = F.lit(null_is_useful)
+        if isinstance(kind, T.ArrayType):
+            return F.when(c.isNull(), null).otherwise(F.size(c) > 0)
+        if isinstance(kind, (T.StructType, T.MapType)):
+            return F.when(c.isNull(), null).otherwise(any_of(c, kind))
+        if isinstance(kind, T.StringType):
+            return F.when(c.isNull(), null).otherwise(c.rlike(r"[^\s\x1c-\x1f\u00a0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"))
+        return F.when(c.isNull(), null).otherwise(F.lit(True))
+
+    def any_of(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.MapType):
+            return F.exists(F.map_values(c), lambda v: useful(v, kind.valueType))
+        out = F.lit(False)
+        for f in kind:
+            out = out | useful(c.getField(f.name), f.dataType)
+        return out
+
+    if not isinstance(kind, (T.StructType, T.MapType)):
+        raise ValueError("only a struct or a map has values within")
+    return F.coalesce(any_of(c, kind), F.lit(False)) & c.isNotNull()
+
+
 def any_true(values: Column) -> Column:
     """Whether any item is true, or the text true."""
     return F.exists(values, lambda v: F.lower(v.cast("string")) == "true")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.functions.nested import flatten_json
+from lumenfold.functions.nested import _leaves, flatten_json
 from lumenfold.functions.predicates import UUID4
 
 BLOCKS = "doc_id string, block_idx long, text string, x double, y double, width double, height double, page int, font_size double, font_name string, block_type string"
@@ -65,13 +65,36 @@ def xml_rows(doc: str, text: str | None) -> Iterator[tuple]:
         yield doc, k, key, value
 
 
-def schema_fields(files: DataFrame) -> DataFrame:
-    """schema_fields of (doc_id, content) rows of schema text."""
+def parsed(kind: str, doc: str, text: str | None) -> list[tuple]:
+    """The rows of a file (kind: xsd or data) with a null error; of one that can't be read a single row with nothing but its doc_id and what is wrong."""
+    try:
+        return [(*row, None) for row in (schema_rows if kind == "xsd" else data_rows)(doc, text)]
+    except (ValueError, ET.ParseError, RecursionError) as e:
+        width = len((SCHEMA if kind == "xsd" else DATA).split(", ")) - 1
+        return [(doc, *[None] * width, f"{type(e).__name__}: {e}")]
+
+
+def data_rows(doc: str, text: str | None) -> Iterator[tuple]:
+    """The leaves of JSON if the text begins with { or [, else the elements of XML."""
+    text = (text or "").strip()
+    if not text.startswith(("{", "[")):
+        yield from xml_rows(doc, text)
+        return
+    for k, (key, value) in enumerate(dict(_leaves(json.loads(text), "")).items()):
+        yield doc, k, key, value
+
+
+def schema_fields(files: DataFrame, keep_bad: bool = False) -> DataFrame:
+    """schema_fields of (doc_id, content) rows of schema text. keep_bad: a bad file is a row with an error, and doesn't end the job."""
+    if keep_bad:
+        return files.select("doc_id", "content").mapInArrow(_rows(f"{SCHEMA}, error string", lambda doc, text: parsed("xsd", doc, text)), f"{SCHEMA}, error string")
     return files.select("doc_id", "content").mapInArrow(_rows(SCHEMA, schema_rows), SCHEMA)
 
 
-def data_fields(files: DataFrame) -> DataFrame:
-    """data_fields of (doc_id, content) rows: JSON if the text begins with { or [, else XML. Text that is neither fails."""
+def data_fields(files: DataFrame, keep_bad: bool = False) -> DataFrame:
+    """data_fields of (doc_id, content) rows: JSON if the text begins with { or [, else XML. Text that is neither fails, or with keep_bad is a row with an error."""
+    if keep_bad:
+        return files.select("doc_id", "content").mapInArrow(_rows(f"{DATA}, error string", lambda doc, text: parsed("data", doc, text)), f"{DATA}, error string")
     json_like = F.ltrim("content").rlike(r"^[{\[]")
     flat = files.where(json_like).select("doc_id", F.coalesce(flatten_json(F.col("content")), F.raise_error(F.lit("invalid JSON")).cast("array<struct<idx:long,path:string,value:string>>")).alias("x"))
     of_json = flat.select("doc_id", F.inline("x")).toDF("doc_id", "key_idx", "key", "value")
