@@ -23,6 +23,7 @@ SIZES = (3, 4)
 SHIFTS, SLOTS = (4, 34), 22  # bits of a hash that the probes leave out; a filter has at most 2^SLOTS slots, and its chance is corrected however full it is
 _MUL = splitmix(7, 16) | np.uint64(1)
 UNKNOWN = "und"
+MOST_LANGUAGES = 1024
 
 
 def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,20 +118,23 @@ def _small(text: pa.Array, limit: int = PART) -> Iterator[tuple[int, int, list[s
 def learn(docs: DataFrame, per_language: int = 1000, contrast: float = 0.1) -> Filters | None:
     """Filters from the columns lang and text of labelled rows; None if there are none.
 
-    A bounded sample: of each language about per_language rows, those with the smallest hashes of their
+    A bounded sample: of each language about per_language rows, those with the smallest hashes (of 62 bits) of their
     doc_id. All n-grams of the sample count. A language holds an n-gram whose rate in its texts is at least `contrast` times the rate in any
     other's, so that a few rows with a wrong label don't put the other language's common n-grams there. The slots are made on the
-    executors; the driver gets a mask for each slot in use, of at most 2^SLOTS for 64 languages, and a few rows a language.
+    executors; the driver gets a mask for each slot in use, of at most 2^SLOTS for 64 languages, and a few rows a language, of which there
+    may be MOST_LANGUAGES.
     Languages are in order of their rows, so that nothing known falls to the most frequent one. A label `und` is a language like others.
     """
     rows = docs.where("lang is not null and text is not null")
     found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not found:
         return None
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"{len(found)} labels are more than the {MOST_LANGUAGES} languages whose filters fit the driver")
     names = [r["lang"] for r in found]
     share = F.create_map(*[x for r in found for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))])
     code = F.create_map(*[x for k, name in enumerate(names) for x in (F.lit(name), F.lit(k))])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select(code[F.col("lang")].alias("k"), "text")
+    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62)) < share[F.col("lang")] * (1 << 62)).select(code[F.col("lang")].alias("k"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,27 +160,31 @@ def learn(docs: DataFrame, per_language: int = 1000, contrast: float = 0.1) -> F
     return Filters.of_slots(names, bits, got["part"].to_numpy(), got["slot"].to_numpy().astype(np.int64), got["mask"].to_numpy().astype(np.int64).view(np.uint64))
 
 
-def predict(df: DataFrame, filters: Filters | None, text: str = "text") -> DataFrame:
+def predict(df: DataFrame, filters: Filters | None, text: str = "text", shares: bool = False) -> DataFrame:
     """df with lang_pred and score; replaces columns of these names.
 
-    `und` and 0 if the text is null or has no letter (or nothing was learned). Equal shares go to the more frequent language.
+    `und` and 0 if the text is null or has no letter (or nothing was learned). Equal shares go to the more frequent language. shares: also the
+    shares of all languages, in the order of filters.languages. The filters are a broadcast variable of at most 2^SLOTS slots, of 8 bytes at most, for 64 languages.
     """
-    rows = df.drop("lang_pred", "score")
+    rows = df.drop("lang_pred", "score", *(["shares"] if shares else []))
+    sent = df.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = sent.value
         for batch in batches:
             for i, j, texts in _small(batch.column(text)):
                 if filters is None:
-                    names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+                    share, names, score = np.zeros((len(texts), 0)), [UNKNOWN] * len(texts), np.zeros(len(texts))
                 else:
                     share, letters = filters.shares(texts)
                     best = share.argmax(axis=1)
                     names = [filters.languages[b] if n else UNKNOWN for b, n in zip(best, letters, strict=True)]
                     score = np.where(letters > 0, share[np.arange(len(texts)), best], 0.0)
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, "lang_pred", "score"])
+                more = [pa.array(list(share), pa.list_(pa.float64()))] if shares else []
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64()), *more], [*part.schema.names, "lang_pred", "score", *(["shares"] if shares else [])])
 
-    return rows.mapInArrow(lean(run), extended(rows.schema, "lang_pred string, score double"))
+    return rows.mapInArrow(lean(run), extended(rows.schema, "lang_pred string, score double" + ", shares array<double>" * shares))
 
 
 def held_out(doc_id: Column) -> Column:
