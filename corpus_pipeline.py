@@ -17,34 +17,37 @@ from lumenfold.llm.near_dup import near_duplicates
 from lumenfold.llm.substring_dedup import without_repeats
 from lumenfold.operators.report import numbered
 
-LEAST_SCORE, SCORED = 1 / 3, 1000
+#: The share of a language's documents that may lie under what counts as its least.
+LOSS = 1e-4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that the labelled ones are in; null texts and those without letters go.
-
-    A language's least score is LEAST_SCORE times the median one of its labelled documents that nothing is learned from, as texts of
-    a language with many n-grams hold fewer of those that its filter has. Without such documents any score above 0 does.
-    """
+    """Documents in one of the languages that the labelled ones are in; null texts and those without letters go."""
     filters = learn(docs.where(~held_out(F.col("doc_id"))))
     said = predict(docs, filters)
-    least = least_scores(docs, filters)
     limit = F.lit(0.0)
-    for name, score in least.items():
+    for name, score in least_scores(docs, filters).items():
         limit = F.when(F.col("lang_pred") == name, F.lit(score)).otherwise(limit)
     return said.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0) & (F.col("score") >= limit)).select(*docs.columns)
 
 
-def least_scores(docs: DataFrame, filters: Filters | None) -> dict[str, float]:
-    """The least score of each language, from about SCORED of its labelled documents that are held out."""
+def least_scores(docs: DataFrame, filters: Filters | None, loss: float = LOSS) -> dict[str, float]:
+    """The least score of each language: midway between what its own documents reach and what a text of another language has in it, by all
+    labelled documents that are held out.
+
+    Its own, that is, those that are labelled and found to be of it, reach the score that all but a share `loss` of them have (of fewer than 1 / loss: the
+    least). A text of another language has the median of those that are found to be of others, 0 without any. So the least score stays well under
+    what a document of the language has had, and over what most texts of a language that nothing is known of would have. Wrong labels count on neither side.
+    """
     rows = docs.where("doc_id is not null and lang is not null and text is not null").where(held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    sizes = rows.groupBy("lang").count().collect()
-    if filters is None or not sizes:
+    if filters is None:
         return {}
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, SCORED / r["count"])))])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    found = predict(sample, filters).where("lang_pred = lang").groupBy("lang").agg(F.median("score").alias("m"))
-    return {r["lang"]: LEAST_SCORE * r["m"] for r in found.collect()}
+    each = predict(rows, filters, shares=True).where(F.col("lang_pred") != UNKNOWN).select("lang", "lang_pred", F.posexplode("shares").alias("k", "share"))
+    found_as = F.array(*map(F.lit, filters.languages))[F.col("k")] == F.col("lang_pred")
+    own, others = found_as & (F.col("lang") == F.col("lang_pred")), ~found_as
+    at = lambda test, p: F.percentile_approx(F.when(test, F.col("share")), F.lit(p), F.lit(100_000))
+    found = each.groupBy("k").agg(at(own, loss).alias("own"), at(others, 0.5).alias("others")).collect()
+    return {filters.languages[r.k]: min(r.own, (r.own + (r.others or 0.0)) / 2) for r in found if r.own is not None}
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
