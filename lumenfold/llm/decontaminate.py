@@ -30,6 +30,10 @@ LITERAL, NUMBER, NAME, UNIT = range(4)
 UNITS = (
     "kg g mg lb lbs oz km m cm mm mi ft inch inches mile miles meter meters metre metres l ml litre litres liter liters "
     "s sec second seconds min minute minutes h hour hours day days week weeks month months year years "
+    "gram grams kilogram kilograms milligram milligrams ton tons tonne tonnes pound pounds ounce ounces stone "
+    "kilometer kilometers kilometre kilometres centimeter centimeters centimetre centimetres millimeter millimeters foot feet yard yards furlong furlongs acre acres hectare hectares "
+    "milliliter milliliters gallon gallons quart quarts pint pints cup cups barrel barrels bushel bushels tablespoon tablespoons teaspoon teaspoons decade decades century centuries "
+    "кг г км м см л литр литра литров метр метра метров час часа часов день дня дней минут минуты рублей рубля "
     "usd eur gbp dollar dollars euro euros cent cents percent degree degrees mph kmh kph w kw mw v mb gb tb "
     "kilo kilos kilogramo kilogramos gramo gramos metro metros litro litros segundo segundos minuto minutos hora horas día días semana semanas mes meses año años dólar dólares grado grados "
     "kilogramme kilogrammes gramme grammes mètre mètres seconde secondes heure heures jour jours semaine semaines mois ans année années degré degrés "
@@ -41,11 +45,12 @@ AT_ONCE = 1 << 16  # windows whose readings are made together
 FILTER, PROBES = 28, (0, 31)  # the most bits of a filter, as a power of two, and the bits of a hash that its probes leave out
 
 _KIND = splitmix(31, 4)
-_DIGIT, _NUMERIC, _MARK, _UPPER = (np.zeros(256, bool) for _ in range(4))
+_DIGIT, _NUMERIC, _MARK = (np.zeros(256, bool) for _ in range(3))
 _DIGIT[48:58] = _NUMERIC[48:58] = True
 _NUMERIC[[ord(c) for c in ".,:/-%"]] = True
 _MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
-_UPPER[65:91] = True
+#: Capitals of all scripts in the plane that words of everyday texts are in, by codepoint.
+_CAPITAL = np.array([chr(c).isupper() or chr(c).istitle() for c in range(1 << 16)])
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:"]] = True
 
@@ -82,8 +87,7 @@ class Templates:
         size = words.end - words.start
         here = digits[words.end] - digits[words.start]
         first = data[words.start]
-        second = data[np.minimum(words.start + 1, len(data) - 1)]
-        upper = _UPPER[first] | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97))
+        upper = _CAPITAL[_codepoints(data, words.start)]
         self.kind = np.zeros(n, np.int8)
         self.kind[upper & ~opens] = NAME
         # 12, 1,200.50, 3/4, 12:30; and 12kg, 3rd: what begins with a digit.
@@ -148,6 +152,13 @@ class Templates:
             yield where, done(_sums(self.value, size)[where])
 
 
+def _codepoints(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The codepoints of UTF-8 at these places; 0 for those beyond the first plane."""
+    byte = [data[np.minimum(start + k, len(data) - 1)].astype(np.int64) for k in range(3)]
+    two, three = (byte[0] & 31) << 6 | byte[1] & 63, (byte[0] & 15) << 12 | (byte[1] & 63) << 6 | byte[2] & 63
+    return np.select([byte[0] < 0x80, byte[0] < 0xE0, byte[0] < 0xF0], [byte[0], two, three], 0)
+
+
 def _sums(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h) - k + 1
     out = np.zeros(n, np.uint64)

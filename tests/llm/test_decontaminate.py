@@ -109,3 +109,18 @@ def test_names_in_both_directions_and_units_of_other_languages(spark):
     got = leaks(spark, [one, q.replace("kilos", "gramos").replace("5", "8")], [Q, q], consistency=1.0)
     assert got[0] == [] and [x[0] for x in got[1]] == [1]
     assert [x[0] for x in leaks(spark, ["Ann has 4 apples and buys 7 more today"], ["Tom has 3 apples and buys 5 more today"])[0]] == [0]
+
+
+def test_units_and_names_beyond_a_few_languages(spark):
+    """Other units of the same kind, and capitals of other scripts; a noun that is no unit stays what it is."""
+    pairs = [
+        ("Tom pours 7 liters of milk and drinks 2 liters before he goes home tonight", "Tom pours 5 gallons of milk and drinks 3 gallons before he goes home tonight"),
+        ("the horse ran 12 kilometers on the first day and 9 kilometers on the last", "the horse ran 5 furlongs on the first day and 4 furlongs on the last"),
+        ("this morning Tom gave Ann 3 coins and then Tom took 1 coin back from her", "this morning Łukasz gave Šárka 8 coins and then Łukasz took 5 coin back from her"),
+        ("вчера утром Иван купил 5 яблок и отдал Марии 2 яблока", "вчера утром Пётр купил 9 яблок и отдал Ольге 4 яблока"),
+        ("σήμερα ο Νίκος αγόρασε 5 μήλα και έδωσε στην Άννα 2 από αυτά", "σήμερα ο Γιώργος αγόρασε 8 μήλα και έδωσε στην Ελένη 3 από αυτά"),
+    ]
+    got = leaks(spark, [f"so , {b} , and on" for _, b in pairs], [a for a, _ in pairs])
+    assert [[x[0] for x in got[k]] for k in range(len(pairs))] == [[k] for k in range(len(pairs))]
+    friends = [pairs[0][1].replace("gallons", "friends"), pairs[3][1].replace("Пётр купил", "дом стоит"), pairs[1][1].replace("the horse ran", "a quiet town had")]
+    assert [x for k in range(3) for x in leaks(spark, friends, [a for a, _ in pairs])[k] if x[0] in (0, 3)] == []
