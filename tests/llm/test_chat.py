@@ -36,13 +36,47 @@ def test_windows(spark):
     assert read_back(windows(df.limit(0), PATH)).collect() == []
 
 
+def plain_windows(turns, tokens, budget=1024, history=256):
+    """The windows of formatted turns (role, text, tokens), each as the list of its turns, by summing anew for every turn."""
+    system = turns[0] if turns[0][0] == "system" else None
+    out, now, repeated = [], [], 0
+    for t in turns:
+        if len(now) > repeated and sum(x[2] for x in now) + t[2] > budget:
+            out.append(now)
+            rest = now[1:] if system and now[0] is system else now
+            room = min(history, budget - t[2] - (system[2] if system else 0))
+            keep = max(k for k in range(len(rest) + 1) if k == 0 or sum(x[2] for x in rest[len(rest) - k :]) <= room)
+            now = ([system] if system else []) + rest[len(rest) - keep :]
+            repeated = len(now)
+        now = [*now, t]
+    return [*out, now]
+
+
 def test_query(spark):
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     talks = {}
     for r in spark.read.parquet(f"{SF}/conversations.parquet").orderBy("conv_id", "turn").collect():
         talks.setdefault(r.conv_id, []).append((r.role, r.text))
     talks[-7] = [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]
-    got = {r.conv_id: (r.turns_sha256, r.loss_chars, r.loss_sha256) for r in op9_chat(spark, SF).collect()}
-    assert got == {k: digests(v) for k, v in talks.items()}
+    want, several = {}, 0
+    for k, v in talks.items():
+        made = [(r, f"<s>{r}\n{escape(t)}</s>\n") for r, t in v]
+        cut = plain_windows([(r, m, len(library.encode_ordinary(m))) for r, m in made], library)
+        several += len(cut) > 1
+        want[k] = (*digests(v), len(v), sum(len(m) for w in cut for _, m, _ in w))
+    got = {r.conv_id: (r.turns_sha256, r.loss_chars, r.loss_sha256, r.n_turns, r.formatted_chars) for r in op9_chat(spark, SF).collect()}
+    assert got == want and several
+
+
+def test_other_columns_of_clashing_names_are_left_out(spark):
+    df = spark.createDataFrame([(1, 0, "user", "hi", "x", 3), (1, 1, "assistant", "ho", "y", 4)], "conv_id long, turn int, role string, text string, window string, loss int")
+    made = windows(df, PATH)
+    assert made.columns == ["conv_id", "window", "formatted", "loss", "repeated", "turns", "n_tokens", "over"] and read_back(made).first().loss_chars == 2
 
 
 def test_windows_beyond_the_budget_say_so(spark):

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from lumenfold.llm.gif import frames, gif_frames, histogram, lzw_decode, lzw_encode, op7_gif, padded, with_gif, with_gif_features, write_gif
+from lumenfold.llm.gif import BINS, frames, gif_frames, histogram, lzw_decode, lzw_encode, op7_gif, padded, with_gif, with_gif_features, write_gif
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,12 +55,64 @@ def test_columns_on_odd_rows(spark):
     assert gif_frames(spark.createDataFrame([(1, None)], "k int, gif binary"), "k").collect() == []
 
 
+def foreign(gif):
+    """The samples of each image of a plain GIF, and their delays, by the textbook's decoder: a table of strings, a code at a time."""
+    assert gif[:6] in (b"GIF87a", b"GIF89a")
+    at = 13 + (3 << (gif[10] & 7) + 1 if gif[10] & 128 else 0)
+    images, delays, delay = [], [], 0
+    while gif[at] != 0x3B:
+        if gif[at] == 0x21:
+            if gif[at + 1] == 0xF9:
+                delay = gif[at + 4] | gif[at + 5] << 8
+            at += 2
+        else:
+            assert gif[at] == 0x2C
+            at += 10 + (3 << (gif[at + 9] & 7) + 1 if gif[at + 9] & 128 else 0)
+            low, at = gif[at], at + 1
+            images.append(low)
+            delays.append(delay)
+        body = b""
+        while gif[at]:
+            body += gif[at + 1 : at + 1 + gif[at]]
+            at += 1 + gif[at]
+        at += 1
+        if images and isinstance(images[-1], int):
+            low, value, bits, out, before = images[-1], 0, 0, [], None
+            clear, width, table = 1 << low, low + 1, {}
+            for byte in body:
+                value, bits = value | byte << bits, bits + 8
+                while bits >= width:
+                    code, value, bits = value & (1 << width) - 1, value >> width, bits - width
+                    if code == clear:
+                        table, width, before = {k: bytes([k]) for k in range(clear)}, low + 1, None
+                        continue
+                    if code == clear + 1:
+                        break
+                    now = table[code] if code in table else before + before[:1]
+                    if before is not None and len(table) + 2 < 4096:
+                        table[len(table) + 2] = before + now[:1]
+                    if len(table) + 2 == 1 << width and width < 12:
+                        width += 1
+                    out.append(now)
+                    before = now
+            images[-1] = b"".join(out)
+    return images, delays
+
+
 def test_query(spark):
     docs = {r.doc_id: r.text.encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    media = {r.doc_id: bytes(r.gif) for r in with_gif(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")).collect()}
+    long = 0
     for r in op7_gif(spark, SF).collect():
-        p = padded(docs[r.doc_id], 576)
-        media = write_gif(p)
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.media_bytes, r.media_sha256) == (len(docs[r.doc_id]), len(p), hashlib.sha256(p).hexdigest(), len(media), hashlib.sha256(media).hexdigest())
+        p = docs[r.doc_id] + b"\xff" * (-len(docs[r.doc_id]) % 576 or (576 if not docs[r.doc_id] else 0))
+        gif = media[r.doc_id]
+        images, delays = foreign(gif)
+        assert b"".join(images) == p and (r.media_bytes, r.media_sha256) == (len(gif), hashlib.sha256(gif).hexdigest())
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(docs[r.doc_id]), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+        bins = np.bincount(np.frombuffer(p, np.uint8) // (256 // BINS), minlength=BINS).tolist()
+        assert r.feature == f"frames={len(images)};cs={sum(delays)};rgb={','.join(map(str, bins * 3))}"
+        long += len(images) > 1
+    assert long
 
 
 #: A picture that is often used to explain the format: 10 x 10, four colours, written by hand.
