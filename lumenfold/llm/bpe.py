@@ -261,7 +261,9 @@ def _encoded(path: str, text: str, limit: int, offsets: bool = False):
     return run
 
 
-def _decoded(path: str):
+def _decoded(path: str, keep_ends: bool = True):
+    """Rows with `decoded`. Where the tokens' offsets are retained, a text is as long as its last one says, and the tokens have to fill it to that byte."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path).words
         for batch in batches:
@@ -269,9 +271,16 @@ def _decoded(path: str):
             joined = words.take(ids.flatten())
             _, ends, data = joined.buffers()
             ends = np.frombuffer(ends, np.int32)[: len(joined) + 1] if len(joined) else np.zeros(1, np.int32)
-            at = ends[ids.offsets.to_numpy() - ids.offsets[0].as_py()]
+            cuts = ids.offsets.to_numpy() - ids.offsets[0].as_py()
+            at, names = ends[cuts], batch.schema.names
+            if "ends" in names:
+                told = np.append(0, batch.column("ends").flatten().to_numpy())
+                lengths = np.where(np.diff(cuts) > 0, told[cuts[1:]], 0)
+                if (np.append(0, np.cumsum(lengths)) != at - at[0]).any():
+                    raise ValueError("the tokens' offsets and their bytes differ")
+                names = names if keep_ends else [c for c in names if c != "ends"]
             column = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(at.astype(np.int32)), data])
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), column], [*names, "decoded"])
 
     return run
 
@@ -287,9 +296,10 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
     rows = df.select(*dict.fromkeys([*keep, text]))
     schema = extended(rows.schema, "ids array<int>" + ", ends array<int>" * offsets)
     made = [*keep, "ids", *["ends"] * offsets]
-    work, back = _encoded(path, text, limit, offsets), _decoded(path)
     if not decode:
-        return rows.mapInArrow(lean(work), schema).select(*made)
+        return rows.mapInArrow(lean(_encoded(path, text, limit, offsets)), schema).select(*made)
+    # Decoding goes by the offsets, which leave the task only if they are asked for.
+    work, back = _encoded(path, text, limit, True), _decoded(path, offsets)
     return rows.mapInArrow(lean(lambda batches: back(work(batches))), extended(schema, "decoded binary")).select(*made, "decoded")
 
 

@@ -63,3 +63,20 @@ def test_query(spark, library):
     for r in op4_bpe(spark, SF).collect():
         ids = library.encode_ordinary(docs[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(docs[r.doc_id].encode()).hexdigest())
+
+
+def test_decoding_goes_by_the_offsets(spark):
+    texts = ["one two", None, "", "three é", "x" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    both = encode(df, PATH, decode=True, offsets=True, limit=1000)
+    assert both.columns == ["k", "text", "ids", "ends", "decoded"]
+    assert {r.k: (bytes(r.decoded).decode(), r.ends[-1] if r.ends else 0) for r in both.collect()} == {k: (t or "", len((t or "").encode())) for k, t in enumerate(texts)}
+    wrong = both.drop("decoded").where("k = 0").selectExpr("k", "ids", "transform(ends, x -> x + 1) AS ends")
+    with pytest.raises(Exception, match="offsets"):
+        decode(wrong, PATH).collect()
+
+
+@pytest.mark.parametrize("text", ["12345 " * 300, "ก" * 900, "- " * 700, "\u0e34" * 500 + " .", "\x1c" * 600])
+def test_long_texts_without_letters(spark, library, text):
+    got = encode(spark.createDataFrame([(1, text)], "k int, text string"), PATH, decode=True, limit=256).first()
+    assert got.ids == library.encode_ordinary(text) and bytes(got.decoded).decode() == text
