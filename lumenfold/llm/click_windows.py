@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from lumenfold.llm._shared import saved
+from lumenfold.llm._shared import SALTS, saved
 from lumenfold.operators.written import new_path
 
 BATCHES, WINDOW, LATE = 10, 48, 24
-BUCKET_ROWS = 20_000
+BUCKET_ROWS, HOT_ROWS = 20_000, 10_000
 FOREVER = 2**62
 OUTPUT = "click_id long, start_hour long, closed_batch long, n_repeats long, n_conflicts long, conflict_crc long, hash string"
 WINDOW_STATE = ["start_hour", "hash", "n_repeats", "n_conflicts", "conflict_crc"]
-FED = "bucket long, batch long, punctuation long, click_id long, hour long, hash binary, n long"
+FED = "bucket long, batch long, punctuation long, click_id long, hour long, hash binary, n long, crc long"
 
 
 def utc_micros(name: str, kind: T.DataType) -> Column:
@@ -69,20 +69,21 @@ class ExpiringWindows(StatefulProcessor):
             if told.any():
                 batch, until = int(df.loc[told, "batch"].iloc[0]), int(df.loc[told, "punctuation"].iloc[0])
             df = df[~told]
-            copies += zip(df["click_id"].astype("int64").tolist(), df["hour"].astype("int64").tolist(), map(bytes, df["hash"]), df["n"].astype("int64").tolist(), strict=True)
+            hashes = [(h is None, b"" if h is None else bytes(h)) for h in df["hash"]]  # those without stand behind the others
+            copies += zip(*(df[c].astype("int64").tolist() for c in ("click_id", "hour")), hashes, *(df[c].astype("int64").tolist() for c in ("n", "crc")), strict=True)
         copies.sort()
         kept = {k[0]: (v[0], bytes(v[1]), *v[2:]) for k, v in self.open.iterator()}
         windows, closed = {k: list(v) for k, v in kept.items()}, []
-        for click, hour, digest, n in copies:
+        for click, hour, (several, digest), n, crc in copies:
             w = windows.get(click)
             if w is None or hour > w[0] + self.window:
                 if w is not None:
                     closed.append((click, *w))
                 windows[click] = w = [hour, digest, -1, 0, 0]
             w[2] += n
-            if digest != w[1]:
+            if several or digest != w[1]:
                 w[3] += n
-                w[4] += n * zlib.crc32(digest.hex().encode())
+                w[4] += crc if several else n * zlib.crc32(digest.hex().encode())
         if until is not None:
             for click in [k for k, w in windows.items() if w[0] + self.window < until]:
                 closed.append((click, *windows.pop(click)))
@@ -112,14 +113,36 @@ def settings(spark: SparkSession, **more: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def expiring_windows(copies: DataFrame, batches: int = BATCHES, window: int = WINDOW, late: int = LATE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def _few_hashes(cut: DataFrame, hot_rows: int) -> DataFrame:
+    """cut (batch, click_id, hour, hash, n) with crc, where a click_id of over hot_rows rows in a batch has few: hashes that open no window are added up.
+
+    Only the least hash of an hour in a batch can open a window. So of such click_ids the hashes that are least somewhere stay, and the others of each hour are one row
+    without a hash, with their number and the sum of their CRCs: wherever they fall, they are conflicts. A click_id's rows in a batch are then bounded by
+    its hours. The joins go by click_id and hash, which spreads one click_id's rows.
+    """
+    crc = F.crc32(F.lower(F.hex("hash")).cast("binary"))
+    plain = cut.withColumn("crc", F.lit(0).cast("long"))
+    hot = saved(cut.groupBy("batch", "click_id").agg(F.count("*").alias("rows")).where(F.col("rows") > hot_rows).select("click_id").distinct(), "hot-clicks")
+    if hot.isEmpty():
+        return plain
+    own = cut.withColumn("salt", F.pmod(F.xxhash64("hash"), F.lit(SALTS)).cast("int"))
+    many = hot.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    rows = saved(own.join(many.hint("merge"), ["click_id", "salt"]).drop("salt"), "hot-copies")
+    openers = rows.groupBy("batch", "click_id", "hour").agg(F.min("hash").alias("hash")).select("click_id", "hash", F.lit(True).alias("opens")).distinct()
+    told = rows.join(openers.hint("merge"), ["click_id", "hash"], "left").withColumn("crc", F.when(F.col("opens"), 0).otherwise(F.col("n") * crc))
+    few = told.groupBy("batch", "click_id", "hour", F.when(F.col("opens"), F.col("hash")).alias("hash")).agg(F.sum("n").alias("n"), F.sum("crc").alias("crc"))
+    rest = plain.join(hot.hint("merge"), "click_id", "left_anti")
+    return saved(rest.unionByName(few), "few-copies", by="batch")
+
+
+def expiring_windows(copies: DataFrame, batches: int = BATCHES, window: int = WINDOW, late: int = LATE, bucket_rows: int = BUCKET_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Deduplication windows of copies (click_id, hour, at, hash) that come in by `at`, in equal spans of it.
 
     The copies are cut into batches once. Equal copies of a batch are counted before anything is dealt out by click_id. Each batch's files and one control row for each bucket then go
     into the source folder, and the query starts anew on its checkpoint. It drops late copies before the shuffle, deals the rest out by bucket of
     click_ids, and each bucket's processor first takes the copies and then the control row, whose M closes windows; there is no watermark.
     Buckets are as many as keep a batch's share of each under bucket_rows, whatever the size. What goes to the driver: the least and greatest `at`, and one row
-    a batch. A task holds the different (hour, hash) of the click_ids of one bucket in one batch.
+    a batch. A task holds the (hour, hash) of the click_ids of one bucket in one batch, of which a click_id with over hot_rows has few (_few_hashes).
     """
     spark = copies.sparkSession
     ends = copies.agg(F.min("at"), F.max("at")).first()
@@ -128,6 +151,7 @@ def expiring_windows(copies: DataFrame, batches: int = BATCHES, window: int = WI
     first, span = ends[0], ends[1] - ends[0] + 1
     cut = copies.withColumn("batch", F.floor((F.col("at") - first) * batches / span).cast("int"))
     cut = saved(cut.groupBy("batch", "click_id", "hour", "hash").agg(F.count("*").alias("n")), "copies", by="batch")
+    cut = _few_hashes(cut, hot_rows)
     facts = {r.batch: r for r in cut.groupBy("batch").agg(F.max("hour").alias("most"), F.count("*").alias("rows")).collect()}
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-max(r.rows for r in facts.values()) // bucket_rows))
     source, out, checkpoint = (new_path(spark, f"windows-{x}") for x in ("source", "closed", "checkpoint"))
@@ -142,8 +166,8 @@ def expiring_windows(copies: DataFrame, batches: int = BATCHES, window: int = WI
             dropped = None if most is None else most - late
             most = max([x for x in (most, facts[b].most if b in facts else None) if x is not None])
             until = FOREVER if b == batches - 1 else most - late
-            control = spark.range(buckets).select(F.col("id").alias("bucket"), F.lit(b).cast("long").alias("batch"), F.lit(until).cast("long").alias("punctuation"), *(F.lit(None).cast(t).alias(c) for c, t in (("click_id", "long"), ("hour", "long"), ("hash", "binary"), ("n", "long"))))
-            data = cut.where(F.col("batch") == b).select(F.pmod(F.xxhash64("click_id"), F.lit(buckets)).alias("bucket"), F.col("batch").cast("long").alias("batch"), F.lit(None).cast("long").alias("punctuation"), "click_id", "hour", "hash", "n")
+            control = spark.range(buckets).select(F.col("id").alias("bucket"), F.lit(b).cast("long").alias("batch"), F.lit(until).cast("long").alias("punctuation"), *(F.lit(None).cast(t).alias(c) for c, t in (("click_id", "long"), ("hour", "long"), ("hash", "binary"), ("n", "long"), ("crc", "long"))))
+            data = cut.where(F.col("batch") == b).select(F.pmod(F.xxhash64("click_id"), F.lit(buckets)).alias("bucket"), F.col("batch").cast("long").alias("batch"), F.lit(None).cast("long").alias("punctuation"), "click_id", "hour", "hash", "n", "crc")
             data.unionByName(control.coalesce(1)).write.mode("append").parquet(source)
             fed = spark.readStream.schema(FED).parquet(source)
             if dropped is not None:

@@ -30,9 +30,9 @@ LITERAL, NUMBER, NAME, UNIT = range(4)
 UNITS = (
     "kg g mg lb lbs oz km m cm mm mi ft inch inches mile miles meter meters metre metres l ml litre litres liter liters "
     "s sec second seconds min minute minutes h hour hours day days week weeks month months year years "
-    "gram grams kilogram kilograms milligram milligrams ton tons tonne tonnes pound pounds ounce ounces stone "
+    "gram grams kilogram kilograms ton tons tonne tonnes pound pounds ounce ounces "
     "kilometer kilometers kilometre kilometres centimeter centimeters centimetre centimetres millimeter millimeters foot feet yard yards furlong furlongs acre acres hectare hectares "
-    "milliliter milliliters gallon gallons quart quarts pint pints cup cups barrel barrels bushel bushels tablespoon tablespoons teaspoon teaspoons decade decades century centuries "
+    "milliliter milliliters gallon gallons quart quarts pint pints cup cups barrel barrels "
     "кг г км м см л литр литра литров метр метра метров час часа часов день дня дней минут минуты рублей рубля "
     "usd eur gbp dollar dollars euro euros cent cents percent degree degrees mph kmh kph w kw mw v mb gb tb "
     "kilo kilos kilogramo kilogramos gramo gramos metro metros litro litros segundo segundos minuto minutos hora horas día días semana semanas mes meses año años dólar dólares grado grados "

@@ -81,6 +81,16 @@ def test_other_cuts_and_more_buckets(spark, batches, bucket_rows):
     assert result(got) == brute(rows, batches)
 
 
+def test_a_click_with_most_rows_keeps_few_hashes(spark):
+    rng = random.Random(9)
+    rows = given(100) + [(5, None, EPOCH + dt.timedelta(days=19_700, hours=rng.randrange(160)), 1, "k", float(rng.randrange(40)), None) for _ in range(1500)]
+    df = W.click_copies(spark.createDataFrame(rows, SCHEMA))
+    assert result(W.expiring_windows(df, 3, hot_rows=50)) == brute(rows, 3)
+    cut = df.groupBy(F.lit(0).alias("batch"), "click_id", "hour", "hash").agg(F.count("*").alias("n"))
+    few = W._few_hashes(cut, 50)
+    assert few.agg(F.sum("n")).first()[0] == df.count() and few.where("click_id = 5 and hash is null").count() > 20 and few.where("click_id = 5").count() < cut.where("click_id = 5").count() * 0.8
+
+
 def test_one_hour_and_no_clicks(spark):
     one = [(0, EPOCH, EPOCH, None, None, None, None)] * 3
     assert result(W.expiring_windows(W.click_copies(spark.createDataFrame(one, SCHEMA)))) == brute(one)
