@@ -61,9 +61,13 @@ def route_gates(extraction: Column, mapping_confirmed: Column, layout_confirmed:
     return F.struct(extraction.isNotNull().alias("fields"), mapping_confirmed.alias("layout"), layout_confirmed.alias("generation"), html.isNotNull().alias("export"))
 
 
+# What is said of files.
+EMPTY_PDF, BAD_SCHEMA, BAD_DATA = "PDF vazio.", "Arquivo XSD invalido.", "Arquivo de dados deve ser JSON ou XML."
+
+
 def file_divergences(pdf_size: Column, xsd_name: Column, data_name: Column) -> Column:
     """What is wrong with a set of files, as a list of texts."""
-    return F.array_compact(F.array(F.when(pdf_size == 0, "PDF vazio."), F.when(~F.lower(xsd_name).endswith(".xsd"), "Arquivo XSD invalido."), F.when(~F.lower(data_name).rlike(r"\.(json|xml)$"), "Arquivo de dados deve ser JSON ou XML.")))
+    return F.array_compact(F.array(F.when(pdf_size == 0, EMPTY_PDF), F.when(~F.lower(xsd_name).endswith(".xsd"), BAD_SCHEMA), F.when(~F.lower(data_name).rlike(r"\.(json|xml)$"), BAD_DATA)))
 
 
 def number_of(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -175,6 +176,18 @@ def or_default(c: Column, default: str = "") -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
 
 
+# The sentences and phrases of the functions below, with {…} for what is put in.
+FROM_UNTIL_HOURS, FROM_HOURS, FROM_UNTIL = "{start} 00h \naté {end} 23h59", "{start} 00h", "{start} até {end}"
+WAITING = "Para a cobertura {name} haverá carência de {amount} {unit}."
+MONTHS_OPEN, MONTHS, INSTALMENTS = "A partir de {start} meses", "De {start} até {end} meses", "De {start} até {end} parcela(s)"
+
+
+def sentence(template: str, **values: Column) -> Column:
+    """A template's text with columns in place of its marks; null if any of them is."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*(values[x].cast("string") if k % 2 else F.lit(x) for k, x in enumerate(parts)))
+
+
 def period_text(start: Column, end: Column, hours: bool = True) -> Column:
     """With hours: 'start 00h \\naté end 23h59', or 'start 00h' alone. Without: 'start até end' if both are there."""
     has = lambda c: F.coalesce(c, F.lit("")) != ""
@@ -189,14 +202,14 @@ def guarantee_label(id: Column, name: Column) -> Column:
 
 def waiting_text(name: Column, amount: Column, unit: Column) -> Column:
     """Fixed waiting period of a coverage."""
-    return F.concat(F.lit("Para a cobertura "), name, F.lit(" haverá carência de "), amount.cast("string"), F.lit(" "), F.lower(unit), F.lit("."))
+    return sentence(WAITING, name=name, amount=amount, unit=F.lower(unit))
 
 
 def progressive_period(start: Column, end: Column, unit: Column) -> Column:
     """'De x até y meses', or 'A partir de x meses' if the end is 9999; instalments have no open end."""
     start, end = start.cast("string"), end.cast("string")
-    months = F.when(end == "9999", F.concat(F.lit("A partir de "), start, F.lit(" meses"))).otherwise(F.concat(F.lit("De "), start, F.lit(" até "), end, F.lit(" meses")))
-    return F.when(normalize_text(unit) == "MESES", months).otherwise(F.concat(F.lit("De "), start, F.lit(" até "), end, F.lit(" parcela(s)")))
+    months = F.when(end == "9999", sentence(MONTHS_OPEN, start=start)).otherwise(sentence(MONTHS, start=start, end=end))
+    return F.when(normalize_text(unit) == "MESES", months).otherwise(sentence(INSTALMENTS, start=start, end=end))
 
 
 def label_lines(c: Column) -> Column:

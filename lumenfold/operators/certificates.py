@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.nested import useful_value
 from lumenfold.functions.predicates import is_saf
-from lumenfold.functions.text import normalize_text, progressive_period
+from lumenfold.functions.text import normalize_text, progressive_period, sentence
 
 # The rules in order, their texts, and the clause that ends a list of texts.
 BRANCHES = ["saf_months", "months", "instalments", "days", "causes"]
@@ -27,6 +27,7 @@ TEXTS = {
     "PARCELAS": "Para a cobertura {name}, quando não preenchida DPS, será adotado um período de carência progressiva por parcelas, na qual o(s) beneficiário(s) fazem jus a um percentual do capital segurado, da seguinte forma:",
 }
 SUICIDE = "Para os casos de suicídio ou sua tentativa, haverá carência de 24 meses nos termos do Art. 120 - Lei 15.040."
+INDEXER = "O seu seguro será atualizado pelo {indexer}. Para mais informações, consulte as condições gerais."
 DETAILS = (
     "array<struct<name:string,defined:array<struct<amount:int,unit:string>>,causes:array<struct<cause:string,amount:int,unit:string>>,"
     "progressive:array<struct<start:int,end:int,unit:string,percent:double>>>>"
@@ -89,5 +90,4 @@ def account_label(agency: Column, account: Column) -> Column:
 
 def indexer_text(indexer: Column) -> Column:
     """A sentence about the index that values follow; '' for none."""
-    text = F.concat(F.lit("O seu seguro será atualizado pelo "), indexer, F.lit(". Para mais informações, consulte as condições gerais."))
-    return F.when(F.coalesce(indexer, F.lit("")) != "", text).otherwise("")
+    return F.when(F.coalesce(indexer, F.lit("")) != "", sentence(INDEXER, indexer=indexer)).otherwise("")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenfold.functions import nested as N
+from lumenfold.functions import predicates as P
 from lumenfold.operators import paging
 from lumenfold.operators.written import new_path
 from lumenfold.plans.registry import query, table
@@ -106,3 +107,14 @@ def useful_orders(spark, sf_dir):
     deep = F.struct(F.struct(F.create_map(F.lit("note"), F.coalesce("note", F.lit(""))).alias("notes"), F.struct(text(F.col("o_orderstatus") == "P", "p").alias("status")).alias("inner")).alias("a"), F.coalesce("many", F.array().cast("array<int>")).alias("many"), text(F.col("o_orderpriority") == "1-URGENT", "u").alias("priority"))
     nested = rows.select("o_orderkey", deep.alias("deep"))
     return nested.select("o_orderkey", N.useful_within(F.col("deep"), nested.schema["deep"].dataType).alias("useful"))
+
+
+@query("""
+SELECT page_id, array_to_string([x FOR x IN [CASE WHEN url LIKE 'http://%' THEN 'PDF vazio.' END, CASE WHEN contains(url, '?') OR contains(url, '#') THEN 'Arquivo XSD invalido.' END, CASE WHEN NOT lower(url) LIKE '%.html' THEN 'Arquivo de dados deve ser JSON ou XML.' END] IF x IS NOT NULL], ',') AS problems FROM pages
+""")
+def file_divergences(spark, sf_dir):
+    """What is wrong with sets of files that pages stand for: an empty PDF, a schema of another ending, data of another kind."""
+    url = F.col("url")
+    schema = F.when(F.contains(url, F.lit("?")) | F.contains(url, F.lit("#")), "a.txt").otherwise("a.XSD")
+    found = P.file_divergences(F.when(url.startswith("http://"), 0).otherwise(1), schema, F.when(F.lower("url").endswith(".html"), "x.xml").otherwise(F.lit("x.txt")))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(found, ",").alias("problems"))
