@@ -60,6 +60,17 @@ def field_match(spark, sf_dir):
     return _mapped(spark, sf_dir).select("doc_id", "part", "ord", "pdfText", "jsonPath", "confidence", "status", "raw_confidence", "data_value", "normalized_value")
 
 
+@query(f"""
+WITH {_BEST} SELECT f.doc_id, 'no data' AS given, 0 AS part, f.field_idx AS ord, f.name AS jsonPath, CASE WHEN conf >= 0.8 THEN 'ok' WHEN conf >= 0.5 THEN 'ambiguous' ELSE 'not_found' END AS status FROM f LEFT JOIN best USING (doc_id, field_idx)
+UNION ALL SELECT doc_id, 'no schema', 1, key_idx, key, 'optional' FROM k
+""")
+def match_of_parts(spark, sf_dir):
+    """Mappings where documents have no data, so that nothing is missing from it, and where they have no schema, so that all keys are optional."""
+    blocks, schema, data = _inputs(spark, sf_dir)
+    told = lambda df, given: df.select("doc_id", F.lit(given).alias("given"), "part", "ord", "jsonPath", "status")
+    return told(J.match_fields(blocks, schema, data.limit(0)), "no data").unionByName(told(J.match_fields(blocks, schema.limit(0), data), "no schema"))
+
+
 @query(f"WITH {_MAPPED} SELECT doc_id, part, ord, CASE WHEN part = 0 AND ord = 0 THEN 'edited' ELSE jsonPath END AS jsonPath, part = 0 AND ord = 0 AS isManual, CASE WHEN part = 0 AND ord = 0 THEN 'ok' ELSE status END AS status FROM a")
 def manual_edits(spark, sf_dir):
     """Mappings after each document's first field was edited."""
