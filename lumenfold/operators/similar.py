@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.operators.written import saved
+
 # What stands before and behind a string, so that its first and last letters make pairs too.
 BEFORE, BEHIND = "\x02", "\x03"
 
@@ -53,7 +55,7 @@ def alike(names: DataFrame, texts: DataFrame, least: float = 0.75) -> DataFrame:
     grams; a string is held only where its rarest pair of letters is. Strings that repeat few grams too often for a prefix meet all others, as do
     empty ones; single characters meet the strings with that character.
     """
-    a, b = indexed(names, texts, least)
+    a, b = (saved(df, "grams") for df in indexed(names, texts, least))
     n, t = (df.where("prefix IS NOT NULL").select("doc_id", "norm", "size", "grams", F.explode(F.slice("grams", F.lit(1), F.col("prefix"))).alias("gram")) for df in (a, b))
     near = n.alias("n").join(t.alias("t"), ["doc_id", "gram"]).select("doc_id", *(F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "nt" for c in ("norm", "size", "grams")))
     longer, shorter = F.greatest("n_size", "t_size"), F.least("n_size", "t_size")
