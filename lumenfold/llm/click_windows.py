@@ -166,9 +166,9 @@ def expiring_windows(copies: DataFrame, batches: int = BATCHES, window: int = WI
             dropped = None if most is None else most - late
             most = max([x for x in (most, facts[b].most if b in facts else None) if x is not None])
             until = FOREVER if b == batches - 1 else most - late
-            control = spark.range(buckets).select(F.col("id").alias("bucket"), F.lit(b).cast("long").alias("batch"), F.lit(until).cast("long").alias("punctuation"), *(F.lit(None).cast(t).alias(c) for c, t in (("click_id", "long"), ("hour", "long"), ("hash", "binary"), ("n", "long"), ("crc", "long"))))
+            control = spark.range(0, buckets, 1, 1 + buckets // 10_000).select(F.col("id").alias("bucket"), F.lit(b).cast("long").alias("batch"), F.lit(until).cast("long").alias("punctuation"), *(F.lit(None).cast(t).alias(c) for c, t in (("click_id", "long"), ("hour", "long"), ("hash", "binary"), ("n", "long"), ("crc", "long"))))
             data = cut.where(F.col("batch") == b).select(F.pmod(F.xxhash64("click_id"), F.lit(buckets)).alias("bucket"), F.col("batch").cast("long").alias("batch"), F.lit(None).cast("long").alias("punctuation"), "click_id", "hour", "hash", "n", "crc")
-            data.unionByName(control.coalesce(1)).write.mode("append").parquet(source)
+            data.unionByName(control).write.mode("append").parquet(source)
             fed = spark.readStream.schema(FED).parquet(source)
             if dropped is not None:
                 fed = fed.where(F.col("punctuation").isNotNull() | (F.col("hour") >= dropped))
