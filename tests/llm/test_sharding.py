@@ -94,3 +94,22 @@ def test_query(spark):
 
 def test_no_python_in_the_plan(spark):
     assert "Python" not in op1_hash_tree(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_query_on_odd_rows(spark, tmp_path):
+    """Null and empty texts, negative, repeated and null ids, columns of clashing names; then no rows at all."""
+    import zlib
+
+    rows = [(-5, None), (-5, "é"), (0, ""), (None, "x"), (None, None), *((k, "same") for k in range(-200, 200))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(-1) for c in ("shard", "slot", "size", "law", "grown_shard")})
+    df.write.parquet(f"{tmp_path}/a/documents.parquet")
+    got = op1_hash_tree(spark, f"{tmp_path}/a").collect()
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in got if r.doc_id is not None) == sorted((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows if i is not None)
+    assert len(got) == len(rows) and all(0 <= r.shard < 40 and r.law == "key" and r.grown_shard in (r.shard, 40) for r in got)
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    places = {}
+    for r in got:
+        assert places.setdefault(r.doc_id, (r.shard, r.grown_shard)) == (r.shard, r.grown_shard)
+    df.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert op1_hash_tree(spark, f"{tmp_path}/b").collect() == []
