@@ -97,7 +97,8 @@ def stream_states(events: DataFrame, event_time: bool = False) -> DataFrame:
     """A streaming DataFrame of state changes, with state per job.
 
     A job without events for the idle time ends in error: by the clock, or with event_time where the event that comes next is later than that, which a
-    replay decides as the live stream did. A batch's events go by ts, then event_id if there is one.
+    replay decides as the live stream did. A batch's events go by ts, then event_id if there is one. A job that has ended keeps its state, as its end is to stay; where jobs
+    come and go without end, lifecycle.job_runs ends them by timers and keeps nothing.
     """
     wait = "NoTimeout" if event_time else "ProcessingTimeTimeout"
     return events.groupBy("job_id").applyInPandasWithState(_advance(event_time), OUTPUT, STATE, "update", wait)
