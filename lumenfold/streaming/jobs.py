@@ -5,6 +5,7 @@ Events: job_id, ts, event (step, done, error), step, pct, message.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +59,25 @@ STATE = "status string, pct int, last_ts long"
 OUTPUT = "job_id string, status string, pct int, message string"
 
 
+def _to_first_end(at, ids, event, pct, message):
+    """The columns by time, then number, up to the first event that ends a job."""
+    order = np.lexsort((ids, at))
+    ends = np.flatnonzero(((event == "done") | (event == "error"))[order])
+    order = order[: ends[0] + 1] if len(ends) else order
+    return [c[order] for c in (at, ids, event, pct, message)]
+
+
+def _in_order(batches):
+    """(microseconds, event, pct, message) of a job by ts, then event_id if there is one. Arrow may cut a job's events into several frames, whose order tells nothing; of each, what lies behind an end isn't held."""
+    held = []
+    for batch in batches:
+        ids = batch["event_id"].to_numpy() if "event_id" in batch else np.zeros(len(batch))
+        held.append(_to_first_end(batch["ts"].to_numpy("datetime64[us]"), ids, *(batch[c].to_numpy() for c in ("event", "pct", "message"))))
+    if held:
+        at, _, *rest = held[0] if len(held) == 1 else _to_first_end(*(np.concatenate(c) for c in zip(*held)))
+        yield from zip(at.astype("int64"), *rest)
+
+
 def _advance(event_time: bool):
     def advance(key, batches, state):
         """A job's state after its new events; a terminal state stays; idle too long is an error."""
@@ -70,21 +90,20 @@ def _advance(event_time: bool):
                 yield pd.DataFrame({"job_id": [key[0]], "status": ["error"], "pct": [pct], "message": ["timeout"]})
             return
         message = None
-        for batch in batches:
-            for row in batch.sort_values([c for c in ("ts", "event_id") if c in batch]).itertuples():
-                if status in ("done", "error"):
-                    break
-                now = int(row.ts.value // 1000)
-                if event_time and last and now - last > TIMEOUT_S * 1_000_000:
-                    status, message = "error", "timeout"
-                    break
-                last = max(last, now)
-                if row.event == "done":
-                    status, pct = "done", 100
-                elif row.event == "error":
-                    status, message = "error", row.message
-                else:
-                    status, pct = "running", int(row.pct) if row.pct == row.pct and row.pct is not None else pct
+        for now, event, share, text in _in_order(batches):
+            if status in ("done", "error"):
+                break
+            now = int(now)
+            if event_time and last and now - last > TIMEOUT_S * 1_000_000:
+                status, message = "error", "timeout"
+                break
+            last = max(last, now)
+            if event == "done":
+                status, pct = "done", 100
+            elif event == "error":
+                status, message = "error", text
+            else:
+                status, pct = "running", int(share) if share == share and share is not None else pct
         state.update((status, pct, last))
         if not event_time:
             state.setTimeoutDuration(TIMEOUT_S * 1000)

@@ -278,6 +278,24 @@ def test_stream_times_out(spark, tmp_path):
     assert [r[0] for r in spark.createDataFrame([("Matching de campos",), ("x",)], "s string").select(X.progress(F.col("s"))).collect()] == [60, None]
 
 
+def test_stream_orders_events_across_arrow_batches(spark, tmp_path):
+    """A job's events reach its state in frames of two rows, the last ones first."""
+    rows = [(j, i, 10 * i, "done" if i == 5 else "error" if i == 7 else "step") for j in range(3) for i in range(9)]
+    df = spark.createDataFrame([(f"{j}", f"2024-01-01 00:00:{s:02d}" if s < 60 else f"2024-01-01 00:01:{s - 60:02d}", e, "s", i, "m", i) for j, i, s, e in reversed(rows)], "job_id string, ts string, event string, step string, pct int, message string, event_id long")
+    late = spark.createDataFrame([("idle", f"2024-01-01 {h:02d}:00:00", "step", "s", h, "m", h) for h in range(6, -1, -1)], df.schema)
+    df = df.unionByName(late).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1)
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    seen, key = {}, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2")
+    try:
+        X.fan_out(X.stream_states(stream, event_time=True), [lambda df, _: seen.update({r.job_id: (r.status, r.pct, r.message) for r in df.collect()})], str(tmp_path / "checkpoint")).awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    assert seen == {"0": ("done", 100, None), "1": ("done", 100, None), "2": ("done", 100, None), "idle": ("error", 0, "timeout")}
+
+
 def test_idle_jobs_end_in_error():
     class State:
         exists, hasTimedOut, get, removed = True, True, ("running", 20, 5), False
