@@ -205,10 +205,10 @@ def waiting_text(name: Column, amount: Column, unit: Column) -> Column:
     return sentence(WAITING, name=name, amount=amount, unit=F.lower(unit))
 
 
-def progressive_period(start: Column, end: Column, unit: Column) -> Column:
-    """'De x até y meses', or 'A partir de x meses' if the end is 9999; instalments have no open end."""
+def progressive_period(start: Column, end: Column, unit: Column, open_end: Column | None = None) -> Column:
+    """'De x até y meses', or 'A partir de x meses' if the end is 9999, or where open_end says so; instalments have no open end."""
     start, end = start.cast("string"), end.cast("string")
-    months = F.when(end == "9999", sentence(MONTHS_OPEN, start=start)).otherwise(sentence(MONTHS, start=start, end=end))
+    months = F.when(end == "9999" if open_end is None else open_end, sentence(MONTHS_OPEN, start=start)).otherwise(sentence(MONTHS, start=start, end=end))
     return F.when(normalize_text(unit) == "MESES", months).otherwise(sentence(INSTALMENTS, start=start, end=end))
 
 

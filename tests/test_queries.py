@@ -41,3 +41,13 @@ def test_library_stands_alone():
     for p in root.joinpath("lumenfold").rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "lumenfold.llm" not in p.read_text()
+
+
+def test_rule_texts_of_customer_9999(spark, duck, tmp_path):
+    """A customer's number that is the mark of an open end elsewhere is a number here."""
+    path = str(tmp_path / "orders.parquet")
+    duck.sql(f"COPY (SELECT * REPLACE (9999 AS o_custkey) FROM orders LIMIT 6) TO '{path}' (FORMAT parquet)")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{path}'")
+    got = QUERIES["rule_texts"](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(con.sql(ORACLES["rule_texts"]).df()) and set(got.progressive) == {"A partir de 3 meses", "De 3 até 9999 meses"}
