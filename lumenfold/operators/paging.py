@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lumenfold.operators.written import drop, saved
 
@@ -31,13 +33,13 @@ def _next(rows: DataFrame, limit: float, strict: bool, most: int | None, span: f
     points = rows.select("doc_id", F.col("upto").alias("v"), F.lit(None).cast("long").alias("ask"), F.col("i").alias("point"))
     asks = rows.select("doc_id", (F.col("upto") - F.col("size") + F.lit(limit).cast(SUM)).alias("v"), F.col("i").alias("ask"), F.lit(None).cast("long").alias("point"))
     both = points.unionByName(asks).withColumn("at", F.floor(F.col("v") / width))
-    # Of equal sums, a line that only needs to be reached comes behind its asker, one that must be exceeded before.
-    order = Window.partitionBy("doc_id", "at").orderBy("v", F.col("ask").isNull() if not strict else F.col("ask").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
+    # From the greatest sum down, as frames that run on to the end are summed anew for each row. Of equal sums, a line that only needs to be reached comes before its asker, one that must be exceeded behind.
+    order = Window.partitionBy("doc_id", "at").orderBy(F.col("v").desc(), F.col("ask").isNotNull() if not strict else F.col("ask").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("j", F.min("point").over(order)).where("ask IS NOT NULL").select("doc_id", "at", F.col("ask").alias("i"), "j")
     firsts = points.groupBy("doc_id", F.floor(F.col("v") / width).alias("at")).agg(F.min("point").alias("first"))
     ats = firsts.select("doc_id", "at", "first").unionByName(found.where("j IS NULL").select("doc_id", "at").distinct().withColumn("first", F.lit(None).cast("long")))
     ats = ats.groupBy("doc_id", "at").agg(F.min("first").alias("first"))
-    later = ats.select("doc_id", "at", F.min("first").over(Window.partitionBy("doc_id").orderBy("at").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    later = ats.select("doc_id", "at", F.min("first").over(Window.partitionBy("doc_id").orderBy(F.col("at").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
     j = F.greatest(F.coalesce("j", "later"), F.col("i") + 1)
     told = found.join(later, ["doc_id", "at"], "left").select("doc_id", "i", F.when(F.coalesce("j", "later").isNotNull(), j).alias("j"))
     return told.withColumn("j", F.least("j", F.col("i") + most)) if most else told
@@ -76,3 +78,39 @@ def packed_lines(rows: DataFrame, capacity: int = 14, per_line: int = 90, most:
 def stacked_lines(rows: DataFrame, capacity: float, header: float = 0.0) -> DataFrame:
     """report.height_pages for lines as rows (doc_id, i, size in units of height)."""
     return pages(rows, capacity - header, True)
+
+
+def _fold(separator: str, limit: int, most: int):
+    def fold(batches):
+        """(doc_id, page, lines, letters) of whole texts: in round k the k-th pages of all texts of a batch, by prefix sums over all their lines."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            lines = pc.split_pattern(batch["text"], separator)
+            ends = np.cumsum(pc.list_value_length(lines).to_numpy(zero_copy_only=False), dtype="int64")
+            upto = np.concatenate([[0], np.cumsum(pc.utf8_length(pc.list_flatten(lines)).to_numpy(zero_copy_only=False), dtype="int64")])
+            doc, at, page = np.arange(len(ends)), np.concatenate([[0], ends])[:-1], 0
+            while len(doc):
+                full = np.searchsorted(upto, upto[at] + limit) - 1  # the line with which the page's letters reach the limit
+                stop = np.minimum(np.clip(full, at + 1, at + most), ends[doc])
+                columns = [np.full(len(doc), page, "int32"), stop - at, upto[stop] - upto[at]]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(doc)), *map(pa.array, columns)], ["doc_id", "page", "lines", "letters"])
+                more = stop < ends[doc]
+                doc, at, page = doc[more], stop[more], page + 1
+
+    return fold
+
+
+def packed_texts(texts: DataFrame, separator: str = " ", capacity: int = 14, per_line: int = 90, most: int = 10, block: int = BLOCK) -> DataFrame:
+    """(doc_id, page, lines, letters) of texts (doc_id, text) whose lines are what the separator, one character, sets apart.
+
+    Texts of up to `block` lines are folded as they are read. Longer ones have their lines as rows and go through packed_lines.
+    """
+    texts = texts.select("doc_id", "text").where("doc_id IS NOT NULL")
+    short = F.length("text") - F.length(F.replace("text", F.lit(separator), F.lit(""))) < block
+    kind = StructType([texts.schema["doc_id"], *StructType.fromDDL("page int, lines long, letters long")])
+    folded = texts.where(short).mapInArrow(_fold(separator, capacity * per_line, most), kind)
+    rows = texts.where(~short).select("doc_id", F.posexplode(F.split("text", f"[{separator}]")).alias("i", "line")).select("doc_id", F.col("i").cast("long").alias("i"), F.length("line").cast("long").alias("size"))
+    made = packed_lines(rows, capacity, per_line, most).join(rows, ["doc_id", "i"])
+    return folded.unionByName(made.groupBy("doc_id", "page").agg(F.count("*").alias("lines"), F.sum("size").alias("letters")))

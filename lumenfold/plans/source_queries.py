@@ -88,11 +88,9 @@ p AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS stop, r
 SELECT p.doc_id, CAST(page AS INTEGER) AS page, count(*) AS words, CAST(sum(size) AS BIGINT) AS letters FROM p JOIN s ON s.doc_id = p.doc_id AND s.i >= p.i AND (stop IS NULL OR s.i < stop) GROUP BY p.doc_id, page
 """)
 def long_text_pages(spark, sf_dir):
-    """The words of whole texts on pages of fewer than 1260 letters and 300 words at most, with words as rows, so that a text may be of any length."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "word")).select("doc_id", "i", F.length("word").alias("size"))
-    made = paging.packed_lines(words, 14, 90, 300)
-    sized = made.join(words.select("doc_id", F.col("i").cast("long").alias("i"), "size"), ["doc_id", "i"])
-    return sized.groupBy("doc_id", "page").agg(F.count("*").alias("words"), F.sum("size").cast("long").alias("letters"))
+    """The words of whole texts on pages of fewer than 1260 letters and 300 words at most; those of very long texts are rows, so that a text may be of any length."""
+    made = paging.packed_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), " ", 14, 90, 300)
+    return made.select("doc_id", "page", F.col("lines").alias("words"), "letters")
 
 
 @query("""

@@ -150,6 +150,33 @@ def test_pages_as_by_a_fold(spark, limit, strict, most):
     assert {(r.doc_id, r.i): r.page for r in paging.pages(df, limit, strict, most, block=16).collect()} == want
 
 
+def test_texts_of_both_kinds_are_packed_as_by_a_fold(spark):
+    """Short texts are folded as they are read, long ones have their words as rows; block 40 has both."""
+    rng = random.Random(2)
+    texts = [(d, " ".join("é" * rng.choice([0, 1, 5, 30, 99, 100, 250]) for _ in range(n))) for d, n in enumerate([1, 2, 39, 40, 41, 300, 1000])]
+    texts += [(90, ""), (91, " "), (92, "x" * 300), (93, "  a  "), (94, " " * 30), (95, " " * 90)]
+    want = set()
+    for d, text in texts:
+        page, n, letters = 0, 0, 0
+        for size in map(len, text.split(" ")):
+            if n == 12 or (n and letters + size >= 200):
+                want.add((d, page, n, letters))
+                page, n, letters = page + 1, 0, 0
+            n, letters = n + 1, letters + size
+        want.add((d, page, n, letters))
+    df = spark.createDataFrame([*texts, (99, None), (None, "x y")], "doc_id long, text string")
+    for block in (1, 40, 4096):
+        got = [tuple(r) for r in paging.packed_texts(df, " ", 2, 100, 12, block).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_next_breaks_are_told_in_linear_frames(spark):
+    """A frame that runs on to the partition's end is summed anew for each row, so that a span of many lines takes their square."""
+    rows = spark.createDataFrame([("a", 0, 1)], "doc_id string, i long, size int").withColumns({"size": F.col("size").cast(paging.SUM), "upto": F.col("size").cast(paging.SUM)})
+    plan = paging._next(rows, 10.0, False, 3, 640.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
 def test_pages_of_nothing(spark):
     assert paging.packed_lines(spark.createDataFrame([], "doc_id long, i int, size int")).count() == 0 and paging.stacked_lines(spark.createDataFrame([(1, 0, 5)], "doc_id long, i int, size int"), 10.0, 2.0).collect()[0].page == 0
 
