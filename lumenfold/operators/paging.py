@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 from lumenfold.operators.written import drop, saved
 
 BLOCK = 4096
+FOLDED = 16384
 SUM = "decimal(38,9)"
 
 
@@ -102,7 +103,7 @@ def _fold(separator: str, limit: int, most: int):
     return fold
 
 
-def packed_texts(texts: DataFrame, separator: str = " ", capacity: int = 14, per_line: int = 90, most: int = 10, block: int = BLOCK) -> DataFrame:
+def packed_texts(texts: DataFrame, separator: str = " ", capacity: int = 14, per_line: int = 90, most: int = 10, block: int = FOLDED) -> DataFrame:
     """(doc_id, page, lines, letters) of texts (doc_id, text) whose lines are what the separator, one character, sets apart.
 
     Texts of up to `block` lines are folded as they are read. Longer ones have their lines as rows and go through packed_lines.
